@@ -96,7 +96,7 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: i
     copies = F.explode(F.expr("sequence(1, cast(ceil(mix_own / mix_size) as int))")).alias("mix_copy")
     out = met.filter("mix_own > 0").select("*", copies)
     words = F.least(F.col("mix_size"), F.col("mix_own") - (F.col("mix_copy") - 1) * F.col("mix_size"))
-    cut = F.regexp_extract(at["text"], F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), words.cast("string"), F.lit("}+")), 0)
+    cut = F.regexp_substr(at["text"], F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), words.cast("string"), F.lit("}+")))
     text = F.when(words == F.col("mix_size"), at["text"]).otherwise(cut)
     return out.select(*[(text if n == "text" else F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])
 
