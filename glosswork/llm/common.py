@@ -54,7 +54,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Writes ``df`` under ``folder`` and reads it back: lineage ends there, and a lost executor costs no recomputation."""
     path = f"{folder}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
