@@ -27,6 +27,20 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     return pick(df, "doc_id", "text", *more).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
 
 
+def boxed(df: DataFrame) -> DataFrame:
+    """doc_id, text and source, and the other columns as one struct, so that no name can clash."""
+    held = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(held))])
+    rest = [F.col(f"c{i}") for i, n in enumerate(held) if n not in ("doc_id", "text", "source")] or [F.lit(0).alias("none")]
+    own = {n: F.col(f"c{held.index(n)}") for n in ("doc_id", "text", "source") if n in held}
+    return plain.select(own["doc_id"].cast("long").alias("doc_id"), own["text"].cast("string").alias("text"), own.get("source", F.lit(None).cast("string")).alias("source"), F.struct(*rest).alias("rest"))
+
+
+def unboxed(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns that ``boxed`` put away, in their order, with what doc_id, text and source have become."""
+    return df.select(*[(F.col(n) if n in ("doc_id", "text", "source") else F.col(f"rest.c{i}")).alias(n) for i, n in enumerate(names)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
