@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "secrets", "media", "pii", "packing")
+MODULES = ("toxicity", "mixing", "secrets", "media", "pii", "packing")
 
 
 def modules() -> list:
