@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glosswork.llm.common import documents, shared_folder, stored, table
-from glosswork.llm.subwords import SubwordIds, slices
+from glosswork.llm.subwords import shared
 
 CAPACITY = 1024
 FINEST = 64
@@ -45,23 +45,20 @@ def cuts(n: int, capacity: int, finest: int) -> list[int]:
     return out + [left] * bool(left)
 
 
-def _cutter(path: str | None, capacity: int, finest: int, end_id: int):
+def _cutter(path: str | None, ranks: str | None, capacity: int, finest: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, worker, seen = SubwordIds(path), TaskContext.get().partitionId(), {}
+        coder, worker, seen, end = shared(path, ranks), TaskContext.get().partitionId(), {}, np.array([end_id], "<u4")
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                ids, counts = coder.encode(texts[a:b])
-                ids, out, end = ids.astype("<u4"), [], 0
-                for name, n in zip(names[a:b], counts.tolist()):
-                    own = np.append(ids[end : end + n], np.array(end_id, "<u4"))
-                    end += n
-                    start = 0
-                    for length in cuts(n + 1, capacity, finest):
-                        j = capacity // length
-                        out.append((name, start, length, zlib.crc32(own[start : start + length].tobytes()), n + 1, j, worker, seen.get(j, 0)))
-                        seen[j] = seen.get(j, 0) + 1
-                        start += length
+            out = []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.concatenate([coder.ids(text.as_py() or ""), end])
+                start, n = 0, len(own)
+                for length in cuts(n, capacity, finest):
+                    j = capacity // length
+                    out.append((name, start, length, zlib.crc32(own[start : start + length].tobytes()), n, j, worker, seen.get(j, 0)))
+                    seen[j] = seen.get(j, 0) + 1
+                    start += length
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECES)], schema=_PIECES)
 
     return run
@@ -85,10 +82,10 @@ def _first_fit(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, finest: int = FINEST, end_id: int = END_ID) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece. ``path``: the tokenizer's file."""
+def pack(docs: DataFrame, path: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, finest: int = FINEST, end_id: int = END_ID) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece. ``path``, ``ranks``: the tokenizer's files."""
     folder = shared_folder(docs.sparkSession)
-    cut = documents(docs).mapInArrow(_cutter(path, capacity, finest, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class long, worker int, place long")
+    cut = documents(docs).mapInArrow(_cutter(path, ranks, capacity, finest, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class long, worker int, place long")
     pieces = stored(cut, folder, "pieces")
     counts = pieces.groupBy("class", "worker").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("class").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)

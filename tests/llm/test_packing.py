@@ -14,17 +14,20 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN, OURS = Tokenizer.from_file(PATH), SubwordIds(PATH)
 
 
-@given(st.lists(st.text(alphabet=st.sampled_from("ab Zé漢\n\t\x85\xa0 .,'19_😀")), max_size=4))
-def test_chunks_give_the_tokenizers_ids(texts):
-    ids, counts = OURS.encode(texts)
-    want = [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
-    assert counts.tolist() == [len(w) for w in want]
-    assert ids.tolist() == [i for w in want for i in w]
+@given(st.text(alphabet=st.sampled_from("ab Zé漢\n\t\x85\xa0 .,'19_😀")))
+def test_fast_ids_are_the_tokenizers(text):
+    assert OURS.ids(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
-def test_special_token_text():
-    t = "foo <|endoftext|> bar<|endoftext|>"
-    assert OURS.encode([t])[0].tolist() == PLAIN.encode(t, add_special_tokens=False).ids
+def test_other_ways():
+    for t in ("foo <|endoftext|> bar<|endoftext|>", "x" * 5000, " " * 3000 + "a", "\n" * 3000, "it's we'll  's"):
+        assert OURS.ids(t).tolist() == PLAIN.encode(t, add_special_tokens=False).ids
+
+
+def test_tables_ids(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for t, e in zip(texts, PLAIN.encode_batch(texts, add_special_tokens=False)):
+        assert OURS.ids(t).tolist() == e.ids
 
 
 @given(st.integers(1, 9000))
