@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("toxicity", "mixing", "jaccard", "secrets", "media", "pii", "vectors", "lm_scoring", "packing")
+MODULES = ("toxicity", "repeats", "mixing", "jaccard", "secrets", "media", "pii", "vectors", "lm_scoring", "packing")
 
 
 def modules() -> list:
