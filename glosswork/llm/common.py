@@ -72,9 +72,15 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def split_count(df: DataFrame, rows: int, per_part: int) -> int:
-    """Partitions for ``rows`` rows at ``per_part`` each, never under the session's own number."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))
+def hash_sample(df: DataFrame, hash_: str, n: int, order: list[str]) -> DataFrame:
+    """At most ``n`` rows by least hash: a share of the hashes that holds about twice as many, then the first of these.
+
+    The share keeps what each task sorts, and sends on, in proportion to ``n`` and not to the number of tasks.
+    """
+    total = df.count()
+    if total > 4 * n:
+        df = df.filter(F.pmod(F.col(hash_), F.lit(1 << 20)) < int(2 * n / total * (1 << 20)) + 1)
+    return df.orderBy(F.pmod(F.col(hash_), F.lit(1 << 20)), hash_, *order).limit(n)
 
 
 def word_count(text: Column) -> Column:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswork.llm import sketch
-from glosswork.llm.common import boxed, documents, shared_folder, stored, table, unboxed
+from glosswork.llm.common import WORD, boxed, documents, shared_folder, stored, table, unboxed
 from glosswork.llm.graph import components, forest
 from glosswork.llm.hashing import blocks, mix, sequences, utf8, words
 
@@ -101,11 +101,11 @@ def name_of(s: np.ndarray) -> int:
     return int(mix(mix(mix(x[:1]) + x[1:2]) + x[2:])[0].view(np.int64))
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("block", pa.int32()), ("data", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("block", pa.int32()), ("data", pa.binary())])
 
 
 def _signer(k: int, size: int):
-    """A row (doc_id, n, name) for each text, and the task's part of the count sketch in rows (block, data)."""
+    """A row (doc_id, text_hash, n, name) for each text, and the task's part of the count sketch in rows (block, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, seen = None, set()
@@ -119,10 +119,10 @@ def _signer(k: int, size: int):
                     cells = np.zeros(size, np.uint8) if cells is None else cells
                     sketch.add(cells, np.concatenate(new))
                 none = pa.nulls(b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_SIGNED)
         if cells is not None:
             for i, part in sketch.pack(cells):
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.array([i], pa.int32()), pa.array([part], pa.binary())], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.array([i], pa.int32()), pa.array([part], pa.binary())], schema=_SIGNED)
 
     return run
 
@@ -282,12 +282,13 @@ def _checker(percent: int):
     return run
 
 
-def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def grouped(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
+    """doc_id, text_hash, n_shingles, root, component_id of every row; root names a component, null without shingles."""
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     texts = documents(docs)
-    signed = stored(texts.mapInArrow(_signer(k, cells), "doc_id long, n long, name long, block int, data binary"), folder, "signed")
-    rows = signed.filter("block is null").select("doc_id", "n", "name")
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
+    signed = stored(hashed.mapInArrow(_signer(k, cells), "doc_id long, text_hash long, n long, name long, block int, data binary"), folder, "signed")
+    rows = signed.filter("block is null").select("doc_id", "text_hash", "n", "name")
     counts = spark.sparkContext.broadcast(sketch.gathered(signed.filter("block is not null").select("block", "data"), cells, True))
 
     held = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -313,9 +314,14 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, cells: int = C
     alike = rows.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("first"))
     of = alike.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = of.select("name", "root").join(least, "root").select("name", "component_id")
-    full = rows.filter("n > 0").join(names, "name").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    names = of.select("name", "root").join(least, "root").select("name", "root", "component_id")
+    full = rows.filter("n > 0").join(names, "name").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "root", "component_id")
+    return full.unionByName(rows.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id")))
+
+
+def join(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return grouped(docs, **how).select("doc_id", "n_shingles", "component_id")
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,14 +331,21 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row of each component: the one of its smallest id, the first of equal ones. Columns are kept."""
-    from pyspark.sql import Window
-
-    names = docs.columns
-    kept = join(docs, **how).filter("doc_id <=> component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text_hash")
-    rows = boxed(docs).join(kept.withColumnRenamed("doc_id", "kept"), F.expr("doc_id <=> kept")).drop("kept").withColumn("text_hash", F.xxhash64("text"))
-    return unboxed(rows.withColumn("turn", F.row_number().over(first)).filter("turn = 1"), names)
+    """``docs`` with one row of each component: that of its smallest id (null ids last), then of the smallest text hash.
+
+    Rows without shingles are components of their own and all stay. Columns and their order are kept.
+    """
+    found = stored(grouped(docs, **how), shared_folder(docs.sparkSession), "grouped").filter("root is not null")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("w"))
+    times = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+    won = first.select(F.col("w.doc_id").alias("won_id"), F.col("w.text_hash").alias("won_hash"))
+    won = won.join(times, F.expr("won_id <=> doc_id and won_hash = text_hash")).select("won_id", "won_hash", "times")
+    rows = boxed(docs).withColumn("has_words", F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    met = rows.filter("has_words").withColumn("text_hash", F.xxhash64("text")).join(won, F.expr("doc_id <=> won_id and text_hash = won_hash"))
+    columns = ["doc_id", "text", "source", "rest"]
+    # equal rows are one document; there is nothing to choose where a row is alone
+    alike = met.filter("times > 1").groupBy("won_id", "won_hash").agg(F.first(F.struct(*columns)).alias("r")).select("r.*")
+    return unboxed(met.filter("times = 1").select(columns).unionByName(alike).unionByName(rows.filter("not has_words").select(columns)), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

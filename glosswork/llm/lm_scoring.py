@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswork.llm.attention import Model
-from glosswork.llm.common import documents, shared_folder, stored, table
+from glosswork.llm.common import documents, hash_sample, shared_folder, stored, table
 from glosswork.llm.hashing import blocks, utf8, words
 from glosswork.llm.subwords import shared
 
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, id_counts: np.ndarray, sample_docs: int = SAMPLE_DOCS,
     """The model on at most ``sample_docs`` training documents, taken by hash, and of these ids as long as they stay in bounds."""
     model, coder = Model(id_counts, **shape), shared(path, ranks)
     key = F.xxhash64("doc_id", F.length("text"))
-    picked = docs.filter("not held_out and text is not null").withColumn("h", key).orderBy("h", "doc_id", "text").limit(sample_docs).select("text").collect()
+    picked = hash_sample(docs.filter("not held_out and text is not null").withColumn("h", key), "h", sample_docs, ["doc_id", "text"]).select("text").collect()
     ids, total = [], 0
     for r in picked:
         own = coder.ids(r.text)
@@ -136,7 +136,11 @@ def score_texts(docs: DataFrame, head: int = HEAD, sample_docs: int = SAMPLE_DOC
     each = marked.filter("not held_out").select("text").mapInArrow(_counter(path, ranks), "kind int, key long, n long")
     counts = stored(each.groupBy("kind", "key").agg(F.sum("n").alias("n")), folder, "counts")
     said = counts.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.filter("kind = 0").orderBy(F.desc("n"), "key").limit(head).select("key", "n").toArrow()
+    # the head: words from a frequency on that at most ``head`` words have, found by a count of words for each step of it
+    step = F.floor(F.log2("n") * 8)
+    steps = sorted(((r.s, r.c) for r in counts.filter("kind = 0").groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
+    fits = [s for (s, _), c in zip(steps, np.cumsum([c for _, c in steps])) if c <= head]
+    top = counts.filter("kind = 0").filter(step >= (fits[-1] if fits else 1 << 30)).select("key", "n").toArrow()
     keys, n = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(keys)
     ids = counts.filter("kind = 1").select("key", "n").toArrow()  # a row for each id at most

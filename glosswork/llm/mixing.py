@@ -90,7 +90,8 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: i
     shares = mix.select(F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_source"), F.col("key").alias("k"), "mix_size", "mix_taken", "mix_rows")
     met = keyed.join(shares, at["doc_id"].eqNullSafe(F.col("mix_doc")) & at["source"].eqNullSafe(F.col("mix_source")) & (F.col("mix_key") == F.col("k")))
     # equal rows share what they take: the first ones take one epoch more
-    met = met.withColumn("mix_turn", F.when(F.col("mix_rows") > 1, F.row_number().over(each)).otherwise(F.lit(1)))
+    alone = met.filter("mix_rows = 1").withColumn("mix_turn", F.lit(1))
+    met = alone.unionByName(met.filter("mix_rows > 1").withColumn("mix_turn", F.row_number().over(each)))
     whole, left = F.expr("mix_taken div (mix_size * mix_rows)"), F.expr("mix_taken % (mix_size * mix_rows)")
     met = met.withColumn("mix_own", whole * F.col("mix_size") + F.greatest(F.lit(0), F.least(F.col("mix_size"), left - (F.col("mix_turn") - 1) * F.col("mix_size"))))
     copies = F.explode(F.expr("sequence(1, cast(ceil(mix_own / mix_size) as int))")).alias("mix_copy")

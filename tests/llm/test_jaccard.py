@@ -93,9 +93,10 @@ def test_odd_rows(weird, nothing, spark):
 
 
 def test_keep_first(spark):
-    rows = [(3, "a b c d e f g h i j k l m n o p q r s t u v w x y z"), (9, "a b c d e f g h i j k l m n o p q r s t u v w x y changed"), (5, "other"), (5, "other"), (7, None), (8, None)]
+    rows = [(3, "a b c d e f g h i j k l m n o p q r s t u v w x y z"), (9, "a b c d e f g h i j k l m n o p q r s t u v w x y changed"), (5, "other"), (5, "other"), (5, "else"), (None, "x"), (None, "y"), (None, "x"), (7, None), (8, ""), (8, "")]
     got = keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(r.doc_id for r in got.collect()) == [3, 5, 7, 8]
+    assert sorted((str(r.doc_id), r.text and r.text[:5]) for r in got.collect() if r.text is not None) == [("3", "a b c"), ("5", "else"), ("5", "other"), ("8", ""), ("8", ""), ("None", "x"), ("None", "y")]
+    assert got.filter("text is null").count() == 1
 
 
 def test_linked_equals_counting():
