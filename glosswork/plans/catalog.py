@@ -1,11 +1,544 @@
-"""Queries over the provided tables, one for each operator, with their SQL."""
+"""Queries over the provided tables, at least one for each operator, with the SQL that states the same result."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glosswork.functions import html as H
+from glosswork.functions import languages as L
+from glosswork.functions import scheduling as S
+from glosswork.functions import text as T
+from glosswork.operators import cards as C
+from glosswork.operators import corpus as K
+from glosswork.operators import ingest as I
+from glosswork.operators import schedule as P
+from glosswork.operators import selection as Q
+from glosswork.operators import sessions as E
+from glosswork.operators import setup as U
+from glosswork.plans import pieces as p
+from glosswork.plans.pieces import NOW, TODAY, USN, sql
+from glosswork.sources.readers import parse_row
+
+_ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def entry(oracle: str | None):
+    def add(f):
+        _ENTRIES[f.__name__] = (f, oracle)
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in _ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q for name, (_, q) in _ENTRIES.items() if q}
+
+
+# ---- shared inputs
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def raw(spark, sf):
+    return I.split_documents(table(spark, sf, "documents"))
+
+
+def judged(spark, sf):
+    return I.judge(raw(spark, sf))
+
+
+def library(spark, sf):
+    """Accepted sentences, kept: a library is built once and asked often."""
+    return I.accepted(judged(spark, sf)).persist()
+
+
+def indexed(spark, sf):
+    return K.sentence_forms(library(spark, sf)).persist()
+
+
+def card_table(spark, sf) -> DataFrame:
+    """Cards made of the benchmark items: the third to fifth word is the front."""
+    i = F.col("item_id")
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (i % 7 + 1).cast("int"))
+    ord_ = F.when(i % 5 == 4, 1).otherwise(0)
+    front = F.array_join(F.slice(T.words(F.col("text")), 3, 3), " ")
+    return table(spark, sf, "benchmark").select(
+        i.alias("card_id"), i.alias("nid"), i.alias("found"), ord_.alias("ord"), pick(2, 2, 0, 1, 3, 2, 2).alias("queue"), pick(2, 2, 0, 1, 3, 2, 2).alias("type"),
+        (TODAY + i % 61 - 30).alias("due"), (i % 40).alias("ivl"), (1300 + (i % 17) * 100).alias("factor"), (i % 9).alias("reps"), (i % 4).alias("lapses"),
+        F.when(i % 13 == 12, 5).otherwise(0).alias("odid"), F.when(i % 11 == 10, "Other").otherwise("Basic").alias("note_type"),
+        F.when(ord_ == 0, "Card 1").otherwise("Reverse").alias("template"), F.when(ord_ == 0, "{{Front}}").otherwise("{{Back}}").alias("question"),
+        F.create_map(F.lit("Front"), front, F.lit("Back"), F.concat(F.lit("meaning "), i.cast("string"))).alias("fields"),
+    )
+
+
+def judged_cards(spark, sf):
+    return C.judge_cards(card_table(spark, sf), TODAY, future_days=10, note_types=("Basic",), max_new=3)
+
+
+def targets(spark, sf):
+    return C.due_targets(judged_cards(spark, sf), TODAY, "en").persist()
+
+
+def word_pairs(spark, sf):
+    forms = K.postings(indexed(spark, sf)).select("form", "language").distinct()
+    return forms.select("form", T.lemma(F.col("form"), F.col("language")).alias("base")).distinct().persist()
+
+
+def due_side(spark, sf):
+    """Sentences, forms, postings, statistics, due targets with keys, expansions. The due side is small and kept."""
+    sentences, forms = library(spark, sf), indexed(spark, sf)
+    due = Q.due_keys(targets(spark, sf), word_pairs(spark, sf)).persist()
+    return sentences, forms, K.postings(forms), K.index_stats(forms), due, Q.expansions(due, word_pairs(spark, sf)).persist()
+
+
+def ranked(spark, sf, **how):
+    sentences, forms, posts, stats, due, expanded = due_side(spark, sf)
+    return Q.candidates(sentences, forms, posts, stats, due, expanded, "en", limit=20, min_words=4, max_words=15, per_query=8, **how)
+
+
+def answered(spark, sf):
+    return P.step(card_table(spark, sf).filter("odid = 0").withColumn("is_unknown", F.col("card_id") % 3 == 0).withColumn("left", F.lit(0)), TODAY, NOW, USN)
+
+
+# ---- text
+
+
+@entry(sql("SELECT ordinal, language, text FROM raw", "raw"))
+def split_sentences(spark, sf):
+    return raw(spark, sf).select("ordinal", "language", "text")
+
+
+@entry(sql(f"SELECT ordinal, len({p.words('text')})::INTEGER AS word_count FROM raw", "raw"))
+def word_counts(spark, sf):
+    return raw(spark, sf).select("ordinal", T.count_words(F.col("text"), F.col("language")).alias("word_count"))
+
+
+@entry(sql(f"SELECT form, count(*) AS n FROM (SELECT {p.form('w')} AS form FROM (SELECT unnest({p.words('text')}) AS w FROM documents)) WHERE form <> '' GROUP BY form"))
+def vocabulary_forms(spark, sf):
+    w = table(spark, sf, "documents").select(F.explode(T.words(F.col("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    # forms are made once for each distinct word
+    return w.select(T.form(F.col("w")).alias("form"), "n").filter("form <> ''").groupBy("form").agg(F.sum("n").alias("n"))
+
+
+@entry(r"SELECT doc_id, length(string_agg(t, '')) AS n_chars, count(*) AS n_tokens FROM (SELECT doc_id, unnest(regexp_extract_all(text, '" + T.WORD.replace("'", "''") + r"')) AS t FROM documents) GROUP BY doc_id")
+def lossless_tokens(spark, sf):
+    t = table(spark, sf, "documents").select("doc_id", F.filter(T.split_tokens(F.col("text")), lambda x: x.rlike(rf"^{T.WORD}$")).alias("t"))
+    return t.filter(F.size("t") > 0).select("doc_id", F.length(F.array_join("t", "")).cast("long").alias("n_chars"), F.size("t").cast("long").alias("n_tokens"))
+
+
+@entry(sql("SELECT language, array_to_string(flags, ',') AS flags, count(*) AS n FROM judged GROUP BY ALL", "judged"))
+def quality_flags(spark, sf):
+    return judged(spark, sf).groupBy("language", F.array_join("flags", ",").alias("flags")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _stems(spark, sf, language, stem):
+    w = table(spark, sf, "documents").filter(F.col("lang") == language).select(F.explode(T.words(F.col("text"))).alias("w")).distinct()
+    return w.select(T.form(F.col("w")).alias("form")).filter("form <> ''").distinct().select("form", stem(F.col("form")).alias("stem"))
+
+
+def _stem_sql(language, stem):
+    return f"SELECT DISTINCT form, {stem('form')} AS stem FROM (SELECT {p.form('w')} AS form FROM (SELECT DISTINCT unnest({p.words('text')}) AS w FROM documents WHERE lang = '{language}')) WHERE form <> ''"
+
+
+@entry(_stem_sql("en", p.english))
+def stem_english(spark, sf):
+    return _stems(spark, sf, "en", T.stem_english)
+
+
+@entry(_stem_sql("de", p.german))
+def stem_german(spark, sf):
+    return _stems(spark, sf, "de", T.stem_german)
+
+
+@entry(f"""SELECT item_id, array_to_string(CASE WHEN len(c) > 0 THEN c ELSE list_slice(ws, 1, 1) END, ' ') AS content, len(ws) AS n_words, array_to_string(list_slice(ws, 1, 1), ' ') AS first_word
+FROM (SELECT item_id, {p.words('text')} AS ws, list_filter({p.words('text')}, lambda w: {p.form('w')} NOT IN ({p._BLOCKED}) AND {p.english(p.form('w'))} NOT IN ({p._BLOCKED})) AS c FROM benchmark)""")
+def target_tokens(spark, sf):
+    t, en = F.col("text"), "en"
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(T.target_tokens(t, en), " ").alias("content"), F.size(T.target_tokens(t, en, "all_words")).cast("long").alias("n_words"), F.array_join(T.target_tokens(t, en, "first_word"), " ").alias("first_word"))
+
+
+_CODES = ("en", "eng", "EN-us", "deu_DE", "cmn", "zh", "xx", "", "jpn")
+
+
+@entry("SELECT * FROM (VALUES ('en','en','eng','en,eng',false),('eng','en','eng','en,eng',false),('EN-us','en','eng','en,eng,en-us',false),('deu_DE','de','deu','de,deu,deu_de',false),('cmn','zh','cmn','zh,cmn',true),('zh','zh','cmn','zh,cmn',true),('xx','xx','xx','xx',false),('','en','eng','en,eng',false),('jpn','ja','jpn','ja,jpn',true)) t(raw, code, corpus_code, match_codes, unsegmented)")
+def language_codes(spark, sf):
+    r = F.col("raw")
+    return spark.createDataFrame([(c,) for c in _CODES], "raw string").select("raw", L.language_code(r).alias("code"), L.corpus_code(r).alias("corpus_code"), F.array_join(L.match_codes(r), ",").alias("match_codes"), L.is_unsegmented(r).alias("unsegmented"))
+
+
+_ROWS = (["42", "Short sentence."], ["42", "Good examples help.", "Buenos ejemplos ayudan."], ["de", "Gute Beispiele helfen."], ["deu", "Gute Beispiele helfen.", "Good examples help."], ["1", "deu", "Gute Beispiele helfen.", "Good examples help."], ["go", "ir"], ["Sentence text."], ["42"])
+
+
+@entry("SELECT * FROM (VALUES (0,'en','Short sentence.',NULL),(1,'en','Good examples help.','Buenos ejemplos ayudan.'),(2,'de','Gute Beispiele helfen.',NULL),(3,'de','Gute Beispiele helfen.','Good examples help.'),(4,'de','Gute Beispiele helfen.','Good examples help.'),(5,'en','go','ir'),(6,'en','Sentence text.',NULL),(7,NULL,NULL,NULL)) t(n, language, text, translation)")
+def parse_row_shapes(spark, sf):
+    return spark.createDataFrame(list(enumerate(_ROWS)), "n int, parts array<string>").select("n", parse_row(F.col("parts"), "en").alias("r")).select("n", "r.language", "r.text", "r.translation")
+
+
+# ---- markup
+
+
+@entry(f"SELECT page_id, {p.strip('html')} AS text FROM pages")
+def strip_html(spark, sf):
+    return table(spark, sf, "pages").select("page_id", H.strip_tags(F.col("html")).alias("text"))
+
+
+@entry(r"""SELECT page_id, len(regexp_extract_all(html, '(?is)<a\b')) AS links, len(list_distinct(list_filter(list_transform(regexp_extract_all(html, '(?is)<img\b[^>]*?\bsrc\s*=\s*"([^"]*)"', 1), lambda s: trim(s)), lambda s: s <> ''))) AS images FROM pages""")
+def image_sources(spark, sf):
+    h = F.col("html")
+    return table(spark, sf, "pages").select("page_id", F.regexp_count(h, F.lit(r"(?is)<a\b")).cast("long").alias("links"), F.size(H.image_sources(h)).cast("long").alias("images"))
+
+
+_TEMPLATES = ("{{Front}}<hr>{{hint:Back}}", "{{#Audio}}{{Audio}}{{/Audio}}{{FrontSide}}", "{{cloze:Text}} {{Tags}}", "plain")
+
+
+@entry("SELECT * FROM (VALUES (0,'Front,Back'),(1,'Audio'),(2,'Text'),(3,'')) t(n, fields)")
+def template_fields(spark, sf):
+    return spark.createDataFrame(list(enumerate(_TEMPLATES)), "n int, t string").select("n", F.array_join(H.template_fields(F.col("t")), ",").alias("fields"))
+
+
+# ---- ingest and library
+
+
+@entry(sql("SELECT * FROM sentences", "sentences"))
+def import_accepted(spark, sf):
+    return library(spark, sf).select("id", "language", "full_text", "word_count", "quality_flags")
+
+
+@entry(sql("SELECT language, coalesce(skip_reason, 'accepted') AS outcome, count(*) AS n FROM judged GROUP BY ALL", "judged"))
+def import_skip_funnel(spark, sf):
+    return I.skip_funnel(judged(spark, sf))
+
+
+@entry(sql("SELECT id, full_text FROM sentences ORDER BY id LIMIT 500", "sentences"))
+def import_limited(spark, sf):
+    return I.accepted(judged(spark, sf), 500).select("id", "full_text")
+
+
+@entry(sql("SELECT count(*) AS processed, count(*) FILTER (skip_reason IS NULL) AS inserted, count(*) FILTER (skip_reason IS NOT NULL) AS skipped, count(*) FILTER (skip_reason IS NULL) >= 500 AS limit_reached FROM judged WHERE ordinal <= (SELECT max(ordinal) FROM (SELECT ordinal FROM judged WHERE skip_reason IS NULL ORDER BY ordinal LIMIT 500))", "judged"))
+def import_metrics(spark, sf):
+    return I.import_metrics(judged(spark, sf), 500)
+
+
+@entry(sql("SELECT language, count(*) AS sentences, 0::BIGINT AS translated, sum(word_count)::BIGINT AS words FROM sentences GROUP BY language", "sentences"))
+def language_counts(spark, sf):
+    return K.library_counts(library(spark, sf))
+
+
+@entry(sql("SELECT language, greatest(0, 5000 - count(*))::BIGINT AS missing FROM sentences GROUP BY language", "sentences"))
+def library_top_up(spark, sf):
+    return K.top_up(K.library_counts(library(spark, sf)), 5000)
+
+
+@entry(sql("SELECT id, language FROM sentences WHERE id NOT IN (SELECT id FROM sentences WHERE language = 'de' ORDER BY id DESC LIMIT 100)", "sentences"))
+def delete_newest(spark, sf):
+    return K.delete_newest(library(spark, sf), "deu", 100).select("id", "language")
+
+
+@entry(sql("SELECT id FROM sentences EXCEPT SELECT id FROM forms WHERE len(forms) < 9", "forms"))
+def index_gaps(spark, sf):
+    s = library(spark, sf)
+    return K.index_gaps(s, indexed(spark, sf).filter(F.size("forms") < 9))
+
+
+@entry(sql("SELECT form, count(*) AS sentences, sum(length)::BIGINT AS total_length FROM posts GROUP BY form", "posts"))
+def postings(spark, sf):
+    return K.postings(indexed(spark, sf)).groupBy("form").agg(F.count(F.lit(1)).alias("sentences"), F.sum("length").cast("long").alias("total_length"))
+
+
+@entry(sql("SELECT form, base FROM word_forms", "word_forms"))
+def word_forms(spark, sf):
+    return K.word_forms(library(spark, sf))
+
+
+@entry(sql("SELECT form, base FROM word_forms WHERE length(form) > 6 EXCEPT SELECT form, base FROM word_forms WHERE form = base", "word_forms"))
+def add_word_forms(spark, sf):
+    pairs = K.word_forms(library(spark, sf))
+    return K.add_word_forms(pairs.filter("form = base"), pairs.filter("length(form) > 6"))
+
+
+@entry(sql("SELECT id, full_text FROM sentences WHERE word_count > 9 AND (language, full_text) NOT IN (SELECT language, full_text FROM sentences WHERE word_count BETWEEN 8 AND 11)", "sentences"))
+def add_sentences(spark, sf):
+    s = library(spark, sf)
+    return K.add_sentences(s.filter("word_count between 8 and 11"), s.filter("word_count > 9")).select("id", "full_text")
+
+
+@entry("""WITH links AS (SELECT doc_id AS source_id, doc_id + k AS translation_id, doc_id * 4 + k AS link_order FROM documents, (VALUES (1), (2), (3)) t(k) WHERE lang = 'de'),
+n AS (SELECT l.source_id, left(d.text, 60) AS native, row_number() OVER (PARTITION BY l.source_id ORDER BY l.link_order) AS turn FROM links l JOIN documents d ON d.doc_id = l.translation_id AND d.lang = 'en')
+SELECT d.doc_id AS id, left(d.text, 60) AS text, n.native AS translation FROM documents d LEFT JOIN n ON n.source_id = d.doc_id AND n.turn = 1 WHERE d.lang = 'de'""")
+def pair_translations(spark, sf):
+    d = table(spark, sf, "documents")
+    texts = d.select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.left("text", F.lit(60)).alias("text"))
+    links = d.filter("lang = 'de'").select(F.col("doc_id").alias("source_id"), F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("k"))
+    links = links.select("source_id", (F.col("source_id") + F.col("k")).alias("translation_id"), (F.col("source_id") * 4 + F.col("k")).alias("link_order"))
+    return I.pair_translations(texts.filter("language = 'de'"), texts.filter("language = 'en'"), links).select("id", "text", "translation")
+
+
+# ---- cards
+
+
+@entry(sql("SELECT card_id, overdue, due_in_days, round(priority, 9) AS priority FROM metrics", "metrics"))
+def due_metrics(spark, sf):
+    o, d, pr = S.due_metrics(F.col("queue"), F.col("type"), F.col("due"), TODAY)
+    return card_table(spark, sf).select("card_id", o.alias("overdue"), d.alias("due_in_days"), F.round(pr, 9).alias("priority"))
+
+
+@entry(sql("SELECT coalesce(outcome, 'kept') AS outcome, count(*) AS n FROM judged_cards GROUP BY ALL", "judged_cards"))
+def due_skip_reasons(spark, sf):
+    return C.skip_reasons(judged_cards(spark, sf))
+
+
+@entry(sql("SELECT card_id, target_word, lemma, word_form, match_key, definition, interval, factor, overdue, due_in_days, round(priority, 9) AS priority FROM targets", "targets"))
+def collect_due(spark, sf):
+    return targets(spark, sf).withColumn("priority", F.round("priority", 9))
+
+
+@entry(sql("SELECT card_id, match_key FROM targets WHERE card_id IN (SELECT card_id FROM targets GROUP BY card_id ORDER BY max(priority) DESC, min(due_in_days), card_id LIMIT 5)", "targets"))
+def limit_by_card(spark, sf):
+    return C.limit_cards(targets(spark, sf), 5).select("card_id", "match_key")
+
+
+@entry(sql(f"SELECT card_id, CASE WHEN grown = 1 THEN '1 day' ELSE grown || ' days' END AS label FROM (SELECT card_id, greatest(greatest(1, ivl) + 1, round_even(greatest(1, ivl) * greatest(1.3::DOUBLE, greatest(1300, factor) / 1000.0::DOUBLE), 0))::BIGINT AS grown FROM cards)", "cards"))
+def interval_labels(spark, sf):
+    return card_table(spark, sf).select("card_id", S.days_label(S.next_interval(F.col("ivl"), F.col("factor"))).alias("label"))
+
+
+@entry(sql(f"SELECT card_id FROM cards WHERE (queue IN (2, 3) OR type = 2) AND due - {TODAY} <= 3 AND NOT (ord = 1) AND NOT (queue = 0 OR type = 0)", "cards"))
+def search_predicate(spark, sf):
+    df = card_table(spark, sf)
+    names = {c: F.col(c) for c in ("queue", "type", "due", "ord", "template", "nid")} | {"deck": F.lit("Vocabulary"), "tags": F.array().cast("array<string>")}
+    return df.filter(C.predicate(C.future_query("is:due -card:2", 3, 'deck:"Vocabulary"'), TODAY, names)).select("card_id")
+
+
+# ---- selection
+
+
+@entry(sql("SELECT key, base FROM resolved", "resolved"))
+def resolve_bases(spark, sf):
+    t = targets(spark, sf)
+    return Q.resolve_bases(t.select(F.explode(F.array("match_key", "lemma")).alias("key")).distinct(), word_pairs(spark, sf))
+
+
+@entry(sql("SELECT card_id, target_word, due_key FROM due", "due"))
+def due_keys(spark, sf):
+    return due_side(spark, sf)[4].select("card_id", "target_word", "due_key")
+
+
+@entry(sql("SELECT base, array_to_string(forms, ',') AS forms, prefix FROM expanded", "expanded"))
+def query_expansions(spark, sf):
+    return due_side(spark, sf)[5].select("base", F.array_join("forms", ",").alias("forms"), "prefix")
+
+
+@entry(sql("""SELECT chunk, array_to_string(list_sort(list_distinct(list(CASE WHEN is_prefix THEN term || '*' ELSE '"' || term || '"' END))), ' OR ') AS query FROM terms GROUP BY chunk""", "terms"))
+def match_queries(spark, sf):
+    *_, due, expanded = due_side(spark, sf)
+    return Q.match_query(Q.terms(Q.weights(expanded, due), 8))
+
+
+@entry(sql("SELECT chunk, id, round(bm25, 6) AS bm25 FROM scored", "scored"))
+def bm25_candidates(spark, sf):
+    _, _, posts, stats, due, expanded = due_side(spark, sf)
+    return Q.bm25(posts, stats, Q.terms(Q.weights(expanded, due), 8)).withColumn("bm25", F.round("bm25", 6))
+
+
+_PREFIXES = ("th", "erst", "onl", "chver")
+
+
+@entry(sql(f"""SELECT 0 AS chunk, id, round(-sum(idf * (f * 2.2) / (f + 1.2 * (0.25 + 0.75 * length / avg_length))), 6) AS bm25 FROM (
+  SELECT h.*, s.avg_length, CASE WHEN ln((s.total - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((s.total - n + 0.5) / (n + 0.5)) END AS idf FROM (
+    SELECT *, count(*) OVER (PARTITION BY term) AS n FROM (SELECT t.term, p.id, count(*) AS f, min(p.length) AS length FROM posts p JOIN (SELECT unnest({list(_PREFIXES)}) AS term) t ON starts_with(p.form, t.term) GROUP BY 1, 2)) h, stats s) GROUP BY id""", "posts", "stats"))
+def prefix_candidates(spark, sf):
+    forms = indexed(spark, sf)
+    wanted = spark.createDataFrame([(x, True, 0) for x in _PREFIXES], "term string, is_prefix boolean, chunk int")
+    return Q.bm25(K.postings(forms), K.index_stats(forms), wanted).withColumn("bm25", F.round("bm25", 6))
+
+
+_PARTS = ("ndre", "eau", "schtz")
+
+
+@entry(sql(f"SELECT s.id, -count(*)::DOUBLE AS bm25 FROM sentences s JOIN (SELECT unnest({list(_PARTS)}) AS form) f ON contains(s.full_text, f.form) GROUP BY s.id, s.word_count ORDER BY count(*) DESC, s.word_count, s.id LIMIT 80", "sentences"))
+def substring_candidates(spark, sf):
+    wanted = spark.createDataFrame([(x, [x], "") for x in _PARTS], "base string, forms array<string>, prefix string")
+    return Q.substring_candidates(library(spark, sf), wanted, 20)
+
+
+@entry(sql("SELECT id, word_count, round(bm25, 6) AS bm25, round(score, 6) AS score, cards FROM ranked", "ranked"))
+def match_scores(spark, sf):
+    return ranked(spark, sf).select("id", "word_count", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"), "cards")
+
+
+_BEST = "cards DESC, round(score, 9) DESC, round(bm25, 9), word_count, id"
+
+
+@entry(sql(f"SELECT id, full_text, cards, round(score, 6) AS score FROM ranked ORDER BY {_BEST} LIMIT 1", "ranked"))
+def select_task(spark, sf):
+    return Q.select_task(ranked(spark, sf).withColumn("score", F.round("score", 9)).withColumn("bm25", F.round("bm25", 9))).select("id", "full_text", "cards", F.round("score", 6).alias("score"))
+
+
+@entry(sql(f"SELECT id, cards FROM ranked ORDER BY id % 2, {_BEST} LIMIT 1", "ranked"))
+def select_task_soft_avoid(spark, sf):
+    rows = ranked(spark, sf).withColumn("score", F.round("score", 9)).withColumn("bm25", F.round("bm25", 9))
+    return rows.orderBy((F.col("id") % 2).asc(), *Q.best_first()).limit(1).select("id", "cards")
+
+
+@entry(sql("SELECT m.id, m.base, array_to_string(list_sort(list_distinct(list(d.card_id))), ',') AS card_ids FROM matched m JOIN due d ON d.due_key = m.base WHERE m.id IN (SELECT id FROM compat) GROUP BY m.id, m.base", "compat", "matched", "due"))
+def card_maps(spark, sf):
+    sentences, forms, posts, stats, due, expanded = due_side(spark, sf)
+    scored = Q.bm25(posts, stats, Q.terms(Q.weights(expanded, due), 8)).join(sentences.filter("language = 'en'").select("id"), "id", "left_semi")
+    return Q.card_map(Q.matched_keys(Q.compatible(scored, 20), forms, expanded), due).select("id", "base", F.array_join("card_ids", ",").alias("card_ids"))
+
+
+@entry(sql(f"""SELECT id, text, match_key, is_target FROM (SELECT id, text, f, CASE WHEN base IS NULL THEN f ELSE base END AS match_key, base IS NOT NULL AS is_target FROM (
+  SELECT t.*, (SELECT min(e.base) FROM (SELECT base, prefix, unnest(forms) AS form FROM expanded) e WHERE e.form = t.f OR (e.prefix <> '' AND starts_with(t.f, e.prefix))) AS base
+  FROM (SELECT id, text, {p.form('text')} AS f FROM (SELECT id, unnest({p.words('full_text')}) AS text FROM ranked)) t))""", "ranked", "expanded"))
+def token_annotations(spark, sf):
+    sentences, forms, posts, stats, due, expanded = due_side(spark, sf)
+    rows = Q.candidates(sentences, forms, posts, stats, due, expanded, "en", limit=20, min_words=4, max_words=15, per_query=8)
+    return Q.annotate(rows, expanded, due, "en").filter("is_word").select("id", "text", "match_key", "is_target")
+
+
+@entry(sql("SELECT card_id, target_word, definition FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY priority DESC, due_in_days, lower(target_word), due_key) AS turn FROM due) WHERE turn = 1", "due"))
+def target_words(spark, sf):
+    return Q.target_words(due_side(spark, sf)[4]).select("card_id", "target_word", "definition")
+
+
+# ---- review
+
+
+@entry(sql("SELECT card_id, CASE WHEN max(length(match_key) > 5) THEN 1 ELSE 3 END AS ease, array_to_string(list_sort(list_distinct(list(match_key))), ',') AS keys FROM targets GROUP BY card_id", "targets"))
+def answer_plan(spark, sf):
+    t = targets(spark, sf)
+    flat = t.select(F.col("match_key").alias("key"), F.array("card_id").alias("card_ids"))
+    long = F.max(F.length("key") > 5)
+    return P.answer_plan(flat, []).join(flat.select("key", F.explode("card_ids").alias("card_id")).groupBy("card_id").agg(long.alias("long")), "card_id").select("card_id", F.when(F.col("long"), 1).otherwise(F.col("ease")).cast("int").alias("ease"), F.array_join("keys", ",").alias("keys"))
+
+
+@entry(sql('SELECT card_id, factor, ivl, due, queue, type, "left", lapses, reps FROM stepped', "stepped"))
+def schedule_step(spark, sf):
+    return answered(spark, sf).select("card_id", "factor", "ivl", "due", "queue", "type", "left", "lapses", "reps")
+
+
+@entry(sql(f"SELECT {NOW}000 + row_number() OVER (ORDER BY card_id) - 1 AS id, card_id AS cid, CASE WHEN is_unknown THEN 1 ELSE 3 END AS ease, ivl, old_ivl AS last_ivl, log_type AS type FROM stepped", "stepped"))
+def revlog_rows(spark, sf):
+    return P.log_rows(answered(spark, sf), NOW).select("id", "cid", "ease", "ivl", "last_ivl", "type")
+
+
+@entry(sql("SELECT card_id, factor, ivl, due, queue, 0 AS \"left\", type, lapses, reps FROM cards WHERE odid = 0", "cards"))
+def undo_restore(spark, sf):
+    stepped = answered(spark, sf)
+    names = ["card_id", "factor", "ivl", "due", "queue", "left", "type", "lapses", "reps"]
+    now = stepped.select(*[F.col(n).cast("long").alias(n) for n in names])
+    return P.restore(now, P.undo(stepped))
+
+
+def _answers(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select((F.col("user_id") % 40).alias("card_id"), "ts", F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("is_unknown"))
+
+
+@entry("""WITH RECURSIVE a AS (SELECT user_id % 40 AS card_id, event_type = 'error' AS unknown, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS n FROM events WHERE user_id % 40 IN (SELECT item_id FROM benchmark)),
+s AS (SELECT card_id, 0::BIGINT AS n, (card_id % 40)::BIGINT AS ivl, (1300 + (card_id % 17) * 100)::BIGINT AS factor, (card_id % 4)::BIGINT AS lapses, (card_id % 9)::BIGINT AS reps, true AS review FROM (SELECT DISTINCT card_id FROM a)
+UNION ALL SELECT s.card_id, s.n + 1, least(CASE WHEN a.unknown THEN 0 ELSE greatest(greatest(1, s.ivl) + 1, round_even(greatest(1, s.ivl) * greatest(1.3::DOUBLE, greatest(1300, s.factor) / 1000.0::DOUBLE), 0)) END, 9e15)::BIGINT,
+  CASE WHEN a.unknown THEN greatest(1300, s.factor - 200) ELSE s.factor END, s.lapses + CASE WHEN a.unknown AND s.review THEN 1 ELSE 0 END, s.reps + 1, NOT a.unknown FROM s JOIN a ON a.card_id = s.card_id AND a.n = s.n + 1)
+SELECT card_id, n::INTEGER AS n_answers, factor, lapses, reps, review FROM s QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY n DESC) = 1""")
+def schedule_replay(spark, sf):
+    cards = card_table(spark, sf).select("card_id", "ivl", "factor", "lapses", "reps", F.lit(True).alias("review"))
+    return P.replay(cards, _answers(spark, sf)).select("card_id", "n_answers", "factor", "lapses", "reps", "review")
+
+
+@entry(sql("SELECT card_id, 'filtered_deck' AS problem FROM cards WHERE odid <> 0 UNION ALL SELECT 100000 + card_id, 'missing' FROM cards WHERE card_id % 10 = 0", "cards"))
+def answer_guards(spark, sf):
+    cards = card_table(spark, sf)
+    asked = cards.select("card_id").unionByName(cards.filter("card_id % 10 = 0").select((F.col("card_id") + 100000).alias("card_id")))
+    return P.check_answers(asked, cards)
+
+
+# ---- sessions
+
+
+@entry("""SELECT owner, id, row_number() OVER (PARTITION BY owner ORDER BY at, id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY at DESC, id DESC) AS r FROM (
+  SELECT user_id AS owner, CAST(value * 10 AS BIGINT) AS id, max((ts, event_id)) AS at FROM events WHERE event_type = 'view' AND CAST(value * 10 AS BIGINT) > 0 GROUP BY ALL)) WHERE r <= 5""")
+def recent_history(spark, sf):
+    e = table(spark, sf, "events").filter("event_type = 'view'")
+    return E.recent(e.select(F.col("user_id").alias("owner"), F.rint(F.col("value") * 10).cast("long").alias("id"), "ts", F.col("event_id").alias("seq")), 5).withColumn("place", F.col("place").cast("long"))
+
+
+@entry("""SELECT owner, cards, sentences, 'Reviewed ' || cards || ' card' || CASE WHEN cards = 1 THEN '' ELSE 's' END || ' across ' || sentences || ' sentence' || CASE WHEN sentences = 1 THEN '' ELSE 's' END || '. Remembered: ' || cards - forgotten || '. Forgotten: ' || forgotten || '.' AS text
+FROM (SELECT user_id AS owner, sum(event_id % 4 + 1)::BIGINT AS cards, count(*) AS sentences, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS forgotten FROM events GROUP BY user_id)""")
+def session_summary(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("owner"), (F.col("event_id") % 4 + 1).alias("answered"), (F.col("event_type") == "error").cast("long").alias("unknown"))
+    return E.session_summary(e).select("owner", "cards", "sentences", "text")
+
+
+@entry("SELECT count(*) FILTER (c IN (SELECT user_id FROM events WHERE event_type = 'purchase')) AS done, count(*) AS total FROM (SELECT DISTINCT item_id AS c FROM benchmark)")
+def today_progress(spark, sf):
+    seen = table(spark, sf, "events").filter("event_type = 'purchase'").select(F.col("user_id").alias("card_id"))
+    return E.today_progress(seen, table(spark, sf, "benchmark").select(F.col("item_id").alias("card_id")))
+
+
+@entry("SELECT user_id AS owner, event_id % 50 AS id, max(ts) AS saved_at FROM events WHERE event_type = 'click' GROUP BY ALL HAVING count(*) % 2 = 1")
+def favorites_state(spark, sf):
+    e = table(spark, sf, "events").filter("event_type = 'click'")
+    return E.favourites(e.select(F.col("user_id").alias("owner"), (F.col("event_id") % 50).alias("id"), "ts"))
+
+
+@entry("SELECT event_id, sha256('library' || chr(0) || event_id) AS key FROM events")
+def favourite_keys(spark, sf):
+    return table(spark, sf, "events").select("event_id", E.favourite_key(F.lit("library"), F.col("event_id")).alias("key"))
+
+
+# ---- setup
+
+_PROFILES = [(0, "Exact", ["Spanish::Verbs"], "exact", True), (1, "Sub", ["spanish"], "subdeck", True), (2, "Prefix", ["Ger"], "prefix", True), (3, "Contains", ["cab"], "contains", True), (4, "Regex", ["^fr.*h$"], "regex", True), (5, "Off", ["Italian"], "exact", False)]
+_DECKS = ("Spanish::Verbs", "Spanish::Nouns", "Spanish", "German", "My Vocabulary", "French", "Italian", "Spanishx")
+
+
+@entry("SELECT * FROM (VALUES ('Spanish::Verbs','Exact',10014),('Spanish::Nouns','Sub',7007),('Spanish','Sub',10007),('German','Prefix',5003),('My Vocabulary','Contains',1003),('French','Regex',100)) t(deck, profile, score)")
+def profile_match(spark, sf):
+    decks = spark.createDataFrame([(d,) for d in _DECKS], "deck string")
+    return U.match_profiles(decks, spark.createDataFrame(_PROFILES, "place int, profile string, deck_names array<string>, match string, enabled boolean"))
+
+
+def _field_values(spark, sf):
+    """Fields of notes made of documents: German text, English text, and a sound mark."""
+    d = table(spark, sf, "documents")
+    first = lambda lang: d.filter(F.col("lang") == lang).select("doc_id", F.substring("text", 1, 40).alias("value"))
+    named = [first("de").withColumn("field", F.lit("German")), first("en").withColumn("field", F.lit("Meaning")), first("en").withColumn("field", F.lit("Audio")).withColumn("value", F.concat(F.lit("[sound:"), F.col("doc_id"), F.lit(".mp3]")))]
+    return reduce(DataFrame.unionByName, named).select("field", F.col("doc_id").alias("place"), "value")
+
+
+_NOTE_FIELDS = [("German", 0), ("Meaning", 1), ("Audio", 2)]
+
+
+@entry(f"""WITH v AS (SELECT 'German' AS field, doc_id AS place, substr(text, 1, 40) AS value FROM documents WHERE lang = 'de' UNION ALL SELECT 'Meaning', doc_id, substr(text, 1, 40) FROM documents WHERE lang = 'en' UNION ALL SELECT 'Audio', doc_id, '[sound:' || doc_id || '.mp3]' FROM documents WHERE lang = 'en'),
+s AS (SELECT * FROM (SELECT field, place, {p.clean('value')} AS value FROM v) WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY field ORDER BY place) <= 80),
+w AS (SELECT field, unnest(regexp_extract_all(lower(value), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')) AS w FROM s),
+r AS (SELECT field, avg(CASE WHEN w IN ({", ".join(f"'{x}'" for x in U.ENGLISH_WORDS)}) THEN 1.0 ELSE 0.0 END) AS english, avg(CASE WHEN w IN ({", ".join(f"'{x}'" for x in L.PROFILES["de"][2])}) THEN 1.0 ELSE 0.0 END) AS own FROM w GROUP BY field),
+n AS (SELECT field, count(*) AS n FROM s GROUP BY field)
+SELECT r.field, round(CASE r.field WHEN 'German' THEN 190 WHEN 'Meaning' THEN -90 ELSE 0 END + own * 80 - english * 70, 6) AS target, round(CASE r.field WHEN 'Meaning' THEN 150 WHEN 'Audio' THEN -100 ELSE 0 END + 100.0 * n / max(n) OVER () + english * 70, 6) AS translation, CASE r.field WHEN 'Audio' THEN 250.0 ELSE 0.0 END::DOUBLE AS audio FROM r JOIN n USING (field)""")
+def autoconf_scores(spark, sf):
+    fields = spark.createDataFrame(_NOTE_FIELDS, "field string, place int")
+    s = U.field_scores(fields, U.field_samples(_field_values(spark, sf)), "de")
+    return s.select("field", F.round("target", 6).alias("target"), F.round("translation", 6).alias("translation"), "audio")
+
+
+@entry("SELECT 'German' AS target_field, 'Meaning' AS translation_field, 'Audio' AS audio_field")
+def autoconf_fields(spark, sf):
+    fields = spark.createDataFrame(_NOTE_FIELDS, "field string, place int")
+    return U.choose_fields(U.field_scores(fields, U.field_samples(_field_values(spark, sf)), "de"))
+
+
+@entry(sql("""SELECT 'sentences' AS name, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'warning' END AS status, count(*)::VARCHAR AS detail FROM sentences UNION ALL SELECT 'language', CASE WHEN count(*) > 0 THEN 'ok' ELSE 'warning' END, count(*)::VARCHAR FROM sentences WHERE language = 'en'
+UNION ALL SELECT 'translations', 'warning', '0' UNION ALL SELECT 'index', 'ok', count(*)::VARCHAR FROM forms UNION ALL SELECT 'word_forms', CASE WHEN count(*) > 0 THEN 'ok' ELSE 'warning' END, count(*)::VARCHAR FROM word_forms""", "sentences", "forms", "word_forms"))
+def diagnostics(spark, sf):
+    s = library(spark, sf)
+    return U.diagnostics(s, indexed(spark, sf), K.word_forms(s), "en")
