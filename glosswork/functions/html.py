@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The entities that occur in plain text exports; others go through ``unescape_exactly``.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -27,7 +28,7 @@ def unescape(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_exactly(s: pd.Series) -> pd.Series:
     """Every named and numeric entity."""
     return s.map(lambda t: None if t is None else _html.unescape(t))
@@ -92,7 +93,7 @@ class _Visible(HTMLParser):
             self.text.append(data)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def visible_part(s: pd.Series) -> pd.Series:
     """A template without hidden elements; for the few distinct templates there are."""
 

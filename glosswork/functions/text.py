@@ -13,8 +13,9 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from glosswork.functions.languages import PROFILES, language_code
+from glosswork.functions.languages import PROFILES
 
 # A letter is any letter or letter-like number with combining marks after it; words may hold apostrophes and hyphens.
 LETTER = r"[\p{L}\p{Nl}\p{No}][\x{300}-\x{36f}]*"
@@ -80,7 +81,7 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_exactly(s: pd.Series) -> pd.Series:
     """The same for every code point."""
 
@@ -132,8 +133,8 @@ def stem_german(t: Column) -> Column:
 
 def lemma(word_form: Column, language: Column) -> Column:
     """The stem of a normal form, where the language has stems."""
-    code = language_code(language)
-    return F.when(code == "en", stem_english(word_form)).when(code == "de", stem_german(word_form)).otherwise(word_form)
+    of = lambda names: F.coalesce(F.lower(language), F.lit("")).rlike(rf"^\s*({names})\s*([-_].*)?$")  # noqa: E731  the code without its region; none is English
+    return F.when(of("en|eng|"), stem_english(word_form)).when(of("de|deu"), stem_german(word_form)).otherwise(word_form)
 
 
 def matching_key(word: Column, language: Column, mode: str = "exact_form") -> Column:
@@ -149,8 +150,9 @@ def count_words(text: Column, language: Column) -> Column:
 
 def plain_form(word: str) -> str:
     """``form`` for a word of the settings."""
-    d = unicodedata.normalize("NFKD", word.casefold().replace("’", "'"))
-    return "".join(c for c in d if c.isalpha())
+    d = unicodedata.normalize("NFKD", word.casefold())
+    kept = "".join(c for c in d if not unicodedata.combining(c) or ord(c) in (0x3099, 0x309A))
+    return "".join(c for c in unicodedata.normalize("NFC", kept) if c.isalpha())
 
 
 def plain_lemma(form_: str, code: str) -> str:

@@ -164,8 +164,6 @@ def due_targets(judged: DataFrame, today: int, language: str, mode: str = "exact
     )
 
 
-DUE_ORDER = (F.desc, "priority"), (F.asc, "due_in_days"), (F.asc, "card_id"), (F.asc, "match_key")
-
 
 def limit_cards(targets: DataFrame, n: int) -> DataFrame:
     """All rows of the first ``n`` distinct cards in due order: priority, then days, then id."""
