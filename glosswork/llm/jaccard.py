@@ -10,7 +10,7 @@ just under the boundary are in both, so pairs across it are met. The boundary is
 enumerating writes no more keys than listing and shipping would.
 
 Rarity is a count sketch of fixed size over all sets, so passages that many documents share come last in each set's
-order and make no long lists. A list ties its sets only along sizes that can link. The components of these ties are
+order and make no long lists. A list ties two sets only if the overlap they need could still follow in their orders. The components of these ties are
 checked exactly: a component's sets meet whole, in blocks of bounded size, every pair of blocks once, and a product of
 the incidence matrix gives all overlaps of a block at once. What leaves a task is a forest of verified links, never
 pairs of a group. Components of these links give the result.
@@ -40,13 +40,13 @@ from glosswork.llm.hashing import blocks, mix, sequences, utf8, words
 
 WORDS, PERCENT = 5, 75
 #: Bytes of the count sketch and of the membership sketch, whatever the size of the data.
-CELLS, BITS = 1 << 24, 1 << 22
+CELLS, BITS = 1 << 26, 1 << 22
 #: Sets in a block of a component that is checked in parts.
-BLOCK = 64
+BLOCK = 256
 #: Kinds of lists: by prefix; by a subset for partners of the same size; by a subset for two different sizes.
 HEAVY, EQUAL, CROSS = 0, 1, 2
 #: Postings for a bucket of inverted lists, about.
-PER_BUCKET = 400_000
+PER_BUCKET = 1_000_000
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -64,6 +64,11 @@ def partners(n: int, percent: int) -> tuple[int, ...]:
     return tuple(m for m in range(-(-percent * n // 100), 100 * n // percent + 1) if m and fits(n, m, percent))
 
 
+def reach(n: int, at: np.ndarray, percent: int) -> np.ndarray:
+    """Largest partner with which a set can link if the first shingle they share is at place ``at`` of its order."""
+    return (100 + percent) * (n - at) // percent - n
+
+
 def prefix(n: int, percent: int) -> int:
     """Shingles of the order of which any partner holds one."""
     return n - -(-percent * n // 100) + 1
@@ -130,7 +135,7 @@ def _signer(k: int, size: int):
 def _lister(k: int, percent: int, shared_cells, buckets: int):
     """Postings (key, name, n, kind) dealt into buckets, in arrays."""
     small = boundary(percent)
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.list_(pa.int64())), ("names", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("kinds", pa.list_(pa.int8()))])
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.list_(pa.int64())), ("names", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("reaches", pa.list_(pa.int32())), ("kinds", pa.list_(pa.int8()))])
 
     def subsets(s: np.ndarray, n: int, equal: bool) -> np.ndarray:
         """Keys for partners of equal size, or of the other sizes up to the boundary."""
@@ -140,11 +145,19 @@ def _lister(k: int, percent: int, shared_cells, buckets: int):
                 out += [hash((min(n, m), max(n, m), *x)) & 0xFFFFFFFFFFFFFFFF for x in combinations(values, least_overlap(n, m, percent))]
         return np.array(out, np.uint64)
 
+    def dealt(parts: list) -> pa.RecordBatch:
+        keys, names, sizes, reaches, kinds = map(np.concatenate, zip(*parts))
+        keys = mix(keys + kinds.astype(np.uint64))
+        at = (keys >> np.uint64(40)).astype(np.int64) % buckets
+        order = np.argsort(at, kind="stable")
+        cuts = np.searchsorted(at[order], np.arange(buckets + 1)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x[order])) for x in (keys.view(np.int64), names, sizes, reaches, kinds)]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), *lists], schema=schema).filter(pa.array(np.diff(cuts) > 0))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, seen = shared_cells.value, set()
+        cells, seen, parts, held = shared_cells.value, set(), [], 0
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            keys, names, sizes, kinds = [], [], [], []
             for a, b in blocks(offsets):
                 for s in sets_of(data, offsets[a : b + 1], k):
                     n = len(s)
@@ -154,48 +167,71 @@ def _lister(k: int, percent: int, shared_cells, buckets: int):
                     seen.add(name)
                     own = []
                     if n <= small:
-                        own += [(subsets(s, n, True), EQUAL), (subsets(s, n, False), CROSS)]
+                        own += [(x, np.zeros(len(x), np.int64), kind) for kind in (EQUAL, CROSS) for x in [subsets(s, n, kind == EQUAL)]]
                     if n > small or max(partners(n, percent)) > small:
                         p = prefix(n, percent)
-                        rank = cells[sketch.cell(s, len(cells))]
-                        own.append((s[np.lexsort((s, rank))[:p]], HEAVY))
-                    for x, kind in own:
-                        keys.append(x)
-                        names.append(np.full(len(x), name, np.int64))
-                        sizes.append(np.full(len(x), n, np.int32))
-                        kinds.append(np.full(len(x), kind, np.int8))
-            if not keys:
-                continue
-            keys, names, sizes, kinds = map(np.concatenate, (keys, names, sizes, kinds))
-            keys = mix(keys + kinds.astype(np.uint64))
-            at = (keys >> np.uint64(40)).astype(np.int64) % buckets
-            order = np.lexsort((keys, at))
-            cuts = np.searchsorted(at[order], np.arange(buckets + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x[order])) for x in (keys.view(np.int64), names, sizes, kinds)]
-            made = pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), *lists], schema=schema)
-            yield made.filter(pa.array(np.diff(cuts) > 0))
+                        rank = sketch.look(cells, s)
+                        own.append((s[np.lexsort((s, rank))[:p]], reach(n, np.arange(p), percent), HEAVY))
+                    for x, far, kind in own:
+                        m = len(x)
+                        parts.append((x, np.full(m, name, np.int64), np.full(m, n, np.int32), far.astype(np.int32), np.full(m, kind, np.int8)))
+                        held += m
+                if held >= 500_000:
+                    yield dealt(parts)
+                    parts, held = [], 0
+        if held:
+            yield dealt(parts)
 
     return run
 
 
+def _prefix_ties(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray, reaches: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
+    """Ties that join, in each list, the sets of every pair in which both can reach the other's size.
+
+    Lists are in order of size. Each set ties to the nearest earlier one with which it is such a pair. That joins what
+    all pairs would: of a pair's later set and the one it tied to, the earlier set of the pair reaches both.
+    """
+    at = np.flatnonzero(heavy)
+    keys, names, sizes, reaches = keys[at], names[at], sizes[at], reaches[at]
+    if not len(keys):
+        return np.empty((2, 0), np.int64)
+    up = reaches >= sizes  # the smaller of two sets reaches the larger one, and so its own size
+    y = np.arange(len(keys))
+    earlier = np.concatenate([[-1], np.maximum.accumulate(np.where(up, y, -1))[:-1]])
+    x, ties = y, []
+    while len(x):
+        x = earlier[x]
+        ok = (x >= 0) & (keys[x] == keys[y]) & (100 * sizes[x] >= percent * sizes[y])
+        x, y = x[ok], y[ok]
+        fine = (reaches[x] >= sizes[y]) & (reaches[y] >= sizes[x]) & (names[x] != names[y])
+        ties.append((x[fine], y[fine]))
+        x, y = x[~fine], y[~fine]
+    a, b = (np.concatenate(z) for z in zip(*ties))
+    return np.stack([names[a], names[b]])
+
+
 def _scanner(percent: int):
     """Scans a bucket's lists: ties (a, b, light) as forests; light ones are links."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("light", pa.bool_())])
 
     def ties(parts: list) -> Iterator[pa.RecordBatch]:
-        keys, names, sizes, kinds = (np.concatenate(x) for x in zip(*parts))
+        keys, names, sizes, reaches, kinds = (np.concatenate(x) for x in zip(*parts))
         if not len(keys):
             return
         order = np.lexsort((names, sizes, keys))
-        keys, names, sizes, kinds = keys[order], names[order], sizes[order].astype(np.int64), kinds[order]
+        keys, names, sizes, reaches, kinds = keys[order], names[order], sizes[order].astype(np.int64), reaches[order], kinds[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         both = np.repeat(np.maximum.reduceat(sizes, first) > np.minimum.reduceat(sizes, first), np.diff(np.append(first, len(keys))))
         # in a list for two sizes, every set of one links with every set of the other
-        tied = np.choose(kinds[1:], [100 * sizes[:-1] >= percent * sizes[1:], np.ones(len(keys) - 1, bool), both[1:]])
+        tied = np.choose(kinds[1:], [np.zeros(len(keys) - 1, bool), np.ones(len(keys) - 1, bool), both[1:]])
         near = (keys[1:] == keys[:-1]) & (names[1:] != names[:-1]) & tied
         for kind in (False, True):
-            at = np.flatnonzero(near & ((kinds[1:] != HEAVY) == kind))
-            pair = np.unique(np.stack([names[at], names[at + 1]]), axis=1)
+            if kind:
+                at = np.flatnonzero(near)
+                pair = np.stack([names[at], names[at + 1]])
+            else:
+                pair = _prefix_ties(keys, names, sizes, reaches, kinds == HEAVY, percent)
+            pair = np.unique(pair, axis=1)
             got = forest(pair[0].tolist(), pair[1].tolist())
             if got:
                 a, b = zip(*got)
@@ -209,35 +245,42 @@ def _scanner(percent: int):
                     yield from ties(parts)
                     parts = []
                 now = bucket
-                parts.append(tuple(batch.column(j)[i].values.to_numpy(zero_copy_only=False) for j in range(1, 5)))
+                parts.append(tuple(batch.column(j)[i].values.to_numpy(zero_copy_only=False) for j in range(1, 6)))
         if parts:
             yield from ties(parts)
 
     return run
 
 
-def _shipper(k: int, shared_bits):
-    """(name, data) of the sets that the membership sketch holds, once a task."""
-    schema = pa.schema([("name", pa.int64()), ("data", pa.binary())])
+def _shipper(k: int, shared_cells, shared_bits):
+    """(name, n, data) of the sets that the membership sketch holds, once a task; 48 bits of each hash.
+
+    A shingle whose cell counts one is in no other set, so no overlap has it: it is left out of data, not of n.
+    """
+    schema = pa.schema([("name", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared_bits.value, set()
+        cells, bits, seen = shared_cells.value, shared_bits.value, set()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in blocks(offsets):
                 sets = sets_of(data, offsets[a : b + 1], k)
                 names = np.array([name_of(s) for s in sets], np.int64)
-                out = [(x, s.tobytes()) for x, s, ok in zip(names.tolist(), sets, sketch.marked(bits, mix(names.view(np.uint64)))) if ok and len(s) and not (x in seen or seen.add(x))]
+                out = [(x, len(s), s[sketch.look(cells, s) > 0].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for x, s, ok in zip(names.tolist(), sets, sketch.marked(bits, sketch.spread(names.view(np.uint64)))) if ok and len(s) and not (x in seen or seen.add(x))]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return run
 
 
-def linked(sets: list[np.ndarray], percent: int, most: int = 1 << 24) -> list[tuple[int, int]]:
-    """Pairs (i, j) of sets that link, by products of their incidence matrix with shingles that at least two hold."""
-    n = np.array([len(s) for s in sets], np.int64)
-    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+def linked(sets: list[np.ndarray], n: np.ndarray, percent: int, most: int = 1 << 22) -> list[tuple[int, int]]:
+    """Pairs (i, j) of sets that link, by products of their incidence matrix with shingles that at least two hold.
+
+    ``n``: the sets' sizes; ``sets`` may lack shingles that no other set holds.
+    """
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    if not len(flat):
+        return []
     order = np.argsort(flat, kind="stable")
     flat, of = flat[order], of[order]
     new = np.append(True, flat[1:] != flat[:-1])
@@ -260,40 +303,44 @@ def _checker(percent: int):
     """Verified links of each group of sets, as a forest."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def links(names: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        got = linked(sets, percent) if len(sets) > 1 else []
+    def links(names: list[int], sizes: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        got = linked(sets, np.array(sizes, np.int64), percent) if len(sets) > 1 else []
         if got:
             a, b = zip(*forest((names[i] for i, _ in got), (names[j] for _, j in got)))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, sets = None, [], []
+        now, names, sizes, sets = None, [], [], []
         for batch in batches:
-            for group, name, data in zip(zip(*(batch.column(i).to_pylist() for i in range(3))), batch.column(3).to_pylist(), batch.column(4)):
+            for group, name, n, data in zip(zip(*(batch.column(i).to_pylist() for i in range(3))), *(batch.column(i).to_pylist() for i in (3, 4)), batch.column(5)):
                 if group != now and sets:
-                    yield from links(names, sets)
-                    names, sets = [], []
+                    yield from links(names, sizes, sets)
+                    names, sizes, sets = [], [], []
                 now = group
+                if names and names[-1] == name:
+                    continue  # several tasks met copies of this set
+                six = np.frombuffer(data.as_py(), np.uint8).reshape(-1, 6)
                 names.append(name)
-                sets.append(np.frombuffer(data.as_py(), np.uint64))
+                sizes.append(n)
+                sets.append(np.pad(six, ((0, 0), (0, 2))).view(np.uint64).ravel())
         if sets:
-            yield from links(names, sets)
+            yield from links(names, sizes, sets)
 
     return run
 
 
 def grouped(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
     """doc_id, text_hash, n_shingles, root, component_id of every row; root names a component, null without shingles."""
-    spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
+    folder = shared_folder(docs.sparkSession)
     texts = documents(docs)
     hashed = texts.withColumn("text_hash", F.xxhash64("text"))
     signed = stored(hashed.mapInArrow(_signer(k, cells), "doc_id long, text_hash long, n long, name long, block int, data binary"), folder, "signed")
     rows = signed.filter("block is null").select("doc_id", "text_hash", "n", "name")
-    counts = spark.sparkContext.broadcast(sketch.gathered(signed.filter("block is not null").select("block", "data"), cells, True))
+    counts = sketch.gathered(signed.filter("block is not null").select("block", "data"), cells, True, folder, "counts")
 
     held = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(16, -(-held * (100 - percent) // 100 // PER_BUCKET))
-    lists = texts.mapInArrow(_lister(k, percent, counts, buckets), "bucket int, keys array<long>, names array<long>, sizes array<int>, kinds array<tinyint>")
+    lists = texts.mapInArrow(_lister(k, percent, counts, buckets), "bucket int, keys array<long>, names array<long>, sizes array<int>, reaches array<int>, kinds array<tinyint>")
     dealt = lists.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     ties = stored(dealt.mapInArrow(_scanner(percent), "a long, b long, light boolean"), folder, "ties")
 
@@ -301,12 +348,12 @@ def grouped(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, cells: int
     sizes = maybe.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     parts = F.expr(f"cast(ceil(size / {block}) as int)")
     own = maybe.join(sizes, "root").select(F.col("node").alias("name"), "root", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    bits = spark.sparkContext.broadcast(sketch.members(maybe.select(F.col("node")).mapInArrow(_mixed, "node long"), BITS))
-    whole = texts.mapInArrow(_shipper(k, bits), "name long, data binary").groupBy("name").agg(F.min("data").alias("data"))
+    bits = sketch.members(maybe.select("node"), BITS, folder, "members")
+    whole = texts.mapInArrow(_shipper(k, counts, bits), "name long, n long, data binary")
     # every two blocks of a component meet in one group; a component of one block is one group
     other = F.explode(F.expr("if(parts = 1, array(0), filter(sequence(0, parts - 1), x -> x <> part))")).alias("other")
-    met = own.join(whole, "name").select("root", "name", "data", "part", other)
-    met = met.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "name", "data")
+    met = own.join(whole, "name").select("root", "name", "n", "data", "part", other)
+    met = met.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "name", "n", "data")
     groups = met.repartition(max(16, buckets), "root", "i", "j").sortWithinPartitions("root", "i", "j", "name")
     verified = stored(groups.mapInArrow(_checker(percent), "a long, b long"), folder, "verified")
 
@@ -324,12 +371,6 @@ def join(docs: DataFrame, **how) -> DataFrame:
     return grouped(docs, **how).select("doc_id", "n_shingles", "component_id")
 
 
-def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hashes under which names are in the membership sketch."""
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(mix(b.column(0).to_numpy().view(np.uint64)).view(np.int64))], names=["node"])
-
-
 def keep_first(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest id (null ids last), then of the smallest text hash.
 

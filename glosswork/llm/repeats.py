@@ -33,8 +33,8 @@ from glosswork.llm.common import documents, shared_folder, stored, table
 from glosswork.llm.hashing import blocks, mix, sequences, utf8, words
 
 LEAST, K = 50, 10
-#: Bytes of the count sketch, texts for a group of a frequent suffix, and suffixes for a bucket.
-CELLS, GROUP, PER_BUCKET = 1 << 25, 256, 20_000
+#: Bytes of the count sketch, and where a key's two cells come from; texts for a group of a frequent suffix, and suffixes for a bucket.
+CELLS, SHIFTS, GROUP, PER_BUCKET = 1 << 25, (5, 33), 256, 20_000
 
 
 def minimisers(h: np.ndarray, counts: np.ndarray, least: int, k: int):
@@ -84,7 +84,7 @@ def _surveyor(least: int, k: int, size: int):
                 kept = np.bincount(text[use], minlength=b - a)
                 if use.any():
                     cells = np.zeros(size, np.uint8) if cells is None else cells
-                    sketch.add(cells, _once(text[use], key[use]))
+                    sketch.add(cells, _once(text[use], key[use]), SHIFTS)
                 none = pa.nulls(b - a)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(hashes, pa.int64()), pa.array(counts), pa.array(kept.astype(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())], schema=_SEEN)
         if cells is not None:
@@ -118,7 +118,7 @@ def _dealer(least: int, k: int, shared_cells, buckets: int):
                 text, place, first, last, key = minimisers(h, counts, least, k)
                 if not len(text):
                     continue
-                logs = cells[sketch.cell(key, len(cells))]
+                logs = sketch.look(cells, key, SHIFTS)
                 use = np.flatnonzero((logs >= 4) & new[text])  # two texts or more
                 text, place, first, last, key, logs = (x[use] for x in (text, place, first, last, key, logs))
                 salts = np.maximum(1, (2.0 ** (logs / 4) / GROUP).astype(np.uint64))
@@ -215,7 +215,7 @@ def _matcher(least: int, k: int):
         # whole groups at a time
         chunks = [0]
         for c in [*cuts[1:].tolist(), len(key)]:
-            if c - chunks[-1] >= 20_000 or c == len(key):
+            if c - chunks[-1] >= 8_000 or c == len(key):
                 chunks.append(c)
         for a, b in zip(chunks[:-1], chunks[1:]):
             s = slice(a, b)
@@ -254,11 +254,11 @@ def _matcher(least: int, k: int):
 
 def repeated(docs: DataFrame, least: int = LEAST, k: int = K, cells: int = CELLS) -> DataFrame:
     """doc_id, start_word, end_word (exclusive) of every passage that another document has too, and the document's n_words."""
-    spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
+    folder = shared_folder(docs.sparkSession)
     texts = documents(docs)
     seen = stored(texts.mapInArrow(_surveyor(least, k, cells), "doc_id long, text_hash long, n_words long, kept long, block int, data binary"), folder, "seen")
     rows = seen.filter("block is null").select("doc_id", "text_hash", "n_words", "kept")
-    counts = spark.sparkContext.broadcast(sketch.gathered(seen.filter("block is not null").select("block", "data"), cells, True))
+    counts = sketch.gathered(seen.filter("block is not null").select("block", "data"), cells, True, folder, "counts")
     buckets = max(16, -(-rows.agg(F.coalesce(F.sum("kept"), F.lit(0))).first()[0] // PER_BUCKET))
     dealt = texts.mapInArrow(_dealer(least, k, counts, buckets), "bucket int, keys array<long>, texts array<long>, places array<int>, firsts array<int>, lasts array<int>, salted array<boolean>, around binary")
     sorted_ = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")

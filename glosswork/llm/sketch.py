@@ -1,58 +1,93 @@
-"""Fixed-size sketches over all rows: counts by hashed cell, and membership. Their size doesn't grow with the data."""
+"""Fixed-size sketches over all rows: counts by hashed cell, and membership. Their size doesn't grow with the data.
+
+Every task adds up a sketch of its own before the shuffle, so a size that followed the data would make their sum grow
+with its square. Past what a sketch can tell apart, what relies on it does more work for the same result.
+"""
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BLOCK = 1 << 18
-
+from glosswork.llm.common import stored
+from glosswork.llm.hashing import mix
 
+BLOCK = 1 << 18
 def pack(cells: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Compressed blocks of an array of bytes."""
     for i in range(0, len(cells), BLOCK):
+        if not cells[i : i + BLOCK].any():
+            continue
         yield i // BLOCK, zlib.compress(cells[i : i + BLOCK].tobytes(), 1)
 
 
-def _sum(parts: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(BLOCK, np.uint32)
-    for d in parts["data"]:
-        x = np.frombuffer(zlib.decompress(d), np.uint8)
-        total[: len(x)] += x
-    logs = np.floor(4 * np.log2(np.maximum(total, 1))).astype(np.uint8)
-    return pd.DataFrame({"block": [parts["block"].iloc[0]], "data": [zlib.compress(logs[: len(x)].tobytes(), 1)]})
+def _merged(counts: bool):
+    def run(parts: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK, np.uint32 if counts else np.uint8)
+        for d in parts["data"]:
+            x = np.frombuffer(zlib.decompress(d.as_py()), np.uint8)
+            total[: len(x)] = total[: len(x)] + x if counts else total[: len(x)] | x
+        out = np.floor(4 * np.log2(np.maximum(total, 1))).astype(np.uint8) if counts else total
+        return pa.table({"block": parts["block"][:1].cast(pa.int32()), "data": pa.array([zlib.compress(out[: len(x)].tobytes(), 1)], pa.binary())})
+
+    return run
+
+
+class Kept:
+    """A sketch in shared storage; ``value`` is read once in each worker process, and never passes the driver."""
+
+    def __init__(self, path: str, size: int):
+        self.path, self.size = path, size
 
+    @property
+    def value(self) -> np.ndarray:
+        return _read(self.path, self.size)
 
-def _any(parts: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(BLOCK, np.uint8)
-    for d in parts["data"]:
-        x = np.frombuffer(zlib.decompress(d), np.uint8)
-        total[: len(x)] |= x
-    return pd.DataFrame({"block": [parts["block"].iloc[0]], "data": [zlib.compress(total[: len(x)].tobytes(), 1)]})
 
+@lru_cache(maxsize=2)
+def _read(path: str, size: int) -> np.ndarray:
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSelector, FileSystem
 
-def gathered(blocks: DataFrame, size: int, counts: bool) -> np.ndarray:
-    """The whole sketch from its (block, data) parts: 4 * log2 of added counts, or bytes or-ed. ``size`` bytes on the driver."""
+    fs, top = FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"file://{path}")
     out = np.zeros(size, np.uint8)
-    for r in blocks.groupBy("block").applyInPandas(_sum if counts else _any, "block int, data binary").collect():
-        x = np.frombuffer(zlib.decompress(r.data), np.uint8)
-        out[r.block * BLOCK : r.block * BLOCK + len(x)] = x
+    for f in fs.get_file_info(FileSelector(top)):
+        if f.base_name.endswith(".parquet"):
+            for batch in pq.ParquetFile(fs.open_input_file(f.path)).iter_batches(16):
+                for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    x = np.frombuffer(zlib.decompress(data.as_py()), np.uint8)
+                    out[block * BLOCK : block * BLOCK + len(x)] = x
     return out
 
 
-def add(cells: np.ndarray, hashes: np.ndarray) -> None:
-    """Counts hashes into bytes that stop at 255."""
-    at, n = np.unique(cell(hashes, len(cells)), return_counts=True)
-    cells[at] = np.minimum(cells[at] + np.minimum(n, 255).astype(np.uint16), 255).astype(np.uint8)
+def gathered(blocks: DataFrame, size: int, counts: bool, folder: str, name: str) -> Kept:
+    """The whole sketch from its (block, data) parts: 4 * log2 of added counts, or bytes or-ed."""
+    stored(blocks.groupBy("block").applyInArrow(_merged(counts), "block int, data binary"), folder, name)
+    return Kept(f"{folder}/{name}", size)
 
 
-def cell(hashes: np.ndarray, size: int) -> np.ndarray:
-    return (hashes >> np.uint64(20)).astype(np.int64) & (size - 1)
+def add(cells: np.ndarray, hashes: np.ndarray, shifts: tuple[int, ...] = (20,)) -> None:
+    """Counts hashes into bytes that stop at 255, in one cell for each of ``shifts``."""
+    for shift in shifts:
+        at, n = np.unique(_cell(hashes, len(cells), shift), return_counts=True)
+        cells[at] = np.minimum(cells[at] + np.minimum(n, 255).astype(np.uint16), 255).astype(np.uint8)
+
+
+def look(cells: np.ndarray, hashes: np.ndarray, shifts: tuple[int, ...] = (20,)) -> np.ndarray:
+    """The least of a hash's cells: never under what was counted for it."""
+    out = cells[_cell(hashes, len(cells), shifts[0])]
+    for shift in shifts[1:]:
+        out = np.minimum(out, cells[_cell(hashes, len(cells), shift)])
+    return out
+
+
+def _cell(hashes: np.ndarray, size: int, shift: int) -> np.ndarray:
+    return (hashes >> np.uint64(shift)).astype(np.int64) & (size - 1)
 
 
 def mark(bits: np.ndarray, hashes: np.ndarray) -> None:
@@ -70,17 +105,22 @@ def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ok
 
 
-def members(hashes: DataFrame, size: int) -> np.ndarray:
+def spread(hashes: np.ndarray) -> np.ndarray:
+    """Any 64-bit names as hashes for ``mark`` and ``marked``."""
+    return mix(hashes)
+
+
+def members(hashes: DataFrame, size: int, folder: str, name: str) -> Kept:
     """The membership sketch of a single long column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, np.uint8)
         some = False
         for b in batches:
-            mark(bits, b.column(0).to_numpy().view(np.uint64))
+            mark(bits, spread(b.column(0).to_numpy().view(np.uint64)))
             some = some or len(b) > 0
         if some:
             for i, data in pack(bits):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([data], pa.binary())], names=["block", "data"])
 
-    return gathered(hashes.mapInArrow(run, "block int, data binary"), size, False)
+    return gathered(hashes.mapInArrow(run, "block int, data binary"), size, False, folder, name)

@@ -103,7 +103,7 @@ def test_linked_equals_counting():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 30, 20)).astype(np.uint64) for _ in range(60)]
     want = [(i, j) for i in range(60) for j in range(i + 1, 60) for o in [len(np.intersect1d(sets[i], sets[j]))] if o and 100 * o >= 60 * (len(sets[i]) + len(sets[j]) - o)]
-    assert sorted(linked(sets, 60, most=600)) == want
+    assert sorted(linked(sets, np.array([len(s) for s in sets]), 60, most=600)) == want
 
 
 def test_components(spark):
