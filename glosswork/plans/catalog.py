@@ -45,6 +45,19 @@ def oracle_sql() -> dict[str, str]:
 # ---- shared inputs
 
 
+def kept(f):
+    """One plan for each application and folder, so that what is persisted is found at once."""
+    held: dict = {}
+
+    def get(spark: SparkSession, sf: str):
+        key = (spark.sparkContext.applicationId, sf)
+        if key not in held:
+            held[key] = f(spark, sf)
+        return held[key]
+
+    return get
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -57,11 +70,15 @@ def judged(spark, sf):
     return I.judge(raw(spark, sf))
 
 
+@kept
 def library(spark, sf):
     """Accepted sentences, kept: a library is built once and asked often."""
+    # each stage that ends has the plan printed for its listeners, kept tables included; this bounds the text
+    spark.conf.set("spark.sql.maxPlanStringLength", "16384")
     return I.accepted(judged(spark, sf)).persist()
 
 
+@kept
 def indexed(spark, sf):
     return K.sentence_forms(library(spark, sf)).persist()
 
@@ -85,15 +102,18 @@ def judged_cards(spark, sf):
     return C.judge_cards(card_table(spark, sf), TODAY, future_days=10, note_types=("Basic",), max_new=3)
 
 
+@kept
 def targets(spark, sf):
     return C.due_targets(judged_cards(spark, sf), TODAY, "en").persist()
 
 
+@kept
 def word_pairs(spark, sf):
     forms = K.postings(indexed(spark, sf)).select("form", "language").distinct()
     return forms.select("form", T.lemma(F.col("form"), F.col("language")).alias("base")).distinct().persist()
 
 
+@kept
 def due_side(spark, sf):
     """Sentences, forms, postings, statistics, due targets with keys, expansions. The due side is small and kept."""
     sentences, forms = library(spark, sf), indexed(spark, sf)
