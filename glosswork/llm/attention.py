@@ -66,66 +66,64 @@ class Model:
         owner[np.cumsum(own) - own] = -1
         return inputs.reshape(-1, s), targets.reshape(-1, s), owner
 
-    def train(self, ids: np.ndarray, counts: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> "Model":
-        """Fits the layer to the texts whose ``ids`` are given in a row, by Adam on random windows."""
-        d, s = self.dim, self.block
-        known, often = np.unique(np.append(ids, self.size - 1), return_counts=True)
-        known = known[often >= 3]
+    def begin(self, known: np.ndarray) -> "Model":
+        """Draws embeddings for the ``known`` ids; row 0 stands for every other id, the last one for what is not there."""
         self.place[:] = 0
         self.place[known] = np.arange(1, len(known) + 1)
         self.place[self.size] = len(known) + 1
-        p = self.p
-        p["emb"] = self.draw(len(known) + 2, d) * np.float32(np.sqrt(len(known) + 2))
+        self.p["emb"] = self.draw(len(known) + 2, self.dim) * np.float32(np.sqrt(len(known) + 2))
+        return self
+
+    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients for windows ``x`` of embedding rows and targets ``y``; that of the embeddings is for the rows given besides."""
+        p, d, s = self.p, self.dim, self.block
+        scale = np.float32(1 / np.sqrt(d))
+        e = p["emb"][x]
+        eq, here = e[:, s:], x != len(p["emb"]) - 1
+        q, k, val = eq @ p["q"], e @ p["k"], e @ p["v"]
+        a = (q @ k.transpose(0, 2, 1)) * scale + p["r"][self.gap]
+        a[:, self.late] = -1e4
+        a = np.where(here[:, None, :], a, np.float32(-1e4))
+        a = np.exp(a - a.max(-1, keepdims=True))
+        a /= a.sum(-1, keepdims=True)
+        o = a @ val
+        logits = o @ p["o"] + eq @ p["e"] + p["b"]
+        logits -= logits.max(-1, keepdims=True)
+        dl = np.exp(logits)
+        dl /= dl.sum(-1, keepdims=True)
+        real = y >= 0
+        w, i = np.nonzero(real)
+        dl[w, i, self.class_of[y[w, i]]] -= 1
+        dl *= real[..., None] / np.float32(max(1, real.sum()))
+        flat = lambda z: z.reshape(-1, z.shape[-1])
+        g = {"o": flat(o).T @ flat(dl), "e": flat(eq).T @ flat(dl), "b": flat(dl).sum(0)}
+        do = dl @ p["o"].T
+        deq = dl @ p["e"].T
+        dval = a.transpose(0, 2, 1) @ do
+        da = do @ val.transpose(0, 2, 1)
+        ds = a * (da - (a * da).sum(-1, keepdims=True))
+        g["r"] = np.bincount(self.gap.ravel(), ds.sum(0).ravel() * ~self.late.ravel(), 2 * s).astype(np.float32)
+        ds *= scale
+        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        g["q"], g["k"], g["v"] = flat(eq).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dval)
+        de = dk @ p["k"].T + dval @ p["v"].T
+        de[:, s:] += deq + dq @ p["q"].T
+        rows, at = np.unique(x, return_inverse=True)
+        order = np.argsort(at.ravel(), kind="stable")
+        starts = np.searchsorted(at.ravel()[order], np.arange(len(rows)))
+        g["emb"] = np.add.reduceat(flat(de)[order], starts, 0)
+        return g, rows
+
+    def train(self, ids: np.ndarray, counts: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> "Model":
+        """Fits the layer to the texts whose ``ids`` are given in a row, by Adam on random windows."""
+        known, often = np.unique(np.append(ids, self.size - 1), return_counts=True)
+        self.begin(known[often >= 3])
         inputs, targets, owner = self.blocks(ids, counts)
         usable, inputs = np.flatnonzero(owner >= 0), self.place[inputs]
-        if not len(usable):
-            return self.freeze()
-        pad = len(known) + 1
-        rng = np.random.default_rng(seed)
-        m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-        scale = np.float32(1 / np.sqrt(d))
-        for step in range(1, steps + 1):
+        rng, learner = np.random.default_rng(seed), Learner(self)
+        for step in range(1, steps + 1) if len(usable) else ():
             at = rng.choice(usable, batch)
-            x = np.concatenate([inputs[at - 1], inputs[at]], 1)
-            y = targets[at]
-            e = p["emb"][x]
-            eq, here = e[:, s:], x != pad
-            q, k, val = eq @ p["q"], e @ p["k"], e @ p["v"]
-            a = (q @ k.transpose(0, 2, 1)) * scale + p["r"][self.gap]
-            a[:, self.late] = -1e4
-            a = np.where(here[:, None, :], a, -1e4)
-            a = np.exp(a - a.max(-1, keepdims=True))
-            a /= a.sum(-1, keepdims=True)
-            o = a @ val
-            logits = o @ p["o"] + eq @ p["e"] + p["b"]
-            logits -= logits.max(-1, keepdims=True)
-            pr = np.exp(logits)
-            pr /= pr.sum(-1, keepdims=True)
-            real = y >= 0
-            dl = pr
-            w, i = np.nonzero(real)
-            dl[w, i, self.class_of[y[w, i]]] -= 1
-            dl *= real[..., None] / np.float32(max(1, real.sum()))
-            flat = lambda z: z.reshape(-1, z.shape[-1])
-            g = {"o": flat(o).T @ flat(dl), "e": flat(eq).T @ flat(dl), "b": flat(dl).sum(0)}
-            do = dl @ p["o"].T
-            deq = dl @ p["e"].T
-            dval = a.transpose(0, 2, 1) @ do
-            da = do @ val.transpose(0, 2, 1)
-            ds = a * (da - (a * da).sum(-1, keepdims=True))
-            g["r"] = np.bincount(self.gap.ravel(), ds.sum(0).ravel() * ~self.late.ravel(), 2 * s).astype(np.float32)
-            ds *= scale
-            dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-            g["q"], g["k"], g["v"] = flat(eq).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dval)
-            de = dk @ p["k"].T + dval @ p["v"].T
-            de[:, s:] += deq + dq @ p["q"].T
-            g["emb"] = np.zeros_like(p["emb"])
-            np.add.at(g["emb"], x.ravel(), flat(de))
-            now = rate * min(1.0, 3 * (1 - step / (steps + 1)))
-            for n in p:
-                m[n] = 0.9 * m[n] + 0.1 * g[n]
-                v[n] = 0.99 * v[n] + 0.01 * g[n] ** 2
-                p[n] -= (now * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            learner.step(np.concatenate([inputs[at - 1], inputs[at]], 1), targets[at], rate * min(1.0, 3 * (1 - step / (steps + 1))))
         return self.freeze()
 
     def freeze(self) -> "Model":
@@ -172,3 +170,31 @@ class Model:
             logs = (picked - np.log(logits.sum(-1)) + self.within[y]) * real
             out += np.bincount(owner[at], logs.sum(1), len(counts))
         return out / np.log(10)
+
+
+class Learner:
+    """Adam on a model's parameters; an embedding row moves only in steps that have it. Counts the steps that moved each."""
+
+    def __init__(self, model: Model):
+        self.model, self.steps, self.moved = model, 0, np.zeros(len(model.p["emb"]))
+        model.p = {k: x.copy() for k, x in model.p.items()}
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
+
+    def step(self, x: np.ndarray, y: np.ndarray, rate: float) -> None:
+        g, rows = self.model.gradient(x, y)
+        self.steps += 1
+        self.moved[rows] += 1
+        for n, p in self.model.p.items():
+            at = rows if n == "emb" else slice(None)
+            turn = self.moved[rows, None] if n == "emb" else self.steps
+            m = self.m[n][at] = 0.9 * self.m[n][at] + 0.1 * g[n]
+            v = self.v[n][at] = 0.99 * self.v[n][at] + 0.01 * g[n] ** 2
+            p[at] -= (rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)).astype(np.float32)
+
+    def learn(self, ids: np.ndarray, counts: np.ndarray, batch: int, rate, rng: np.random.Generator) -> None:
+        """One step for each ``batch`` windows of the texts, every window once; ``rate`` gives a step's rate by its number."""
+        inputs, targets, owner = self.model.blocks(ids, counts)
+        usable, inputs = rng.permutation(np.flatnonzero(owner >= 0)), self.model.place[inputs]
+        for a in range(0, len(usable), batch):
+            at = usable[a : a + batch]
+            self.step(np.concatenate([inputs[at - 1], inputs[at]], 1), targets[at], rate(self.steps + 1))

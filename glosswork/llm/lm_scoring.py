@@ -2,8 +2,11 @@
 
 Training documents are those whose crc32(doc_id as text) mod 7 isn't 2. A first pass counts their words (by 64-bit
 hash of the lower-cased word, the end mark included) and subword ids; each task adds up its own counts before the
-shuffle. The attention model (see ``attention``) is fitted on the subword ids of a bounded sample of training
-documents; its id probabilities within classes come from the counts of all of them.
+shuffle. The attention model (see ``attention``) has an embedding for every id that they have three times, and is
+fitted on every window of every training document, in the cluster: each round takes a share of the documents by hash,
+each task steps through its own from the same parameters, and what the tasks have is averaged, an embedding by how often
+a task moved it. Only parameters are gathered, never texts. Its id probabilities within classes come from the counts of
+all training documents. As tasks step apart, ``score`` depends in small on how the input is split; base_score doesn't.
 
 The second pass scores every document by the model and by the ``head`` most frequent words, a table of fixed size.
 Rarer words leave the pass as (document, word, times) and meet their counts in a join; there are few of them, and no
@@ -22,13 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm.attention import Model
-from glosswork.llm.common import documents, hash_sample, shared_folder, stored, table
+from glosswork.llm.attention import RATE, Learner, Model
+from glosswork.llm.common import documents, shared_folder, stored, table
 from glosswork.llm.hashing import blocks, utf8, words
 from glosswork.llm.subwords import shared
 
-#: Fixed size of the table of frequent words, and bounds of the model's fit.
-HEAD, SAMPLE_DOCS, SAMPLE_IDS = 100_000, 600, 3_000_000
+#: Fixed size of the table of frequent words.
+HEAD = 100_000
+#: Rounds of the fit: the 16ths of the documents where each ends. A small first round brings the tasks to a common start.
+ROUNDS = (1, 4, 16)
+#: Windows of a step, steps that make a task of its own worthwhile, ids that a task holds before it steps through them.
+WINDOWS, TASK_STEPS, HELD_IDS = 128, 400, 500_000
+PIECE = 4096  # embedding rows that travel together
 IDS = 50257  # of the tokenizer; the last of them ends a text
 END_WORD = np.uint64(0x5E17D0F7E57A11ED)
 
@@ -114,21 +122,91 @@ def _pairs(texts: np.ndarray, kinds: np.ndarray, size: int) -> tuple[tuple[np.nd
     return (both // max(1, size), both % max(1, size)), times
 
 
-def fit(docs: DataFrame, id_counts: np.ndarray, sample_docs: int = SAMPLE_DOCS, path: str | None = None, ranks: str | None = None, **shape) -> Model:
-    """The model on at most ``sample_docs`` training documents, taken by hash, and of these ids as long as they stay in bounds."""
-    model, coder = Model(id_counts, **shape), shared(path, ranks)
-    key = F.xxhash64("doc_id", F.length("text"))
-    picked = hash_sample(docs.filter("not held_out and text is not null").withColumn("h", key), "h", sample_docs, ["doc_id", "text"]).select("text").collect()
-    ids, total = [], 0
-    for r in picked:
-        own = coder.ids(r.text)
-        if total + len(own) <= SAMPLE_IDS:
-            ids.append(own.astype(np.int64))
-            total += len(own)
-    return model.train(np.concatenate(ids), np.array([len(i) for i in ids], np.int64)) if total else model.freeze()
+_PARTS = pa.schema([("piece", pa.int32()), ("weights", pa.binary()), ("sums", pa.binary())])
 
 
-def score_texts(docs: DataFrame, head: int = HEAD, sample_docs: int = SAMPLE_DOCS, path: str | None = None, ranks: str | None = None) -> DataFrame:
+def _dense(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in sorted(p) if k != "emb"])
+
+
+def _learner(path: str | None, ranks: str | None, model: Model, passes: int, rate):
+    """Steps through a task's texts; yields its parameters times their weights: piece -1 is all but the embeddings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, learner, rng, pending, size = shared(path, ranks), Learner(model), np.random.default_rng(11), [], 0
+
+        def learn() -> None:
+            for _ in range(passes):
+                learner.learn(np.concatenate(pending), np.array([len(i) for i in pending], np.int64), WINDOWS, rate, rng)
+
+        for batch in batches:
+            for t in batch.column(0):
+                pending.append(coder.ids(t.as_py() or "").astype(np.int64))
+                size += len(pending[-1]) + 1
+                if size > HELD_IDS:
+                    learn()
+                    pending, size = [], 0
+        if pending:
+            learn()
+        if learner.steps:
+            p, moved = learner.model.p, learner.moved
+            parts = [(-1, np.array([float(learner.steps)]), _dense(p) * float(learner.steps))]
+            for i, a in enumerate(range(0, len(moved), PIECE)):
+                w = moved[a : a + PIECE]
+                parts.append((i, w, p["emb"][a : a + PIECE] * w[:, None]))
+            for i, w, x in parts:
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([w.tobytes()]), pa.array([x.astype(np.float64).tobytes()])], schema=_PARTS)
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for i, w, x in zip(*(c.to_pylist() for c in batch.columns)):
+            w, x = np.frombuffer(w), np.frombuffer(x)
+            held[i] = (held[i][0] + w, held[i][1] + x) if i in held else (w, x)
+    for i, (w, x) in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([w.tobytes()]), pa.array([x.tobytes()])], schema=_PARTS)
+
+
+def _take(model: Model, parts: list) -> None:
+    """Averages of the tasks' parameters; an embedding that no task moved stays."""
+    for part in parts:
+        w, x = np.frombuffer(part["weights"]), np.frombuffer(part["sums"])
+        if part["piece"] < 0:
+            x, at = (x / w).astype(np.float32), 0
+            for k in sorted(k for k in model.p if k != "emb"):
+                n = model.p[k].size
+                model.p[k], at = x[at : at + n].reshape(model.p[k].shape), at + n
+        else:
+            rows = np.flatnonzero(w)
+            model.p["emb"][part["piece"] * PIECE + rows] = (x.reshape(len(w), -1)[rows] / w[rows, None]).astype(np.float32)
+
+
+def fit(docs: DataFrame, id_counts: np.ndarray, path: str | None = None, ranks: str | None = None, **shape) -> Model:
+    """The model on all training documents, each of them in one of the rounds."""
+    model = Model(id_counts, **shape)
+    if not id_counts.any():
+        return model.freeze()
+    model.begin(np.flatnonzero(id_counts >= 3))
+    windows = int(id_counts.sum()) // model.block + 1
+    # a small input is gone through more than once, in few tasks and in one round
+    tasks = max(1, min(docs.sparkSession.sparkContext.defaultParallelism, windows // (WINDOWS * TASK_STEPS)))
+    passes = -(-WINDOWS * TASK_STEPS // windows)
+    bucket, low = F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit("round")), F.lit(16)), 0
+    for end in ROUNDS if tasks > 1 else ROUNDS[-1:]:
+        steps = windows * passes * (end - low) / 16 / WINDOWS / tasks
+        last = end == ROUNDS[-1]
+        rate = (lambda n, steps=steps: RATE * min(1.0, max(0.1, 3 * (1 - n / (steps + 1))))) if last else (lambda n: RATE)
+        texts = docs.filter("not held_out").filter((bucket >= low) & (bucket < end)).select("text")
+        learned = texts.coalesce(tasks).mapInArrow(_learner(path, ranks, model, passes, rate), "piece int, weights binary, sums binary")
+        _take(model, learned.repartition(16, "piece").mapInArrow(_added, learned.schema).collect())
+        low = end
+    return model.freeze()
+
+
+def score_texts(docs: DataFrame, head: int = HEAD, path: str | None = None, ranks: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. ``path``, ``ranks``: the tokenizer's files."""
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -146,7 +224,7 @@ def score_texts(docs: DataFrame, head: int = HEAD, sample_docs: int = SAMPLE_DOC
     ids = counts.filter("kind = 1").select("key", "n").toArrow()  # a row for each id at most
     id_counts = np.zeros(IDS, np.int64)
     id_counts[ids["key"].to_numpy()] = ids["n"].to_numpy()
-    model = fit(marked, id_counts, sample_docs, path, ranks)
+    model = fit(marked, id_counts, path, ranks)
     run = _scorer(path, ranks, keys[order].copy(), n[order].copy(), model)
     done = marked.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, score double, rare array<long>, times array<long>")
     scored = stored(done.withColumn("row", F.monotonically_increasing_id()), folder, "scored")

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from glosswork.llm.attention import Model
 from glosswork.llm.hashing import sequences, words
-from glosswork.llm.lm_scoring import score_texts
+from glosswork.llm.lm_scoring import fit, score_texts
 from glosswork.llm.subwords import shared
 
 
@@ -95,3 +95,17 @@ def test_batches_equal_token_by_token_and_held_out_beats_counts(spark):
     p = np.log10((counts + 1) / (counts.sum() + len(counts)))
     plain = (p[np.concatenate(held)].sum() + p[-1] * len(held)) / n
     assert model > plain + 0.1
+
+
+def test_every_training_document_takes_part_in_the_fit(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").withColumn("held_out", F.lit(False))
+    ids = [shared().ids(r.text).astype(np.int64) for r in docs.collect()]
+    counts = np.bincount(np.concatenate(ids), minlength=50257)
+    counts[-1] = len(ids)
+    m, known = fit(docs, counts), np.flatnonzero(counts >= 3)
+    assert (m.place[known] > 0).all()  # ids of every document have embeddings of their own
+    drawn = Model(counts).begin(known).p["emb"]
+    moved = np.abs(m.p["emb"] - drawn).sum(1) > 0
+    assert moved[m.place[known]].all()  # and each was learned from
