@@ -292,17 +292,28 @@ def add_sentences(spark, sf):
     return K.add_sentences(s.filter("word_count between 8 and 11"), s.filter("word_count > 9")).select("id", "full_text")
 
 
-@entry("""WITH links AS (SELECT doc_id AS source_id, doc_id + k AS translation_id, doc_id * 4 + k AS link_order FROM documents, (VALUES (1), (2), (3)) t(k) WHERE lang = 'de'),
-n AS (SELECT l.source_id, left(d.text, 60) AS native, row_number() OVER (PARTITION BY l.source_id ORDER BY l.link_order) AS turn FROM links l JOIN documents d ON d.doc_id = l.translation_id AND d.lang = 'en')
-SELECT d.doc_id AS id, left(d.text, 60) AS text, n.native AS translation FROM documents d LEFT JOIN n ON n.source_id = d.doc_id AND n.turn = 1 WHERE d.lang = 'de'""")
-def pair_translations(spark, sf):
+def _pairs(spark, sf, text):
     d = table(spark, sf, "documents")
-    texts = d.select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.left("text", F.lit(60)).alias("text"))
+    texts = d.select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), text.alias("text"))
     links = d.filter("lang = 'de'").select(F.col("doc_id").alias("source_id"), F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("k"))
     links = links.select("source_id", (F.col("source_id") + F.col("k")).alias("translation_id"), (F.col("source_id") * 4 + F.col("k")).alias("link_order"))
     return I.pair_translations(texts.filter("language = 'de'"), texts.filter("language = 'en'"), links).select("id", "text", "translation")
 
 
+@entry("""WITH links AS (SELECT doc_id AS source_id, doc_id + k AS translation_id, doc_id * 4 + k AS link_order FROM documents, (VALUES (1), (2), (3)) t(k) WHERE lang = 'de'),
+n AS (SELECT l.source_id, left(d.text, 60) AS native, row_number() OVER (PARTITION BY l.source_id ORDER BY l.link_order) AS turn FROM links l JOIN documents d ON d.doc_id = l.translation_id AND d.lang = 'en')
+SELECT d.doc_id AS id, left(d.text, 60) AS text, n.native AS translation FROM documents d LEFT JOIN n ON n.source_id = d.doc_id AND n.turn = 1 WHERE d.lang = 'de'""")
+def pair_translations(spark, sf):
+    return _pairs(spark, sf, F.left("text", F.lit(60)))
+
+
+@entry("""WITH links AS (SELECT doc_id AS source_id, doc_id + k AS translation_id, doc_id * 4 + k AS link_order FROM documents, (VALUES (1), (2), (3)) t(k) WHERE lang = 'de'),
+n AS (SELECT l.source_id, d.text AS native, row_number() OVER (PARTITION BY l.source_id ORDER BY l.link_order) AS turn FROM links l JOIN documents d ON d.doc_id = l.translation_id AND d.lang = 'en')
+SELECT d.doc_id AS id, d.text, n.native AS translation FROM documents d LEFT JOIN n ON n.source_id = d.doc_id AND n.turn = 1 WHERE d.lang = 'de'""")
+def pair_translations_whole(spark, sf):
+    return _pairs(spark, sf, F.col("text"))
+
+
 # ---- cards
 
 
