@@ -121,9 +121,13 @@ def due_side(spark, sf):
     return sentences, forms, K.postings(forms), K.index_stats(forms), due, Q.expansions(due, word_pairs(spark, sf)).persist()
 
 
-def ranked(spark, sf, **how):
+#: The limits of a search in production; those of ``ranked`` are smaller.
+FULL = {"limit": 50, "per_query": 40}
+
+
+def ranked(spark, sf, limit=20, per_query=8, **how):
     sentences, forms, posts, stats, due, expanded = due_side(spark, sf)
-    return Q.candidates(sentences, forms, posts, stats, due, expanded, "en", limit=20, min_words=4, max_words=15, per_query=8, **how)
+    return Q.candidates(sentences, forms, posts, stats, due, expanded, "en", limit=limit, min_words=4, max_words=15, per_query=per_query, **how)
 
 
 def answered(spark, sf):
@@ -402,39 +406,90 @@ def substring_candidates(spark, sf):
     return Q.substring_candidates(library(spark, sf), wanted, 20)
 
 
+def _match_scores(spark, sf, **how):
+    return ranked(spark, sf, **how).select("id", "word_count", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"), "cards")
+
+
 @entry(sql("SELECT id, word_count, round(bm25, 6) AS bm25, round(score, 6) AS score, cards FROM ranked", "ranked"))
 def match_scores(spark, sf):
-    return ranked(spark, sf).select("id", "word_count", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"), "cards")
+    return _match_scores(spark, sf)
+
+
+@entry(sql("SELECT id, word_count, round(bm25, 6) AS bm25, round(score, 6) AS score, cards FROM ranked_full", "ranked_full"))
+def match_scores_full(spark, sf):
+    return _match_scores(spark, sf, **FULL)
 
 
 _BEST = "cards DESC, round(score, 9) DESC, round(bm25, 9), word_count, id"
 
 
+def _select_task(spark, sf, **how):
+    return Q.select_task(ranked(spark, sf, **how).withColumn("score", F.round("score", 9)).withColumn("bm25", F.round("bm25", 9))).select("id", "full_text", "cards", F.round("score", 6).alias("score"))
+
+
 @entry(sql(f"SELECT id, full_text, cards, round(score, 6) AS score FROM ranked ORDER BY {_BEST} LIMIT 1", "ranked"))
 def select_task(spark, sf):
-    return Q.select_task(ranked(spark, sf).withColumn("score", F.round("score", 9)).withColumn("bm25", F.round("bm25", 9))).select("id", "full_text", "cards", F.round("score", 6).alias("score"))
+    return _select_task(spark, sf)
+
+
+@entry(sql(f"SELECT id, full_text, cards, round(score, 6) AS score FROM ranked_full ORDER BY {_BEST} LIMIT 1", "ranked_full"))
+def select_task_full(spark, sf):
+    return _select_task(spark, sf, **FULL)
+
+
+@entry(sql(f"SELECT id, full_text, cards, round(score, 6) AS score FROM ranked_every ORDER BY {_BEST} LIMIT 1", "ranked_every"))
+def select_task_exhaustive(spark, sf):
+    return _select_task(spark, sf, mode="exhaustive")
+
+
+def _select_task_soft_avoid(spark, sf, **how):
+    rows = ranked(spark, sf, **how).withColumn("score", F.round("score", 9)).withColumn("bm25", F.round("bm25", 9))
+    return rows.orderBy((F.col("id") % 2).asc(), *Q.best_first()).limit(1).select("id", "cards")
 
 
 @entry(sql(f"SELECT id, cards FROM ranked ORDER BY id % 2, {_BEST} LIMIT 1", "ranked"))
 def select_task_soft_avoid(spark, sf):
-    rows = ranked(spark, sf).withColumn("score", F.round("score", 9)).withColumn("bm25", F.round("bm25", 9))
-    return rows.orderBy((F.col("id") % 2).asc(), *Q.best_first()).limit(1).select("id", "cards")
+    return _select_task_soft_avoid(spark, sf)
+
+
+@entry(sql(f"SELECT id, cards FROM ranked_full ORDER BY id % 2, {_BEST} LIMIT 1", "ranked_full"))
+def select_task_soft_avoid_full(spark, sf):
+    return _select_task_soft_avoid(spark, sf, **FULL)
+
+
+def _card_maps(spark, sf, limit, per_query):
+    sentences, forms, posts, stats, due, expanded = due_side(spark, sf)
+    scored = Q.bm25(posts, stats, Q.terms(Q.weights(expanded, due), per_query)).join(sentences.filter("language = 'en'").select("id"), "id", "left_semi")
+    return Q.card_map(Q.matched_keys(Q.compatible(scored, limit), forms, expanded), due).select("id", "base", F.array_join("card_ids", ",").alias("card_ids"))
 
 
 @entry(sql("SELECT m.id, m.base, array_to_string(list_sort(list_distinct(list(d.card_id))), ',') AS card_ids FROM matched m JOIN due d ON d.due_key = m.base WHERE m.id IN (SELECT id FROM compat) GROUP BY m.id, m.base", "compat", "matched", "due"))
 def card_maps(spark, sf):
-    sentences, forms, posts, stats, due, expanded = due_side(spark, sf)
-    scored = Q.bm25(posts, stats, Q.terms(Q.weights(expanded, due), 8)).join(sentences.filter("language = 'en'").select("id"), "id", "left_semi")
-    return Q.card_map(Q.matched_keys(Q.compatible(scored, 20), forms, expanded), due).select("id", "base", F.array_join("card_ids", ",").alias("card_ids"))
+    return _card_maps(spark, sf, 20, 8)
+
+
+@entry(sql("SELECT m.id, m.base, array_to_string(list_sort(list_distinct(list(d.card_id))), ',') AS card_ids FROM matched m JOIN due d ON d.due_key = m.base WHERE m.id IN (SELECT id FROM compat_full) GROUP BY m.id, m.base", "compat_full", "matched", "due"))
+def card_maps_full(spark, sf):
+    return _card_maps(spark, sf, **FULL)
+
+
+def _token_annotations(spark, sf, **how):
+    *_, due, expanded = due_side(spark, sf)
+    return Q.annotate(ranked(spark, sf, **how), expanded, due, "en").filter("is_word").select("id", "text", "match_key", "is_target")
 
 
 @entry(sql(f"""SELECT id, text, match_key, is_target FROM (SELECT id, text, f, CASE WHEN base IS NULL THEN f ELSE base END AS match_key, base IS NOT NULL AS is_target FROM (
   SELECT t.*, (SELECT min(e.base) FROM (SELECT base, prefix, unnest(forms) AS form FROM expanded) e WHERE e.form = t.f OR (e.prefix <> '' AND starts_with(t.f, e.prefix))) AS base
   FROM (SELECT id, text, {p.form('text')} AS f FROM (SELECT id, unnest({p.words('full_text')}) AS text FROM ranked)) t))""", "ranked", "expanded"))
 def token_annotations(spark, sf):
-    sentences, forms, posts, stats, due, expanded = due_side(spark, sf)
-    rows = Q.candidates(sentences, forms, posts, stats, due, expanded, "en", limit=20, min_words=4, max_words=15, per_query=8)
-    return Q.annotate(rows, expanded, due, "en").filter("is_word").select("id", "text", "match_key", "is_target")
+    return _token_annotations(spark, sf)
+
+
+@entry(sql(f"""SELECT id, text, match_key, is_target FROM (SELECT id, text, f, CASE WHEN base IS NULL THEN f ELSE base END AS match_key, base IS NOT NULL AS is_target FROM (
+  SELECT t.*, (SELECT min(e.base) FROM (SELECT base, prefix, unnest(forms) AS form FROM expanded) e WHERE e.form = t.f OR (e.prefix <> '' AND starts_with(t.f, e.prefix))) AS base
+  FROM (SELECT id, text, {p.form('text')} AS f FROM (SELECT id, unnest({p.words('full_text')}) AS text FROM ranked_full)) t))""", "ranked_full", "expanded"))
+def token_annotations_full(spark, sf):
+    return _token_annotations(spark, sf, **FULL)
 
 
 @entry(sql("SELECT card_id, target_word, definition FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY priority DESC, due_in_days, lower(target_word), due_key) AS turn FROM due) WHERE turn = 1", "due"))

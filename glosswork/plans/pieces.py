@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from glosswork.functions import languages as L
 from glosswork.functions import text as T
 
@@ -119,6 +121,23 @@ FROM (SELECT *, card_id % 3 = 0 AS is_unknown, (type = 2 OR queue = 2) AS review
 }
 
 
+def _searched(suffix: str, terms: str, found: str) -> None:
+    """The pieces of a selection again, under names with ``suffix``, from other ``terms`` and what is ``found`` of their scores."""
+    own = ("terms", "hits", "scored", "compat", "ranked")
+    new = {"terms": terms, "compat": found}
+    for name in own:
+        needs, text = PIECES[name]
+        named = re.sub(rf"(?<=FROM |JOIN )({'|'.join(own)})\b", rf"\1{suffix}", new.get(name, text))
+        PIECES[name + suffix] = (tuple(n + suffix if n in own else n for n in needs), named)
+
+
+_TERMS, _COMPAT = PIECES["terms"][1], PIECES["compat"][1]
+#: Production limits: 40 terms a chunk, 100 sentences a chunk, 200 in all.
+_searched("_full", _TERMS.replace("// 8)", "// 40)"), _COMPAT.replace("r <= 40", "r <= 100").replace("LIMIT 80", "LIMIT 200"))
+#: Every match, scored against all terms.
+_searched("_every", _TERMS.replace("// 8)", "// 1000000000)"), "SELECT id, bm25 FROM scored WHERE id IN (SELECT id FROM sentences WHERE language = 'en')")
+
+
 def sql(final: str, *needed: str) -> str:
     """``final`` with the subqueries that it needs, each once, in order."""
     done: list[str] = []
