@@ -594,10 +594,10 @@ def profile_match(spark, sf):
     return U.match_profiles(decks, spark.createDataFrame(_PROFILES, "place int, profile string, deck_names array<string>, match string, enabled boolean"))
 
 
-def _field_values(spark, sf):
-    """Fields of notes made of documents: German text, English text, and a sound mark."""
-    d = table(spark, sf, "documents")
-    first = lambda lang: d.filter(F.col("lang") == lang).select("doc_id", F.substring("text", 1, 40).alias("value"))
+def _field_values(spark, sf, chars=None):
+    """Fields of notes made of documents: German text, English text, and a sound mark; texts whole or cut at ``chars``."""
+    d, text = table(spark, sf, "documents"), F.substring("text", 1, chars) if chars else F.col("text")
+    first = lambda lang: d.filter(F.col("lang") == lang).select("doc_id", text.alias("value"))
     named = [first("de").withColumn("field", F.lit("German")), first("en").withColumn("field", F.lit("Meaning")), first("en").withColumn("field", F.lit("Audio")).withColumn("value", F.concat(F.lit("[sound:"), F.col("doc_id"), F.lit(".mp3]")))]
     return reduce(DataFrame.unionByName, named).select("field", F.col("doc_id").alias("place"), "value")
 
@@ -605,6 +605,15 @@ def _field_values(spark, sf):
 _NOTE_FIELDS = [("German", 0), ("Meaning", 1), ("Audio", 2)]
 
 
+def _scores(spark, sf, chars=None):
+    fields = spark.createDataFrame(_NOTE_FIELDS, "field string, place int")
+    return U.field_scores(fields, U.field_samples(_field_values(spark, sf, chars)), "de")
+
+
+def _rounded(s):
+    return s.select("field", F.round("target", 6).alias("target"), F.round("translation", 6).alias("translation"), "audio")
+
+
 @entry(f"""WITH v AS (SELECT 'German' AS field, doc_id AS place, substr(text, 1, 40) AS value FROM documents WHERE lang = 'de' UNION ALL SELECT 'Meaning', doc_id, substr(text, 1, 40) FROM documents WHERE lang = 'en' UNION ALL SELECT 'Audio', doc_id, '[sound:' || doc_id || '.mp3]' FROM documents WHERE lang = 'en'),
 s AS (SELECT * FROM (SELECT field, place, {p.clean('value')} AS value FROM v) WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY field ORDER BY place) <= 80),
 w AS (SELECT field, unnest(regexp_extract_all(lower(value), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')) AS w FROM s),
@@ -612,15 +621,27 @@ r AS (SELECT field, avg(CASE WHEN w IN ({", ".join(f"'{x}'" for x in U.ENGLISH_W
 n AS (SELECT field, count(*) AS n FROM s GROUP BY field)
 SELECT r.field, round(CASE r.field WHEN 'German' THEN 190 WHEN 'Meaning' THEN -90 ELSE 0 END + own * 80 - english * 70, 6) AS target, round(CASE r.field WHEN 'Meaning' THEN 150 WHEN 'Audio' THEN -100 ELSE 0 END + 100.0 * n / max(n) OVER () + english * 70, 6) AS translation, CASE r.field WHEN 'Audio' THEN 250.0 ELSE 0.0 END::DOUBLE AS audio FROM r JOIN n USING (field)""")
 def autoconf_scores(spark, sf):
-    fields = spark.createDataFrame(_NOTE_FIELDS, "field string, place int")
-    s = U.field_scores(fields, U.field_samples(_field_values(spark, sf)), "de")
-    return s.select("field", F.round("target", 6).alias("target"), F.round("translation", 6).alias("translation"), "audio")
+    return _rounded(_scores(spark, sf, 40))
+
+
+@entry(f"""WITH v AS (SELECT 'German' AS field, doc_id AS place, text AS value FROM documents WHERE lang = 'de' UNION ALL SELECT 'Meaning', doc_id, text FROM documents WHERE lang = 'en' UNION ALL SELECT 'Audio', doc_id, '[sound:' || doc_id || '.mp3]' FROM documents WHERE lang = 'en'),
+s AS (SELECT * FROM (SELECT field, place, substr({p.clean('value')}, 1, 500) AS value FROM v) WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY field ORDER BY place) <= 80),
+w AS (SELECT field, unnest(regexp_extract_all(lower(value), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')) AS w FROM s),
+r AS (SELECT field, avg(CASE WHEN w IN ({", ".join(f"'{x}'" for x in U.ENGLISH_WORDS)}) THEN 1.0 ELSE 0.0 END) AS english, avg(CASE WHEN w IN ({", ".join(f"'{x}'" for x in L.PROFILES["de"][2])}) THEN 1.0 ELSE 0.0 END) AS own FROM w GROUP BY field),
+n AS (SELECT field, count(*) AS n FROM s GROUP BY field)
+SELECT r.field, round(CASE r.field WHEN 'German' THEN 190 WHEN 'Meaning' THEN -90 ELSE 0 END + own * 80 - english * 70, 6) AS target, round(CASE r.field WHEN 'Meaning' THEN 150 WHEN 'Audio' THEN -100 ELSE 0 END + 100.0 * n / max(n) OVER () + english * 70, 6) AS translation, CASE r.field WHEN 'Audio' THEN 250.0 ELSE 0.0 END::DOUBLE AS audio FROM r JOIN n USING (field)""")
+def autoconf_scores_whole(spark, sf):
+    return _rounded(_scores(spark, sf))
 
 
 @entry("SELECT 'German' AS target_field, 'Meaning' AS translation_field, 'Audio' AS audio_field")
 def autoconf_fields(spark, sf):
-    fields = spark.createDataFrame(_NOTE_FIELDS, "field string, place int")
-    return U.choose_fields(U.field_scores(fields, U.field_samples(_field_values(spark, sf)), "de"))
+    return U.choose_fields(_scores(spark, sf, 40))
+
+
+@entry("SELECT 'German' AS target_field, 'Meaning' AS translation_field, 'Audio' AS audio_field")
+def autoconf_fields_whole(spark, sf):
+    return U.choose_fields(_scores(spark, sf))
 
 
 @entry(sql("""SELECT 'sentences' AS name, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'warning' END AS status, count(*)::VARCHAR AS detail FROM sentences UNION ALL SELECT 'language', CASE WHEN count(*) > 0 THEN 'ok' ELSE 'warning' END, count(*)::VARCHAR FROM sentences WHERE language = 'en'
