@@ -551,11 +551,21 @@ def answer_guards(spark, sf):
 # ---- sessions
 
 
+def _recent(spark, sf, *keep):
+    e = table(spark, sf, "events").filter("event_type = 'view'")
+    return E.recent(e.select(F.col("user_id").alias("owner"), F.rint(F.col("value") * 10).cast("long").alias("id"), "ts", F.col("event_id").alias("seq")), *keep).withColumn("place", F.col("place").cast("long"))
+
+
 @entry("""SELECT owner, id, row_number() OVER (PARTITION BY owner ORDER BY latest, id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY latest DESC, id DESC) AS r FROM (
   SELECT user_id AS owner, CAST(value * 10 AS BIGINT) AS id, max((ts, event_id)) AS latest FROM events WHERE event_type = 'view' AND CAST(value * 10 AS BIGINT) > 0 GROUP BY ALL)) WHERE r <= 5""")
 def recent_history(spark, sf):
-    e = table(spark, sf, "events").filter("event_type = 'view'")
-    return E.recent(e.select(F.col("user_id").alias("owner"), F.rint(F.col("value") * 10).cast("long").alias("id"), "ts", F.col("event_id").alias("seq")), 5).withColumn("place", F.col("place").cast("long"))
+    return _recent(spark, sf, 5)
+
+
+@entry("""SELECT owner, id, row_number() OVER (PARTITION BY owner ORDER BY latest, id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY latest DESC, id DESC) AS r FROM (
+  SELECT user_id AS owner, CAST(value * 10 AS BIGINT) AS id, max((ts, event_id)) AS latest FROM events WHERE event_type = 'view' AND CAST(value * 10 AS BIGINT) > 0 GROUP BY ALL)) WHERE r <= 200""")
+def recent_history_full(spark, sf):
+    return _recent(spark, sf)
 
 
 @entry("""SELECT owner, cards, sentences, 'Reviewed ' || cards || ' card' || CASE WHEN cards = 1 THEN '' ELSE 's' END || ' across ' || sentences || ' sentence' || CASE WHEN sentences = 1 THEN '' ELSE 's' END || '. Remembered: ' || cards - forgotten || '. Forgotten: ' || forgotten || '.' AS text
