@@ -17,6 +17,7 @@ _own_folders: dict[str, str] = {}
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, found by exact case, whatever else the frame holds."""
+    share_code(df.sparkSession)
     held = df.columns
     plain = df.toDF(*[f"_c{i}" for i in range(len(held))])
     return plain.select(*[F.col(f"_c{held.index(n)}").alias(n) for n in names])
@@ -29,6 +30,7 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
 
 def boxed(df: DataFrame) -> DataFrame:
     """doc_id, text and source, and the other columns as one struct, so that no name can clash."""
+    share_code(df.sparkSession)
     held = df.columns
     plain = df.toDF(*[f"c{i}" for i in range(len(held))])
     rest = [F.col(f"c{i}") for i, n in enumerate(held) if n not in ("doc_id", "text", "source")] or [F.lit(0).alias("none")]
@@ -55,14 +57,30 @@ def share_code(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; where that is unset, as in tests, under a folder of our own."""
+    """A fresh folder under spark.checkpoint.dir that is deleted when the application ends.
+
+    Where that is unset, as in tests, it is under a folder of our own; that is an error on a cluster, whose machines
+    wouldn't see each other's files.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_folders:
             _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="glosswork-")
+            _until_exit(spark, _own_folders[app])
         top = _own_folders[app]
-    return f"{top.rstrip('/')}/glosswork-{uuid.uuid4().hex}"
+    folder = f"{top.rstrip('/')}/glosswork-{uuid.uuid4().hex}"
+    _until_exit(spark, folder)
+    return folder
+
+
+def _until_exit(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -72,6 +90,25 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot from this share of the rows on, so at most so many keys are.
+HOT_SHARE = 1024
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, turn: Column) -> DataFrame:
+    """``rows`` inner-joined with ``side``, which has a row for each ``key``, without a key's rows meeting in one task.
+
+    Keys that hold over 1/1024 of the rows, of which there are at most 1,024 whatever the size, are dealt over as many
+    places as their rows ask for, by ``turn`` (a long that differs between rows), and the side's row goes to each.
+    ``rows`` is read twice, so it should be a written table.
+    """
+    total = rows.count()
+    share = F.ceil(F.count(F.lit(1)) * HOT_SHARE / max(1, total)).cast("int")
+    hot = F.broadcast(rows.groupBy(key).agg(share.alias("hot_places")).filter("hot_places > 1"))
+    dealt = rows.join(hot, key, "left").withColumn("hot_place", F.when(F.col("hot_places").isNull(), 0).otherwise(F.pmod(F.xxhash64(turn), F.col("hot_places"))).cast("int")).drop("hot_places")
+    places = F.explode(F.expr("if(hot_places is null, array(0), sequence(0, hot_places - 1))")).alias("hot_place")
+    return dealt.join(side.join(hot, key, "left").select(*side.columns, places), [key, "hot_place"]).drop("hot_place")
+
+
 def hash_sample(df: DataFrame, hash_: str, n: int, order: list[str]) -> DataFrame:
     """At most ``n`` rows by least hash: a share of the hashes that holds about twice as many, then the first of these.
 
