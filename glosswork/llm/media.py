@@ -10,8 +10,12 @@ whose digest is checked against the address. Rows meet these columns by digest.
 A shard's name is unique for each attempt at a task, and rows name only shards of attempts that ended, so a lost
 executor leaves at most an unused file. Storage is reached through Arrow's file systems by the URI of the folder.
 
-Defined results: null text is empty text, whose payload is 64 zero bytes; equal texts have equal columns; an empty
-table writes no shard.
+Digests that many rows share, such as that of empty texts, are dealt over several tasks when rows meet their columns.
+
+Defined results: null text is empty text, whose payload is 64 zero bytes; equal texts and repeated rows have equal
+columns, ``shard`` among them, whose names differ between runs; a very long text is one payload, held in memory alone
+with its picture, and a shard larger than ``shard_bytes`` if need be; a null doc_id is kept; further columns, whatever
+their names, are left out; an empty table writes no shard and gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import documents, shared_folder, stored, table
+from glosswork.llm.common import documents, shared_folder, spread_join, stored, table
 
 WIDTH = 64
 SHARD_BYTES = 32 << 20
@@ -165,11 +169,11 @@ def store_media(docs: DataFrame, folder: str | None = None, shard_bytes: int = S
     places = stored(documents(docs).mapInArrow(_writer(folder, shard_bytes), _ddl(_PLACES)), folder, "places")
     objects = places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
     reads = objects.repartition("shard", F.expr("offset div 4194304")).sortWithinPartitions("shard", "offset")
-    return places.select("doc_id", "n_bytes", "digest").join(reads.mapInArrow(_reader(folder), _ddl(_COLUMNS)), "digest")
+    return spread_join(places.select("doc_id", "n_bytes", "digest"), stored(reads.mapInArrow(_reader(folder), _ddl(_COLUMNS)), folder, "columns"), "digest", F.monotonically_increasing_id())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store_media(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return store_media(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bit_depth")
 
 
 NAME = "op8_media_columns"

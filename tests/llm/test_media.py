@@ -1,7 +1,7 @@
 import hashlib
 import zlib
 
-from glosswork.llm.media import from_png, payload, store_media, to_png
+from glosswork.llm.media import from_png, payload, query, store_media, to_png
 
 
 def test_png_round_trip():
@@ -24,3 +24,12 @@ def test_columns(small, weird, nothing):
     verify([(r.doc_id, r.text) for r in small.collect()], store_media(small, shard_bytes=50_000).collect())
     verify([(r[0], r[1]) for r in weird.collect()], store_media(weird).collect())
     assert store_media(nothing).count() == 0
+
+
+def test_query_and_a_hot_payload(spark):
+    pairs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = query(spark, "/root/testdata/sf0.001")
+    assert got.columns[:8] == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    verify(pairs, got.collect())
+    many = [(i, "" if i % 3 else f"text {i}") for i in range(3000)]
+    verify(many, store_media(spark.createDataFrame(many, "doc_id long, text string").repartition(6)).collect())
