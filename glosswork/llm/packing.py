@@ -1,15 +1,17 @@
 """Harmonic packing of token sequences.
 
-A document's ids are cut into full sequences, then into halves, quarters, ... of a sequence while they fit, down to
-``finest``; what is left is shorter than that. A piece of length n is in class capacity // n, and a bin of class j
-holds j pieces. Every worker counts its pieces by class on its own; prefix sums of these counts give each piece a
-place in its class, and place // j is its bin. Classes of exact fractions fill their bins to the last token; the
-others lose less than 1 / (j + 1). The last, unfilled bins of the classes (fewer than j pieces each, so a bound that
-does not depend on the input) are repacked together, first fit by decreasing length.
-
-Defined results: null text is empty text and still has its end id; repeated rows are packed once each; an empty
-table gives no pieces. Numbers of sequences may differ when the input is split differently; lengths, digests and
-the token count of every bin's class don't.
+Every worker packs its documents on its own. A document's full sequences come first; what is left, shorter than a
+sequence, is in class capacity // length (at most ``classes``), and a bin of class j is closed when it holds j
+documents, which always fit. The room that they leave is filled with the head of the documents that follow, so a
+document is cut where it exceeds a sequence or fills a bin's room, and nowhere else. At the end the worker's open bins
+(fewer than ``classes``, each of less than a sequence) are joined and cut into full sequences and one last, shorter
+one. So a worker pads less than one sequence, however long its input, and nothing is shuffled.
+
+Defined results: null text is empty text and still has its end id; a very long text is encoded whole, and is held in
+memory alone with its ids; a null doc_id is kept; repeated rows are packed once each; further columns are left out,
+whatever their names; an empty table gives no pieces. Where documents of a class are equally long, they are packed in
+the order in which they are read, so pieces and sequences may differ when the input is split differently; every id is
+in one piece each time. A sequence's id is its worker's number and its own.
 """
 
 from __future__ import annotations
@@ -20,91 +22,110 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from glosswork.llm.common import documents, shared_folder, stored, table
+from glosswork.llm.common import documents, table
 from glosswork.llm.subwords import shared
 
 CAPACITY = 1024
-FINEST = 64
+#: Documents shorter than capacity / CLASSES are all of the last class.
+CLASSES = 32
 END_ID = 0
 
-_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("class", pa.int64()), ("worker", pa.int32()), ("place", pa.int64())])
-
+_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+
+
+class Bin:
+    """Documents of one class, and the fillers after them, as (document, first place in it, ids)."""
+
+    def __init__(self, places: int):
+        self.places, self.held, self.size = places, [], 0
+
+    def add(self, piece: tuple) -> None:
+        self.held.append(piece)
+        self.size += len(piece[2])
+
+
+class Packer:
+    """One worker's bins. ``add`` and ``end`` give (doc, start, ids, sequence, offset) of what is packed for good."""
+
+    def __init__(self, capacity: int, classes: int):
+        self.capacity, self.classes, self.open, self.room, self.number = capacity, classes, {}, [], 0
+
+    def _closed(self, pieces: list[tuple]) -> Iterator[tuple]:
+        at = 0
+        for doc, start, ids in pieces:
+            yield doc, start, ids, self.number, at
+            at += len(ids)
+        self.number += 1
+
+    def add(self, doc, ids: np.ndarray) -> Iterator[tuple]:
+        at, n = 0, len(ids)
+        while self.room and at < n:  # closed bins first take what they still have room for
+            b = self.room[-1]
+            take = min(self.capacity - b.size, n - at)
+            b.add((doc, at, ids[at : at + take]))
+            at += take
+            if b.size == self.capacity:
+                yield from self._closed(self.room.pop().held)
+        while n - at >= self.capacity:
+            yield from self._closed([(doc, at, ids[at : at + self.capacity])])
+            at += self.capacity
+        if at < n:
+            j = min(self.capacity // (n - at), self.classes)
+            b = self.open.setdefault(j, Bin(j))
+            b.add((doc, at, ids[at:]))
+            if len(b.held) == j:
+                del self.open[j]
+                if b.size == self.capacity:
+                    yield from self._closed(b.held)
+                else:
+                    self.room.append(b)
+
+    def end(self) -> Iterator[tuple]:
+        rest = [p for b in self.room + [self.open[j] for j in sorted(self.open)] for p in b.held]
+        self.room, self.open, pieces, size = [], {}, [], 0
+        for doc, start, ids in rest:
+            at = 0
+            while at < len(ids):
+                take = min(self.capacity - size, len(ids) - at)
+                pieces.append((doc, start + at, ids[at : at + take]))
+                at, size = at + take, size + take
+                if size == self.capacity:
+                    yield from self._closed(pieces)
+                    pieces, size = [], 0
+        if pieces:
+            yield from self._closed(pieces)
+
+
+def _packing(path: str | None, ranks: str | None, capacity: int, classes: int, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, packer, end = shared(path, ranks), Packer(capacity, classes), np.array([end_id], "<u4")
+        worker = TaskContext.get().partitionId() << 40
 
-def cuts(n: int, capacity: int, finest: int) -> list[int]:
-    """Lengths of the pieces of ``n`` ids: full sequences, then ever smaller halves, then the rest."""
-    out = [capacity] * (n // capacity)
-    left, part = n % capacity, capacity // 2
-    while left and part >= finest:
-        if left >= part:
-            out.append(part)
-            left -= part
-        part //= 2
-    return out + [left] * bool(left)
+        def rows(packed: Iterator[tuple]) -> list[tuple]:
+            return [(doc[0], start, len(ids), zlib.crc32(ids.tobytes()), doc[1], worker + sequence, offset) for doc, start, ids, sequence, offset in packed]
 
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECES)], schema=_PIECES)
 
-def _cutter(path: str | None, ranks: str | None, capacity: int, finest: int, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, worker, seen, end = shared(path, ranks), TaskContext.get().partitionId(), {}, np.array([end_id], "<u4")
         for batch in batches:
             out = []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = np.concatenate([coder.ids(text.as_py() or ""), end])
-                start, n = 0, len(own)
-                for length in cuts(n, capacity, finest):
-                    j = capacity // length
-                    out.append((name, start, length, zlib.crc32(own[start : start + length].tobytes()), n, j, worker, seen.get(j, 0)))
-                    seen[j] = seen.get(j, 0) + 1
-                    start += length
+                out += rows(packer.add((name, len(own)), own))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECES)], schema=_PIECES)
-
-    return run
-
-
-def _first_fit(capacity: int):
-    import pandas as pd
-
-    def run(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["length", "class", "rank"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        room: list[int] = []
-        bins = []
-        for n in pieces["length"]:
-            k = next((i for i, r in enumerate(room) if r >= n), len(room))
-            if k == len(room):
-                room.append(capacity)
-            room[k] -= n
-            bins.append(k)
-        return pieces.assign(bin=bins)[["class", "rank", "bin"]]
+                yield batch_of(out)
+        if out := rows(packer.end()):
+            yield batch_of(out)
 
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, finest: int = FINEST, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, classes: int = CLASSES, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece. ``path``, ``ranks``: the tokenizer's files."""
-    folder = shared_folder(docs.sparkSession)
-    cut = documents(docs).mapInArrow(_cutter(path, ranks, capacity, finest, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class long, worker int, place long")
-    pieces = stored(cut, folder, "pieces")
-    counts = pieces.groupBy("class", "worker").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("class").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("ahead", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
-    # one row for each class, of which there are at most ``finest`` + log2(capacity / finest)
-    full = counts.groupBy("class").agg(F.sum("n").alias("n")).withColumn("bins", F.expr("n div class"))
-    first = full.withColumn("base", F.coalesce(F.sum("bins").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    totals = first.select("class", "bins", "base")
-    last = first.agg(F.coalesce(F.sum("bins"), F.lit(0)).alias("all_bins"))
-    ranked = pieces.join(starts, ["class", "worker"]).withColumn("rank", F.col("ahead") + F.col("place")).join(F.broadcast(totals), "class")
-    ranked = ranked.withColumn("in_full", F.col("rank") < F.col("bins") * F.col("class"))
-    rest = ranked.filter("not in_full").select("class", "rank", "length")
-    refit = rest.groupBy().applyInPandas(_first_fit(capacity), "class long, rank long, bin long")
-    refit = refit.withColumn("one", F.lit(1)).join(F.broadcast(last.withColumn("one", F.lit(1))), "one")
-    refit = refit.select("class", "rank", (F.col("all_bins") + F.col("bin")).alias("refit"))
-    placed = ranked.join(F.broadcast(refit), ["class", "rank"], "left")
-    placed = placed.withColumn("sequence_id", F.when(F.col("in_full"), F.col("base") + F.expr("rank div class")).otherwise(F.col("refit")))
-    inside = Window.partitionBy("sequence_id").orderBy("class", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return documents(docs).mapInArrow(_packing(path, ranks, capacity, classes, end_id), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

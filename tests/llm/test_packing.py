@@ -7,7 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from glosswork.llm.packing import cuts, pack
+from glosswork.llm.packing import Packer, pack
 from glosswork.llm.subwords import SubwordIds
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,10 +30,28 @@ def test_tables_ids(spark):
         assert OURS.ids(t).tolist() == e.ids
 
 
-@given(st.integers(1, 9000))
-def test_cuts_cover(n):
-    c = cuts(n, 1024, 64)
-    assert sum(c) == n and all(0 < x <= 1024 for x in c)
+@given(st.lists(st.integers(1, 200), max_size=80))
+def test_a_worker_loses_no_id_and_pads_one_sequence(lengths):
+    packer, got = Packer(64, 16), []
+    for i, n in enumerate(lengths):
+        got += packer.add(i, np.arange(n) + 1000 * i)
+    got += packer.end()
+    assert sorted(x for _, _, ids, _, _ in got for x in ids.tolist()) == sorted(1000 * i + x for i, n in enumerate(lengths) for x in range(n))
+    assert all((ids == 1000 * doc + start + np.arange(len(ids))).all() for doc, start, ids, _, _ in got)
+    fill = defaultdict(int)
+    for _, _, ids, number, offset in got:
+        assert offset == fill[number]
+        fill[number] += len(ids)
+    assert sum(n < 64 for n in fill.values()) <= 1 and all(n <= 64 for n in fill.values())
+
+
+def test_bins_hold_as_many_documents_as_their_class_says():
+    packer = Packer(60, 16)
+    assert [list(packer.add(i, np.zeros(15))) for i in range(3)] == [[], [], []]
+    assert [(d, n) for d, _, _, n, _ in packer.add(3, np.zeros(15))] == [(0, 0), (1, 0), (2, 0), (3, 0)]  # four quarters
+    assert list(packer.add(4, np.zeros(22))) == [] and list(packer.add(5, np.zeros(25))) == []  # two halves, with room for 13
+    assert [(d, s, len(x), o) for d, s, x, _, o in packer.add(6, np.zeros(40))] == [(4, 0, 22, 0), (5, 0, 25, 22), (6, 0, 13, 47)]
+    assert packer.open[2].held[0][:2] == (6, 13)  # what is left of 6 is of class 2
 
 
 def verify(df, rows):
@@ -47,13 +65,15 @@ def verify(df, rows):
         bins[r.sequence_id].append((r.offset, r.length))
     assert pieces.keys() == texts.keys()
     for k, docs in texts.items():
-        want = []
-        for ids in docs:
-            start = 0
-            for n in cuts(len(ids), 1024, 64):
-                want.append((start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids)))
-                start += n
-        assert sorted(want) == sorted((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in pieces[k])
+        assert sum(len(ids) for ids in docs) == sum(r.length for r in pieces[k])
+        if len(docs) == 1:
+            at = 0
+            for r in sorted(pieces[k], key=lambda r: r.start):
+                assert r.start == at and r.ids_crc32 == zlib.crc32(docs[0][at : at + r.length].tobytes()) and r.doc_tokens == len(docs[0])
+                at += r.length
+        else:
+            of = {(r.start, r.length, r.ids_crc32) for r in pieces[k]}
+            assert of <= {(a, n, zlib.crc32(ids[a : a + n].tobytes())) for ids in docs for a, n, _ in of if a + n <= len(ids)}
     padding = 0
     for items in bins.values():
         at = 0
