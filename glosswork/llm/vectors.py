@@ -3,20 +3,25 @@
 Rows are cut into shards of bounded size as they are read, without a shuffle, and each shard becomes a KD-tree: median
 splits along the widest side, leaves of a few vectors, and for every node the tight bounding box of what it holds. For
 a query q no vector in a box scores over sum(max(q * low, q * high)), so nodes are visited best bound first and the
-search ends when the best bound left can't beat the k-th result. Queries come in blocks against every shard; a task
-takes a block through its shards one after the other and carries the k-th scores along, so later shards are mostly
-cut off by earlier ones. What tasks keep (at most k rows for each query and lane of shards) is ranked at the end.
-
-Components are integers floor(scale * x), so scores are exact; where sums could leave the doubles' exact range,
-integers are used. Defined results: vectors that are null or hold null or non-finite components, and rows without id,
-take no part; vectors meet only vectors of their length; rows with the query's id count as its own; repeated rows of
-other ids are candidates each; a query row that is repeated is answered each time; empty tables give nothing.
+search ends when the best bound left can't beat the k-th result. Trees and blocks of queries are files in shared
+storage, and only their names and numbers are shuffled: a task takes one block through a lane of shards, reading each
+tree where it lies, and carries the k-th scores along, so later shards are mostly cut off by earlier ones. What tasks
+keep (at most k rows for each query and lane) is ranked at the end, so the shuffle follows the queries and the lanes.
+
+Components are integers floor(scale * x), so scores are exact; where sums could leave the doubles' exact range, 64-bit
+integers are used, and beyond these, Python's. Scores that no 64-bit number holds are an error in the result's type.
+Defined results: vectors that are null or hold null or non-finite components, and rows without id, take no part, nor do
+those with a component whose scaled value leaves 64 bits; vectors meet only vectors of their length; rows with the
+query's id count as its own; repeated rows of other ids are candidates each; equal scores go by the smaller id, and
+equal ids in any order; a query row that is repeated is answered each time, by ranks of its own; very long vectors are
+held a shard at a time; further columns are left out, whatever their names; empty tables give nothing.
 """
 
 from __future__ import annotations
 
 import heapq
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +32,10 @@ from pyspark.sql import functions as F
 from glosswork.llm.common import pick, shared_folder, stored, table
 
 TOP, SCALE, EVERY = 10, 1024, 100
-SHARD_ROWS, LEAF, BLOCK = 8192, 64, 256
-_EXACT = float(1 << 53)
+SHARD_ROWS, LEAF = 8192, 64
+#: Queries of a block, and shards of a lane.
+BLOCK, LANE = 512, 4
+_EXACT, _LONG = float(1 << 53), float(1 << 62)
 
 
 class KdTree:
@@ -74,23 +81,26 @@ class KdTree:
             a, b = self.spans[node]
             scores = self.vectors[a:b] @ query
             ids = self.ids[a:b]
-            likely = np.flatnonzero(ids != own) if len(best) < top else np.flatnonzero((-scores <= best[-1][0]) & (ids != own))
+            likely = np.flatnonzero(ids != own) if len(best) < top else np.flatnonzero(((-scores <= best[-1][0]) & (ids != own)).astype(bool))
             if len(likely):
                 best = sorted([*best, *((-int(s), int(v)) for s, v in zip(scores[likely], ids[likely]))])[:top]
         return best
 
 
 def _number(vectors: np.ndarray, other: float) -> np.ndarray:
-    """Doubles, which multiply fast, where sums of products with components up to ``other`` are exact."""
-    most = float(np.abs(vectors).max(initial=0))
-    return vectors.astype(np.float64) if most * max(most, other) * max(1, vectors.shape[1]) < _EXACT else vectors
+    """Doubles, which multiply fast, where sums of products with components up to ``other`` are exact; else integers that hold them."""
+    most = max(float(np.abs(vectors.astype(np.float64)).max(initial=0)), other)
+    bound = most * most * max(1, vectors.shape[1])
+    return vectors.astype(np.float64) if bound < _EXACT else vectors if bound < _LONG else vectors.astype(object)
 
 
 def whole_vectors(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and v, the vector of integers, for rows that take part."""
     rows = pick(embeddings, "vec_id", "embedding").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e"))
     fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & F.coalesce(fine, F.lit(False))).select("vec_id", F.transform("e", lambda x: F.floor(x * scale)).cast("array<long>").alias("v"))
+    fits = F.forall("e", lambda x: F.abs(F.floor(x * scale).cast("double")) < 9.2e18)
+    whole = rows.filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & F.coalesce(fine, F.lit(False))).filter(F.coalesce(fits, F.lit(False)))
+    return whole.select("vec_id", F.transform("e", lambda x: F.floor(x * scale)).cast("array<long>").alias("v"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], most: int):
@@ -116,60 +126,73 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int):
             yield d, i, m
 
 
-def _packed(most: int, leaf: int | None):
-    """Batches of (dim, data): trees where ``leaf`` is given, else plain blocks."""
+def _fs(uri: str):
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else f"file://{uri}")
+
+
+def _packed(folder: str, most: int, leaf: int | None):
+    """Rows (dim, rows, file): trees where ``leaf`` is given, else plain blocks. A file's name is its attempt's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = _fs(folder)
         for d, ids, m in _groups(batches, most):
-            made = (ids, m) if leaf is None else KdTree(ids, m, leaf)
-            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([pickle.dumps(made, 5)], pa.binary())], names=["dim", "data"])
+            name = uuid.uuid4().hex
+            fs.create_dir(path, recursive=True)
+            with fs.open_output_stream(f"{path}/{name}") as out:
+                out.write(pickle.dumps((ids, m) if leaf is None else KdTree(ids, m, leaf), 5))
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([name])], names=["dim", "rows", "file"])
 
     return run
 
 
-def _searcher(top: int):
-    schema = pa.schema([("block", pa.int64()), ("turn", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+def _read(folder: str, name: str):
+    fs, path = _fs(folder)
+    with fs.open_input_file(f"{path}/{name}") as f:
+        return pickle.loads(f.read())
+
 
-    def out(block: int, ids: np.ndarray, best: list) -> pa.RecordBatch:
-        rows = [(block, i, int(q), v, -s) for i, (q, own) in enumerate(zip(ids, best)) for s, v in own]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
+def _searcher(folder: str, top: int):
+    schema = pa.schema([("block", pa.int64()), ("turn", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, queries, best = None, None, None, []
         for b in batches:
-            for block, asked, tree in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                if block != now:
-                    if now is not None:
-                        yield out(now, ids, best)
-                    now, (ids, queries) = block, pickle.loads(asked.as_py())
-                    best = [[] for _ in ids]
-                t = pickle.loads(tree.as_py())
-                most = float(np.abs(queries).max(initial=0))
-                if (held := _number(t.vectors, most)) is not t.vectors:
-                    t.vectors, t.low, t.high = held, t.low.astype(np.float64), t.high.astype(np.float64)
-                    asked_as = queries.astype(np.float64)
-                else:
-                    asked_as = queries
-                for i in range(len(ids)):
-                    best[i] = t.search(asked_as[i], int(ids[i]), best[i], top)
-        if now is not None:
-            yield out(now, ids, best)
+            for block, asked, trees in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                ids, queries = _read(folder, asked)
+                best = [[] for _ in ids]
+                most = float(np.abs(queries.astype(np.float64)).max(initial=0))
+                for name in sorted(trees):
+                    t = _read(folder, name)
+                    held = _number(t.vectors, most)
+                    kind = held.dtype
+                    t.vectors, t.low, t.high = held, t.low.astype(kind), t.high.astype(kind)
+                    asked_as = queries.astype(kind)
+                    for i in range(len(ids)):
+                        best[i] = t.search(asked_as[i], int(ids[i]), best[i], top)
+                rows = [(block, i, int(q), v, -s) for i, (q, own) in enumerate(zip(ids, best)) for s, v in own]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
 
-def top_k(embeddings: DataFrame, top: int = TOP, every: int = EVERY, scale: int = SCALE, shard_rows: int = SHARD_ROWS, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+def top_k(embeddings: DataFrame, top: int = TOP, every: int = EVERY, scale: int = SCALE, shard_rows: int = SHARD_ROWS, leaf: int = LEAF, block: int = BLOCK, lane: int = LANE) -> DataFrame:
     """query_id, rank, vec_id, score for each row whose id ``every`` divides."""
     folder = shared_folder(embeddings.sparkSession)
+    files, number, packed = f"{folder}/files", F.monotonically_increasing_id(), "dim int, rows long, file string"
     rows = whole_vectors(embeddings, scale)
-    number = F.monotonically_increasing_id()
-    trees = stored(rows.mapInArrow(_packed(shard_rows, leaf), "dim int, data binary").withColumn("tree", number), folder, "trees")
-    blocks = stored(rows.filter(F.col("vec_id") % every == 0).mapInArrow(_packed(block, None), "dim int, data binary").withColumn("block", number), folder, "blocks")
-    # every block of the stated queries meets every shard: this lists numbers, and the payloads follow by key
-    pairs = blocks.select("block", "dim").join(trees.select("tree", "dim"), "dim").select("block", "tree")
-    met = pairs.join(trees.select("tree", F.col("data").alias("shard")), "tree").join(blocks.select("block", F.col("data").alias("asked")), "block")
-    lanes = met.repartition("block", F.col("tree") % 4).sortWithinPartitions("block", "tree").select("block", "asked", "shard")
-    found = lanes.mapInArrow(_searcher(top), "block long, turn int, query_id long, vec_id long, score long")
+    trees = stored(rows.mapInArrow(_packed(files, shard_rows, leaf), packed), folder, "trees")
+    # the queries are a hundredth of the rows: gathered from small tasks into whole blocks
+    asked = rows.filter(F.col("vec_id") % every == 0)
+    asked = asked.repartition(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-asked.count() // block)))))
+    blocks = stored(asked.mapInArrow(_packed(files, block, None), packed).withColumn("block", number), folder, "blocks")
+    place = F.pmod(F.xxhash64("file"), F.lit(max(1, -(-trees.count() // lane)))).alias("lane")
+    lanes = trees.groupBy("dim", place).agg(F.collect_list("file").alias("trees"))  # about ``lane`` names each
+    # every block of the stated queries meets every lane: names alone, a task for each pair
+    pairs = stored(blocks.select("block", "dim", F.col("file").alias("asked")).join(lanes, "dim").select("block", "asked", "trees"), folder, "pairs")
+    dealt = pairs.repartition(max(1, pairs.count()), "block", "trees")
+    found = dealt.mapInArrow(_searcher(files, top), "block long, turn int, query_id long, vec_id long, score long")
     best = Window.partitionBy("block", "turn").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -181,13 +204,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAME = "op6_exact_top_k"
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  SELECT vec_id, row_number() OVER () AS turn, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  SELECT q.vec_id AS query_id, q.turn AS query_row, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
   WHERE q.vec_id % 100 = 0)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+SELECT query_id, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 10
 """

@@ -24,13 +24,13 @@ def check(spark, rows, **kw):
 def test_tables(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()]
-    assert Counter(map(tuple, top_k(df, shard_rows=300, leaf=16, block=3).collect())) == brute(rows)
+    assert Counter(map(tuple, top_k(df, shard_rows=300, leaf=16, block=3, lane=3).collect())) == brute(rows)
 
 
 def test_ties_copies_and_odd_vectors(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [1.0, 0.5, -0.25]) for i in range(0, 400)] + [(i, rng.normal(size=3).tolist()) for i in range(400, 700)]
-    rows += [(None, [1.0, 1.0, 1.0]), (701, None), (702, [1.0, None, 2.0]), (703, [float("nan"), 1.0, 1.0]), (704, [float("inf"), 0.0, 0.0]), (800, [1.0, 2.0]), (801, [3.0, 1.0]), (900, []), (901, []), (650, [9.0, 9.0, 9.0]), (650, [9.0, 9.0, 9.0])]
+    rows += [(None, [1.0, 1.0, 1.0]), (701, None), (702, [1.0, None, 2.0]), (703, [float("nan"), 1.0, 1.0]), (704, [float("inf"), 0.0, 0.0]), (800, [1.0, 2.0]), (801, [3.0, 1.0]), (900, []), (901, []), (650, [9.0, 9.0, 9.0]), (650, [9.0, 9.0, 9.0]), (300, [0.5, 2.0, 1.0])]
     check(spark, rows, shard_rows=64, leaf=8, block=4)
 
 
@@ -59,3 +59,16 @@ def test_search_skips_most_of_a_clustered_shard():
     got = t.search(v[7], 7, [], 10)
     want = sorted((-int(s), i) for i, s in enumerate(v @ v[7]) if i != 7)[:10]
     assert got == want and sum(seen) < len(v) / 4
+
+
+def test_scores_beyond_doubles_and_products_beyond_longs(spark):
+    check(spark, [(100 * i, [3e9 + i * 1e6, -3e9, 1.0]) for i in range(4)] + [(i, [1e6 * i, 1e6, -1.0]) for i in range(1, 30)])
+    big = [(100, [1e12, -1e12, 1.0])] + [(i, [1e12, 1e12 + i, 1.0]) for i in range(1, 9)]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    want = sorted((-sum(int(np.floor(1024 * a)) * int(np.floor(1024 * b)) for a, b in zip(big[0][1], v)), i) for i, v in big[1:])
+    assert [(r.vec_id, r.score) for r in top_k(df).orderBy("rank").collect()] == [(i, -s) for s, i in want]
+
+
+def test_further_columns(spark):
+    df = spark.sql("SELECT CAST(id AS long) AS vec_id, array(1.0D, id) AS embedding, 5 AS dim, 'f' AS file, array(1) AS VEC_ID2, interval 1 day AS block FROM range(250)")
+    assert top_k(df).count() == 30
