@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,21 +96,45 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
 HOT_SHARE = 1024
 
 
-def spread_join(rows: DataFrame, side: DataFrame, key: str, turn: Column) -> DataFrame:
+def spread_join(rows: DataFrame, side: DataFrame, key: str, turn: Column, keys: DataFrame | None = None) -> DataFrame:
     """``rows`` inner-joined with ``side``, which has a row for each ``key``, without a key's rows meeting in one task.
 
     Keys that hold over 1/1024 of the rows, of which there are at most 1,024 whatever the size, are dealt over as many
     places as their rows ask for, by ``turn`` (a long that differs between rows), and the side's row goes to each.
-    ``rows`` is read twice, so it should be a written table.
+    Keys are counted in ``rows``, which should be a written table, or in ``keys``, which has the key of each row.
     """
-    total = rows.count()
+    keys = rows.select(key) if keys is None else keys
+    total = keys.count()
     share = F.ceil(F.count(F.lit(1)) * HOT_SHARE / max(1, total)).cast("int")
-    hot = F.broadcast(rows.groupBy(key).agg(share.alias("hot_places")).filter("hot_places > 1"))
+    hot = F.broadcast(keys.groupBy(key).agg(share.alias("hot_places")).filter("hot_places > 1"))
     dealt = rows.join(hot, key, "left").withColumn("hot_place", F.when(F.col("hot_places").isNull(), 0).otherwise(F.pmod(F.xxhash64(turn), F.col("hot_places"))).cast("int")).drop("hot_places")
     places = F.explode(F.expr("if(hot_places is null, array(0), sequence(0, hot_places - 1))")).alias("hot_place")
     return dealt.join(side.join(hot, key, "left").select(*side.columns, places), [key, "hot_place"]).drop("hot_place")
 
 
+class Kept:
+    """A written table of bounded size, read once in each worker process: its columns as arrays. It never passes the driver."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    @property
+    def value(self) -> dict[str, np.ndarray]:
+        return _columns(self.path)
+
+
+@lru_cache(maxsize=2)
+def _columns(path: str) -> dict[str, np.ndarray]:
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSelector, FileSystem
+
+    fs, top = FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"file://{path}")
+    parts = [pq.read_table(fs.open_input_file(f.path)) for f in fs.get_file_info(FileSelector(top)) if f.base_name.endswith(".parquet")]
+    whole = pa.concat_tables(parts) if parts else None
+    return {n: whole[n].to_numpy() for n in whole.column_names} if whole is not None and len(whole) else {}
+
+
 def hash_sample(df: DataFrame, hash_: str, n: int, order: list[str]) -> DataFrame:
     """At most ``n`` rows by least hash: a share of the hashes that holds about twice as many, then the first of these.
 

@@ -7,13 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
-_VALUE = np.arange(1, 257, dtype=np.uint64)
-_VALUE[65:91] += np.uint64(32)  # A-Z as a-z
-_powers: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += np.uint64(32)  # A-Z as a-z
+#: Bytes that are worked on at once, and places in a word whose values are looked up.
+SLICE, NEAR = 1 << 21, 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,14 +24,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _scale(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 21)
-        for i, b in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p)
-    return _powers
+def _value(lowered: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A random-looking number for a byte at a place in its word; a word's hash is the sum of these."""
+    return mix(lowered * np.uint64(0x9E3779B97F4A7C15) + (place + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
+
+
+_NEAR = _value(np.repeat(_LOWER, NEAR), np.tile(np.arange(NEAR, dtype=np.uint64), 256))
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,28 +52,41 @@ def blocks(offsets: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, in
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end byte of each word of these texts, A-Z lower-cased, and each text's number of words."""
-    first = int(offsets[0])
-    data, cuts = data[first : int(offsets[-1])], offsets - first
-    n = len(data)
-    counts = np.zeros(len(offsets) - 1, np.int64)
-    if not n:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), counts
+    """Hash, first byte and end byte of each word of these texts, A-Z lower-cased, and each text's number of words.
+
+    Bytes are taken in slices that end at white space, so that what is held besides the result is bounded.
+    """
+    parts, a, last = [], int(offsets[0]), int(offsets[-1])
+    while a < last:
+        b = min(last, a + SLICE)
+        while b < last and not _WHITE[data[b]]:
+            ahead = np.flatnonzero(_WHITE[data[b : min(last, b + 4096)]])
+            b = min(last, b + (int(ahead[0]) if len(ahead) else 4096))
+        parts.append(_slice(data[a:b], offsets[(offsets > a) & (offsets < b)] - a, a))
+        a = b
+    h, s, e = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+    return h, s, e, np.diff(np.searchsorted(s, offsets)).astype(np.int64)
+
+
+def _slice(data: np.ndarray, cuts: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     white = _WHITE[data]
-    edge = np.zeros(n + 1, bool)
+    edge = np.zeros(len(data) + 1, bool)
     edge[cuts] = True
     begins, ends = ~white, ~white
     begins[1:] &= white[:-1] | edge[1:-1]
     ends[:-1] &= white[1:] | edge[1:-1]
     s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = _scale(n)
-    sums = _VALUE[data]
-    sums *= power[:n]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(sums)])
-    h = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-    bounds = np.searchsorted(s, cuts)
-    counts[:] = np.diff(bounds)
-    return h, s + first, e + first, counts
+    if not len(s):
+        return np.empty(0, np.uint64), s, e
+    size = e - s
+    flat = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(flat, size)
+    letters = data[~white]
+    value = _NEAR[letters.astype(np.int64) * NEAR + np.minimum(place, NEAR - 1)]
+    far = np.flatnonzero(place >= NEAR)
+    if len(far):
+        value[far] = _value(_LOWER[letters[far]], place[far].astype(np.uint64))
+    return mix(np.add.reduceat(value, flat) + size.astype(np.uint64)), s + first, e + first
 
 
 def sequences(h: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
