@@ -6,16 +6,24 @@ have the smallest hash. Places depend on content alone, so equal passages keep e
 the words from there on; each is compared with its neighbours, and matches are extended to the left and the right.
 A match of ``least`` words or more covers windows. Where a suffix keeps windows that its neighbours don't cover, the
 windows of its group are compared by hash, so that a partner further off in the order is not missed: the result is
-exact. Windows that are covered and overlap are one passage.
+exact.
+
+A passage is a longest run of windows that the same set of texts have, and its class is a hash of that set: rows of one
+class hold passages that exactly these texts share, so which documents share a passage is a lookup by class, and no pairs
+are made. Where the set changes, a passage ends and the next begins; neighbouring ones may overlap by up to
+``least - 1`` words, as their windows do.
 
 A count sketch of fixed size, over all texts, tells suffixes whose k words no other text has; they are not sent at
-all, others carry the ``2 * least - k`` words around them. It also tells how many texts share a suffix's words: a
-frequent one is dealt over as many groups as its count asks for. A group answers for windows that meet in it; the
-rest, and one of each kind that met, are compared once more by the window's hash, which no group has twice. Copies of
-a text are one text from the start.
+all, others carry the ``2 * least - k`` words around them. Far beyond its size it tells none, and every suffix is sent: for
+the ~2 suffixes that ``least - k`` words keep that is about 3 times the input, in proportion at every size. The sketch
+also tells how many texts share a suffix's words: a frequent one is dealt over as many groups as its count asks for, and
+its windows' sets are added up once more by the window's hash, of which no group has two. Copies of a text are one text
+from the start.
 
 Defined results: words are compared with A-Z lower-cased; repeats inside one document don't count; documents (rows)
-with equal text of ``least`` words or more repeat as a whole; null, empty and shorter texts have no passages.
+with equal text of ``least`` words or more repeat as a whole, in classes of that text alone where no other text has the
+words; null, empty and shorter texts have no passages; a very long text is read whole, its words in slices; a null doc_id
+is kept; further columns are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glosswork.llm import sketch
-from glosswork.llm.common import documents, shared_folder, stored, table
+from glosswork.llm.common import documents, shared_folder, spread_join, stored, table
 from glosswork.llm.hashing import blocks, mix, sequences, utf8, words
 
 LEAST, K = 50, 10
@@ -142,6 +150,21 @@ def _dealer(least: int, k: int, shared_cells, buckets: int):
     return run
 
 
+def sets_of(name: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of some named windows of texts: a hash of the set of texts that have it, and how many these are."""
+    order = np.lexsort((text, name))
+    n, t = name[order], text[order]
+    head = np.append(True, n[1:] != n[:-1])
+    new = head | np.append(True, t[1:] != t[:-1])
+    first = np.flatnonzero(head)
+    of = np.cumsum(head) - 1
+    sums = np.add.reduceat(np.where(new, mix(t.view(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5)), np.uint64(0)), first)
+    held = np.add.reduceat(new.astype(np.int64), first)
+    out, many = np.empty(len(name), np.uint64), np.empty(len(name), np.int64)
+    out[order], many[order] = sums[of], held[of]
+    return out, many
+
+
 def covered(key: np.ndarray, text: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, around: np.ndarray, least: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which windows of each suffix another text has; which are its own windows; all by how far left of the place they begin.
 
@@ -195,12 +218,12 @@ def covered(key: np.ndarray, text: np.ndarray, place: np.ndarray, first: np.ndar
     return got, own, window
 
 
-_FOUND = pa.schema([("text_hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("window", pa.int64())])
+_FOUND = pa.schema([("text_hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("window", pa.int64()), ("class", pa.int64()), ("texts", pa.int64())])
 
 
 def _matcher(least: int, k: int):
-    """(text, first, last) runs of windows that repeat; and, from groups that are parts of a frequent suffix's, windows to
-    compare elsewhere: by hash, with their text and place where nothing met them yet, without where they met."""
+    """(text, first, last, class, texts): runs of windows of one set of texts. From groups that are parts of a frequent
+    suffix's, instead, every window's hash with its text and place, and once a group, without these, its part of the set."""
     size = 2 * least - k
 
     def match(parts: list) -> Iterator[pa.RecordBatch]:
@@ -220,19 +243,24 @@ def _matcher(least: int, k: int):
         for a, b in zip(chunks[:-1], chunks[1:]):
             s = slice(a, b)
             got, own, window = covered(key[s], text[s], place[s].astype(np.int64), first[s].astype(np.int64), last[s].astype(np.int64), around[s], least, k)
-            wide = np.zeros((b - a, got.shape[1] + 2), np.int8)
-            wide[:, 1:-1] = got
-            step = np.diff(wide, axis=1)
-            r, low = np.nonzero(step == 1)
-            _, high = np.nonzero(step == -1)
-            p = place[s][r].astype(np.int64)
-            out = [text[s][r], p - high + 1, p - low, np.zeros(len(r), np.int64)]
             far = salted[s]
+            label, many = np.zeros(got.shape, np.uint64), np.zeros(got.shape, np.int64)
+            r, c = np.nonzero(got & ~far[:, None])
+            if len(r):
+                label[r, c], many[r, c] = sets_of(mix(window[r, c] + mix(key[s][r])), text[s][r])
+            wide = np.pad(label, ((0, 0), (1, 1)))
+            r, low = np.nonzero((wide[:, 1:-1] != wide[:, :-2]) & (label != 0))
+            _, high = np.nonzero((wide[:, 1:-1] != wide[:, 2:]) & (label != 0))
+            p = place[s][r].astype(np.int64)
+            out = [text[s][r], p - high, p - low, np.zeros(len(r), np.int64), label[r, low].view(np.int64), many[r, low]]
             if far.any():
-                r, c = np.nonzero((own & ~got)[far])
-                t, p = text[s][far][r], place[s][far][r].astype(np.int64)
-                seen = np.unique(window[far][got[far]])
-                out = [np.concatenate(z) for z in zip(out, [t, p - c, p - c, window[far][r, c].view(np.int64)], [np.zeros(len(seen), np.int64), np.full(len(seen), -1), np.full(len(seen), -1), seen.view(np.int64)])]
+                r, c = np.nonzero(own[far])
+                t, p, w = text[s][far][r], place[s][far][r].astype(np.int64), window[far][r, c]
+                name = mix(w + mix(key[s][far][r]))
+                part, held = sets_of(name, t)
+                once = np.unique(name, return_index=True)[1]
+                none, gone = np.zeros(len(r), np.int64), np.full(len(once), -1)
+                out = [np.concatenate(z) for z in zip(out, [t, p - c, p - c, w.view(np.int64), none, none], [none[once], gone, gone, w[once].view(np.int64), part[once].view(np.int64), held[once]])]
             if len(out[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(f.type.to_pandas_dtype())) for x, f in zip(out, _FOUND)], schema=_FOUND)
 
@@ -253,7 +281,8 @@ def _matcher(least: int, k: int):
 
 
 def repeated(docs: DataFrame, least: int = LEAST, k: int = K, cells: int = CELLS) -> DataFrame:
-    """doc_id, start_word, end_word (exclusive) of every passage that another document has too, and the document's n_words."""
+    """doc_id, start_word, end_word (exclusive), class_id, texts of every passage that another document has too, and the
+    document's n_words; ``texts`` is how many different texts the class has."""
     folder = shared_folder(docs.sparkSession)
     texts = documents(docs)
     seen = stored(texts.mapInArrow(_surveyor(least, k, cells), "doc_id long, text_hash long, n_words long, kept long, block int, data binary"), folder, "seen")
@@ -262,23 +291,33 @@ def repeated(docs: DataFrame, least: int = LEAST, k: int = K, cells: int = CELLS
     buckets = max(16, -(-rows.agg(F.coalesce(F.sum("kept"), F.lit(0))).first()[0] // PER_BUCKET))
     dealt = texts.mapInArrow(_dealer(least, k, counts, buckets), "bucket int, keys array<long>, texts array<long>, places array<int>, firsts array<int>, lasts array<int>, salted array<boolean>, around binary")
     sorted_ = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = stored(sorted_.mapInArrow(_matcher(least, k), "text_hash long, first int, last int, window long"), folder, "found")
-
-    asked = found.filter("window <> 0")
-    several = asked.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
-    late = asked.filter("first >= 0").join(several, "window").select("text_hash", "first", "last")
-    runs = found.filter("window = 0").select("text_hash", "first", "last").unionByName(late)
-    # windows first..last of least words each, merged where they overlap or touch; a text's own runs only
-    merged = F.expr(
-        f"aggregate(array_sort(collect_set(struct(first as s, last + {least} as e))), cast(array() as array<struct<s:int,e:int>>), "
-        "(a, x) -> case when size(a) > 0 and element_at(a, -1).e >= x.s then concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s as s, greatest(element_at(a, -1).e, x.e) as e))) else concat(a, array(x)) end)"
-    )
-    spans = runs.groupBy("text_hash").agg(merged.alias("spans"))
-    copies = rows.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("words"))
-    whole = F.when((F.col("copies") > 1) & (F.col("words") >= least), F.array(F.struct(F.lit(0).alias("s"), F.col("words").cast("int").alias("e"))))
-    by_text = copies.join(spans, "text_hash", "left").select("text_hash", F.coalesce(whole, "spans").alias("spans")).filter("spans is not null")
-    met = rows.select("doc_id", "text_hash", "n_words").join(by_text, "text_hash")
-    return met.select("doc_id", "n_words", F.explode("spans").alias("x")).select("doc_id", F.col("x.s").cast("long").alias("start_word"), F.col("x.e").cast("long").alias("end_word"), "n_words")
+    found = stored(sorted_.mapInArrow(_matcher(least, k), "text_hash long, first int, last int, window long, class long, texts long"), folder, "found")
+
+    parts = found.filter("window <> 0 and first < 0").select("window", F.col("class").cast("decimal(38,0)").alias("class"), "texts")
+    # 64-bit sums that wrap around, as in a task
+    wrapped = F.expr("cast(pmod(sum(class) + 9223372036854775808, 18446744073709551616) - 9223372036854775808 as long)")
+    whole = parts.groupBy("window").agg(wrapped.alias("class"), F.sum("texts").alias("texts")).filter("texts > 1")
+    asked = stored(found.filter("window <> 0 and first >= 0").select("text_hash", "first", "last", "window"), folder, "asked")
+    late = spread_join(asked, whole, "window", F.col("text_hash")).select("text_hash", "first", "last", "class", "texts")
+    runs = found.filter("window = 0").select("text_hash", "first", "last", "class", "texts").unionByName(late)
+
+    # a text's runs that follow on each other and are of one class are one passage
+    place = Window.partitionBy("text_hash").orderBy("first")
+    new = (F.lag("last").over(place) + 1 == F.col("first")) & (F.lag("class").over(place) == F.col("class"))
+    island = runs.withColumn("new", F.when(new, 0).otherwise(1)).withColumn("island", F.sum("new").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = island.groupBy("text_hash", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("class").alias("class"), F.first("texts").alias("texts"))
+    span = lambda first, last, class_, n: F.struct(first.cast("long").alias("s"), last.cast("long").alias("e"), class_.alias("class"), F.lit(n).cast("long").alias("texts"))
+    spans = merged.groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct(F.col("first").cast("long").alias("s"), F.col("last").cast("long").alias("e"), "class", "texts"))).alias("spans"))
+    copies = rows.filter(F.col("n_words") >= least).groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("words"))
+    by_text = copies.join(spans, "text_hash", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<s:bigint,e:bigint,class:bigint,texts:bigint>>")))
+    # between and around these, windows of a copied text are its copies' alone
+    own, end = F.xxhash64("text_hash", F.lit("copies")), F.col("words") - least
+    ends = F.concat(F.array(F.lit(-1).cast("long")), F.transform("spans", lambda x: x["e"]))
+    begins = F.concat(F.transform("spans", lambda x: x["s"]), F.array(end + 1))
+    gaps = F.filter(F.transform(F.arrays_zip(ends.alias("a"), begins.alias("b")), lambda x: span(x["a"] + 1, x["b"] - 1, own, 1)), lambda x: x["s"] <= x["e"])
+    by_text = by_text.select("text_hash", F.when(F.col("copies") > 1, F.concat("spans", gaps)).otherwise(F.col("spans")).alias("spans")).filter(F.size("spans") > 0)
+    met = spread_join(rows.select("doc_id", "text_hash", "n_words"), by_text, "text_hash", F.monotonically_increasing_id())
+    return met.select("doc_id", "n_words", F.explode("spans").alias("x")).select("doc_id", F.col("x.s").alias("start_word"), (F.col("x.e") + least).alias("end_word"), "n_words", F.col("x.class").alias("class_id"), F.col("x.texts").alias("texts"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from glosswork.llm.repeats import repeated
 
 
 def brute(pairs, least):
-    """Windows of ``least`` words that another document has, merged."""
+    """Longest runs of windows of ``least`` words that one set of texts has, where that set is several documents; and these sets."""
     toks = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in pairs]
     texts = {}
     owner = [texts.setdefault(t or "", i) for i, (_, t) in enumerate(pairs)]
@@ -22,20 +22,38 @@ def brute(pairs, least):
             where[tuple(w[j : j + least])].add(owner[i])
     out = []
     for i, ((k, _), w) in enumerate(zip(pairs, toks)):
-        spans = []
+        runs, last = [], None
         for j in range(len(w) - least + 1):
-            if copies[owner[i]] > 1 or len(where[tuple(w[j : j + least])]) > 1:
-                if spans and spans[-1][1] >= j:
-                    spans[-1][1] = j + least
+            own = frozenset(where[tuple(w[j : j + least])])
+            if copies[owner[i]] > 1 or len(own) > 1:
+                if runs and last == j - 1 and runs[-1][2] == own:
+                    runs[-1][1] = j + least
                 else:
-                    spans.append([j, j + least])
-        out += [(str(k), a, b, len(w)) for a, b in spans]
-    return sorted(out)
+                    runs.append([j, j + least, own])
+                last = j
+        out += [(str(k), a, b, len(w), own) for a, b, own in runs]
+    return out
 
 
 def check(df, least=50, **how):
     pairs = [(r[0], r[1]) for r in df.collect()]
-    assert sorted((str(r.doc_id), r.start_word, r.end_word, r.n_words) for r in repeated(df, least, **how).collect()) == brute(pairs, least)
+    want = brute(pairs, least)
+    got = repeated(df, least, **how).collect()
+    assert sorted((str(r.doc_id), r.start_word, r.end_word, r.n_words, r.texts) for r in got) == sorted((*w[:4], len(w[4])) for w in want)
+    # a class is a set of texts: one each
+    named, sets = defaultdict(set), {(w[:3]): w[4] for w in want}
+    for r in got:
+        named[r.class_id].add(sets[str(r.doc_id), r.start_word, r.end_word])
+    if len(sets) == len(want):
+        assert all(len(x) == 1 for x in named.values()) and len(named) == len(set(sets.values()))
+    return got
+
+
+def test_passages_of_different_partners_stay_apart(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    got = check(spark.createDataFrame([(1, f"{a} {b}"), (2, f"{a} u"), (3, f"v {b}"), (4, f"{b} w")], "doc_id long, text string"))
+    of = {(r.doc_id, r.start_word, r.end_word): (r.class_id, r.texts) for r in got}
+    assert of[1, 0, 60] == of[2, 0, 60] and of[1, 60, 120] == of[3, 1, 61] == of[4, 0, 60] and of[1, 60, 120][1] == 3
 
 
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
