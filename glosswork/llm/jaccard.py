@@ -49,7 +49,7 @@ from glosswork.llm.hashing import blocks, mix, sequences, utf8, words
 
 WORDS, PERCENT = 5, 75
 #: Sets of a block of a component that is checked in parts, and postings of a bucket, about.
-BLOCK, PER_BUCKET = 256, 2_000_000
+BLOCK, PER_BUCKET = 64, 1_000_000
 #: Rank of the hot shingles, before their counts; no other count is as large.
 HOT = 1 << 40
 #: Kinds of lists: by prefix; by a subset for partners of the same size; by a subset for two different sizes.
