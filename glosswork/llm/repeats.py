@@ -165,6 +165,14 @@ def sets_of(name: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, many
 
 
+def runs(label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, low, high) of every longest run of columns with one label that isn't 0."""
+    wide = np.pad(label, ((0, 0), (1, 1)))
+    r, low = np.nonzero((wide[:, 1:-1] != wide[:, :-2]) & (label != 0))
+    _, high = np.nonzero((wide[:, 1:-1] != wide[:, 2:]) & (label != 0))
+    return r, low, high
+
+
 def covered(key: np.ndarray, text: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, around: np.ndarray, least: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which windows of each suffix another text has; which are its own windows; all by how far left of the place they begin.
 
@@ -218,12 +226,14 @@ def covered(key: np.ndarray, text: np.ndarray, place: np.ndarray, first: np.ndar
     return got, own, window
 
 
-_FOUND = pa.schema([("text_hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("window", pa.int64()), ("class", pa.int64()), ("texts", pa.int64())])
+#: Kinds of what matching finds: a run of windows of one set; from parts of a frequent suffix's group, a window of one
+#: text there, a window's part of its set, a run of one text, and the windows of a run, once for the part.
+RUN, SINGLE, PART, LOCAL, MEANS = range(5)
+_FOUND = pa.schema([("kind", pa.int32()), ("text_hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("window", pa.int64()), ("class", pa.int64()), ("texts", pa.int64())])
 
 
 def _matcher(least: int, k: int):
-    """(text, first, last, class, texts): runs of windows of one set of texts. From groups that are parts of a frequent
-    suffix's, instead, every window's hash with its text and place, and once a group, without these, its part of the set."""
+    """What matching finds, by kind; see there."""
     size = 2 * least - k
 
     def match(parts: list) -> Iterator[pa.RecordBatch]:
@@ -248,19 +258,30 @@ def _matcher(least: int, k: int):
             r, c = np.nonzero(got & ~far[:, None])
             if len(r):
                 label[r, c], many[r, c] = sets_of(mix(window[r, c] + mix(key[s][r])), text[s][r])
-            wide = np.pad(label, ((0, 0), (1, 1)))
-            r, low = np.nonzero((wide[:, 1:-1] != wide[:, :-2]) & (label != 0))
-            _, high = np.nonzero((wide[:, 1:-1] != wide[:, 2:]) & (label != 0))
+            r, low, high = runs(label)
             p = place[s][r].astype(np.int64)
-            out = [text[s][r], p - high, p - low, np.zeros(len(r), np.int64), label[r, low].view(np.int64), many[r, low]]
+            zero = lambda x: np.zeros(len(x), np.int64)
+            out = [[zero(r) + RUN, text[s][r], p - high, p - low, zero(r), label[r, low].view(np.int64), many[r, low]]]
             if far.any():
+                t, p, win = text[s][far], place[s][far].astype(np.int64), window[far]
                 r, c = np.nonzero(own[far])
-                t, p, w = text[s][far][r], place[s][far][r].astype(np.int64), window[far][r, c]
-                name = mix(w + mix(key[s][far][r]))
-                part, held = sets_of(name, t)
-                once = np.unique(name, return_index=True)[1]
-                none, gone = np.zeros(len(r), np.int64), np.full(len(once), -1)
-                out = [np.concatenate(z) for z in zip(out, [t, p - c, p - c, w.view(np.int64), none, none], [none[once], gone, gone, w[once].view(np.int64), part[once].view(np.int64), held[once]])]
+                name = mix(win[r, c] + mix(key[s][far][r]))
+                part, held = sets_of(name, t[r])
+                one, once = held == 1, np.unique(name, return_index=True)[1]
+                w = win[r, c].view(np.int64)
+                out.append([zero(r)[one] + SINGLE, t[r][one], (p[r] - c)[one], (p[r] - c)[one], w[one], zero(r)[one], zero(r)[one]])
+                out.append([zero(once) + PART, zero(once), zero(once), zero(once), w[once], part[once].view(np.int64), held[once]])
+                label = np.zeros(own[far].shape, np.uint64)
+                label[r, c] = np.where(one, np.uint64(0), part)
+                r, low, high = runs(label)
+                name = mix(mix(win[r, high] + np.uint64(1)) + mix(win[r, low] + (high - low).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))).view(np.int64)
+                out.append([zero(r) + LOCAL, t[r], p[r] - high, p[r] - low, name, zero(r), zero(r)])
+                u = np.unique(name, return_index=True)[1]
+                size = (high - low)[u] + 1
+                at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                w = win[np.repeat(r[u], size), np.repeat(high[u], size) - at].view(np.int64)
+                out.append([zero(at) + MEANS, zero(at), at, at, w, np.repeat(name[u], size), zero(at)])
+            out = [np.concatenate(z) for z in zip(*out)]
             if len(out[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(f.type.to_pandas_dtype())) for x, f in zip(out, _FOUND)], schema=_FOUND)
 
@@ -291,15 +312,22 @@ def repeated(docs: DataFrame, least: int = LEAST, k: int = K, cells: int = CELLS
     buckets = max(16, -(-rows.agg(F.coalesce(F.sum("kept"), F.lit(0))).first()[0] // PER_BUCKET))
     dealt = texts.mapInArrow(_dealer(least, k, counts, buckets), "bucket int, keys array<long>, texts array<long>, places array<int>, firsts array<int>, lasts array<int>, salted array<boolean>, around binary")
     sorted_ = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = stored(sorted_.mapInArrow(_matcher(least, k), "text_hash long, first int, last int, window long, class long, texts long"), folder, "found")
+    found = stored(sorted_.mapInArrow(_matcher(least, k), "kind int, text_hash long, first int, last int, window long, class long, texts long"), folder, "found")
 
-    parts = found.filter("window <> 0 and first < 0").select("window", F.col("class").cast("decimal(38,0)").alias("class"), "texts")
     # 64-bit sums that wrap around, as in a task
     wrapped = F.expr("cast(pmod(sum(class) + 9223372036854775808, 18446744073709551616) - 9223372036854775808 as long)")
-    whole = parts.groupBy("window").agg(wrapped.alias("class"), F.sum("texts").alias("texts")).filter("texts > 1")
-    asked = stored(found.filter("window <> 0 and first >= 0").select("text_hash", "first", "last", "window"), folder, "asked")
-    late = spread_join(asked, whole, "window", F.col("text_hash")).select("text_hash", "first", "last", "class", "texts")
-    runs = found.filter("window = 0").select("text_hash", "first", "last", "class", "texts").unionByName(late)
+    parts = found.filter(F.col("kind") == PART).select("window", F.col("class").cast("decimal(38,0)").alias("class"), "texts")
+    whole = stored(parts.groupBy("window").agg(wrapped.alias("class"), F.sum("texts").alias("texts")).filter("texts > 1"), folder, "whole")
+    singles = found.filter(F.col("kind") == SINGLE).select("text_hash", "first", "last", "window")
+    late = spread_join(singles, whole, "window", F.col("text_hash")).select("text_hash", "first", "last", "class", "texts")
+    # a run of one part's set may be several of the whole's: told once for the run, not for each text that has it
+    means = found.filter(F.col("kind") == MEANS).select(F.col("class").alias("run"), "window", "first").distinct().join(whole, "window")
+    places = Window.partitionBy("run").orderBy("first")
+    pieces = means.withColumn("new", F.when(F.lag("class").over(places) == F.col("class"), 0).otherwise(1)).withColumn("piece", F.sum("new").over(places.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = pieces.groupBy("run", "piece").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.first("class").alias("class"), F.first("texts").alias("texts"))
+    local = found.filter(F.col("kind") == LOCAL).select("text_hash", "first", F.col("window").alias("run"))
+    split = spread_join(local, stored(pieces, folder, "pieces"), "run", F.col("text_hash")).select("text_hash", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("last"), "class", "texts")
+    runs = found.filter(F.col("kind") == RUN).select("text_hash", "first", "last", "class", "texts").unionByName(late).unionByName(split)
 
     # a text's runs that follow on each other and are of one class are one passage
     place = Window.partitionBy("text_hash").orderBy("first")
