@@ -8,21 +8,23 @@ A match of ``least`` words or more covers windows. Where a suffix keeps windows
 windows of its group are compared by hash, so that a partner further off in the order is not missed: the result is
 exact.
 
-A passage is a longest run of windows that the same set of texts have, and its class is a hash of that set: rows of one
-class hold passages that exactly these texts share, so which documents share a passage is a lookup by class, and no pairs
-are made. Where the set changes, a passage ends and the next begins; neighbouring ones may overlap by up to
-``least - 1`` words, as their windows do.
+A window's representative is the least text (by hash) that has it, with its place there. A passage is a longest run of
+windows of one representative that follow each other there too, and is returned with its place in it: two texts share a
+window just where their passages meet in the representative's words. So links are rows of a text and a representative,
+one of which each text with a repeated window is or has, and no link between two texts is lost or made a pair. Where the
+representative changes, a passage ends and the next begins; neighbouring ones may overlap by up to ``least - 1`` words,
+as their windows do.
 
 A count sketch of fixed size, over all texts, tells suffixes whose k words no other text has; they are not sent at
 all, others carry the ``2 * least - k`` words around them. Far beyond its size it tells none, and every suffix is sent: for
 the ~2 suffixes that ``least - k`` words keep that is about 3 times the input, in proportion at every size. The sketch
 also tells how many texts share a suffix's words: a frequent one is dealt over as many groups as its count asks for, and
-its windows' sets are added up once more by the window's hash, of which no group has two. Copies of a text are one text
+the least of its windows' representatives is found once more by the window's hash. Copies of a text are one text
 from the start.
 
 Defined results: words are compared with A-Z lower-cased; repeats inside one document don't count; documents (rows)
-with equal text of ``least`` words or more repeat as a whole, in classes of that text alone where no other text has the
-words; null, empty and shorter texts have no passages; a very long text is read whole, its words in slices; a null doc_id
+with equal text of ``least`` words or more repeat as a whole, and represent themselves where no other text has the
+words; of equal texts the least doc_id stands for all; null, empty and shorter texts have no passages; a very long text is read whole, its words in slices; a null doc_id
 is kept; further columns are left out, whatever their names; an empty table gives no rows.
 """
 
@@ -150,19 +152,23 @@ def _dealer(least: int, k: int, shared_cells, buckets: int):
     return run
 
 
-def sets_of(name: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of some named windows of texts: a hash of the set of texts that have it, and how many these are."""
-    order = np.lexsort((text, name))
+def least_of(name: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of some named windows of texts: the least text that has it, its first place there, and how many texts have it."""
+    order = np.lexsort((at, text, name))
     n, t = name[order], text[order]
     head = np.append(True, n[1:] != n[:-1])
     new = head | np.append(True, t[1:] != t[:-1])
     first = np.flatnonzero(head)
     of = np.cumsum(head) - 1
-    sums = np.add.reduceat(np.where(new, mix(t.view(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5)), np.uint64(0)), first)
-    held = np.add.reduceat(new.astype(np.int64), first)
-    out, many = np.empty(len(name), np.uint64), np.empty(len(name), np.int64)
-    out[order], many[order] = sums[of], held[of]
-    return out, many
+    out = [np.empty(len(name), np.int64) for _ in range(3)]
+    for x, y in zip(out, (t[first], at[order][first], np.add.reduceat(new.astype(np.int64), first))):
+        x[order] = y[of]
+    return out[0], out[1], out[2]
+
+
+def _label(rep: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """One number for a representative and how far ahead a window is there; not 0."""
+    return mix(rep.view(np.uint64) + mix(ahead.view(np.uint64))) | np.uint64(1)
 
 
 def runs(label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,10 +232,10 @@ def covered(key: np.ndarray, text: np.ndarray, place: np.ndarray, first: np.ndar
     return got, own, window
 
 
-#: Kinds of what matching finds: a run of windows of one set; from parts of a frequent suffix's group, a window of one
-#: text there, a window's part of its set, a run of one text, and the windows of a run, once for the part.
+#: Kinds of what matching finds: a run of windows of one representative; from parts of a frequent suffix's group, a window
+#: of one text there, a window's representative there, a run of windows, and the windows of a run, once for the part.
 RUN, SINGLE, PART, LOCAL, MEANS = range(5)
-_FOUND = pa.schema([("kind", pa.int32()), ("text_hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("window", pa.int64()), ("class", pa.int64()), ("texts", pa.int64())])
+_FOUND = pa.schema([("kind", pa.int32()), ("text_hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("window", pa.int64()), ("rep", pa.int64()), ("rep_first", pa.int64()), ("texts", pa.int64())])
 
 
 def _matcher(least: int, k: int):
@@ -254,33 +260,34 @@ def _matcher(least: int, k: int):
             s = slice(a, b)
             got, own, window = covered(key[s], text[s], place[s].astype(np.int64), first[s].astype(np.int64), last[s].astype(np.int64), around[s], least, k)
             far = salted[s]
-            label, many = np.zeros(got.shape, np.uint64), np.zeros(got.shape, np.int64)
+            label, rep, rep_at = np.zeros(got.shape, np.uint64), np.zeros(got.shape, np.int64), np.zeros(got.shape, np.int64)
             r, c = np.nonzero(got & ~far[:, None])
+            p = place[s].astype(np.int64)
             if len(r):
-                label[r, c], many[r, c] = sets_of(mix(window[r, c] + mix(key[s][r])), text[s][r])
+                rep[r, c], rep_at[r, c], _ = least_of(mix(window[r, c] + mix(key[s][r])), text[s][r], p[r] - c)
+                label[r, c] = _label(rep[r, c], rep_at[r, c] - (p[r] - c))
             r, low, high = runs(label)
-            p = place[s][r].astype(np.int64)
             zero = lambda x: np.zeros(len(x), np.int64)
-            out = [[zero(r) + RUN, text[s][r], p - high, p - low, zero(r), label[r, low].view(np.int64), many[r, low]]]
+            out = [[zero(r) + RUN, text[s][r], p[r] - high, p[r] - low, zero(r), rep[r, high], rep_at[r, high], zero(r)]]
             if far.any():
-                t, p, win = text[s][far], place[s][far].astype(np.int64), window[far]
+                t, p, win = text[s][far], p[far], window[far]
                 r, c = np.nonzero(own[far])
                 name = mix(win[r, c] + mix(key[s][far][r]))
-                part, held = sets_of(name, t[r])
+                least_text, least_at, held = least_of(name, t[r], p[r] - c)
                 one, once = held == 1, np.unique(name, return_index=True)[1]
                 w = win[r, c].view(np.int64)
-                out.append([zero(r)[one] + SINGLE, t[r][one], (p[r] - c)[one], (p[r] - c)[one], w[one], zero(r)[one], zero(r)[one]])
-                out.append([zero(once) + PART, zero(once), zero(once), zero(once), w[once], part[once].view(np.int64), held[once]])
+                out.append([zero(r)[one] + SINGLE, t[r][one], (p[r] - c)[one], (p[r] - c)[one], w[one], *[zero(r)[one]] * 3])
+                out.append([zero(once) + PART, zero(once), zero(once), zero(once), w[once], least_text[once], least_at[once], held[once]])
                 label = np.zeros(own[far].shape, np.uint64)
-                label[r, c] = np.where(one, np.uint64(0), part)
+                label[r, c] = np.where(one, np.uint64(0), _label(least_text, least_at - (p[r] - c)))
                 r, low, high = runs(label)
                 name = mix(mix(win[r, high] + np.uint64(1)) + mix(win[r, low] + (high - low).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))).view(np.int64)
-                out.append([zero(r) + LOCAL, t[r], p[r] - high, p[r] - low, name, zero(r), zero(r)])
+                out.append([zero(r) + LOCAL, t[r], p[r] - high, p[r] - low, name, *[zero(r)] * 3])
                 u = np.unique(name, return_index=True)[1]
                 size = (high - low)[u] + 1
                 at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
                 w = win[np.repeat(r[u], size), np.repeat(high[u], size) - at].view(np.int64)
-                out.append([zero(at) + MEANS, zero(at), at, at, w, np.repeat(name[u], size), zero(at)])
+                out.append([zero(at) + MEANS, zero(at), at, at, w, np.repeat(name[u], size), zero(at), zero(at)])
             out = [np.concatenate(z) for z in zip(*out)]
             if len(out[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(f.type.to_pandas_dtype())) for x, f in zip(out, _FOUND)], schema=_FOUND)
@@ -302,8 +309,8 @@ def _matcher(least: int, k: int):
 
 
 def repeated(docs: DataFrame, least: int = LEAST, k: int = K, cells: int = CELLS) -> DataFrame:
-    """doc_id, start_word, end_word (exclusive), class_id, texts of every passage that another document has too, and the
-    document's n_words; ``texts`` is how many different texts the class has."""
+    """doc_id, start_word, end_word (exclusive), n_words (the document's), rep_doc_id, rep_start_word of every passage that
+    another document has too: the same words stand in document rep_doc_id from rep_start_word on."""
     folder = shared_folder(docs.sparkSession)
     texts = documents(docs)
     seen = stored(texts.mapInArrow(_surveyor(least, k, cells), "doc_id long, text_hash long, n_words long, kept long, block int, data binary"), folder, "seen")
@@ -311,41 +318,44 @@ def repeated(docs: DataFrame, least: int = LEAST, k: int = K, cells: int = CELLS
     counts = sketch.gathered(seen.filter("block is not null").select("block", "data"), cells, True, folder, "counts")
     buckets = max(16, -(-rows.agg(F.coalesce(F.sum("kept"), F.lit(0))).first()[0] // PER_BUCKET))
     dealt = texts.mapInArrow(_dealer(least, k, counts, buckets), "bucket int, keys array<long>, texts array<long>, places array<int>, firsts array<int>, lasts array<int>, salted array<boolean>, around binary")
-    sorted_ = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = stored(sorted_.mapInArrow(_matcher(least, k), "kind int, text_hash long, first int, last int, window long, class long, texts long"), folder, "found")
+    sorted_ = dealt.repartitionById(buckets, F.col("bucket"))
+    found = stored(sorted_.mapInArrow(_matcher(least, k), "kind int, text_hash long, first int, last int, window long, rep long, rep_first long, texts long"), folder, "found")
 
-    # 64-bit sums that wrap around, as in a task
-    wrapped = F.expr("cast(pmod(sum(class) + 9223372036854775808, 18446744073709551616) - 9223372036854775808 as long)")
-    parts = found.filter(F.col("kind") == PART).select("window", F.col("class").cast("decimal(38,0)").alias("class"), "texts")
-    whole = stored(parts.groupBy("window").agg(wrapped.alias("class"), F.sum("texts").alias("texts")).filter("texts > 1"), folder, "whole")
+    parts = found.filter(F.col("kind") == PART).groupBy("window").agg(F.min(F.struct("rep", "rep_first")).alias("r"), F.sum("texts").alias("texts"))
+    whole = stored(parts.filter("texts > 1").select("window", "r.*"), folder, "whole")
     singles = found.filter(F.col("kind") == SINGLE).select("text_hash", "first", "last", "window")
-    late = spread_join(singles, whole, "window", F.col("text_hash")).select("text_hash", "first", "last", "class", "texts")
-    # a run of one part's set may be several of the whole's: told once for the run, not for each text that has it
-    means = found.filter(F.col("kind") == MEANS).select(F.col("class").alias("run"), "window", "first").distinct().join(whole, "window")
-    places = Window.partitionBy("run").orderBy("first")
-    pieces = means.withColumn("new", F.when(F.lag("class").over(places) == F.col("class"), 0).otherwise(1)).withColumn("piece", F.sum("new").over(places.rowsBetween(Window.unboundedPreceding, 0)))
-    pieces = pieces.groupBy("run", "piece").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.first("class").alias("class"), F.first("texts").alias("texts"))
+    late = spread_join(singles, whole, "window", F.col("text_hash")).select("text_hash", "first", "last", "rep", "rep_first")
+    # a run of one part's representative may have several in the whole: told once for the run, not for each text that has it
+    means = found.filter(F.col("kind") == MEANS).select(F.col("rep").alias("run"), "window", "first").distinct().join(whole, "window")
+    pieces = _islands(means.withColumn("last", F.col("first")), "run").withColumnsRenamed({"first": "a", "last": "b"})
     local = found.filter(F.col("kind") == LOCAL).select("text_hash", "first", F.col("window").alias("run"))
-    split = spread_join(local, stored(pieces, folder, "pieces"), "run", F.col("text_hash")).select("text_hash", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("last"), "class", "texts")
-    runs = found.filter(F.col("kind") == RUN).select("text_hash", "first", "last", "class", "texts").unionByName(late).unionByName(split)
-
-    # a text's runs that follow on each other and are of one class are one passage
-    place = Window.partitionBy("text_hash").orderBy("first")
-    new = (F.lag("last").over(place) + 1 == F.col("first")) & (F.lag("class").over(place) == F.col("class"))
-    island = runs.withColumn("new", F.when(new, 0).otherwise(1)).withColumn("island", F.sum("new").over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = island.groupBy("text_hash", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("class").alias("class"), F.first("texts").alias("texts"))
-    span = lambda first, last, class_, n: F.struct(first.cast("long").alias("s"), last.cast("long").alias("e"), class_.alias("class"), F.lit(n).cast("long").alias("texts"))
-    spans = merged.groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct(F.col("first").cast("long").alias("s"), F.col("last").cast("long").alias("e"), "class", "texts"))).alias("spans"))
-    copies = rows.filter(F.col("n_words") >= least).groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("words"))
-    by_text = copies.join(spans, "text_hash", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<s:bigint,e:bigint,class:bigint,texts:bigint>>")))
+    split = spread_join(local, stored(pieces, folder, "pieces"), "run", F.col("text_hash")).select("text_hash", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("last"), "rep", "rep_first")
+    runs = found.filter(F.col("kind") == RUN).select("text_hash", "first", "last", "rep", "rep_first").unionByName(late).unionByName(split)
+
+    span = lambda s, e, rep, at: F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"), rep.alias("rep"), at.cast("long").alias("rep_first"))
+    spans = _islands(runs, "text_hash").groupBy("text_hash").agg(F.array_sort(F.collect_list(span(F.col("first"), F.col("last"), F.col("rep"), F.col("rep_first")))).alias("spans"))
+    copies = rows.filter(F.col("n_words") >= least).groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("words"), F.min("doc_id").alias("rep_doc_id"))
+    copies = stored(copies, folder, "copies")
+    by_text = copies.join(spans, "text_hash", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<s:bigint,e:bigint,rep:bigint,rep_first:bigint>>")))
     # between and around these, windows of a copied text are its copies' alone
-    own, end = F.xxhash64("text_hash", F.lit("copies")), F.col("words") - least
     ends = F.concat(F.array(F.lit(-1).cast("long")), F.transform("spans", lambda x: x["e"]))
-    begins = F.concat(F.transform("spans", lambda x: x["s"]), F.array(end + 1))
-    gaps = F.filter(F.transform(F.arrays_zip(ends.alias("a"), begins.alias("b")), lambda x: span(x["a"] + 1, x["b"] - 1, own, 1)), lambda x: x["s"] <= x["e"])
-    by_text = by_text.select("text_hash", F.when(F.col("copies") > 1, F.concat("spans", gaps)).otherwise(F.col("spans")).alias("spans")).filter(F.size("spans") > 0)
+    begins = F.concat(F.transform("spans", lambda x: x["s"]), F.array(F.col("words") - least + 1))
+    gaps = F.filter(F.transform(F.arrays_zip(ends.alias("a"), begins.alias("b")), lambda x: span(x["a"] + 1, x["b"] - 1, F.col("text_hash"), x["a"] + 1)), lambda x: x["s"] <= x["e"])
+    passages = by_text.select("text_hash", F.explode(F.when(F.col("copies") > 1, F.concat("spans", gaps)).otherwise(F.col("spans"))).alias("x")).select("text_hash", F.col("x.s").alias("first"), F.col("x.e").alias("last"), "x.rep", "x.rep_first")
+    named = spread_join(stored(_islands(passages, "text_hash"), folder, "passages"), copies.select(F.col("text_hash").alias("rep"), "rep_doc_id"), "rep", F.col("text_hash"))
+    by_text = named.groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct(F.col("first").alias("s"), F.col("last").alias("e"), "rep_doc_id", "rep_first"))).alias("spans"))
     met = spread_join(rows.select("doc_id", "text_hash", "n_words"), by_text, "text_hash", F.monotonically_increasing_id())
-    return met.select("doc_id", "n_words", F.explode("spans").alias("x")).select("doc_id", F.col("x.s").alias("start_word"), (F.col("x.e") + least).alias("end_word"), "n_words", F.col("x.class").alias("class_id"), F.col("x.texts").alias("texts"))
+    out = met.select("doc_id", "n_words", F.explode("spans").alias("x"))
+    return out.select("doc_id", F.col("x.s").alias("start_word"), (F.col("x.e") + least).alias("end_word"), "n_words", "x.rep_doc_id", F.col("x.rep_first").alias("rep_start_word"))
+
+
+def _islands(runs: DataFrame, by: str) -> DataFrame:
+    """``runs`` (first, last, rep, rep_first) of one ``by`` that follow each other, in the representative too, as one."""
+    place = Window.partitionBy(by).orderBy("first")
+    before = lambda c: F.lag(c).over(place)
+    same = (before("last") + 1 == F.col("first")) & (before("rep") == F.col("rep")) & (before("rep_first") - before("first") == F.col("rep_first") - F.col("first"))
+    cut = runs.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("island", F.sum("new").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    return cut.groupBy(by, "island").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("rep").alias("rep"), F.min("rep_first").alias("rep_first")).drop("island")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from glosswork.llm import repeats
@@ -9,51 +10,45 @@ from glosswork.llm.repeats import repeated
 
 
 def brute(pairs, least):
-    """Longest runs of windows of ``least`` words that one set of texts has, where that set is several documents; and these sets."""
+    """Longest runs of windows of ``least`` words that another document has, by the least text that has them and its place."""
     toks = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in pairs]
-    texts = {}
-    owner = [texts.setdefault(t or "", i) for i, (_, t) in enumerate(pairs)]
-    copies = defaultdict(int)
-    for o in owner:
-        copies[o] += 1
+    raw = [(t or "").encode() for _, t in pairs]
+    ends = np.cumsum([0] + [len(x) for x in raw])
+    h = repeats._text_hash(np.frombuffer(b"".join(raw), np.uint8), ends)
+    copies, ids = Counter(h), {}
+    for (k, _), x in zip(pairs, h):
+        ids[x] = min((i for i in (ids.get(x), k) if i is not None), default=None)
     where = defaultdict(set)
-    for i, w in enumerate(toks):
+    for x, w in zip(h, toks):
         for j in range(len(w) - least + 1):
-            where[tuple(w[j : j + least])].add(owner[i])
+            where[tuple(w[j : j + least])].add((x, j))
     out = []
-    for i, ((k, _), w) in enumerate(zip(pairs, toks)):
-        runs, last = [], None
+    for (k, _), x, w in zip(pairs, h, toks):
+        runs = []
         for j in range(len(w) - least + 1):
-            own = frozenset(where[tuple(w[j : j + least])])
-            if copies[owner[i]] > 1 or len(own) > 1:
-                if runs and last == j - 1 and runs[-1][2] == own:
-                    runs[-1][1] = j + least
+            own = where[tuple(w[j : j + least])]
+            if copies[x] > 1 or len({t for t, _ in own}) > 1:
+                rep, at = min(own) if len({t for t, _ in own}) > 1 else (x, j)
+                if runs and runs[-1][1] == j - 1 and runs[-1][2:] == [rep, at - j]:
+                    runs[-1][1] = j
                 else:
-                    runs.append([j, j + least, own])
-                last = j
-        out += [(str(k), a, b, len(w), own) for a, b, own in runs]
-    return out
+                    runs.append([j, j, rep, at - j])
+        out += [(str(k), a, b + least, len(w), str(ids[rep]), a + ahead) for a, b, rep, ahead in runs]
+    return sorted(out)
 
 
 def check(df, least=50, **how):
     pairs = [(r[0], r[1]) for r in df.collect()]
-    want = brute(pairs, least)
     got = repeated(df, least, **how).collect()
-    assert sorted((str(r.doc_id), r.start_word, r.end_word, r.n_words, r.texts) for r in got) == sorted((*w[:4], len(w[4])) for w in want)
-    # a class is a set of texts: one each
-    named, sets = defaultdict(set), {(w[:3]): w[4] for w in want}
-    for r in got:
-        named[r.class_id].add(sets[str(r.doc_id), r.start_word, r.end_word])
-    if len(sets) == len(want):
-        assert all(len(x) == 1 for x in named.values()) and len(named) == len(set(sets.values()))
+    assert sorted((str(r.doc_id), r.start_word, r.end_word, r.n_words, str(r.rep_doc_id), r.rep_start_word) for r in got) == brute(pairs, least)
     return got
 
 
 def test_passages_of_different_partners_stay_apart(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
     got = check(spark.createDataFrame([(1, f"{a} {b}"), (2, f"{a} u"), (3, f"v {b}"), (4, f"{b} w")], "doc_id long, text string"))
-    of = {(r.doc_id, r.start_word, r.end_word): (r.class_id, r.texts) for r in got}
-    assert of[1, 0, 60] == of[2, 0, 60] and of[1, 60, 120] == of[3, 1, 61] == of[4, 0, 60] and of[1, 60, 120][1] == 3
+    assert {(r.doc_id, r.start_word, r.end_word) for r in got} == {(1, 0, 60), (2, 0, 60), (1, 60, 120), (3, 1, 61), (4, 0, 60)}
+    assert len({(r.rep_doc_id, r.rep_start_word) for r in got}) == 2
 
 
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
