@@ -220,15 +220,8 @@ def _dealer(k: int, buckets: int, hot: Kept):
 
 
 def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """The rows of each bucket, as tuples of arrays, from rows in order of bucket."""
-    now, parts = None, []
-    for batch in batches:
-        for i, bucket in enumerate(batch.column(0).to_pylist()):
-            if bucket != now and parts:
-                yield parts
-                parts = []
-            now = bucket
-            parts.append(tuple(None if not batch.column(j)[i].is_valid else batch.column(j)[i].values.to_numpy(zero_copy_only=False) for j in range(1, batch.num_columns)))
+    """The rows of a task's bucket, as tuples of arrays; there is one bucket a task."""
+    parts = [tuple(None if not column[i].is_valid else column[i].values.to_numpy(zero_copy_only=False) for column in batch.columns[1:]) for batch in batches for i in range(len(batch))]
     if parts:
         yield parts
 
@@ -489,8 +482,8 @@ def grouped(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, block: int
     stored(often, folder, "hot")  # at most 1,024 times the mean set's shingles
 
     buckets = max(16, -(-held // per_bucket))
-    asked = texts.mapInArrow(_dealer(k, buckets, Kept(f"{folder}/hot")), _DEALT_DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    shared = asked.mapInArrow(_counter(buckets), _DEALT_DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    asked = texts.mapInArrow(_dealer(k, buckets, Kept(f"{folder}/hot")), _DEALT_DDL).repartitionById(buckets, F.col("bucket"))
+    shared = asked.mapInArrow(_counter(buckets), _DEALT_DDL).repartitionById(buckets, F.col("bucket"))
     alive = stored(shared.mapInArrow(_chooser(percent), "name long, n int, first int, listed int, keys array<long>, ranks array<long>"), folder, "alive")
 
     shapes = alive.filter(F.col("n") <= LIGHT_SIZES).groupBy("n", F.size("keys").alias("shared"), "listed").agg(F.count(F.lit(1)).alias("times")).collect()
@@ -498,7 +491,7 @@ def grouped(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, block: int
     small = boundary([tuple(r) for r in shapes], lists[0] / max(1, lists[1]), percent)
     few = max(16, -(-lists[0] // per_bucket))
     postings = alive.mapInArrow(_lister(percent, small, few), "bucket int, keys array<long>, names array<long>, sizes array<int>, reaches array<int>, kinds array<tinyint>")
-    found = postings.repartition(few, "bucket").sortWithinPartitions("bucket").mapInArrow(_scanner(percent), "a long, b long, times long")
+    found = postings.repartitionById(few, F.col("bucket")).mapInArrow(_scanner(percent), "a long, b long, times long")
     ties = found.unionByName(_hot_ties(alive, percent, folder)).groupBy("a", "b").agg(F.sum("times").alias("times"))
     links, met = _met(stored(ties, folder, "ties"), alive, percent, block, folder)
     groups = met.repartition(max(16, few), "group").sortWithinPartitions("group")
