@@ -9,17 +9,18 @@ windows of its group are compared by hash, so that a partner further off in the
 exact.
 
 A window's representative is the least text (by hash) that has it, with its place there. A passage is a longest run of
-windows of one representative that follow each other there too, and is returned with its place in it: two texts share a
-window just where their passages meet in the representative's words. So links are rows of a text and a representative,
-one of which each text with a repeated window is or has, and no link between two texts is lost or made a pair. Where the
-representative changes, a passage ends and the next begins; neighbouring ones may overlap by up to ``least - 1`` words,
-as their windows do.
+windows of one representative that follow each other there too, and is returned with its place in it. So links are rows
+of a text and a representative, one of which each text with a repeated window is or has: two texts share a window just
+where their passages lead to the same words of the same representative. No link between two texts is lost, and none is
+made a pair. Where the representative changes, a passage ends and the next begins; neighbouring ones may overlap by up to
+``least - 1`` words, as their windows do.
 
 A count sketch of fixed size, over all texts, tells suffixes whose k words no other text has; they are not sent at
 all, others carry the ``2 * least - k`` words around them. Far beyond its size it tells none, and every suffix is sent: for
 the ~2 suffixes that ``least - k`` words keep that is about 3 times the input, in proportion at every size. The sketch
-also tells how many texts share a suffix's words: a frequent one is dealt over as many groups as its count asks for, and
-the least of its windows' representatives is found once more by the window's hash. Copies of a text are one text
+also tells how many texts share a suffix's words: a frequent one is dealt over as many groups as its count asks for. Each group
+has representatives of its own then, and only these are compared by their windows' hashes: a text leads to its group's
+representative, and that one to the least of all; a row that leads to itself is the end. Copies of a text are one text
 from the start.
 
 Defined results: words are compared with A-Z lower-cased; repeats inside one document don't count; documents (rows)
@@ -45,6 +46,8 @@ from glosswork.llm.hashing import blocks, mix, sequences, utf8, words
 LEAST, K = 50, 10
 #: Bytes of the count sketch, and where a key's two cells come from; texts for a group of a frequent suffix, and suffixes for a bucket.
 CELLS, SHIFTS, GROUP, PER_BUCKET = 1 << 25, (5, 33), 256, 20_000
+#: Suffixes that a task holds, with the words around them, before it deals them.
+HELD = 30_000
 
 
 def minimisers(h: np.ndarray, counts: np.ndarray, least: int, k: int):
@@ -117,10 +120,21 @@ def _dealer(least: int, k: int, shared_cells, buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("firsts", pa.list_(pa.int32())), ("lasts", pa.list_(pa.int32())), ("salted", pa.list_(pa.bool_())), ("around", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, seen = shared_cells.value, set()
+        cells, seen, held = shared_cells.value, set(), []
+
+        def dealt() -> pa.RecordBatch:
+            key, text, place, first, last, salted, around = map(np.concatenate, zip(*held))
+            held.clear()
+            to = (key >> np.uint64(24)).astype(np.int64) % buckets
+            order = np.argsort(to, kind="stable")
+            cuts = np.searchsorted(to[order], np.arange(buckets + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x[order])) for x in (key.view(np.int64), text, place.astype(np.int32), first.astype(np.int32), last.astype(np.int32), salted)]
+            raw = around[order]
+            blobs = pa.array([raw[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), *lists, blobs], schema=schema).filter(pa.array(np.diff(cuts) > 0))
+
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            held = []
             for a, b in blocks(offsets):
                 h, _, _, counts = words(data, offsets[a : b + 1])
                 hashes = np.array(_text_hash(data, offsets[a : b + 1]), np.int64)
@@ -134,20 +148,14 @@ def _dealer(least: int, k: int, shared_cells, buckets: int):
                 salts = np.maximum(1, (2.0 ** (logs / 4) / GROUP).astype(np.uint64))
                 salt = mix(hashes[text].view(np.uint64) + key) % salts
                 start = (np.cumsum(counts) - counts)[text]
-                at = (start + place - before)[:, None] + np.arange(size)
+                at = (start + place - before)[:, None] + np.arange(size, dtype=np.int32)
                 inside = (at >= start[:, None]) & (at < (start + counts[text])[:, None])
                 around = np.where(inside, (h[np.clip(at, 0, len(h) - 1)] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
                 held.append((mix(key + salt * np.uint64(0x9E3779B97F4A7C15)), hashes[text], place, first, last, salts > 1, around))
-            if not held:
-                continue
-            key, text, place, first, last, salted, around = map(np.concatenate, zip(*held))
-            to = (key >> np.uint64(24)).astype(np.int64) % buckets
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(buckets + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x[order])) for x in (key.view(np.int64), text, place.astype(np.int32), first.astype(np.int32), last.astype(np.int32), salted)]
-            raw = around[order]
-            blobs = pa.array([raw[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), *lists, blobs], schema=schema).filter(pa.array(np.diff(cuts) > 0))
+                if sum(len(x[0]) for x in held) >= HELD:
+                    yield dealt()
+        if held:
+            yield dealt()
 
     return run
 
@@ -232,9 +240,9 @@ def covered(key: np.ndarray, text: np.ndarray, place: np.ndarray, first: np.ndar
     return got, own, window
 
 
-#: Kinds of what matching finds: a run of windows of one representative; from parts of a frequent suffix's group, a window
-#: of one text there, a window's representative there, a run of windows, and the windows of a run, once for the part.
-RUN, SINGLE, PART, LOCAL, MEANS = range(5)
+#: Kinds of what matching finds: a run of windows of one representative; from parts of a frequent suffix's group, each
+#: window with its representative there and how many texts of the part have it.
+RUN, PART = range(2)
 _FOUND = pa.schema([("kind", pa.int32()), ("text_hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("window", pa.int64()), ("rep", pa.int64()), ("rep_first", pa.int64()), ("texts", pa.int64())])
 
 
@@ -261,33 +269,22 @@ def _matcher(least: int, k: int):
             got, own, window = covered(key[s], text[s], place[s].astype(np.int64), first[s].astype(np.int64), last[s].astype(np.int64), around[s], least, k)
             far = salted[s]
             label, rep, rep_at = np.zeros(got.shape, np.uint64), np.zeros(got.shape, np.int64), np.zeros(got.shape, np.int64)
-            r, c = np.nonzero(got & ~far[:, None])
+            held = np.zeros(got.shape, np.int64)
+            r, c = np.nonzero(np.where(far[:, None], own, got))
             p = place[s].astype(np.int64)
+            name = mix(window[r, c] + mix(key[s][r]))
             if len(r):
-                rep[r, c], rep_at[r, c], _ = least_of(mix(window[r, c] + mix(key[s][r])), text[s][r], p[r] - c)
+                rep[r, c], rep_at[r, c], held[r, c] = least_of(name, text[s][r], p[r] - c)
                 label[r, c] = _label(rep[r, c], rep_at[r, c] - (p[r] - c))
-            r, low, high = runs(label)
+                # in a part, its representatives' windows are led further by their hash, wherever they stand
+                led = far[:, None] & (held > 0) & (rep == text[s][:, None])
+                label[led] = 0
+                r, c = np.nonzero(led)
             zero = lambda x: np.zeros(len(x), np.int64)
-            out = [[zero(r) + RUN, text[s][r], p[r] - high, p[r] - low, zero(r), rep[r, high], rep_at[r, high], zero(r)]]
-            if far.any():
-                t, p, win = text[s][far], p[far], window[far]
-                r, c = np.nonzero(own[far])
-                name = mix(win[r, c] + mix(key[s][far][r]))
-                least_text, least_at, held = least_of(name, t[r], p[r] - c)
-                one, once = held == 1, np.unique(name, return_index=True)[1]
-                w = win[r, c].view(np.int64)
-                out.append([zero(r)[one] + SINGLE, t[r][one], (p[r] - c)[one], (p[r] - c)[one], w[one], *[zero(r)[one]] * 3])
-                out.append([zero(once) + PART, zero(once), zero(once), zero(once), w[once], least_text[once], least_at[once], held[once]])
-                label = np.zeros(own[far].shape, np.uint64)
-                label[r, c] = np.where(one, np.uint64(0), _label(least_text, least_at - (p[r] - c)))
-                r, low, high = runs(label)
-                name = mix(mix(win[r, high] + np.uint64(1)) + mix(win[r, low] + (high - low).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))).view(np.int64)
-                out.append([zero(r) + LOCAL, t[r], p[r] - high, p[r] - low, name, *[zero(r)] * 3])
-                u = np.unique(name, return_index=True)[1]
-                size = (high - low)[u] + 1
-                at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                w = win[np.repeat(r[u], size), np.repeat(high[u], size) - at].view(np.int64)
-                out.append([zero(at) + MEANS, zero(at), at, at, w, np.repeat(name[u], size), zero(at), zero(at)])
+            at = p[r] - c
+            out = [[zero(r) + PART, rep[r, c], at, at, window[r, c].view(np.int64), rep[r, c], rep_at[r, c], np.where(at == rep_at[r, c], held[r, c], 0)]]
+            r, low, high = runs(label)
+            out.append([zero(r) + RUN, text[s][r], p[r] - high, p[r] - low, zero(r), rep[r, high], rep_at[r, high], zero(r)])
             out = [np.concatenate(z) for z in zip(*out)]
             if len(out[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(f.type.to_pandas_dtype())) for x, f in zip(out, _FOUND)], schema=_FOUND)
@@ -321,16 +318,11 @@ def repeated(docs: DataFrame, least: int = LEAST, k: int = K, cells: int = CELLS
     sorted_ = dealt.repartitionById(buckets, F.col("bucket"))
     found = stored(sorted_.mapInArrow(_matcher(least, k), "kind int, text_hash long, first int, last int, window long, rep long, rep_first long, texts long"), folder, "found")
 
-    parts = found.filter(F.col("kind") == PART).groupBy("window").agg(F.min(F.struct("rep", "rep_first")).alias("r"), F.sum("texts").alias("texts"))
-    whole = stored(parts.filter("texts > 1").select("window", "r.*"), folder, "whole")
-    singles = found.filter(F.col("kind") == SINGLE).select("text_hash", "first", "last", "window")
-    late = spread_join(singles, whole, "window", F.col("text_hash")).select("text_hash", "first", "last", "rep", "rep_first")
-    # a run of one part's representative may have several in the whole: told once for the run, not for each text that has it
-    means = found.filter(F.col("kind") == MEANS).select(F.col("rep").alias("run"), "window", "first").distinct().join(whole, "window")
-    pieces = _islands(means.withColumn("last", F.col("first")), "run").withColumnsRenamed({"first": "a", "last": "b"})
-    local = found.filter(F.col("kind") == LOCAL).select("text_hash", "first", F.col("window").alias("run"))
-    split = spread_join(local, stored(pieces, folder, "pieces"), "run", F.col("text_hash")).select("text_hash", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("last"), "rep", "rep_first")
-    runs = found.filter(F.col("kind") == RUN).select("text_hash", "first", "last", "rep", "rep_first").unionByName(late).unionByName(split)
+    parts = found.filter(F.col("kind") == PART).select("window", "text_hash", "first", "texts")
+    whole = parts.groupBy("window").agg(F.min(F.struct("text_hash", "first")).alias("r"), F.sum("texts").alias("texts")).filter("texts > 1")
+    whole = stored(whole.select("window", F.col("r.text_hash").alias("rep"), F.col("r.first").cast("long").alias("rep_first")), folder, "whole")
+    late = spread_join(parts, whole, "window", F.col("text_hash")).select("text_hash", "first", F.col("first").alias("last"), "rep", "rep_first")
+    runs = found.filter(F.col("kind") == RUN).select("text_hash", "first", "last", "rep", "rep_first").unionByName(late)
 
     span = lambda s, e, rep, at: F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"), rep.alias("rep"), at.cast("long").alias("rep_first"))
     spans = _islands(runs, "text_hash").groupBy("text_hash").agg(F.array_sort(F.collect_list(span(F.col("first"), F.col("last"), F.col("rep"), F.col("rep_first")))).alias("spans"))

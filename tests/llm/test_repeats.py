@@ -2,45 +2,47 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 
 from glosswork.llm import repeats
 from glosswork.llm.repeats import repeated
 
 
-def brute(pairs, least):
-    """Longest runs of windows of ``least`` words that another document has, by the least text that has them and its place."""
-    toks = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in pairs]
-    raw = [(t or "").encode() for _, t in pairs]
-    ends = np.cumsum([0] + [len(x) for x in raw])
-    h = repeats._text_hash(np.frombuffer(b"".join(raw), np.uint8), ends)
-    copies, ids = Counter(h), {}
-    for (k, _), x in zip(pairs, h):
-        ids[x] = min((i for i in (ids.get(x), k) if i is not None), default=None)
-    where = defaultdict(set)
-    for x, w in zip(h, toks):
-        for j in range(len(w) - least + 1):
-            where[tuple(w[j : j + least])].add((x, j))
-    out = []
-    for (k, _), x, w in zip(pairs, h, toks):
-        runs = []
-        for j in range(len(w) - least + 1):
-            own = where[tuple(w[j : j + least])]
-            if copies[x] > 1 or len({t for t, _ in own}) > 1:
-                rep, at = min(own) if len({t for t, _ in own}) > 1 else (x, j)
-                if runs and runs[-1][1] == j - 1 and runs[-1][2:] == [rep, at - j]:
-                    runs[-1][1] = j
-                else:
-                    runs.append([j, j, rep, at - j])
-        out += [(str(k), a, b + least, len(w), str(ids[rep]), a + ahead) for a, b, rep, ahead in runs]
-    return sorted(out)
-
-
 def check(df, least=50, **how):
+    """Rows against all windows of all texts: what is covered, that words are equal, and where rows lead."""
     pairs = [(r[0], r[1]) for r in df.collect()]
+    toks = {}
+    for _, t in pairs:
+        toks[t or ""] = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    copies, where = Counter(t or "" for _, t in pairs), defaultdict(set)
+    for t, w in toks.items():
+        for j in range(len(w) - least + 1):
+            where[tuple(w[j : j + least])].add((t, j))
+    shared = {t: {j for j in range(len(w) - least + 1) if copies[t] > 1 or len({x for x, _ in where[tuple(w[j : j + least])]}) > 1} for t, w in toks.items()}
     got = repeated(df, least, **how).collect()
-    assert sorted((str(r.doc_id), r.start_word, r.end_word, r.n_words, str(r.rep_doc_id), r.rep_start_word) for r in got) == brute(pairs, least)
+    ids = defaultdict(list)
+    for k, t in pairs:
+        ids[k].append(t or "")
+    lead, rows = {}, Counter()
+    for r in got:
+        t = next(x for x in ids[r.doc_id] if len(toks[x]) == r.n_words) if len(ids[r.doc_id]) > 1 else ids[r.doc_id][0]
+        rep = ids[r.rep_doc_id][0]
+        n = r.end_word - r.start_word
+        assert n >= least and toks[t][r.start_word : r.end_word] == toks[rep][r.rep_start_word : r.rep_start_word + n]
+        rows[r.doc_id, r.start_word] += 1
+        for j in range(n - least + 1):
+            at = lead.setdefault((t, r.start_word + j), (rep, r.rep_start_word + j))
+            assert at == (rep, r.rep_start_word + j)  # one passage for a window, alike in copies
+    assert {t: {j for x, j in lead if x == t} for t in toks} == shared
+
+    def root(at):
+        while lead[at] != at:
+            at = lead[at]
+        return at
+
+    for w, texts in where.items():
+        if len({t for t, _ in texts}) > 1:
+            assert len({root(at) for at in texts}) == 1  # all texts that share a window lead to the same words
     return got
 
 
