@@ -31,7 +31,8 @@ IRREGULAR = {
 }
 CONSONANTS = "bcdfghjklmnpqrstvwxyz"
 GERMAN_ENDINGS = ("ern", "em", "er", "en", "es", "e", "n", "s")
-LIGATURES = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "ŉ": "n"}
+# Letters that fold to several, or that fold alike without being one letter with marks.
+LIGATURES = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "ŉ": "n", "ς": "σ"}
 
 
 def words(text: Column) -> Column:
@@ -69,11 +70,14 @@ def _fold_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
-def fold(lowered: Column) -> Column:
-    """Lower-case letters without accents."""
-    for long, short in LIGATURES.items():
-        lowered = F.replace(lowered, F.lit(long), F.lit(short))
-    return F.regexp_replace(F.translate(lowered, *_fold_table()), r"[\x{300}-\x{36f}]", "")
+def fold(lowered: Column, marks: str = r"()[\x{300}-\x{36f}]") -> Column:
+    """Lower-case letters without accents; ``marks`` are removed but for what its group takes."""
+    long = lowered
+    for one, several in LIGATURES.items():
+        long = F.replace(long, F.lit(one), F.lit(several))
+    plain = F.translate(F.when(lowered.rlike(f"[{''.join(LIGATURES)}]"), long).otherwise(lowered), *_fold_table())
+    # plain ASCII, as most words are, is done
+    return F.when(lowered.rlike(r"[^\x00-\x7f]"), F.regexp_replace(plain, marks, "$1")).otherwise(lowered)
 
 
 def let(value: Column, use) -> Column:
@@ -100,6 +104,18 @@ def form(word: Column) -> Column:
     return F.regexp_replace(fold(lowered), r"[^\p{L}]", "")
 
 
+def forms(text: Column) -> Column:
+    """The normal forms of a text's words, in order, empty ones left out: what ``form`` gives for each of ``words``.
+
+    The text is folded once as a whole; then letter-like numbers go and what joins letters inside a word closes up, so
+    that words are runs of letters.
+    """
+    # marks that follow no letter are in no word, and part words as they stand
+    folded = fold(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("’"), F.lit("'")), r"([\p{L}\p{Nl}\p{No}])[\x{300}-\x{36f}]+")
+    bare = F.when(folded.rlike(r"[\p{Nl}\p{No}]"), F.regexp_replace(folded, r"[\p{Nl}\p{No}]", "")).otherwise(folded)
+    return F.regexp_extract_all(F.regexp_replace(bare, r"(?<=\p{L})['-](?=\p{L})", ""), F.lit(r"\p{L}+"), F.lit(0))
+
+
 def _cut(text: Column, n: int) -> Column:
     return F.substring(text, F.lit(1), F.length(text) - n)
 
@@ -143,9 +159,10 @@ def matching_key(word: Column, language: Column, mode: str = "exact_form") -> Co
 
 def count_words(text: Column, language: Column) -> Column:
     """Words; characters of unsegmented scripts count a third of a word each, rounded up."""
+    plain = F.regexp_count(text, F.lit(WORD))
     bare = F.regexp_replace(text, SCRIPT, " ")
     script = F.length(text) - F.length(F.regexp_replace(text, SCRIPT, ""))
-    return (F.floor((script + 2) / 3) + F.size(F.regexp_extract_all(bare, F.lit(WORD), F.lit(0)))).cast("int")
+    return F.when(text.rlike(SCRIPT), F.floor((script + 2) / 3) + F.regexp_count(bare, F.lit(WORD))).otherwise(plain).cast("int")
 
 
 def plain_form(word: str) -> str:
@@ -198,12 +215,14 @@ FLAGS = ("no_letters", "url_or_email", "repeated_punctuation", "too_long_chars",
 def quality_flags(text: Column) -> Column:
     """What is wrong with a sentence, in a fixed order; empty if nothing is."""
     n = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    # words are looked at only where a run of what they are made of is long enough
+    long = F.when(text.rlike(r"[\p{L}\p{Nl}\p{No}\x{300}-\x{36f}'\x{2019}-]{36}"), F.exists(words(text), lambda w: F.length(w) > 35)).otherwise(False)
     tests = (
         ~text.rlike(r"\p{L}"),
         text.rlike(URL),
         text.rlike(r"\.{3,}|!{3,}|\?{3,}"),
         F.length(text) > 240,
-        F.exists(words(text), lambda w: F.length(w) > 35),
+        long,
         (n("(") != n(")")) | (n("[") != n("]")),
         text.rlike(r"[{}<>|]"),
     )

@@ -11,8 +11,7 @@ from glosswork.functions import text as T
 
 def sentence_forms(sentences: DataFrame) -> DataFrame:
     """id, language, forms: the distinct normal forms of each sentence, sorted."""
-    forms = F.array_sort(F.array_distinct(F.filter(F.transform(T.words(F.col("full_text")), lambda w: T.form(w)), lambda f: f != "")))
-    return sentences.select("id", "language", forms.alias("forms"))
+    return sentences.select("id", "language", F.array_sort(F.array_distinct(T.forms(F.col("full_text")))).alias("forms"))
 
 
 def postings(forms: DataFrame) -> DataFrame:
@@ -26,10 +25,18 @@ def index_stats(forms: DataFrame) -> DataFrame:
 
 
 def word_forms(sentences: DataFrame) -> DataFrame:
-    """Distinct (form, base) pairs of all words. Forms are made once for each distinct word, stems for each form."""
-    words = sentences.select("language", F.explode(T.words(F.col("full_text"))).alias("w")).distinct()
-    forms = words.select("language", T.form(F.col("w")).alias("form")).filter("form <> ''").distinct()
-    return forms.select("form", T.lemma(F.col("form"), F.col("language")).alias("base")).filter("base <> ''").distinct()
+    """Distinct (form, base) pairs of all words. Stems are made once for each distinct form."""
+    found = sentences.select("language", F.explode(F.array_distinct(T.forms(F.col("full_text")))).alias("form")).distinct()
+    return found.select("form", T.lemma(F.col("form"), F.col("language")).alias("base")).filter("base <> ''").distinct()
+
+
+def word_map(sentences: DataFrame) -> DataFrame:
+    """(id, word_map): each sentence's forms with their bases; a form that came with several keeps the last."""
+    word = F.col("w")
+    forms = sentences.select("id", "language", F.posexplode(T.forms(F.col("full_text"))).alias("place", "w"))
+    pairs = forms.select("id", "place", word.alias("form"), T.lemma(word, F.col("language")).alias("base")).filter("base <> ''")
+    last = pairs.groupBy("id", "form").agg(F.max_by("base", "place").alias("base"))
+    return last.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("form", "base")))).alias("word_map"))
 
 
 def add_word_forms(held: DataFrame, new: DataFrame) -> DataFrame:
@@ -39,8 +46,23 @@ def add_word_forms(held: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def add_sentences(held: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of ``new`` whose (language, full_text) isn't held."""
-    return new.join(held.select("language", "full_text"), ["language", "full_text"], "left_anti").select(new.columns)
+    """Rows of ``new`` whose (language, full_text) isn't held; of rows that are equal in that, the one of least id."""
+    first = new.groupBy("language", "full_text").agg(F.min("id").alias("id"))
+    fresh = first.join(held.select("language", "full_text"), ["language", "full_text"], "left_anti")
+    return new.join(fresh.select("id", "language", "full_text"), ["id", "language", "full_text"], "left_semi").dropDuplicates(["id", "language", "full_text"]).select(new.columns)
+
+
+def held_ids(held: DataFrame, new: DataFrame) -> DataFrame:
+    """(language, full_text, id, inserted) of every distinct text of ``new``: the id that it has in the library after an insert."""
+    first = new.groupBy("language", "full_text").agg(F.min("id").alias("new_id"))
+    met = first.join(held.groupBy("language", "full_text").agg(F.min("id").alias("old_id")), ["language", "full_text"], "left")
+    return met.select("language", "full_text", F.coalesce("old_id", "new_id").alias("id"), F.col("old_id").isNull().alias("inserted"))
+
+
+def recounted(sentences: DataFrame) -> DataFrame:
+    """``sentences`` with a word count of their own where 0 or none is stored."""
+    count = F.when(F.coalesce("word_count", F.lit(0)) > 0, F.col("word_count")).otherwise(T.count_words(F.coalesce("full_text", F.lit("")), F.col("language")))
+    return sentences.withColumn("word_count", count.cast("int"))
 
 
 def of_language(language: Column, wanted: str) -> Column:
@@ -65,6 +87,29 @@ def index_gaps(sentences: DataFrame, forms: DataFrame) -> DataFrame:
     return sentences.select("id").subtract(forms.select("id"))
 
 
+def backfill_index(sentences: DataFrame, forms: DataFrame) -> DataFrame:
+    """``forms`` with the entries that sentences lack; entries of sentences that are gone stay, as an index never deletes."""
+    missing = sentences.join(forms.select("id"), "id", "left_anti")
+    return forms.select("id", "language", "forms").unionByName(sentence_forms(missing))
+
+
+def backfill_word_forms(word_forms: DataFrame, word_map: DataFrame) -> DataFrame:
+    """``word_forms`` with the pairs of an older (word_form, lemma) table that it lacks, blank ones left out."""
+    old = word_map.select(F.col("word_form").alias("form"), F.col("lemma").alias("base")).filter("form <> '' and base <> ''")
+    return word_forms.select("form", "base").unionByName(old).distinct()
+
+
+def once(meta: DataFrame, key: str) -> bool:
+    """Whether a repair is still to be done: no row (key, value) marks it."""
+    return meta.filter(F.col("key") == key).isEmpty()
+
+
+def marked(meta: DataFrame, key: str) -> DataFrame:
+    """``meta`` with the mark of a repair."""
+    done = meta.sparkSession.createDataFrame([(key, "1")], "key string, value string")
+    return meta.filter(F.col("key") != key).select("key", "value").unionByName(done)
+
+
 def top_up(counts: DataFrame, target: int) -> DataFrame:
     """How many sentences each language lacks."""
     return counts.select("language", F.greatest(F.lit(0), F.lit(target) - F.col("sentences")).cast("long").alias("missing"))

@@ -14,10 +14,14 @@ from glosswork.functions import text as T
 REASONS = ("empty", "duplicate", "word_count", "quality", "no_words", "stored")
 
 
+#: More sentences than any text of under 2 GB can hold; keys up to 2 ** 33 fit beside them.
+PLACES = 1 << 30
+
+
 def split_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
     """(ordinal, language, text, translation) of every sentence; ordinal orders by key and place."""
     parts = docs.select(F.col(key).alias("k"), F.col(language).alias("language"), F.posexplode(T.sentences(F.col(text))).alias("place", "text"))
-    return parts.select((F.col("k") * (1 << 20) + F.col("place")).alias("ordinal"), "language", "text", F.lit(None).cast("string").alias("translation"))
+    return parts.select((F.col("k") * PLACES + F.col("place")).alias("ordinal"), "language", "text", F.lit(None).cast("string").alias("translation"))
 
 
 def text_key(text: Column) -> Column:
@@ -28,13 +32,13 @@ def judge(rows: DataFrame, min_words: int = 4, max_words: int = 15, strict: bool
     """``rows`` cleaned, with word_count, flags and skip_reason (null: accepted).
 
     A later row of equal text is a duplicate whatever became of the first. ``stored`` has (language, full_text) that
-    are in the library already.
+    are in the library already. Counts and flags are made before the shuffle that finds duplicates, and so once.
     """
     cleaned = rows.withColumn("text", T.clean(F.col("text"))).withColumn("translation", F.nullif(T.clean(F.col("translation")), F.lit("")))
+    counted = cleaned.withColumn("word_count", T.count_words(F.col("text"), F.col("language"))).withColumn("flags", T.quality_flags(F.col("text")))
     key = F.xxhash64("language", text_key(F.col("text")))
     first = Window.partitionBy("dedupe", "language", text_key(F.col("text"))).orderBy("ordinal")
-    judged = cleaned.withColumn("dedupe", key).withColumn("turn", F.row_number().over(first)).drop("dedupe")
-    judged = judged.withColumn("word_count", T.count_words(F.col("text"), F.col("language"))).withColumn("flags", T.quality_flags(F.col("text")))
+    judged = counted.withColumn("dedupe", key).withColumn("turn", F.row_number().over(first)).drop("dedupe")
     known = F.lit(False)
     if stored is not None:
         judged = judged.join(stored.select(F.col("language").alias("l"), F.col("full_text").alias("f"), F.lit(True).alias("known")).distinct(), (F.col("language") == F.col("l")) & (F.col("text") == F.col("f")), "left").drop("l", "f")
@@ -44,7 +48,7 @@ def judge(rows: DataFrame, min_words: int = 4, max_words: int = 15, strict: bool
         .when(F.col("turn") > 1, "duplicate")
         .when(~F.col("word_count").between(min_words, max_words), "word_count")
         .when((F.size("flags") > 0) & F.lit(strict), "quality")
-        .when(F.size(F.filter(T.words(F.col("text")), lambda w: T.form(w) != "")) == 0, "no_words")
+        .when(~F.col("text").rlike(r"\p{L}") | (F.size(T.forms(F.col("text"))) == 0), "no_words")
         .when(known, "stored")
     )
     return judged.withColumn("skip_reason", reason).drop("turn", "known")

@@ -1,7 +1,7 @@
 """Finding the sentence that covers most due words.
 
-The due side is small and bounded by its own limits, so it is broadcast; postings are joined to it by form, which
-prunes files where they are clustered by form. Prefixes and substrings are resolved on the smaller side first.
+Postings are joined to the due side by form, which prunes files where they are clustered by form; the planner sends the
+due side to all tasks where it is small. Prefixes are resolved on the vocabulary, by equal joins on beginnings.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def due_keys(targets: DataFrame, word_forms: DataFrame | None = None) -> DataFra
     rows = targets.withColumn("row", F.struct("card_id", "match_key", "target_word"))
     tried = rows.select("row", F.posexplode(names).alias("place", "key")).filter("key <> ''")
     bases = resolve_bases(tried.select("key").distinct(), word_forms)
-    first = tried.join(F.broadcast(bases), "key").groupBy("row").agg(F.min_by("base", "place").alias("base"))
+    first = tried.join(bases, "key").groupBy("row").agg(F.min_by("base", "place").alias("base"))
     key = F.coalesce("base", F.nullif("match_key", F.lit("")), F.nullif("lemma", F.lit("")))
     return rows.join(first, "row", "left").withColumn("due_key", key).drop("row", "base").filter("due_key is not null")
 
@@ -68,6 +68,12 @@ def match_query(ordered_terms: DataFrame) -> DataFrame:
     return ordered_terms.groupBy("chunk").agg(F.array_join(F.array_sort(F.collect_set(shown)), " OR ").alias("query"))
 
 
+def with_prefix(forms: DataFrame, wide: DataFrame) -> DataFrame:
+    """Distinct ``forms`` (form) with the rows of ``wide`` whose ``term`` they begin with: an equal join on beginnings."""
+    begins = F.explode(F.transform(F.sequence(F.lit(1), F.length("form")), lambda n: F.substring(F.col("form"), F.lit(1), n))).alias("term")
+    return forms.filter("form <> ''").distinct().select("form", begins).join(wide, "term")
+
+
 def bm25(postings: DataFrame, stats: DataFrame, searched: DataFrame) -> DataFrame:
     """(chunk, id, bm25): lower is better. A term's frequency counts its matching forms, its document count sentences.
 
@@ -75,12 +81,11 @@ def bm25(postings: DataFrame, stats: DataFrame, searched: DataFrame) -> DataFram
     """
     exact = searched.filter("not is_prefix").select("chunk", "term", F.col("term").alias("form"))
     wide = searched.filter("is_prefix")
-    vocabulary = postings.select("form").distinct()
-    by_prefix = vocabulary.join(F.broadcast(wide), F.col("form").startswith(F.col("term"))).select("chunk", F.concat("term", F.lit("*")).alias("term"), "form")
+    by_prefix = with_prefix(postings.select("form"), wide).select("chunk", F.concat("term", F.lit("*")).alias("term"), "form")
     wanted = exact.unionByName(by_prefix).distinct()
-    hits = postings.join(F.broadcast(wanted), "form").groupBy("chunk", "term", "id").agg(F.count(F.lit(1)).alias("f"), F.first("length").alias("length"))
+    hits = postings.join(wanted, "form").groupBy("chunk", "term", "id").agg(F.count(F.lit(1)).alias("f"), F.first("length").alias("length"))
     seen = hits.groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("n"))
-    scored = hits.join(F.broadcast(seen), ["chunk", "term"]).join(F.broadcast(stats))  # one row for each term; one row
+    scored = hits.join(seen, ["chunk", "term"]).join(F.broadcast(stats))  # one row
     idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     part = idf * (F.col("f") * (K1 + 1)) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
@@ -95,25 +100,36 @@ def compatible(scored: DataFrame, limit: int) -> DataFrame:
     return first.select("id", "b.*").orderBy("chunk", "r").limit(4 * limit).select("id", "bm25")
 
 
+def holding(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, form) for every text (id, text) and wanted ``form`` that stands in it: an equal join on the text's pieces of the forms' lengths."""
+    wanted = wanted.select("form").filter("form <> ''").distinct()
+    lengths = wanted.agg(F.collect_set(F.length("form")).alias("lengths"))  # one row
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring(F.col("text"), i, n))
+    pieces = F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.length("text")), cut))
+    return texts.join(F.broadcast(lengths)).select("id", F.explode(F.array_distinct(pieces)).alias("form")).join(wanted, "form")
+
+
 def substring_candidates(sentences: DataFrame, expanded: DataFrame, limit: int) -> DataFrame:
     """For scripts without spaces: sentences that hold forms as they are, by how many, shortest and oldest first."""
-    forms = F.broadcast(expanded.select(F.explode("forms").alias("form")).distinct())  # due forms: a bounded list
-    met = sentences.join(forms, F.col("full_text").contains(F.col("form"))).groupBy("id", "word_count").agg(F.count(F.lit(1)).alias("matches"))
-    return met.orderBy(F.desc("matches"), "word_count", "id").limit(max(4 * limit, 20)).select("id", (-F.col("matches")).cast("double").alias("bm25"))
+    met = holding(sentences.select("id", F.col("full_text").alias("text")), expanded.select(F.explode("forms").alias("form")))
+    counted = sentences.select("id", "word_count").join(met.groupBy("id").agg(F.count(F.lit(1)).alias("matches")), "id")
+    return counted.orderBy(F.desc("matches"), "word_count", "id").limit(max(4 * limit, 20)).select("id", (-F.col("matches")).cast("double").alias("bm25"))
 
 
 def matched_keys(candidates: DataFrame, forms: DataFrame, expanded: DataFrame) -> DataFrame:
     """(id, base): keys that each candidate has, by form or by prefix."""
     own = forms.join(candidates.select("id"), "id").select("id", F.explode("forms").alias("form"))
-    by_form = own.join(F.broadcast(expanded.select("base", F.explode("forms").alias("form"))), "form").select("id", "base")
-    by_prefix = own.join(F.broadcast(expanded.filter("prefix <> ''").select("base", "prefix")), F.col("form").startswith(F.col("prefix"))).select("id", "base")
+    by_form = own.join(expanded.select("base", F.explode("forms").alias("form")), "form").select("id", "base")
+    prefixes = with_prefix(own.select("form"), expanded.filter("prefix <> ''").select("base", F.col("prefix").alias("term")))
+    by_prefix = own.join(prefixes.select("form", "base"), "form").select("id", "base")
     return by_form.unionByName(by_prefix).distinct()
 
 
 def matched_in_text(candidates: DataFrame, sentences: DataFrame, expanded: DataFrame) -> DataFrame:
     """The same where words have no spaces: a form anywhere in the letters of the sentence."""
-    letters = sentences.join(candidates.select("id"), "id").select("id", T.form(F.col("full_text")).alias("letters"))
-    return letters.join(F.broadcast(expanded.select("base", F.explode("forms").alias("form"))), F.col("letters").contains(T.form(F.col("form")))).select("id", "base").distinct()
+    letters = sentences.join(candidates.select("id"), "id").select("id", T.form(F.col("full_text")).alias("text"))
+    wanted = expanded.select("base", F.explode("forms").alias("f")).select("base", T.form(F.col("f")).alias("form")).distinct()
+    return holding(letters, wanted).join(wanted, "form").select("id", "base").distinct()
 
 
 def match_score(priority: Column, overdue: Column) -> Column:
@@ -123,7 +139,7 @@ def match_score(priority: Column, overdue: Column) -> Column:
 def score(matched: DataFrame, due: DataFrame) -> DataFrame:
     """(id, score, cards, keys): a card that meets two keys counts twice for the score and once for the coverage."""
     side = due.select(F.col("due_key").alias("base"), "card_id", match_score(F.col("priority"), F.col("overdue")).alias("gain"))
-    return matched.join(F.broadcast(side), "base").groupBy("id").agg(F.sum("gain").alias("score"), F.count_distinct("card_id").alias("cards"), F.array_sort(F.collect_set("base")).alias("keys"))
+    return matched.join(side, "base").groupBy("id").agg(F.sum("gain").alias("score"), F.count_distinct("card_id").alias("cards"), F.array_sort(F.collect_set("base")).alias("keys"))
 
 
 def best_first(avoid: list[int] = ()) -> list[Column]:
@@ -158,7 +174,7 @@ def select_task(ranked: DataFrame, avoid: list[int] = ()) -> DataFrame:
 
 def card_map(matched: DataFrame, due: DataFrame) -> DataFrame:
     """(id, base, card_ids), sorted."""
-    return matched.join(F.broadcast(due.select(F.col("due_key").alias("base"), "card_id").distinct()), "base").groupBy("id", "base").agg(F.array_sort(F.collect_set("card_id")).alias("card_ids"))
+    return matched.join(due.select(F.col("due_key").alias("base"), "card_id").distinct(), "base").groupBy("id", "base").agg(F.array_sort(F.collect_set("card_id")).alias("card_ids"))
 
 
 def annotate(sentences: DataFrame, expanded: DataFrame, due: DataFrame, language: str, mode: str = "exact_form") -> DataFrame:
@@ -170,40 +186,41 @@ def annotate(sentences: DataFrame, expanded: DataFrame, due: DataFrame, language
     side = expanded.join(cards, "base")
     by_form = side.select("base", "ids", F.explode("forms").alias("form"))
     own = keyed.select("form").filter("form <> ''").distinct()
-    by_prefix = own.join(F.broadcast(side.filter("prefix <> ''").select("base", "ids", "prefix")), F.col("form").startswith(F.col("prefix"))).select("base", "ids", "form")
+    by_prefix = with_prefix(own, side.filter("prefix <> ''").select("base", "ids", F.col("prefix").alias("term"))).select("base", "ids", "form")
     of = by_form.unionByName(by_prefix).groupBy("form").agg(F.min("base").alias("base"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("card_ids"))
-    met = keyed.join(F.broadcast(of), "form", "left")
+    met = keyed.join(of, "form", "left")
     key = F.when(F.col("is_word"), F.coalesce("base", T.matching_key(F.col("text"), lang, mode))).otherwise("")
     return met.select("id", "place", "text", "is_word", F.col("base").isNotNull().alias("is_target"), key.alias("match_key"), F.coalesce("card_ids", F.array().cast("array<bigint>")).alias("card_ids"))
 
 
+def _running(pieces: Column, form: str, none: str) -> Column:
+    """Places of a form after each of the pieces (lengths) that a text falls into at it."""
+    n = len(form)
+    place = lambda a, p: F.struct((a["at"] + p).alias("start"), F.lit(-n).alias("length"), F.lit(form).alias("form"))
+    start = F.struct(F.lit(0).alias("at"), F.expr(none).alias("out"))
+    return F.aggregate(pieces, start, lambda a, p: F.struct((a["at"] + p + n).alias("at"), F.concat(a["out"], F.array(place(a, p))).alias("out")), lambda a: a["out"])
+
+
 def occurrences(texts: DataFrame, forms: list[str]) -> DataFrame:
     """(id, start, end, form): places of forms in texts without spaces, leftmost and longest, without overlaps.
 
-    A form's own places don't overlap each other before places are chosen, as finding goes on after each.
+    A form's own places don't overlap each other before places are chosen, as finding goes on after each. For each form a
+    text is split at it, and the running lengths of the pieces are its places; choosing is one fold over the sorted ones.
     """
-    import pandas as pd
-
     listed = sorted({f for f in forms if f})
-
-    def find(it):
-        for batch in it:
-            out = []
-            for i, text in zip(batch["id"], batch["full_text"]):
-                spans = []
-                for f in listed:
-                    at = text.find(f)
-                    while at >= 0:
-                        spans.append((at, -len(f), f))
-                        at = text.find(f, at + len(f))
-                end = 0
-                for a, n, f in sorted(spans):
-                    if a >= end:
-                        end = a - n
-                        out.append((i, a, end, f))
-            yield pd.DataFrame(out, columns=["id", "start", "end", "form"])
-
-    return texts.select("id", F.coalesce("full_text", F.lit("")).alias("full_text")).mapInPandas(find, "id long, start int, end int, form string")
+    span = "array<struct<start:int,length:int,form:string>>"
+    none, body = f"cast(array() as {span})", F.col("text")
+    found = [F.expr(none)]
+    for f in listed:
+        parts = F.split(body, "\\Q" + f.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
+        pieces = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.length(p))
+        found.append(F.when(F.contains(body, F.lit(f)), _running(pieces, f, none)).otherwise(F.expr(none)))
+    chosen = F.aggregate(
+        F.array_sort(F.concat(*found)), F.struct(F.lit(0).alias("end"), F.expr(none).alias("out")),
+        lambda a, s: F.when(s["start"] >= a["end"], F.struct((s["start"] - s["length"]).alias("end"), F.concat(a["out"], F.array(s)).alias("out"))).otherwise(a), lambda a: a["out"],
+    )
+    at = texts.select("id", F.coalesce("full_text", F.lit("")).alias("text")).select("id", F.explode(chosen).alias("s"))
+    return at.select("id", F.col("s.start").alias("start"), (F.col("s.start") - F.col("s.length")).alias("end"), F.col("s.form").alias("form"))
 
 
 def target_words(due: DataFrame) -> DataFrame:
