@@ -1,12 +1,13 @@
 """Reading sentence files: plain text, subtitles, delimited rows, links and word forms, compressed or not.
 
-All readers give (ordinal, language, text, translation). Splittable formats stay splittable; whole files are read only
-where sentences run across lines.
+All readers give (ordinal, language, text, translation), ordinals counting in source order: by file, then by place in it.
+Splittable formats stay splittable; whole files are read only where sentences run across lines, or where a quoted field
+does. Archives are streamed member by member.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glosswork.functions import languages as L
@@ -42,13 +43,30 @@ def parse_row(parts: Column, default: str) -> Column:
     )
 
 
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field may run over a line end: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def _delimited(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """c0 to c3 of every row, and where it was read: file, block. A file is one block only if a field runs over lines."""
     schema = ", ".join(f"{c} string" for c in COLUMNS)
-    return spark.read.csv(path, schema=schema, sep=sep, quote='"', escape='"', multiLine=True, header=False, mode="PERMISSIVE")
+    rows = spark.read.csv(path, schema=schema, sep=sep, quote='"', escape='"', multiLine=spans_lines(spark, path), header=False, mode="PERMISSIVE")
+    return rows.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
 def _ordered(df: DataFrame) -> DataFrame:
-    return df.withColumn("ordinal", F.monotonically_increasing_id())
+    """``df`` (file, block and others) with ``ordinal``: its place among all rows, by file name, block and order of reading.
+
+    Blocks are counted first; a row's place is the rows of the blocks before and its own in the block, which one task reads
+    in order.
+    """
+    read = df.withColumn("turn", F.monotonically_increasing_id())
+    blocks = read.groupBy("file", "block").agg(F.min("turn").alias("first"), F.count(F.lit(1)).alias("held"))
+    ahead = F.coalesce(F.sum("held").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each block
+    starts = blocks.select("file", "block", "first", ahead.alias("ahead"))
+    return read.join(starts, ["file", "block"]).withColumn("ordinal", (F.col("ahead") + F.col("turn") - F.col("first")).cast("long")).drop("file", "block", "turn", "first", "ahead")
 
 
 def read_rows(spark: SparkSession, path: str, language: str, sep: str = "\t") -> DataFrame:
@@ -59,21 +77,29 @@ def read_rows(spark: SparkSession, path: str, language: str, sep: str = "\t") ->
     return parsed.select("ordinal", "r.language", F.ltrim(F.regexp_replace("r.text", r"^\x{FEFF}", "")).alias("text"), "r.translation")
 
 
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+
+
 def read_plain(spark: SparkSession, path: str, language: str) -> DataFrame:
     """Running text: lines are joined, sentences split."""
-    return _split(spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"^\x{FEFF}", "").alias("value")), language)
+    return _split(_texts(spark, path).select("file", F.regexp_replace("value", r"^\x{FEFF}", "").alias("value")), language)
 
 
 def read_subtitles(spark: SparkSession, path: str, language: str) -> DataFrame:
     """Subtitles: numbers, times and markup go, the rest is running text."""
     lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda s: F.trim(s)), lambda s: (s != "") & ~s.rlike(r"^\p{Nd}+$") & ~s.contains("-->"))
     text = F.array_join(F.transform(lines, lambda s: F.regexp_replace(s, r"<[^>]*>", "")), "\n")
-    return _split(spark.read.text(path, wholetext=True).select(text.alias("value")), language)
+    return _split(_texts(spark, path).select("file", text.alias("value")), language)
 
 
 def _split(texts: DataFrame, language: str) -> DataFrame:
-    parts = texts.withColumn("f", F.monotonically_increasing_id()).select("f", F.posexplode(T.sentences(F.col("value"))).alias("place", "text"))
-    return parts.select((F.col("f") * (1 << 24) + F.col("place")).alias("ordinal"), F.lit(language).alias("language"), "text", F.lit(None).cast("string").alias("translation"))
+    """Sentences of whole files, which are one block each."""
+    parts = texts.select("file", F.posexplode(T.sentences(F.col("value"))).alias("place", "text"))
+    files = texts.select("file", F.size(T.sentences(F.col("value"))).alias("held"))
+    ahead = F.coalesce(F.sum("held").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file
+    numbered = parts.join(files.select("file", ahead.alias("ahead")), "file")
+    return numbered.select((F.col("ahead") + F.col("place")).cast("long").alias("ordinal"), F.lit(language).alias("language"), "text", F.lit(None).cast("string").alias("translation"))
 
 
 def read_sentences(spark: SparkSession, path: str, language: str = "en", input_format: str = "auto") -> DataFrame:
@@ -98,25 +124,54 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 def read_links(spark: SparkSession, path: str) -> DataFrame:
     """(source_id, translation_id, link_order) of a table of links, also inside a tar archive; bad rows are left out."""
     if ".tar" in path.lower():
-        lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_tar_lines, "value string")
-        raw = _ordered(lines).select("ordinal", F.split("value", r"[\t,]").alias("p")).select("ordinal", F.get("p", F.lit(0)).alias("c0"), F.get("p", F.lit(1)).alias("c1"))
+        files = spark.read.format("binaryFile").load(path).select("path")  # names alone; contents are streamed
+        schema = "file string, block long, turn long, value string"
+        lines = files.mapInPandas(_tar_lines, schema)
+        ahead = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each member
+        starts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("held")).select("file", "block", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("ahead"))
+        placed = lines.join(starts, ["file", "block"]).select((F.col("ahead") + F.col("turn")).cast("long").alias("ordinal"), F.split("value", r"[\t,]").alias("p"))
+        raw = placed.select("ordinal", F.get("p", F.lit(0)).alias("c0"), F.get("p", F.lit(1)).alias("c1"))
     else:
         raw = _ordered(_delimited(spark, path, "," if path.lower().endswith(".csv") else "\t"))
     return raw.select(F.trim("c0").try_cast("long").alias("source_id"), F.trim("c1").try_cast("long").alias("translation_id"), F.col("ordinal").alias("link_order")).filter("source_id is not null and translation_id is not null")
 
 
-def _tar_lines(batches):
-    import io
+def _decoded(source, most: int = 1 << 20):
+    """Lines of a stream of bytes, a piece at a time."""
+    import codecs
+
+    decode, rest = codecs.getincrementaldecoder("utf-8")("replace"), ""
+    while piece := source.read(most):
+        *whole, rest = (rest + decode.decode(piece)).split("\n")
+        yield from whole
+    rest += decode.decode(b"", final=True)
+    if rest:
+        yield rest
+
+
+def _tar_lines(batches, most: int = 100_000):
+    """Lines of the tables in tar archives, with member and place; a member is read as a stream, so size doesn't matter."""
     import tarfile
 
     import pandas as pd
+    from pyarrow.fs import FileSystem
 
     for b in batches:
-        for content in b["content"]:
-            with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                for member in tar:
-                    if member.isfile() and member.name.endswith((".csv", ".tsv")):
-                        yield pd.DataFrame({"value": tar.extractfile(member).read().decode("utf-8", "replace").splitlines()})
+        for path in b["path"]:
+            fs, at = FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+            with fs.open_input_stream(at, compression=None) as source, tarfile.open(fileobj=source, mode="r|*") as tar:
+                for block, member in enumerate(tar):
+                    if not (member.isfile() and member.name.endswith((".csv", ".tsv"))):
+                        continue
+                    held, turn = [], 0
+                    for line in _decoded(tar.extractfile(member)):
+                        held.append((path, block, turn, line.rstrip("\r\n")))
+                        turn += 1
+                        if len(held) == most:
+                            yield pd.DataFrame(held, columns=["file", "block", "turn", "value"])
+                            held = []
+                    if held:
+                        yield pd.DataFrame(held, columns=["file", "block", "turn", "value"])
 
 
 def read_word_forms(spark: SparkSession, path: str) -> DataFrame:
