@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import html as _html
+from functools import lru_cache
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -10,8 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# The entities that occur in plain text exports; others go through ``unescape_exactly``.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+# Names in templates that are no fields.
 NO_FIELDS = ("FrontSide", "Tags", "Deck", "Subdeck", "Card")
 
 
@@ -22,16 +22,66 @@ def strip_tags(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+@lru_cache(maxsize=1)
+def _entities() -> tuple[list[str], list[str]]:
+    """Names of entities, with or without their semicolon, and what they stand for, from the standard's table."""
+    names = sorted(html5)
+    return names, [html5[n] for n in names]
+
+
+def _code_point(n: Column) -> Column:
+    """The character of a number: as Windows reads 128 to 159, nothing for controls, a mark for what is no character."""
+    windows = [bytes([i]).decode("cp1252", "replace") if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(i) for i in range(0x80, 0xA0)]
+    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    none = n.between(1, 8) | (n == 11) | n.between(14, 31) | n.between(127, 159) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    return (
+        F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "�")
+        .when(n.between(0x80, 0x9F), F.get(F.lit(windows), (n - 0x80).cast("int")))
+        .when(n == 13, "\r").when(none, "").otherwise(plain)
+    )
+
+
+def _entity(e: Column) -> Column:
+    """What one entity, from its ampersand on, stands for; itself where it is none."""
+    name = F.substring(e, F.lit(2), F.length(e))
+    known = F.map_from_arrays(*[F.lit(x) for x in _entities()])
+    hexadecimal, decimal = F.regexp_extract(name, r"^#[xX]([0-9a-fA-F]+)", 1), F.regexp_extract(name, r"^#([0-9]+)", 1)
+    number = F.when(hexadecimal != "", F.when(F.length(F.ltrim(F.lit("0"), hexadecimal)) > 8, F.lit(1 << 40)).otherwise(F.conv(F.right(hexadecimal, F.lit(8)), 16, 10).cast("long"))).when(decimal != "", F.coalesce(decimal.try_cast("long"), F.lit(1 << 40)))
+    begun = F.filter(F.transform(F.sequence(F.length(name) - 1, F.lit(2), F.lit(-1)), lambda n: F.substring(name, F.lit(1), n)), lambda p: F.map_contains_key(known, p))
+    longest = F.get(begun, F.lit(0))
+    whole = F.try_element_at(known, name)
+    return (
+        F.when(number.isNotNull(), _code_point(number))
+        .when(whole.isNotNull(), whole)
+        .when((F.length(name) > 2) & longest.isNotNull(), F.concat(F.try_element_at(known, longest), F.substring(name, F.length(longest) + 1, F.length(name))))
+        .otherwise(e)
+    )
+
+
 def unescape(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    """Every named and numeric entity, as browsers read them; texts without an ampersand are left as they are."""
+    pattern = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+    pieces, found = F.split(text, pattern, -1), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), _entity)
+    joined = F.array_join(F.zip_with(pieces, found, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+
+
+def escape(text: Column) -> Column:
+    """Text that can stand in markup and in quoted attributes."""
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
     return text
 
 
-@F.pandas_udf(StringType())
-def unescape_exactly(s: pd.Series) -> pd.Series:
-    """Every named and numeric entity."""
-    return s.map(lambda t: None if t is None else _html.unescape(t))
+def token_html(token: Column, colour: str = "inherit") -> Column:
+    """A token (text, is_word, is_target, match_key, card_ids) as markup: words are spans with what a click needs."""
+    ids = F.transform(token["card_ids"], lambda c: c.cast("string"))
+    attributes = {
+        "class": F.when(token["is_target"], "word target").otherwise("word context"), "data-key": token["match_key"], "data-word": token["text"],
+        "data-card-id": F.coalesce(F.get(ids, F.lit(0)), F.lit("")), "data-card-ids": F.array_join(ids, ","), "style": F.lit(f"color:{colour} !important;"),
+    }
+    shown = F.concat_ws(" ", F.lit("<span"), *[F.concat(F.lit(f'{k}="'), escape(v), F.lit('"')) for k, v in attributes.items()])
+    return F.when(token["is_word"], F.concat(shown, F.lit(">"), escape(token["text"]), F.lit("</span>"))).otherwise(escape(token["text"]))
 
 
 def image_sources(text: Column) -> Column:

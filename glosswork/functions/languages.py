@@ -68,3 +68,15 @@ def fill_url(template: Column, word: Column, language: Column) -> Column:
     """A dictionary address; null unless it is http(s) with a host."""
     url = F.replace(F.replace(F.replace(template, F.lit("{word_raw}"), word), F.lit("{word}"), F.replace(F.url_encode(word), F.lit("+"), F.lit("%20"))), F.lit("{language}"), language)
     return F.when(url.rlike(r"^(?i:https?)://[^/\s]+"), url)
+
+
+# Where sentence collections and their links are published.
+SENTENCES_URL = "https://downloads.tatoeba.org/exports/per_language/{code}/{code}_sentences.tsv.bz2"
+LINKS_URL = "https://downloads.tatoeba.org/exports/links.tar.bz2"
+
+
+def sentences_url(raw: Column) -> Column:
+    """The address of a language's sentences; any three letters are taken as a code."""
+    base = F.lower(F.trim(F.coalesce(F.nullif(F.trim(raw), F.lit("")), F.lit("en"))))
+    code = F.when(F.length(base) == 3, base).otherwise(corpus_code(base))
+    return F.replace(F.lit(SENTENCES_URL), F.lit("{code}"), code)

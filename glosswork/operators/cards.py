@@ -124,6 +124,48 @@ def allowed_template(ord_: Column, name: Column, allowed: list[str]) -> Column:
     return F.arrays_overlap(labels, F.array(*[T.field_key(F.lit(a)) for a in allowed]))
 
 
+def card_rows(cards: DataFrame, notes: DataFrame, note_types: DataFrame) -> DataFrame:
+    """Cards with what their note and template say: note_type, template, question, answer, fields.
+
+    ``cards`` has card_id, nid, ord and more, ``notes`` nid, mid, fields, ``note_types`` mid, name, templates (an array of
+    name, qfmt, afmt). A card without a note has null fields; one whose template isn't there is ``Card n`` without a question.
+    """
+    kinds = note_types.select("mid", F.col("name").alias("note_type"), "templates")
+    met = cards.join(notes.select("nid", "mid", "fields"), "nid", "left").join(kinds, "mid", "left")
+    own = F.get("templates", F.col("ord").cast("int"))
+    name = F.coalesce(F.nullif(F.trim(own["name"]), F.lit("")), F.concat(F.lit("Card "), (F.col("ord") + 1).cast("string")))
+    return met.select(*cards.columns, F.coalesce("note_type", F.lit("")).alias("note_type"), name.alias("template"), F.coalesce(own["qfmt"], F.lit("")).alias("question"), F.coalesce(own["afmt"], F.lit("")).alias("answer"), "fields")
+
+
+def solution_values(fields: Column, specs: list[tuple[str, str, str, bool]]) -> Column:
+    """What is shown once a card is answered: (field, label, display, text, media, autoplay) of each of ``specs`` (field,
+    label, display, autoplay) whose field isn't blank, in order. Pictures and sounds without an address are text."""
+
+    def one(name: str, label: str, display: str, autoplay: bool) -> Column:
+        raw = F.coalesce(lookup(fields, F.lit(name)), F.lit(""))
+        kind = H.display_kind(F.lit(display), raw)
+        images = F.filter(H.image_sources(raw), H.media_path_ok)
+        media = F.when(kind == "image", images).when(kind == "audio", H.audio_sources(raw)).otherwise(F.array().cast("array<string>"))
+        text = F.when((kind == "text") | (F.size(media) == 0), F.trim(H.unescape(H.strip_tags(raw)))).otherwise("")
+        value = F.struct(F.lit(name).alias("field"), F.lit(label or name).alias("label"), kind.alias("display"), text.alias("text"), media.alias("media"), (F.lit(autoplay) & (kind == "audio")).alias("autoplay"))
+        return F.when(F.trim(raw) != "", value)
+
+    return F.array_compact(F.array(*[one(*s) for s in specs]))
+
+
+def in_due_order(targets: DataFrame) -> DataFrame:
+    """``targets`` with their place: the most pressing first, then the sooner due, then by card and key.
+
+    Places are counted in ranges of priority, each of which is a group, so that no task sees all targets.
+    """
+    order = [F.desc("priority"), F.asc("due_in_days"), F.asc("card_id"), F.asc("match_key")]
+    step = targets.withColumn("step", F.floor(F.col("priority") * 8).cast("long"))
+    sizes = step.groupBy("step").agg(F.count(F.lit(1)).alias("held"))
+    ahead = sizes.select("step", F.coalesce(F.sum("held").over(Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    placed = step.withColumn("inside", F.row_number().over(Window.partitionBy("step").orderBy(*order))).join(ahead, "step")
+    return placed.select(*targets.columns, (F.col("ahead") + F.col("inside")).cast("long").alias("place"))
+
+
 def judge_cards(cards: DataFrame, today: int, target: str = "Front", future_days: int = 0, note_types: tuple[str, ...] = (), allowed: tuple[str, ...] = (), use_new: bool = True, max_new: int = 10) -> DataFrame:
     """Cards with ``state`` and ``skip_reason`` (null: kept), tests in order.
 

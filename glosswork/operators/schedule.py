@@ -43,12 +43,28 @@ def step(rows: DataFrame, today: int, now: int, usn: int) -> DataFrame:
     return rows.select("card_id", "is_unknown", *old, *named, (F.col("reps") + 1).cast("long").alias("reps"), F.lit(now).cast("long").alias("mod"), F.lit(usn).cast("long").alias("usn"), F.lit(0).cast("long").alias("odue"), F.lit(0).cast("long").alias("odid"))
 
 
-def log_rows(stepped: DataFrame, now: int, taken: list[int] = ()) -> DataFrame:
-    """Review-log rows; ids count up from the moment of the answer, past ids that are taken."""
-    first = max([now * 1000, *(t + 1 for t in taken if t >= now * 1000)])
+def free_ids(spark_rows: DataFrame, first: int, taken: DataFrame | None) -> DataFrame:
+    """(number, id): for each of a batch's n rows, the next free id from ``first`` on; ``taken`` has ids in use."""
+    n = spark_rows.count()
+    spark = spark_rows.sparkSession
+    if taken is None:
+        return spark.range(n).select(F.col("id").alias("number"), (F.col("id") + first).alias("id"))
+    used = taken.filter(F.col("id") >= first).select("id").distinct()
+    free = spark.range(first, first + n + used.filter(F.col("id") < first + n + used.count()).count()).join(used, "id", "left_anti")
     # a batch is one sentence's cards
-    number = F.row_number().over(Window.orderBy("card_id")) - 1
-    return stepped.select((F.lit(first) + number).cast("long").alias("id"), F.col("card_id").alias("cid"), "usn", F.when(F.col("is_unknown"), 1).otherwise(3).alias("ease"), "ivl", F.col("old_ivl").cast("long").alias("last_ivl"), "factor", F.lit(0).cast("long").alias("time"), F.col("log_type").alias("type"))
+    return free.select((F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("number"), "id").filter(F.col("number") < n)
+
+
+def log_rows(stepped: DataFrame, now: int, taken: DataFrame | None = None) -> DataFrame:
+    """Review-log rows; ids count up from the moment of the answer, leaving out ids that are ``taken``."""
+    number = (F.row_number().over(Window.orderBy("card_id")) - 1).cast("long")
+    numbered = stepped.withColumn("number", number).join(free_ids(stepped, now * 1000, taken), "number")
+    return numbered.select(F.col("id").cast("long").alias("id"), F.col("card_id").alias("cid"), "usn", F.when(F.col("is_unknown"), 1).otherwise(3).alias("ease"), "ivl", F.col("old_ivl").cast("long").alias("last_ivl"), "factor", F.lit(0).cast("long").alias("time"), F.col("log_type").alias("type"))
+
+
+def without_log(log: DataFrame, undone: DataFrame) -> DataFrame:
+    """``log`` without the rows (id) of answers that are taken back."""
+    return log.join(undone.select("id"), "id", "left_anti").select(log.columns)
 
 
 def undo(stepped: DataFrame) -> DataFrame:

@@ -104,19 +104,82 @@ def field_names(notes: DataFrame) -> DataFrame:
     return notes.select(F.explode(F.map_keys("fields")).alias("field")).distinct()
 
 
-def diagnostics(sentences: DataFrame, forms: DataFrame, word_forms: DataFrame, language: str) -> DataFrame:
-    """(name, status, detail) of the checks on a library: ok, warning or error."""
+def _check(name: str, rows: DataFrame, status: Column, detail: Column) -> DataFrame:
+    return rows.select(F.lit(name).alias("name"), status.alias("status"), detail.alias("detail"))
+
+
+def library_check(sentences: DataFrame | None, forms: DataFrame | None, word_forms: DataFrame | None, language: str, spark=None) -> DataFrame:
+    """One row: an error for missing tables, a warning for nothing to read or a broken index, else what there is."""
     from glosswork.operators.corpus import of_language
 
-    translated = F.coalesce("translation", F.lit("")) != ""
-    s = sentences.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum(of_language(F.col("language"), language).cast("long")), F.lit(0)).alias("own"), F.coalesce(F.sum(translated.cast("long")), F.lit(0)).alias("translated"))
+    missing = sorted(n for n, t in {"sentences": sentences, "forms": forms, "word_forms": word_forms}.items() if t is None)
+    if missing:
+        spark = spark or next(t for t in (sentences, forms, word_forms) if t is not None).sparkSession
+        return _check("library", spark.range(1), F.lit("error"), F.lit("missing table(s): " + ", ".join(missing)))
+    own = of_language(F.col("language"), language)
+    translated = own & (F.coalesce("translation", F.lit("")) != "")
+    s = sentences.agg(F.count(F.lit(1)).alias("total"), F.count(F.when(own, 1)).alias("own"), F.count(F.when(translated, 1)).alias("translated"))
     one = s.join(forms.agg(F.count(F.lit(1)).alias("indexed"))).join(word_forms.agg(F.count(F.lit(1)).alias("pairs")))  # three rows of counts
-    checks = (
-        ("sentences", F.col("total") > 0, F.col("total")),
-        ("language", F.col("own") > 0, F.col("own")),
-        ("translations", F.col("translated") > 0, F.col("translated")),
-        ("index", F.col("indexed") == F.col("total"), F.col("indexed")),
-        ("word_forms", F.col("pairs") > 0, F.col("pairs")),
+    ok = (F.col("own") > 0) & (F.col("indexed") == F.col("total"))
+    detail = (
+        F.when(F.col("total") == 0, F.lit("no sentences"))
+        .when(F.col("own") == 0, F.format_string(f"%d sentences, none of language {language}", "total"))
+        .when(F.col("indexed") != F.col("total"), F.format_string("%d sentences, %d in the index", "total", "indexed"))
+        .otherwise(F.format_string(f"%d sentences, %d of language {language}, %d translated, %d word forms", "total", "own", "translated", "pairs"))
+    )
+    return _check("library", one, F.when(ok, "ok").otherwise("warning"), detail)
+
+
+def settings_check(settings: DataFrame) -> DataFrame:
+    """``settings``: one row with s, the settings. Warns of an ease for known and unknown alike and of a scope without a deck."""
+    s = F.col("s")
+    issues = F.array_compact(F.array(F.when(s["min_sentence_words"] > s["max_sentence_words"], "fewest words exceed most"), F.when(s["known_ease"] == s["unknown_ease"], "known and unknown ease are alike"), F.when((s["deck_scope"] == "configured") & (s["deck_name"] == ""), "configured scope without a deck")))
+    fine = F.concat(F.lit("language="), s["language"], F.lit(", field="), s["target_field"], F.lit(", matching="), s["matching_mode"])
+    return _check("settings", settings, F.when(F.size(issues) > 0, "warning").otherwise("ok"), F.when(F.size(issues) > 0, F.array_join(issues, "; ")).otherwise(fine))
+
+
+def host_checks(spark, answers: bool, snapshots: bool, background: bool, log_bytes: int | None) -> DataFrame:
+    """What the host offers: answering, undo, work in the background, a log."""
+    rows = [
+        ("scheduler", "ok" if answers else "error", "native answers" if answers else "no native answers"),
+        ("undo", "ok" if snapshots else "error", "snapshots" if snapshots else "no snapshots"),
+        ("background", "ok" if background else "warning", "in the background" if background else "imports wait"),
+        ("log", "ok", "will be written" if log_bytes is None else f"{log_bytes} bytes"),
+    ]
+    return spark.createDataFrame(rows, "name string, status string, detail string")
+
+
+def card_checks(found: DataFrame, target: str, solutions: list[str], allowed: list[str], most: int = 200) -> DataFrame:
+    """Three rows on the cards that the due search finds (card_id, found, template, question, fields): whether there are any,
+    whether their notes have the fields, and whether questions show the target. The latter two look at the first ``most``."""
+    from glosswork.operators.cards import shows_target
+
+    counted = found.agg(F.count(F.lit(1)).alias("n"))
+    search = _check("search", counted, F.when(F.col("n") > 0, "ok").otherwise("warning"), F.format_string("%d cards", "n"))
+    first = found.orderBy("found", "card_id").limit(most)
+    names = first.select(F.explode(F.map_keys("fields")).alias("f")).agg(F.collect_set(F.lower("f")).alias("held"), F.array_join(F.array_sort(F.collect_set("f")), ", ").alias("shown"))
+    lost = F.array_join(F.filter(F.array(*[F.lit(s) for s in solutions]) if solutions else F.array().cast("array<string>"), lambda s: ~F.array_contains("held", F.lower(s))), ", ")
+    has_target = F.array_contains("held", target.lower())
+    fields = _check(
+        "fields", names, F.when(F.size("held") == 0, "warning").when(~has_target, "error").when(lost != "", "warning").otherwise("ok"),
+        F.when(F.size("held") == 0, "no fields to read").when(~has_target, F.concat(F.lit(f"no field {target} among "), F.col("shown"))).when(lost != "", F.concat(F.lit("missing: "), lost)).otherwise(f"target={target}; solutions={', '.join(solutions)}"),
+    )
+    sides = first.select("template", shows_target(F.col("question"), target).alias("shown"))
+    by_template = sides.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("shown"), 1)).alias("on"))
+    told = by_template.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("on"), F.lit(0)).alias("on"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("template", "n"))), lambda x: F.format_string("%s=%d", x["template"], x["n"])), ", ").alias("all"))
+    off = F.col("n") - F.col("on")
+    directions = _check(
+        "directions", told, F.when((F.col("n") == 0) | ((off > 0) & F.lit(not allowed)), "warning").otherwise("ok"),
+        F.when(F.col("n") == 0, "no cards to inspect").otherwise(F.concat(F.format_string("%d show the target, %d do not; templates: ", F.col("on"), off), F.col("all"), F.lit(f"; included: {', '.join(allowed)}" if allowed else ""))),
     )
-    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.when(ok, "ok").otherwise("warning").alias("status"), v.cast("string").alias("detail")) for n, ok, v in checks])
-    return one.select(F.explode(rows).alias("c")).select("c.*")
+    return search.unionByName(fields).unionByName(directions)
+
+
+def diagnostics(settings: DataFrame, library: DataFrame, host: DataFrame, cards: DataFrame) -> DataFrame:
+    """(name, status, detail) of all nine checks; see the functions that make each."""
+    return settings_check(settings).unionByName(library).unionByName(host).unionByName(cards)
+
+
+def report(checks: DataFrame) -> DataFrame:
+    """One row: whether no check is an error, whether any warns."""
+    return checks.agg((F.count(F.when(F.col("status") == "error", 1)) == 0).alias("ok"), (F.count(F.when(F.col("status") == "warning", 1)) > 0).alias("warnings"))
