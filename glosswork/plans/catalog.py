@@ -21,6 +21,7 @@ from glosswork.operators import sessions as E
 from glosswork.operators import setup as U
 from glosswork.plans import pieces as p
 from glosswork.plans.pieces import NOW, TODAY, USN, sql
+from glosswork.sources import sinks as W
 from glosswork.sources.readers import parse_row
 
 _ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -34,11 +35,17 @@ def entry(oracle: str | None):
     return add
 
 
+def _all() -> None:
+    from glosswork.plans import files, markup, upkeep  # noqa: F401  their entries
+
+
 def queries() -> dict:
+    _all()
     return {name: f for name, (f, _) in _ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return {name: q for name, (_, q) in _ENTRIES.items() if q}
 
 
@@ -46,7 +53,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def kept(f):
-    """One plan for each application and folder, so that what is persisted is found at once."""
+    """One plan for each application and folder, so that what is written is found at once."""
     held: dict = {}
 
     def get(spark: SparkSession, sf: str):
@@ -70,31 +77,39 @@ def judged(spark, sf):
     return I.judge(raw(spark, sf))
 
 
+@kept
+def tables_folder(spark, sf):
+    return W.scratch_folder(spark)
+
+
 @kept
 def library(spark, sf):
-    """Accepted sentences, kept: a library is built once and asked often."""
-    # each stage that ends has the plan printed for its listeners, kept tables included; this bounds the text
-    spark.conf.set("spark.sql.maxPlanStringLength", "16384")
-    return I.accepted(judged(spark, sf)).persist()
+    """Accepted sentences, written: a library is built once and asked often."""
+    return W.written(I.accepted(judged(spark, sf)), f"{tables_folder(spark, sf)}/sentences")
 
 
 @kept
 def indexed(spark, sf):
-    return K.sentence_forms(library(spark, sf)).persist()
+    return W.written(K.sentence_forms(library(spark, sf)), f"{tables_folder(spark, sf)}/forms")
+
+
+@kept
+def posted(spark, sf):
+    """Postings in order of form, so that a search reads the row groups of its forms alone."""
+    return W.written(K.postings(indexed(spark, sf)).repartitionByRange("form").sortWithinPartitions("form"), f"{tables_folder(spark, sf)}/postings")
 
 
 def card_table(spark, sf) -> DataFrame:
-    """Cards made of the benchmark items: the third to fifth word is the front."""
+    """Cards made of the benchmark items, whose text is the front."""
     i = F.col("item_id")
     pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (i % 7 + 1).cast("int"))
     ord_ = F.when(i % 5 == 4, 1).otherwise(0)
-    front = F.array_join(F.slice(T.words(F.col("text")), 3, 3), " ")
     return table(spark, sf, "benchmark").select(
         i.alias("card_id"), i.alias("nid"), i.alias("found"), ord_.alias("ord"), pick(2, 2, 0, 1, 3, 2, 2).alias("queue"), pick(2, 2, 0, 1, 3, 2, 2).alias("type"),
         (TODAY + i % 61 - 30).alias("due"), (i % 40).alias("ivl"), (1300 + (i % 17) * 100).alias("factor"), (i % 9).alias("reps"), (i % 4).alias("lapses"),
         F.when(i % 13 == 12, 5).otherwise(0).alias("odid"), F.when(i % 11 == 10, "Other").otherwise("Basic").alias("note_type"),
         F.when(ord_ == 0, "Card 1").otherwise("Reverse").alias("template"), F.when(ord_ == 0, "{{Front}}").otherwise("{{Back}}").alias("question"),
-        F.create_map(F.lit("Front"), front, F.lit("Back"), F.concat(F.lit("meaning "), i.cast("string"))).alias("fields"),
+        F.create_map(F.lit("Front"), F.col("text"), F.lit("Back"), F.concat(F.lit("meaning "), i.cast("string"))).alias("fields"),
     )
 
 
@@ -104,28 +119,24 @@ def judged_cards(spark, sf):
 
 @kept
 def targets(spark, sf):
-    return C.due_targets(judged_cards(spark, sf), TODAY, "en").persist()
+    return W.written(C.due_targets(judged_cards(spark, sf), TODAY, "en"), f"{tables_folder(spark, sf)}/targets")
 
 
 @kept
 def word_pairs(spark, sf):
-    forms = K.postings(indexed(spark, sf)).select("form", "language").distinct()
-    return forms.select("form", T.lemma(F.col("form"), F.col("language")).alias("base")).distinct().persist()
+    """(form, base) of all words: as the library's ``word_forms`` has them."""
+    return W.written(K.word_forms(library(spark, sf)), f"{tables_folder(spark, sf)}/word_forms")
 
 
 @kept
 def due_side(spark, sf):
-    """Sentences, forms, postings, statistics, due targets with keys, expansions. The due side is small and kept."""
-    sentences, forms = library(spark, sf), indexed(spark, sf)
-    due = Q.due_keys(targets(spark, sf), word_pairs(spark, sf)).persist()
-    return sentences, forms, K.postings(forms), K.index_stats(forms), due, Q.expansions(due, word_pairs(spark, sf)).persist()
-
+    """Sentences, forms, postings, statistics, due targets with keys, expansions."""
+    sentences, forms, folder = library(spark, sf), indexed(spark, sf), tables_folder(spark, sf)
+    due = W.written(Q.due_keys(targets(spark, sf), word_pairs(spark, sf)), f"{folder}/due")
+    return sentences, forms, posted(spark, sf), K.index_stats(forms), due, W.written(Q.expansions(due, word_pairs(spark, sf)), f"{folder}/expanded")
 
-#: The limits of a search in production; those of ``ranked`` are smaller.
-FULL = {"limit": 50, "per_query": 40}
 
-
-def ranked(spark, sf, limit=20, per_query=8, **how):
+def ranked(spark, sf, limit=50, per_query=40, **how):
     sentences, forms, posts, stats, due, expanded = due_side(spark, sf)
     return Q.candidates(sentences, forms, posts, stats, due, expanded, "en", limit=limit, min_words=4, max_words=15, per_query=per_query, **how)
 
@@ -216,12 +227,6 @@ def strip_html(spark, sf):
     return table(spark, sf, "pages").select("page_id", H.strip_tags(F.col("html")).alias("text"))
 
 
-@entry(r"""SELECT page_id, len(regexp_extract_all(html, '(?is)<a\b')) AS links, len(list_distinct(list_filter(list_transform(regexp_extract_all(html, '(?is)<img\b[^>]*?\bsrc\s*=\s*"([^"]*)"', 1), lambda s: trim(s)), lambda s: s <> ''))) AS images FROM pages""")
-def image_sources(spark, sf):
-    h = F.col("html")
-    return table(spark, sf, "pages").select("page_id", F.regexp_count(h, F.lit(r"(?is)<a\b")).cast("long").alias("links"), F.size(H.image_sources(h)).cast("long").alias("images"))
-
-
 _TEMPLATES = ("{{Front}}<hr>{{hint:Back}}", "{{#Audio}}{{Audio}}{{/Audio}}{{FrontSide}}", "{{cloze:Text}} {{Tags}}", "plain")
 
 
@@ -276,17 +281,17 @@ def index_gaps(spark, sf):
 
 @entry(sql("SELECT form, count(*) AS sentences, sum(length)::BIGINT AS total_length FROM posts GROUP BY form", "posts"))
 def postings(spark, sf):
-    return K.postings(indexed(spark, sf)).groupBy("form").agg(F.count(F.lit(1)).alias("sentences"), F.sum("length").cast("long").alias("total_length"))
+    return posted(spark, sf).groupBy("form").agg(F.count(F.lit(1)).alias("sentences"), F.sum("length").cast("long").alias("total_length"))
 
 
 @entry(sql("SELECT form, base FROM word_forms", "word_forms"))
 def word_forms(spark, sf):
-    return K.word_forms(library(spark, sf))
+    return word_pairs(spark, sf)
 
 
 @entry(sql("SELECT form, base FROM word_forms WHERE length(form) > 6 EXCEPT SELECT form, base FROM word_forms WHERE form = base", "word_forms"))
 def add_word_forms(spark, sf):
-    pairs = K.word_forms(library(spark, sf))
+    pairs = word_pairs(spark, sf)
     return K.add_word_forms(pairs.filter("form = base"), pairs.filter("length(form) > 6"))
 
 
@@ -304,17 +309,10 @@ def _pairs(spark, sf, text):
     return I.pair_translations(texts.filter("language = 'de'"), texts.filter("language = 'en'"), links).select("id", "text", "translation")
 
 
-@entry("""WITH links AS (SELECT doc_id AS source_id, doc_id + k AS translation_id, doc_id * 4 + k AS link_order FROM documents, (VALUES (1), (2), (3)) t(k) WHERE lang = 'de'),
-n AS (SELECT l.source_id, left(d.text, 60) AS native, row_number() OVER (PARTITION BY l.source_id ORDER BY l.link_order) AS turn FROM links l JOIN documents d ON d.doc_id = l.translation_id AND d.lang = 'en')
-SELECT d.doc_id AS id, left(d.text, 60) AS text, n.native AS translation FROM documents d LEFT JOIN n ON n.source_id = d.doc_id AND n.turn = 1 WHERE d.lang = 'de'""")
-def pair_translations(spark, sf):
-    return _pairs(spark, sf, F.left("text", F.lit(60)))
-
-
 @entry("""WITH links AS (SELECT doc_id AS source_id, doc_id + k AS translation_id, doc_id * 4 + k AS link_order FROM documents, (VALUES (1), (2), (3)) t(k) WHERE lang = 'de'),
 n AS (SELECT l.source_id, d.text AS native, row_number() OVER (PARTITION BY l.source_id ORDER BY l.link_order) AS turn FROM links l JOIN documents d ON d.doc_id = l.translation_id AND d.lang = 'en')
 SELECT d.doc_id AS id, d.text, n.native AS translation FROM documents d LEFT JOIN n ON n.source_id = d.doc_id AND n.turn = 1 WHERE d.lang = 'de'""")
-def pair_translations_whole(spark, sf):
+def pair_translations(spark, sf):
     return _pairs(spark, sf, F.col("text"))
 
 
@@ -376,13 +374,13 @@ def query_expansions(spark, sf):
 @entry(sql("""SELECT chunk, array_to_string(list_sort(list_distinct(list(CASE WHEN is_prefix THEN term || '*' ELSE '"' || term || '"' END))), ' OR ') AS query FROM terms GROUP BY chunk""", "terms"))
 def match_queries(spark, sf):
     *_, due, expanded = due_side(spark, sf)
-    return Q.match_query(Q.terms(Q.weights(expanded, due), 8))
+    return Q.match_query(Q.terms(Q.weights(expanded, due)))
 
 
 @entry(sql("SELECT chunk, id, round(bm25, 6) AS bm25 FROM scored", "scored"))
 def bm25_candidates(spark, sf):
     _, _, posts, stats, due, expanded = due_side(spark, sf)
-    return Q.bm25(posts, stats, Q.terms(Q.weights(expanded, due), 8)).withColumn("bm25", F.round("bm25", 6))
+    return Q.bm25(posts, stats, Q.terms(Q.weights(expanded, due))).withColumn("bm25", F.round("bm25", 6))
 
 
 _PREFIXES = ("th", "erst", "onl", "chver")
@@ -392,9 +390,8 @@ _PREFIXES = ("th", "erst", "onl", "chver")
   SELECT h.*, s.avg_length, CASE WHEN ln((s.total - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((s.total - n + 0.5) / (n + 0.5)) END AS idf FROM (
     SELECT *, count(*) OVER (PARTITION BY term) AS n FROM (SELECT t.term, p.id, count(*) AS f, min(p.length) AS length FROM posts p JOIN (SELECT unnest({list(_PREFIXES)}) AS term) t ON starts_with(p.form, t.term) GROUP BY 1, 2)) h, stats s) GROUP BY id""", "posts", "stats"))
 def prefix_candidates(spark, sf):
-    forms = indexed(spark, sf)
     wanted = spark.createDataFrame([(x, True, 0) for x in _PREFIXES], "term string, is_prefix boolean, chunk int")
-    return Q.bm25(K.postings(forms), K.index_stats(forms), wanted).withColumn("bm25", F.round("bm25", 6))
+    return Q.bm25(posted(spark, sf), K.index_stats(indexed(spark, sf)), wanted).withColumn("bm25", F.round("bm25", 6))
 
 
 _PARTS = ("ndre", "eau", "schtz")
@@ -415,11 +412,6 @@ def match_scores(spark, sf):
     return _match_scores(spark, sf)
 
 
-@entry(sql("SELECT id, word_count, round(bm25, 6) AS bm25, round(score, 6) AS score, cards FROM ranked_full", "ranked_full"))
-def match_scores_full(spark, sf):
-    return _match_scores(spark, sf, **FULL)
-
-
 _BEST = "cards DESC, round(score, 9) DESC, round(bm25, 9), word_count, id"
 
 
@@ -432,11 +424,6 @@ def select_task(spark, sf):
     return _select_task(spark, sf)
 
 
-@entry(sql(f"SELECT id, full_text, cards, round(score, 6) AS score FROM ranked_full ORDER BY {_BEST} LIMIT 1", "ranked_full"))
-def select_task_full(spark, sf):
-    return _select_task(spark, sf, **FULL)
-
-
 @entry(sql(f"SELECT id, full_text, cards, round(score, 6) AS score FROM ranked_every ORDER BY {_BEST} LIMIT 1", "ranked_every"))
 def select_task_exhaustive(spark, sf):
     return _select_task(spark, sf, mode="exhaustive")
@@ -452,11 +439,6 @@ def select_task_soft_avoid(spark, sf):
     return _select_task_soft_avoid(spark, sf)
 
 
-@entry(sql(f"SELECT id, cards FROM ranked_full ORDER BY id % 2, {_BEST} LIMIT 1", "ranked_full"))
-def select_task_soft_avoid_full(spark, sf):
-    return _select_task_soft_avoid(spark, sf, **FULL)
-
-
 def _card_maps(spark, sf, limit, per_query):
     sentences, forms, posts, stats, due, expanded = due_side(spark, sf)
     scored = Q.bm25(posts, stats, Q.terms(Q.weights(expanded, due), per_query)).join(sentences.filter("language = 'en'").select("id"), "id", "left_semi")
@@ -465,12 +447,7 @@ def _card_maps(spark, sf, limit, per_query):
 
 @entry(sql("SELECT m.id, m.base, array_to_string(list_sort(list_distinct(list(d.card_id))), ',') AS card_ids FROM matched m JOIN due d ON d.due_key = m.base WHERE m.id IN (SELECT id FROM compat) GROUP BY m.id, m.base", "compat", "matched", "due"))
 def card_maps(spark, sf):
-    return _card_maps(spark, sf, 20, 8)
-
-
-@entry(sql("SELECT m.id, m.base, array_to_string(list_sort(list_distinct(list(d.card_id))), ',') AS card_ids FROM matched m JOIN due d ON d.due_key = m.base WHERE m.id IN (SELECT id FROM compat_full) GROUP BY m.id, m.base", "compat_full", "matched", "due"))
-def card_maps_full(spark, sf):
-    return _card_maps(spark, sf, **FULL)
+    return _card_maps(spark, sf, 50, 40)
 
 
 def _token_annotations(spark, sf, **how):
@@ -485,13 +462,6 @@ def token_annotations(spark, sf):
     return _token_annotations(spark, sf)
 
 
-@entry(sql(f"""SELECT id, text, match_key, is_target FROM (SELECT id, text, f, CASE WHEN base IS NULL THEN f ELSE base END AS match_key, base IS NOT NULL AS is_target FROM (
-  SELECT t.*, (SELECT min(e.base) FROM (SELECT base, prefix, unnest(forms) AS form FROM expanded) e WHERE e.form = t.f OR (e.prefix <> '' AND starts_with(t.f, e.prefix))) AS base
-  FROM (SELECT id, text, {p.form('text')} AS f FROM (SELECT id, unnest({p.words('full_text')}) AS text FROM ranked_full)) t))""", "ranked_full", "expanded"))
-def token_annotations_full(spark, sf):
-    return _token_annotations(spark, sf, **FULL)
-
-
 @entry(sql("SELECT card_id, target_word, definition FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY priority DESC, due_in_days, lower(target_word), due_key) AS turn FROM due) WHERE turn = 1", "due"))
 def target_words(spark, sf):
     return Q.target_words(due_side(spark, sf)[4]).select("card_id", "target_word", "definition")
@@ -556,15 +526,9 @@ def _recent(spark, sf, *keep):
     return E.recent(e.select(F.col("user_id").alias("owner"), F.rint(F.col("value") * 10).cast("long").alias("id"), "ts", F.col("event_id").alias("seq")), *keep).withColumn("place", F.col("place").cast("long"))
 
 
-@entry("""SELECT owner, id, row_number() OVER (PARTITION BY owner ORDER BY latest, id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY latest DESC, id DESC) AS r FROM (
-  SELECT user_id AS owner, CAST(value * 10 AS BIGINT) AS id, max((ts, event_id)) AS latest FROM events WHERE event_type = 'view' AND CAST(value * 10 AS BIGINT) > 0 GROUP BY ALL)) WHERE r <= 5""")
-def recent_history(spark, sf):
-    return _recent(spark, sf, 5)
-
-
 @entry("""SELECT owner, id, row_number() OVER (PARTITION BY owner ORDER BY latest, id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY latest DESC, id DESC) AS r FROM (
   SELECT user_id AS owner, CAST(value * 10 AS BIGINT) AS id, max((ts, event_id)) AS latest FROM events WHERE event_type = 'view' AND CAST(value * 10 AS BIGINT) > 0 GROUP BY ALL)) WHERE r <= 200""")
-def recent_history_full(spark, sf):
+def recent_history(spark, sf):
     return _recent(spark, sf)
 
 
@@ -604,9 +568,9 @@ def profile_match(spark, sf):
     return U.match_profiles(decks, spark.createDataFrame(_PROFILES, "place int, profile string, deck_names array<string>, match string, enabled boolean"))
 
 
-def _field_values(spark, sf, chars=None):
-    """Fields of notes made of documents: German text, English text, and a sound mark; texts whole or cut at ``chars``."""
-    d, text = table(spark, sf, "documents"), F.substring("text", 1, chars) if chars else F.col("text")
+def _field_values(spark, sf):
+    """Fields of notes made of documents: German text, English text, and a sound mark."""
+    d, text = table(spark, sf, "documents"), F.col("text")
     first = lambda lang: d.filter(F.col("lang") == lang).select("doc_id", text.alias("value"))
     named = [first("de").withColumn("field", F.lit("German")), first("en").withColumn("field", F.lit("Meaning")), first("en").withColumn("field", F.lit("Audio")).withColumn("value", F.concat(F.lit("[sound:"), F.col("doc_id"), F.lit(".mp3]")))]
     return reduce(DataFrame.unionByName, named).select("field", F.col("doc_id").alias("place"), "value")
@@ -615,47 +579,25 @@ def _field_values(spark, sf, chars=None):
 _NOTE_FIELDS = [("German", 0), ("Meaning", 1), ("Audio", 2)]
 
 
-def _scores(spark, sf, chars=None):
+def _scores(spark, sf):
     fields = spark.createDataFrame(_NOTE_FIELDS, "field string, place int")
-    return U.field_scores(fields, U.field_samples(_field_values(spark, sf, chars)), "de")
+    return U.field_scores(fields, U.field_samples(_field_values(spark, sf)), "de")
 
 
 def _rounded(s):
     return s.select("field", F.round("target", 6).alias("target"), F.round("translation", 6).alias("translation"), "audio")
 
 
-@entry(f"""WITH v AS (SELECT 'German' AS field, doc_id AS place, substr(text, 1, 40) AS value FROM documents WHERE lang = 'de' UNION ALL SELECT 'Meaning', doc_id, substr(text, 1, 40) FROM documents WHERE lang = 'en' UNION ALL SELECT 'Audio', doc_id, '[sound:' || doc_id || '.mp3]' FROM documents WHERE lang = 'en'),
-s AS (SELECT * FROM (SELECT field, place, {p.clean('value')} AS value FROM v) WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY field ORDER BY place) <= 80),
-w AS (SELECT field, unnest(regexp_extract_all(lower(value), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')) AS w FROM s),
-r AS (SELECT field, avg(CASE WHEN w IN ({", ".join(f"'{x}'" for x in U.ENGLISH_WORDS)}) THEN 1.0 ELSE 0.0 END) AS english, avg(CASE WHEN w IN ({", ".join(f"'{x}'" for x in L.PROFILES["de"][2])}) THEN 1.0 ELSE 0.0 END) AS own FROM w GROUP BY field),
-n AS (SELECT field, count(*) AS n FROM s GROUP BY field)
-SELECT r.field, round(CASE r.field WHEN 'German' THEN 190 WHEN 'Meaning' THEN -90 ELSE 0 END + own * 80 - english * 70, 6) AS target, round(CASE r.field WHEN 'Meaning' THEN 150 WHEN 'Audio' THEN -100 ELSE 0 END + 100.0 * n / max(n) OVER () + english * 70, 6) AS translation, CASE r.field WHEN 'Audio' THEN 250.0 ELSE 0.0 END::DOUBLE AS audio FROM r JOIN n USING (field)""")
-def autoconf_scores(spark, sf):
-    return _rounded(_scores(spark, sf, 40))
-
-
 @entry(f"""WITH v AS (SELECT 'German' AS field, doc_id AS place, text AS value FROM documents WHERE lang = 'de' UNION ALL SELECT 'Meaning', doc_id, text FROM documents WHERE lang = 'en' UNION ALL SELECT 'Audio', doc_id, '[sound:' || doc_id || '.mp3]' FROM documents WHERE lang = 'en'),
 s AS (SELECT * FROM (SELECT field, place, substr({p.clean('value')}, 1, 500) AS value FROM v) WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY field ORDER BY place) <= 80),
 w AS (SELECT field, unnest(regexp_extract_all(lower(value), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')) AS w FROM s),
 r AS (SELECT field, avg(CASE WHEN w IN ({", ".join(f"'{x}'" for x in U.ENGLISH_WORDS)}) THEN 1.0 ELSE 0.0 END) AS english, avg(CASE WHEN w IN ({", ".join(f"'{x}'" for x in L.PROFILES["de"][2])}) THEN 1.0 ELSE 0.0 END) AS own FROM w GROUP BY field),
 n AS (SELECT field, count(*) AS n FROM s GROUP BY field)
 SELECT r.field, round(CASE r.field WHEN 'German' THEN 190 WHEN 'Meaning' THEN -90 ELSE 0 END + own * 80 - english * 70, 6) AS target, round(CASE r.field WHEN 'Meaning' THEN 150 WHEN 'Audio' THEN -100 ELSE 0 END + 100.0 * n / max(n) OVER () + english * 70, 6) AS translation, CASE r.field WHEN 'Audio' THEN 250.0 ELSE 0.0 END::DOUBLE AS audio FROM r JOIN n USING (field)""")
-def autoconf_scores_whole(spark, sf):
+def autoconf_scores(spark, sf):
     return _rounded(_scores(spark, sf))
 
 
 @entry("SELECT 'German' AS target_field, 'Meaning' AS translation_field, 'Audio' AS audio_field")
 def autoconf_fields(spark, sf):
-    return U.choose_fields(_scores(spark, sf, 40))
-
-
-@entry("SELECT 'German' AS target_field, 'Meaning' AS translation_field, 'Audio' AS audio_field")
-def autoconf_fields_whole(spark, sf):
     return U.choose_fields(_scores(spark, sf))
-
-
-@entry(sql("""SELECT 'sentences' AS name, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'warning' END AS status, count(*)::VARCHAR AS detail FROM sentences UNION ALL SELECT 'language', CASE WHEN count(*) > 0 THEN 'ok' ELSE 'warning' END, count(*)::VARCHAR FROM sentences WHERE language = 'en'
-UNION ALL SELECT 'translations', 'warning', '0' UNION ALL SELECT 'index', 'ok', count(*)::VARCHAR FROM forms UNION ALL SELECT 'word_forms', CASE WHEN count(*) > 0 THEN 'ok' ELSE 'warning' END, count(*)::VARCHAR FROM word_forms""", "sentences", "forms", "word_forms"))
-def diagnostics(spark, sf):
-    s = library(spark, sf)
-    return U.diagnostics(s, indexed(spark, sf), K.word_forms(s), "en")

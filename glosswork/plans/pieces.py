@@ -60,7 +60,7 @@ _FLAGS = rf"""list_filter([
 
 # name -> (subqueries it needs, text)
 PIECES: dict[str, tuple[tuple[str, ...], str]] = {
-    "raw": ((), r"""SELECT doc_id * 1048576 + i - 1 AS ordinal, language, ss[i] AS text FROM (
+    "raw": ((), r"""SELECT doc_id * 1073741824 + i - 1 AS ordinal, language, ss[i] AS text FROM (
   SELECT doc_id, language, ss, unnest(generate_series(1, len(ss))) AS i FROM (
     SELECT doc_id, lang AS language, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\s*[\r\n]+\s*', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS ss
     FROM documents))"""),
@@ -76,7 +76,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY language, lower(replace(lower(te
     "cards": ((), f"""SELECT item_id AS card_id, item_id AS nid, item_id AS found, CASE WHEN item_id % 5 = 4 THEN 1 ELSE 0 END AS ord, [2, 2, 0, 1, 3, 2, 2][(item_id % 7 + 1)::INTEGER] AS queue,
   [2, 2, 0, 1, 3, 2, 2][(item_id % 7 + 1)::INTEGER] AS type, {TODAY} + item_id % 61 - 30 AS due, item_id % 40 AS ivl, 1300 + (item_id % 17) * 100 AS factor, item_id % 9 AS reps, item_id % 4 AS lapses,
   CASE WHEN item_id % 13 = 12 THEN 5 ELSE 0 END AS odid, CASE WHEN item_id % 11 = 10 THEN 'Other' ELSE 'Basic' END AS note_type,
-  array_to_string(list_slice({words('text')}, 3, 5), ' ') AS front, 'meaning ' || item_id AS back FROM benchmark"""),
+  text AS front, 'meaning ' || item_id AS back FROM benchmark"""),
     "judged_cards": (("cards",), f"""SELECT *, CASE WHEN skip_reason IS NULL AND state = 'new' AND row_number() OVER (PARTITION BY skip_reason IS NULL AND state = 'new' ORDER BY found, card_id) > 3 THEN 'new_card_limit' ELSE skip_reason END AS outcome FROM (
   SELECT *, CASE WHEN odid <> 0 THEN 'filtered_deck' WHEN dated AND coalesce(nullif(due, 0), {TODAY}) > {TODAY + 10} THEN 'future_window' WHEN note_type <> 'Basic' THEN 'note_type'
     WHEN front = '' THEN 'target_field' WHEN ord = 1 THEN 'target_not_on_question' END AS skip_reason FROM (
@@ -100,7 +100,7 @@ WHERE turn = 1"""),
     "due": (("targets", "resolved"), "SELECT t.*, coalesce(a.base, b.base, t.match_key) AS due_key FROM targets t LEFT JOIN resolved a ON a.key = t.match_key LEFT JOIN resolved b ON b.key = t.lemma"),
     "expanded": (("due", "word_forms"), """SELECT k.base, list_sort(list_distinct(list_append(coalesce(f.found, []), k.base))) AS forms, CASE WHEN f.found IS NULL AND g.form IS NULL THEN k.base ELSE '' END AS prefix
 FROM (SELECT DISTINCT due_key AS base FROM due) k LEFT JOIN (SELECT base, list(form) AS found FROM word_forms GROUP BY base) f ON f.base = k.base LEFT JOIN (SELECT DISTINCT form FROM word_forms) g ON g.form = k.base"""),
-    "terms": (("ordered",), """SELECT term, is_prefix, ((row_number() OVER (ORDER BY turn, place) - 1) // 8)::INTEGER AS chunk FROM (
+    "terms": (("ordered",), """SELECT term, is_prefix, ((row_number() OVER (ORDER BY turn, place) - 1) // 40)::INTEGER AS chunk FROM (
   SELECT turn, unnest(forms) AS term, false AS is_prefix, unnest(generate_series(1, len(forms))) AS place FROM ordered UNION ALL SELECT turn, prefix, true, len(forms) + 1 FROM ordered WHERE prefix <> '')"""),
     "ordered": (("expanded", "due"), "SELECT e.*, row_number() OVER (ORDER BY w.weight DESC, e.base) AS turn FROM expanded e JOIN (SELECT due_key, sum(priority) AS weight FROM due GROUP BY due_key) w ON w.due_key = e.base"),
     "hits": (("posts", "terms"), "SELECT chunk, term, id, count(*) AS f, min(length) AS length FROM (SELECT DISTINCT t.chunk, t.term || CASE WHEN t.is_prefix THEN '*' ELSE '' END AS term, p.id, p.length, p.form FROM posts p JOIN terms t ON CASE WHEN t.is_prefix THEN starts_with(p.form, t.term) ELSE p.form = t.term END) GROUP BY chunk, term, id"),
@@ -108,7 +108,7 @@ FROM (SELECT DISTINCT due_key AS base FROM due) k LEFT JOIN (SELECT base, list(f
   SELECT h.*, s.avg_length, CASE WHEN ln((s.total - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((s.total - n + 0.5) / (n + 0.5)) END AS idf
   FROM (SELECT *, count(*) OVER (PARTITION BY chunk, term) AS n FROM hits) h, stats s) GROUP BY chunk, id"""),
     "compat": (("scored", "sentences"), """SELECT id, bm25 FROM (SELECT id, arg_min(bm25, chunk) AS bm25, min(chunk) AS chunk, arg_min(r, chunk) AS r FROM (
-  SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY bm25, id) AS r FROM scored WHERE id IN (SELECT id FROM sentences WHERE language = 'en')) WHERE r <= 40 GROUP BY id) ORDER BY chunk, r LIMIT 80"""),
+  SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY bm25, id) AS r FROM scored WHERE id IN (SELECT id FROM sentences WHERE language = 'en')) WHERE r <= 100 GROUP BY id) ORDER BY chunk, r LIMIT 200"""),
     "matched": (("forms", "expanded"), "SELECT DISTINCT p.id, e.base FROM (SELECT id, unnest(forms) AS form FROM forms) p JOIN (SELECT base, prefix, unnest(forms) AS form FROM expanded) e ON p.form = e.form OR (e.prefix <> '' AND starts_with(p.form, e.prefix))"),
     "ranked": (("compat", "matched", "due", "sentences"), """SELECT s.id, s.language, s.full_text, s.word_count, c.bm25, m.score, m.cards FROM compat c JOIN sentences s USING (id) JOIN (
   SELECT m.id, sum(CASE WHEN d.priority = 0 THEN 10 + least(d.overdue, 30) / 3 ELSE d.priority END) AS score, count(DISTINCT d.card_id) AS cards FROM matched m JOIN due d ON d.due_key = m.base GROUP BY m.id) m USING (id)
@@ -131,11 +131,8 @@ def _searched(suffix: str, terms: str, found: str) -> None:
         PIECES[name + suffix] = (tuple(n + suffix if n in own else n for n in needs), named)
 
 
-_TERMS, _COMPAT = PIECES["terms"][1], PIECES["compat"][1]
-#: Production limits: 40 terms a chunk, 100 sentences a chunk, 200 in all.
-_searched("_full", _TERMS.replace("// 8)", "// 40)"), _COMPAT.replace("r <= 40", "r <= 100").replace("LIMIT 80", "LIMIT 200"))
 #: Every match, scored against all terms.
-_searched("_every", _TERMS.replace("// 8)", "// 1000000000)"), "SELECT id, bm25 FROM scored WHERE id IN (SELECT id FROM sentences WHERE language = 'en')")
+_searched("_every", PIECES["terms"][1].replace("// 40)", "// 1000000000)"), "SELECT id, bm25 FROM scored WHERE id IN (SELECT id FROM sentences WHERE language = 'en')")
 
 
 def sql(final: str, *needed: str) -> str:
