@@ -122,7 +122,7 @@ def test_step_log_and_undo(spark):
     got = {r.card_id: r for r in s.collect()}
     assert (got[10].type, got[10].queue, got[10].ivl, got[10].left, got[10].lapses, got[10].factor) == (3, 1, 0, 1001, 1, 2300)
     assert (got[20].ivl, got[20].due, got[20].type) == (12, 112, 2)
-    assert [r.id for r in P.log_rows(s, 1000, [1_000_000]).orderBy("cid").collect()] == [1_000_001, 1_000_002]
+    assert [r.id for r in P.log_rows(s, 1000, spark.createDataFrame([(1_000_000,)], "id long")).orderBy("cid").collect()] == [1_000_001, 1_000_002]
     names = ["card_id", "factor", "ivl", "due", "queue", "left", "type", "lapses", "reps"]
     back = P.restore(s.select(*[F.col(n).cast("long") for n in names]), P.undo(s))
     assert {(r.card_id, r.ivl, r.lapses, r.due) for r in back.collect()} == {(10, 5, 0, 100), (20, 5, 0, 100)}
@@ -147,8 +147,12 @@ def test_sessions(spark):
 def test_setup(spark):
     assert U.question_aliases("Plain Word", ["Word", "Plain Word"]) == {"plain word", "word"}
     s = corpus(spark, "A good example sentence.")
-    got = {r.name: r.status for r in U.diagnostics(s, K.sentence_forms(s).limit(0), K.word_forms(s), "en").collect()}
-    assert got["index"] == "warning" and got["sentences"] == "ok"
+    row = U.library_check(s, K.sentence_forms(s).limit(0), K.word_forms(s), "en").first()
+    assert row.status == "warning" and row.detail == "1 sentences, 0 in the index"
+    assert U.library_check(s, K.sentence_forms(s), K.word_forms(s), "en").first().status == "ok"
+    assert U.library_check(s, None, K.word_forms(s), "en").first()[1:] == ("error", "missing table(s): forms")
+    assert U.library_check(s.limit(0), K.sentence_forms(s).limit(0), K.word_forms(s), "en").first().detail == "no sentences"
+    assert U.library_check(s, K.sentence_forms(s), K.word_forms(s), "de").first().detail == "1 sentences, none of language de"
 
 
 def test_readers(spark, tmp_path):
