@@ -147,6 +147,7 @@ class Model:
         here = x[:, s:]
         a = self.q[here] @ self.k[x].transpose(0, 2, 1)
         a += self.bias
+        a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
         o = a @ self.v[x]
         logits = (o[..., :d] / np.maximum(o[..., d:], np.float32(1e-30))) @ self.p["o"]
@@ -165,6 +166,7 @@ class Model:
             logits = self.class_logs(np.concatenate([rows[at - 1], rows[at]], 1))
             real = y >= 0
             y = np.where(real, y, 0)
+            logits -= logits.max(-1, keepdims=True)
             picked = np.take_along_axis(logits, self.class_of[y][..., None], -1)[..., 0].astype(np.float64)
             np.exp(logits, out=logits)
             logs = (picked - np.log(logits.sum(-1)) + self.within[y]) * real

@@ -51,9 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def share_code(spark: SparkSession) -> None:
-    """Lets Python workers import this package when it isn't installed on the executors."""
+    """Lets Python workers import this package when it isn't installed on the executors, and calculate in one thread each:
+    a task is one core's work, and threads of matrix products that wait for each other cost more than they gain."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+        env.setdefault(name, "1")
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
 

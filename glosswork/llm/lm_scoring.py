@@ -1,19 +1,22 @@
 """Log probabilities of whole texts, by word counts and by a causal self-attention model.
 
 Training documents are those whose crc32(doc_id as text) mod 7 isn't 2. A first pass counts their words (by 64-bit
-hash of the lower-cased word, the end mark included) and subword ids; each task adds up its own counts before the
-shuffle. The attention model (see ``attention``) has an embedding for every id that they have three times, and is
-fitted on every window of every training document, in the cluster: each round takes a share of the documents by hash,
-each task steps through its own from the same parameters, and what the tasks have is averaged, an embedding by how often
-a task moved it. Only parameters are gathered, never texts. Its id probabilities within classes come from the counts of
-all training documents. As tasks step apart, ``score`` depends in small on how the input is split; base_score doesn't.
+hash of the lower-cased word, the end mark included) and subword ids, each task adding up its own counts before the
+shuffle, and keeps their ids, so that the fit reads no text again. The attention model (see ``attention``) has an
+embedding for every id that they have three times, and is fitted on every window of every training document, in the
+cluster: each round takes a share of the documents by hash, each task steps through its own from the same parameters, and
+what the tasks have is averaged, an embedding by how often a task moved it. Only parameters are gathered, never texts. Its
+id probabilities within classes come from the counts of all training documents. As tasks step apart, ``score`` depends in
+small on how the input is split; base_score doesn't.
 
 The second pass scores every document by the model and by the ``head`` most frequent words, a table of fixed size.
 Rarer words leave the pass as (document, word, times) and meet their counts in a join; there are few of them, and no
 one of them is frequent, so that join has no hot key.
 
-Defined results: null or empty text is the end mark alone; repeated rows count and are scored each; a null doc_id is
-a training document; with no training documents every count is 0 and the model is uniform over ids.
+Defined results: null or empty text is the end mark alone; a very long text is scored whole, and is held in memory alone
+with its ids; repeated rows count and are scored each, alike; a null doc_id is a training document; ties between equally
+frequent words or ids are settled by their hash or number; with no training documents every count is 0 and the model is
+uniform over ids; further columns are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +43,11 @@ PIECE = 4096  # embedding rows that travel together
 IDS = 50257  # of the tokenizer; the last of them ends a text
 END_WORD = np.uint64(0x5E17D0F7E57A11ED)
 
-_COUNTS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+#: Rows of the first pass: words' counts, ids' counts, and a text's ids with the share of the documents that it belongs to.
+WORDS, SUBWORDS, TEXT = range(3)
+SHARES = 16
+_COUNTS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+_COUNTS_DDL = "kind int, key long, n long, ids binary"
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,13 +66,17 @@ def _counter(path: str | None, ranks: str | None):
                 held.append(np.unique(np.append(h, np.full(b - a, END_WORD)), return_counts=True))
             if sum(len(k) for k, _ in held) > 3_000_000:
                 held = [_merged(held)]
+            encoded = []
             for t in batch.column(0):
                 own = coder.ids(t.as_py() or "")
+                encoded.append(own.astype("<u2").tobytes())
                 pending.append(own)
                 size += len(own)
                 if size > 500_000:
                     ids += np.bincount(np.concatenate(pending), minlength=IDS)
                     pending, size = [], 0
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), TEXT, np.int32)), batch.column(1).cast(pa.int64()), pa.array([len(x) // 2 for x in encoded], pa.int64()), pa.array(encoded, pa.binary())], schema=_COUNTS)
             ids[-1] += len(batch)
         if pending:
             ids += np.bincount(np.concatenate(pending), minlength=IDS)
@@ -73,7 +84,7 @@ def _counter(path: str | None, ranks: str | None):
             for kind, (keys, n) in enumerate((_merged(held), (np.flatnonzero(ids), ids[ids > 0]))):
                 for a in range(0, len(keys), 100_000):
                     k = keys[a : a + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(np.uint64).view(np.int64)), pa.array(n[a : a + 100_000])], schema=_COUNTS)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(np.uint64).view(np.int64)), pa.array(n[a : a + 100_000]), pa.nulls(len(k), pa.binary())], schema=_COUNTS)
 
     return run
 
@@ -129,19 +140,19 @@ def _dense(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p) if k != "emb"])
 
 
-def _learner(path: str | None, ranks: str | None, model: Model, passes: int, rate):
+def _learner(model: Model, passes: int, rate):
     """Steps through a task's texts; yields its parameters times their weights: piece -1 is all but the embeddings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, learner, rng, pending, size = shared(path, ranks), Learner(model), np.random.default_rng(11), [], 0
+        learner, rng, pending, size = Learner(model), np.random.default_rng(11), [], 0
 
         def learn() -> None:
             for _ in range(passes):
                 learner.learn(np.concatenate(pending), np.array([len(i) for i in pending], np.int64), WINDOWS, rate, rng)
 
         for batch in batches:
-            for t in batch.column(0):
-                pending.append(coder.ids(t.as_py() or "").astype(np.int64))
+            for ids in batch.column(0):
+                pending.append(np.frombuffer(ids.as_buffer(), "<u2").astype(np.int64))
                 size += len(pending[-1]) + 1
                 if size > HELD_IDS:
                     learn()
@@ -184,7 +195,13 @@ def _take(model: Model, parts: list) -> None:
             model.p["emb"][part["piece"] * PIECE + rows] = (x.reshape(len(w), -1)[rows] / w[rows, None]).astype(np.float32)
 
 
-def fit(docs: DataFrame, id_counts: np.ndarray, path: str | None = None, ranks: str | None = None, **shape) -> Model:
+def survey(texts: DataFrame, folder: str, path: str | None = None, ranks: str | None = None) -> DataFrame:
+    """(kind, key, n, ids) of the training ``texts`` (text and others): counts by task, and each text's ids with its share."""
+    share = F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit("round")), F.lit(SHARES)).cast("int")
+    return stored(texts.select("text", share.alias("share")).mapInArrow(_counter(path, ranks), _COUNTS_DDL), folder, "survey")
+
+
+def fit(surveyed: DataFrame, id_counts: np.ndarray, **shape) -> Model:
     """The model on all training documents, each of them in one of the rounds."""
     model = Model(id_counts, **shape)
     if not id_counts.any():
@@ -192,15 +209,14 @@ def fit(docs: DataFrame, id_counts: np.ndarray, path: str | None = None, ranks:
     model.begin(np.flatnonzero(id_counts >= 3))
     windows = int(id_counts.sum()) // model.block + 1
     # a small input is gone through more than once, in few tasks and in one round
-    tasks = max(1, min(docs.sparkSession.sparkContext.defaultParallelism, windows // (WINDOWS * TASK_STEPS)))
-    passes = -(-WINDOWS * TASK_STEPS // windows)
-    bucket, low = F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit("round")), F.lit(16)), 0
+    tasks = max(1, min(surveyed.sparkSession.sparkContext.defaultParallelism, windows // (WINDOWS * TASK_STEPS)))
+    passes, low = -(-WINDOWS * TASK_STEPS // windows), 0
     for end in ROUNDS if tasks > 1 else ROUNDS[-1:]:
-        steps = windows * passes * (end - low) / 16 / WINDOWS / tasks
+        steps = windows * passes * (end - low) / SHARES / WINDOWS / tasks
         last = end == ROUNDS[-1]
         rate = (lambda n, steps=steps: RATE * min(1.0, max(0.1, 3 * (1 - n / (steps + 1))))) if last else (lambda n: RATE)
-        texts = docs.filter("not held_out").filter((bucket >= low) & (bucket < end)).select("text")
-        learned = texts.coalesce(tasks).mapInArrow(_learner(path, ranks, model, passes, rate), "piece int, weights binary, sums binary")
+        texts = surveyed.filter((F.col("kind") == TEXT) & (F.col("key") >= low) & (F.col("key") < end)).select("ids")
+        learned = texts.coalesce(tasks).mapInArrow(_learner(model, passes, rate), "piece int, weights binary, sums binary")
         _take(model, learned.repartition(16, "piece").mapInArrow(_added, learned.schema).collect())
         low = end
     return model.freeze()
@@ -208,11 +224,11 @@ def fit(docs: DataFrame, id_counts: np.ndarray, path: str | None = None, ranks:
 
 def score_texts(docs: DataFrame, head: int = HEAD, path: str | None = None, ranks: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. ``path``, ``ranks``: the tokenizer's files."""
-    spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
+    folder = shared_folder(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     marked = documents(docs).withColumn("held_out", held)
-    each = marked.filter("not held_out").select("text").mapInArrow(_counter(path, ranks), "kind int, key long, n long")
-    counts = stored(each.groupBy("kind", "key").agg(F.sum("n").alias("n")), folder, "counts")
+    surveyed = survey(marked.filter("not held_out"), folder, path, ranks)
+    counts = stored(surveyed.filter(F.col("kind") != TEXT).groupBy("kind", "key").agg(F.sum("n").alias("n")), folder, "counts")
     said = counts.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     # the head: words from a frequency on that at most ``head`` words have, found by a count of words for each step of it
     step = F.floor(F.log2("n") * 8)
@@ -224,7 +240,7 @@ def score_texts(docs: DataFrame, head: int = HEAD, path: str | None = None, rank
     ids = counts.filter("kind = 1").select("key", "n").toArrow()  # a row for each id at most
     id_counts = np.zeros(IDS, np.int64)
     id_counts[ids["key"].to_numpy()] = ids["n"].to_numpy()
-    model = fit(marked, id_counts, path, ranks)
+    model = fit(surveyed, id_counts)
     run = _scorer(path, ranks, keys[order].copy(), n[order].copy(), model)
     done = marked.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, score double, rare array<long>, times array<long>")
     scored = stored(done.withColumn("row", F.monotonically_increasing_id()), folder, "scored")
