@@ -42,7 +42,7 @@ _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _HEADER = 33  # signature and IHDR chunk
 
 _PLACES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-_COLUMNS = pa.schema([("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("bit_depth", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_COLUMNS = pa.schema([("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("bit_depth", pa.int64()), ("payload_bytes", pa.int64()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -150,7 +150,7 @@ def _reader(folder: str):
                 sha = hashlib.sha256(samples).hexdigest()
                 if sha != digest:
                     raise ValueError(f"{shard} at {offset}: payload {sha} is not {digest}")
-                out.append((digest, shard, offset, length, width, height, depth, len(samples), sha, zlib.crc32(samples[-WIDTH:]), length, hashlib.sha256(media).hexdigest(), feature(samples, width, height)))
+                out.append((digest, shard, offset, length, width, height, depth, len(samples), zlib.crc32(samples[-WIDTH:]), length, hashlib.sha256(media).hexdigest(), feature(samples, width, height)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _COLUMNS)], schema=_COLUMNS)
         if source:
@@ -169,7 +169,9 @@ def store_media(docs: DataFrame, folder: str | None = None, shard_bytes: int = S
     places = stored(documents(docs).mapInArrow(_writer(folder, shard_bytes), _ddl(_PLACES)), folder, "places")
     objects = places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
     reads = objects.repartition("shard", F.expr("offset div 4194304")).sortWithinPartitions("shard", "offset")
-    return spread_join(places.select("doc_id", "n_bytes", "digest"), stored(reads.mapInArrow(_reader(folder), _ddl(_COLUMNS)), folder, "columns"), "digest", F.monotonically_increasing_id())
+    columns = stored(reads.mapInArrow(_reader(folder), _ddl(_COLUMNS)), folder, "columns")
+    met = spread_join(places.select("doc_id", "n_bytes", "digest"), columns, "digest", F.monotonically_increasing_id())
+    return met.withColumn("payload_sha256", F.col("digest"))  # the reader found that what it read back has it
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
