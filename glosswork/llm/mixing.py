@@ -6,10 +6,13 @@ sum over the ranges of a source turns each local running sum into the source-wid
 its exact word budget: whole epochs first, then the remainder in key order, the last row in part.
 
 Only (source, range) groups are ever sorted in one task, so a source that holds a third of all rows is dealt over
-16**digits groups. The table of sources (one row each) is the only thing handled in a single partition.
+16**digits groups. The table of sources is the only thing that one task sorts, as weights go by a source's rank among all:
+some 50 bytes for each source, which spill where there are very many.
 
-Defined results: null text has size 0; a null source is a source of its own, last in order; an empty table gives an
-empty mix; sources without words get target 0; equal rows may swap places, which changes no value.
+Defined results: null text has size 0; a very long text is counted whole, by one expression; a null source is a source of
+its own, last in order; a null doc_id is an id like any other; an empty table gives an empty mix; sources without words get
+target 0; rows of equal keys go by id and size, and equal rows may swap places, which changes no value; further columns,
+whatever their names, are left out by ``mix_sources`` and kept by ``apply_mix``.
 """
 
 from __future__ import annotations
