@@ -169,3 +169,13 @@ def media_path_ok(path: Column) -> Column:
     remote = path.rlike(r"^(?i:https?)://")
     clean = ~path.rlike(r"^([/\\]|[A-Za-z]:)") & ~path.rlike(r"(^|[/\\])\.\.([/\\]|$)")
     return remote | clean
+
+
+def media_resolved(path: Column, folder: str) -> Column:
+    """The address of a media file: remote and file addresses as they are, others under ``folder``; null where they leave it."""
+    plain = F.regexp_replace(path, r"\\", "/")
+    parts = F.filter(F.split(plain, "/"), lambda p: ~p.isin("", "."))
+    step = lambda a, p: F.when(a.isNull(), a).when(p != "..", F.concat(a, F.array(p))).when(F.size(a) > 0, F.slice(a, F.lit(1), F.size(a) - 1))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    inside = F.concat(F.lit(f"file://{folder.rstrip('/')}/"), F.array_join(F.transform(kept, lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))), "/"))
+    return F.when(path.rlike(r"^(?i:https?|file):"), path).when(~plain.startswith("/") & (F.size(kept) > 0), inside)

@@ -165,6 +165,11 @@ def count_words(text: Column, language: Column) -> Column:
     return F.when(text.rlike(SCRIPT), F.floor((script + 2) / 3) + F.regexp_count(bare, F.lit(WORD))).otherwise(plain).cast("int")
 
 
+def tokens(text: Column, language: Column) -> Column:
+    """(text, lemma) of each word, in order; the lemma is the stem of the word's normal form."""
+    return F.transform(words(text), lambda w: F.struct(w.alias("text"), let(form(w), lambda f: lemma(f, language)).alias("lemma")))
+
+
 def plain_form(word: str) -> str:
     """``form`` for a word of the settings."""
     d = unicodedata.normalize("NFKD", word.casefold())

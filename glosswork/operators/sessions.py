@@ -15,6 +15,12 @@ def recent(events: DataFrame, keep: int = 200) -> DataFrame:
     return newest.withColumn("place", F.row_number().over(Window.partitionBy("owner").orderBy("at", "id"))).select("owner", "id", "place")
 
 
+def sanitised(ids: Column, keep: int = 200) -> Column:
+    """Stored ids as they can be used: whole numbers over 0, each where it came first, the last ``keep`` of them."""
+    numbers = F.array_distinct(F.filter(F.transform(ids, lambda i: F.trim(i).try_cast("long")), lambda i: i > 0))
+    return F.slice(numbers, F.greatest(F.size(numbers) - keep, F.lit(0)) + 1, F.lit(keep))
+
+
 def inflated_limit(base: int, avoided: int) -> int:
     return base + min(avoided, 200)
 

@@ -186,3 +186,13 @@ def word_maps(spark, sf):
 @entry(sql("SELECT language, count(*) AS sentences, count(*) FILTER (word_count > 8)::BIGINT AS translated, sum(word_count)::BIGINT AS words FROM sentences GROUP BY language", "sentences"))
 def translated_counts(spark, sf):
     return K.library_counts(library(spark, sf).withColumn("translation", F.when(F.col("word_count") > 8, F.col("full_text")).when(F.col("word_count") > 6, "")))
+
+
+@entry(sql("SELECT form, base FROM word_forms WHERE length(form) > 4 UNION SELECT 'sentences', count(*)::VARCHAR FROM sentences", "word_forms", "sentences"))
+def replaced_word_forms(spark, sf):
+    """A library's word forms exchanged as a whole; its sentences stay."""
+    path = place(spark, "library")
+    W.replace_library({"sentences": library(spark, sf), "forms": indexed(spark, sf), "word_forms": word_pairs(spark, sf)}, path, "v1")
+    W.replace_word_forms(spark, path, word_pairs(spark, sf).filter("length(form) > 4"), "v2")
+    opened = W.open_library(spark, path)
+    return opened["word_forms"].select("form", "base").unionByName(opened["sentences"].agg(F.lit("sentences").alias("form"), F.count(F.lit(1)).cast("string").alias("base")))

@@ -152,3 +152,24 @@ def template_split(spark, sf):
     fields = F.when(k == 0, F.array(F.lit("Plain  Word"))).when(k == 2, F.array(F.lit("Back"), F.lit("WORD"))).otherwise(F.array(F.lit("Back")))
     shown = table(spark, sf, "benchmark").groupBy(F.concat(F.lit("Card "), k).alias("template"), fields.alias("fields")).agg(F.count(F.lit(1)).alias("cards"))
     return U.split_templates(shown, U.question_aliases("Plain Word", ["Word", "Back", "Plain Word"]))
+
+
+@entry(f"SELECT item_id, array_to_string(list_transform({p.words('text')}, lambda w: w || '/' || {p.english(p.form('w'))}), ' ') AS tokens FROM benchmark")
+def word_lemmas(spark, sf):
+    tokens = T.tokens(F.col("text"), F.lit("en"))
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(F.transform(tokens, lambda t: F.concat(t["text"], F.lit("/"), t["lemma"])), " ").alias("tokens"))
+
+
+@entry("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'file:///media/a/p' || page_id || '.png' WHEN 1 THEN NULL WHEN 2 THEN 'https://h/' || page_id ELSE 'file:///media/b%20c.png' END AS address FROM pages")
+def media_addresses(spark, sf):
+    i = F.col("page_id")
+    path = F.when(i % 4 == 0, F.concat(F.lit("a/x/../p"), i, F.lit(".png"))).when(i % 4 == 1, "../out.png").when(i % 4 == 2, F.concat(F.lit("https://h/"), i)).otherwise("./b c.png")
+    return table(spark, sf, "pages").select("page_id", H.media_resolved(path, "/media").alias("address"))
+
+
+@entry("SELECT user_id, array_to_string(list_slice(list(id ORDER BY first), greatest(count(*) - 199, 1)::BIGINT, count(*)::BIGINT), ',') AS ids FROM (SELECT user_id, event_id % 700 - 9 AS id, min(event_id) AS first FROM events WHERE event_id % 700 > 9 GROUP BY ALL) GROUP BY user_id")
+def sanitised_ids(spark, sf):
+    raw = F.concat(F.lit(" "), (F.col("event_id") % 700 - 9).cast("string"))
+    rows = table(spark, sf, "events").select("user_id", "event_id", F.explode(F.array(raw, F.lit("x"), F.lit("-4"))).alias("raw"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "raw"))), lambda x: x["raw"])
+    return rows.groupBy("user_id").agg(F.array_join(E.sanitised(ids), ",").alias("ids"))

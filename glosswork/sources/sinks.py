@@ -48,6 +48,14 @@ def open_read_only(spark: SparkSession, path: str, needed: tuple[str, ...] = ("s
     return tables
 
 
+def replace_word_forms(spark: SparkSession, path: str, pairs: DataFrame, version: str) -> str:
+    """The library with other (form, base) pairs, as a new version: all of them or, if that fails or there are none, no change."""
+    if pairs.isEmpty():
+        raise ValueError("no word forms to write")
+    tables = open_library(spark, path)
+    return replace_library({**tables, "word_forms": pairs.select("form", "base").distinct()}, path, version)
+
+
 def within(spark: SparkSession, seconds: float, action: Callable[[], T]) -> T:
     """``action()``, whose jobs are cancelled after ``seconds``: a TimeoutError then."""
     context, group, late = spark.sparkContext, f"within-{uuid.uuid4().hex}", threading.Event()
