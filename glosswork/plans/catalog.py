@@ -165,10 +165,12 @@ def vocabulary_forms(spark, sf):
     return w.select(T.form(F.col("w")).alias("form"), "n").filter("form <> ''").groupBy("form").agg(F.sum("n").alias("n"))
 
 
-@entry(r"SELECT doc_id, length(string_agg(t, '')) AS n_chars, count(*) AS n_tokens FROM (SELECT doc_id, unnest(regexp_extract_all(text, '" + T.WORD.replace("'", "''") + r"')) AS t FROM documents) GROUP BY doc_id")
+@entry(r"SELECT doc_id, length(string_agg(t, '')) AS n_chars, count(*) AS n_words, true AS lossless FROM (SELECT doc_id, unnest(regexp_extract_all(text, '" + T.WORD.replace("'", "''") + r"')) AS t FROM documents) GROUP BY doc_id")
 def lossless_tokens(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", F.filter(T.split_tokens(F.col("text")), lambda x: x.rlike(rf"^{T.WORD}$")).alias("t"))
-    return t.filter(F.size("t") > 0).select("doc_id", F.length(F.array_join("t", "")).cast("long").alias("n_chars"), F.size("t").cast("long").alias("n_tokens"))
+    """Words of each document, and whether all its tokens joined are its text."""
+    t = table(spark, sf, "documents").select("doc_id", "text", T.split_tokens(F.col("text")).alias("all"))
+    t = t.select("doc_id", F.filter("all", lambda x: x.rlike(rf"^{T.WORD}$")).alias("t"), (F.array_join("all", "") == F.col("text")).alias("lossless"))
+    return t.filter(F.size("t") > 0).select("doc_id", F.length(F.array_join("t", "")).cast("long").alias("n_chars"), F.size("t").cast("long").alias("n_words"), "lossless")
 
 
 @entry(sql("SELECT language, array_to_string(flags, ',') AS flags, count(*) AS n FROM judged GROUP BY ALL", "judged"))
@@ -202,21 +204,27 @@ def target_tokens(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(T.target_tokens(t, en), " ").alias("content"), F.size(T.target_tokens(t, en, "all_words")).cast("long").alias("n_words"), F.array_join(T.target_tokens(t, en, "first_word"), " ").alias("first_word"))
 
 
-_CODES = ("en", "eng", "EN-us", "deu_DE", "cmn", "zh", "xx", "", "jpn")
-
-
-@entry("SELECT * FROM (VALUES ('en','en','eng','en,eng',false),('eng','en','eng','en,eng',false),('EN-us','en','eng','en,eng,en-us',false),('deu_DE','de','deu','de,deu,deu_de',false),('cmn','zh','cmn','zh,cmn',true),('zh','zh','cmn','zh,cmn',true),('xx','xx','xx','xx',false),('','en','eng','en,eng',false),('jpn','ja','jpn','ja,jpn',true)) t(raw, code, corpus_code, match_codes, unsegmented)")
+@entry("""SELECT doc_id, CASE WHEN k = 4 THEN 'en' WHEN k = 5 THEN 'xx' ELSE lang END AS code, three AS corpus_code, array_to_string(list_distinct([x for x in [CASE WHEN k = 4 THEN 'en' WHEN k = 5 THEN 'xx' ELSE lang END, three, lower(trim(raw))] if x <> '']), ',') <> '' AS coded, k = 6 AS unsegmented FROM (
+SELECT doc_id, CASE WHEN doc_id % 7 = 6 THEN 'ja' ELSE lang END AS lang, doc_id % 7 AS k, CASE WHEN doc_id % 7 = 4 THEN 'eng' WHEN doc_id % 7 = 5 THEN 'xx' WHEN doc_id % 7 = 6 THEN 'jpn' ELSE CASE lang WHEN 'de' THEN 'deu' WHEN 'en' THEN 'eng' WHEN 'es' THEN 'spa' WHEN 'fr' THEN 'fra' END END AS three,
+CASE doc_id % 7 WHEN 0 THEN lang WHEN 1 THEN upper(lang) || '-AT' WHEN 2 THEN ' ' || lang || '_XX' WHEN 3 THEN CASE lang WHEN 'de' THEN 'deu' WHEN 'en' THEN 'eng' WHEN 'es' THEN 'spa' WHEN 'fr' THEN 'fra' END WHEN 4 THEN '' WHEN 5 THEN 'xx' ELSE 'jpn' END AS raw FROM documents)""")
 def language_codes(spark, sf):
-    r = F.col("raw")
-    return spark.createDataFrame([(c,) for c in _CODES], "raw string").select("raw", L.language_code(r).alias("code"), L.corpus_code(r).alias("corpus_code"), F.array_join(L.match_codes(r), ",").alias("match_codes"), L.is_unsegmented(r).alias("unsegmented"))
+    k, lang = F.col("doc_id") % 7, F.col("lang")
+    raw = F.when(k == 0, lang).when(k == 1, F.concat(F.upper(lang), F.lit("-AT"))).when(k == 2, F.concat(F.lit(" "), lang, F.lit("_XX"))).when(k == 3, L.corpus_code(lang)).when(k == 4, "").when(k == 5, "xx").otherwise("jpn")
+    r, codes = F.col("raw"), L.match_codes(F.col("raw"))
+    known = F.array_contains(codes, L.language_code(r)) & F.array_contains(codes, L.corpus_code(r)) & (F.size(codes) == F.size(F.array_distinct(codes)))
+    return table(spark, sf, "documents").select("doc_id", raw.alias("raw")).select("doc_id", L.language_code(r).alias("code"), L.corpus_code(r).alias("corpus_code"), known.alias("coded"), L.is_unsegmented(r).alias("unsegmented"))
 
 
-_ROWS = (["42", "Short sentence."], ["42", "Good examples help.", "Buenos ejemplos ayudan."], ["de", "Gute Beispiele helfen."], ["deu", "Gute Beispiele helfen.", "Good examples help."], ["1", "deu", "Gute Beispiele helfen.", "Good examples help."], ["go", "ir"], ["Sentence text."], ["42"])
+_SHAPES = (("7", "{t}"), ("7", "{t}", "of {i}"), ("de", "{t}"), ("deu", "{t}", "of {i}"), ("7", "spa", "{t}", "of {i}"), ("{t}", "of {i}"), ("{t}",), ("7",))
 
 
-@entry("SELECT * FROM (VALUES (0,'en','Short sentence.',NULL),(1,'en','Good examples help.','Buenos ejemplos ayudan.'),(2,'de','Gute Beispiele helfen.',NULL),(3,'de','Gute Beispiele helfen.','Good examples help.'),(4,'de','Gute Beispiele helfen.','Good examples help.'),(5,'en','go','ir'),(6,'en','Sentence text.',NULL),(7,NULL,NULL,NULL)) t(n, language, text, translation)")
+@entry("""SELECT item_id, CASE item_id % 8 WHEN 2 THEN 'de' WHEN 3 THEN 'de' WHEN 4 THEN 'es' WHEN 7 THEN NULL ELSE 'en' END AS language, CASE WHEN item_id % 8 = 7 THEN NULL ELSE trim(text) END AS text, CASE WHEN item_id % 8 IN (1, 3, 4, 5) THEN 'of ' || item_id END AS translation FROM benchmark""")
 def parse_row_shapes(spark, sf):
-    return spark.createDataFrame(list(enumerate(_ROWS)), "n int, parts array<string>").select("n", parse_row(F.col("parts"), "en").alias("r")).select("n", "r.language", "r.text", "r.translation")
+    """Every item as a row of one of the known shapes."""
+    filled = lambda part: F.col("text") if part == "{t}" else F.concat(F.lit("of "), F.col("item_id")) if part == "of {i}" else F.lit(part)
+    shapes = F.array(*[F.array(*[filled(x) for x in shape]) for shape in _SHAPES])
+    parts = F.get(shapes, (F.col("item_id") % 8).cast("int"))
+    return table(spark, sf, "benchmark").select("item_id", parse_row(parts, "en").alias("r")).select("item_id", "r.language", "r.text", "r.translation")
 
 
 # ---- markup

@@ -79,7 +79,7 @@ def test_scripts_without_spaces(spark):
 
 
 def test_import_rules(spark):
-    rows = spark.createDataFrame([(1, "de", "Gute Beispiele helfen immer.", None), (2, "de", "gute  Beispiele helfen immer.", None), (3, "de", "Mehr unter https://example.com bitte schauen.", None), (4, "de", " ", None), (5, "de", "Kurz.", None)], "ordinal long, language string, text string, translation string")
+    rows = spark.createDataFrame([(1, "de", "Der Regen kommt heute spaet.", None), (2, "de", "der  Regen kommt heute spaet.", None), (3, "de", "Mehr unter https://example.com bitte schauen.", None), (4, "de", " ", None), (5, "de", "Kurz.", None)], "ordinal long, language string, text string, translation string")
     got = {r.ordinal: r.skip_reason for r in I.judge(rows).collect()}
     assert got == {1: None, 2: "duplicate", 3: "quality", 4: "empty", 5: "word_count"}
     m = I.import_metrics(I.judge(rows), 1).first()
@@ -87,10 +87,10 @@ def test_import_rules(spark):
 
 
 def test_pairing(spark):
-    t = spark.createDataFrame([(1, "de", "Gute Beispiele helfen."), (2, "de", "Keine Ubersetzung.")], "id long, language string, text string")
-    n = spark.createDataFrame([(10, "en", "Good examples help."), (11, "en", "Examples are useful.")], "id long, language string, text string")
+    t = spark.createDataFrame([(1, "de", "Der Regen kommt spaet."), (2, "de", "Ganz allein hier.")], "id long, language string, text string")
+    n = spark.createDataFrame([(10, "en", "The rain comes late."), (11, "en", "Examples are useful.")], "id long, language string, text string")
     links = spark.createDataFrame([(1, 10, 0), (1, 11, 1), (10, 1, 2)], "source_id long, translation_id long, link_order long")
-    assert {r.id: r.translation for r in I.pair_translations(t, n, links).collect()} == {1: "Good examples help.", 2: None}
+    assert {r.id: r.translation for r in I.pair_translations(t, n, links).collect()} == {1: "The rain comes late.", 2: None}
 
 
 def test_query_text():
@@ -161,9 +161,9 @@ def test_readers(spark, tmp_path):
     import tarfile
 
     f = tmp_path / "a.tsv.bz2"
-    f.write_bytes(bz2.compress("1\tdeu\tGute Beispiele helfen.\tGood examples help.\n42\tShort sentence.\n\"quo\"\"ted\"\tx\n42\n".encode()))
+    f.write_bytes(bz2.compress("1\tdeu\tDer Regen kommt spaet.\tThe rain comes late.\n42\tTwo cats sleep.\n\"quo\"\"ted\"\tx\n42\n".encode()))
     got = [(r.language, r.text, r.translation) for r in readers.read_sentences(spark, str(f)).orderBy("ordinal").collect()]
-    assert got == [("de", "Gute Beispiele helfen.", "Good examples help."), ("en", "Short sentence.", None), ("en", 'quo"ted', "x")]
+    assert got == [("de", "Der Regen kommt spaet.", "The rain comes late."), ("en", "Two cats sleep.", None), ("en", 'quo"ted', "x")]
     p = tmp_path / "b.txt"
     p.write_text("﻿猫が魚を食べる。犬が走っている。\n", encoding="utf-8")
     assert [r.text for r in readers.read_sentences(spark, str(p), "ja").orderBy("ordinal").collect()] == ["猫が魚を食べる。", "犬が走っている。"]

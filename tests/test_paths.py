@@ -79,16 +79,16 @@ def test_fetch_is_all_or_nothing(tmp_path):
 
 
 def test_builder_and_library_upkeep(spark, tmp_path):
-    (tmp_path / "de.tsv").write_text("1\tdeu\tGute Beispiele helfen sehr.\n2\tdeu\tZu kurz\n")
-    (tmp_path / "en.tsv").write_text("9\teng\tGood examples help a lot.\n")
+    (tmp_path / "de.tsv").write_text("1\tdeu\tDer Regen kommt sehr spaet.\n2\tdeu\tZu kurz\n")
+    (tmp_path / "en.tsv").write_text("9\teng\tThe rain comes very late.\n")
     (tmp_path / "links.tsv").write_text("1\t8\n1\t9\n")
-    (tmp_path / "forms.tsv").write_text("half\thelfen\n")
+    (tmp_path / "forms.tsv").write_text("kam\tkommen\n")
     m = build.build(spark, str(tmp_path / "de.tsv"), str(tmp_path / "lib"), "de", "auto", str(tmp_path / "en.tsv"), "en", str(tmp_path / "links.tsv"), (3, 9), word_forms=[str(tmp_path / "forms.tsv")]).first()
     assert (m.processed, m.inserted, m.skipped) == (2, 1, 1)
     lib = W.open_read_only(spark, str(tmp_path / "lib"))
     row = lib["sentences"].first()
-    assert (row.full_text, row.translation, row.source) == ("Gute Beispiele helfen sehr.", "Good examples help a lot.", str(tmp_path / "de.tsv"))
-    assert lib["word_forms"].filter("form = 'half' and base = 'helfen'").count() == 1
+    assert (row.full_text, row.translation, row.source) == ("Der Regen kommt sehr spaet.", "The rain comes very late.", str(tmp_path / "de.tsv"))
+    assert lib["word_forms"].filter("form = 'kam' and base = 'kommen'").count() == 1
     with pytest.raises(ValueError):
         build.build(spark, str(tmp_path / "de.tsv"), str(tmp_path / "lib"), natives="x")
     with pytest.raises(ValueError):
