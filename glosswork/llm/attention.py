@@ -1,8 +1,9 @@
 """A small causal self-attention model over subword ids, in numpy.
 
-P(id | before) = P(class | before) * P(id | class). Classes are ranges of ids by corpus frequency, of about equal
-mass, so frequent ids have a class of their own; P(id | class) comes from smoothed corpus counts. One attention layer
-with relative positions predicts the class. Queries, keys and values depend on the id alone, so they are tables once
+P(id | before) = P(class | before) * P(id | class). Classes are groups of ids that stand beside the same ids in the
+corpus (see ``Contexts``), so that a class tells language and kind and little is left to P(id | class), which comes from
+smoothed corpus counts; without contexts they are ranges of ids by frequency. One attention layer with relative positions
+predicts the class. Queries, keys and values depend on the id alone, so they are tables once
 the model is trained. Text is read in blocks: a window is a block and the one before, and every token is scored once,
 in its own block, with between a half and a whole window before it.
 """
@@ -11,29 +12,73 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK, DIM, CLASSES = 16, 16, 48
+BLOCK, DIM, CLASSES = 16, 16, 128
+#: Numbers for each side that stand for an id's neighbours, and turns of grouping ids by them.
+SIDE, TURNS = 24, 15
 STEPS, BATCH, RATE = 400, 128, 0.01
 
 
+def _by_frequency(counts: np.ndarray, classes: int) -> np.ndarray:
+    """A class for each id: ranges by frequency of about equal mass."""
+    order = np.argsort(-counts, kind="stable")
+    mass = counts[order] + 1
+    left, class_of = mass.sum(), np.empty(len(counts), np.int32)
+    c = held = 0
+    for i, m in zip(order, mass):  # a class closes once it has its share of what was left when it began
+        if not held:
+            share = left / max(1, classes - c)
+        class_of[i] = c
+        held += m
+        left -= m
+        if held >= share * (1 - 1e-9) and c < classes - 1:
+            c, held = c + 1, 0.0
+    return class_of
+
+
+class Contexts:
+    """What stands before and after each id, as sums of random signs of the neighbours, rarer ones weighing more."""
+
+    def __init__(self, counts: np.ndarray, side: int = SIDE, seed: int = 3):
+        signs = np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (len(counts), side))
+        self.signs = signs / np.sqrt(counts + 10)[:, None].astype(np.float32)
+        self.sums = np.zeros((len(counts), 2 * side), np.float32)
+
+    def add(self, texts: list[np.ndarray]) -> None:
+        """Counts the neighbours in texts' ids, with the end mark (the last id) around each text."""
+        size, side = len(self.signs), self.signs.shape[1]
+        end = np.array([size - 1])
+        row = np.concatenate([end, *(x for t in texts for x in (t, end))]).astype(np.int64)
+        pairs, n = np.unique(row[:-1] * size + row[1:], return_counts=True)
+        a, b, n = pairs // size, pairs % size, n.astype(np.float32)[:, None]
+        first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        self.sums[a[first], side:] += np.add.reduceat(self.signs[b] * n, first, 0)
+        order = np.argsort(b, kind="stable")
+        b = b[order]
+        first = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+        self.sums[b[first], :side] += np.add.reduceat(self.signs[a[order]] * n[order], first, 0)
+
+
+def grouped(sums: np.ndarray, counts: np.ndarray, classes: int = CLASSES, turns: int = TURNS) -> np.ndarray:
+    """A class for each id by its contexts: k-means, weighted by the root of an id's count, begun at the most frequent ids."""
+    x, weight = (sums / (counts + 5)[:, None]).astype(np.float32), np.sqrt(counts.astype(np.float64))
+    centres = x[np.argsort(-counts, kind="stable")[:classes]].copy()
+    of = np.zeros(len(x), np.int64)
+    for _ in range(turns):
+        of = ((centres * centres).sum(1)[None, :] - 2 * (x @ centres.T)).argmin(1)
+        held = np.bincount(of, weight, len(centres))
+        for j in range(x.shape[1]):
+            centres[:, j] = np.bincount(of, weight * x[:, j], len(centres)) / np.maximum(held, 1e-9)
+    return np.unique(of, return_inverse=True)[1]
+
+
 class Model:
     """``counts``: how often the corpus has each id; the last one ends a text, and one more stands for what is not there."""
 
-    def __init__(self, counts: np.ndarray, classes: int = CLASSES, dim: int = DIM, block: int = BLOCK, seed: int = 7):
+    def __init__(self, counts: np.ndarray, classes: int = CLASSES, dim: int = DIM, block: int = BLOCK, seed: int = 7, class_of: np.ndarray | None = None):
         self.block, self.dim = block, dim
         counts = counts.astype(np.float64)
         self.size = len(counts)
-        order = np.argsort(-counts, kind="stable")
-        mass = counts[order] + 1
-        left, self.class_of = mass.sum(), np.empty(self.size, np.int32)
-        c = held = 0
-        for i, m in zip(order, mass):  # a class closes once it has its share of what was left when it began
-            if not held:
-                share = left / max(1, classes - c)
-            self.class_of[i] = c
-            held += m
-            left -= m
-            if held >= share * (1 - 1e-9) and c < classes - 1:
-                c, held = c + 1, 0.0
+        self.class_of = _by_frequency(counts, classes) if class_of is None else class_of.astype(np.int32)
         self.classes = int(self.class_of.max()) + 1
         total = np.bincount(self.class_of, counts + 1, self.classes)
         self.within = np.log((counts + 1) / total[self.class_of])
@@ -80,39 +125,50 @@ class Model:
         scale = np.float32(1 / np.sqrt(d))
         e = p["emb"][x]
         eq, here = e[:, s:], x != len(p["emb"]) - 1
-        q, k, val = eq @ p["q"], e @ p["k"], e @ p["v"]
-        a = (q @ k.transpose(0, 2, 1)) * scale + p["r"][self.gap]
-        a[:, self.late] = -1e4
-        a = np.where(here[:, None, :], a, np.float32(-1e4))
-        a = np.exp(a - a.max(-1, keepdims=True))
+        flat = lambda z: z.reshape(-1, z.shape[-1])
+        both = np.concatenate([p["k"], p["v"]], 1)
+        kv = (flat(e) @ both).reshape(*x.shape, -1)
+        q, k, val = (flat(eq) @ p["q"]).reshape(eq.shape), kv[..., :d], kv[..., d:]
+        a = q @ k.transpose(0, 2, 1)
+        a *= scale
+        a += p["r"][self.gap]
+        a += self.late * np.float32(-1e4)
+        a += (~here * np.float32(-1e4))[:, None, :]
+        a -= a.max(-1, keepdims=True)
+        np.exp(a, out=a)
         a /= a.sum(-1, keepdims=True)
         o = a @ val
-        logits = o @ p["o"] + eq @ p["e"] + p["b"]
-        logits -= logits.max(-1, keepdims=True)
-        dl = np.exp(logits)
-        dl /= dl.sum(-1, keepdims=True)
-        real = y >= 0
-        w, i = np.nonzero(real)
-        dl[w, i, self.class_of[y[w, i]]] -= 1
-        dl *= real[..., None] / np.float32(max(1, real.sum()))
-        flat = lambda z: z.reshape(-1, z.shape[-1])
-        g = {"o": flat(o).T @ flat(dl), "e": flat(eq).T @ flat(dl), "b": flat(dl).sum(0)}
-        do = dl @ p["o"].T
-        deq = dl @ p["e"].T
+        # what the attention gives, the id itself and a constant in one product
+        inner = np.concatenate([flat(o), flat(eq), np.ones((o.shape[0] * s, 1), np.float32)], 1)
+        outer = np.concatenate([p["o"], p["e"], p["b"][None]])
+        dl = inner @ outer
+        dl -= dl.max(-1, keepdims=True)
+        np.exp(dl, out=dl)
+        real = y.ravel() >= 0
+        dl *= (real / (dl.sum(-1) * np.float32(max(1, real.sum())))).astype(np.float32)[:, None]
+        at = np.flatnonzero(real)
+        dl[at, self.class_of[y.ravel()[at]]] -= np.float32(1 / max(1, len(at)))
+        whole = inner.T @ dl
+        g = {"o": whole[:d], "e": whole[d : 2 * d], "b": whole[2 * d]}
+        back = dl @ outer[: 2 * d].T
+        do, deq = back[:, :d].reshape(o.shape), back[:, d:].reshape(o.shape)
         dval = a.transpose(0, 2, 1) @ do
         da = do @ val.transpose(0, 2, 1)
         ds = a * (da - (a * da).sum(-1, keepdims=True))
         g["r"] = np.bincount(self.gap.ravel(), ds.sum(0).ravel() * ~self.late.ravel(), 2 * s).astype(np.float32)
         ds *= scale
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["q"], g["k"], g["v"] = flat(eq).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dval)
-        de = dk @ p["k"].T + dval @ p["v"].T
-        de[:, s:] += deq + dq @ p["q"].T
-        rows, at = np.unique(x, return_inverse=True)
-        order = np.argsort(at.ravel(), kind="stable")
-        starts = np.searchsorted(at.ravel()[order], np.arange(len(rows)))
+        dkv = np.concatenate([flat(dk), flat(dval)], 1)
+        whole = flat(e).T @ dkv
+        g["q"], g["k"], g["v"] = flat(eq).T @ flat(dq), whole[:, :d], whole[:, d:]
+        de = (dkv @ both.T).reshape(e.shape)
+        de[:, s:] += deq
+        de[:, s:] += (flat(dq) @ p["q"].T).reshape(dq.shape)
+        order = np.argsort(x.ravel(), kind="stable")
+        sorted_ = x.ravel()[order]
+        starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
         g["emb"] = np.add.reduceat(flat(de)[order], starts, 0)
-        return g, rows
+        return g, sorted_[starts]
 
     def train(self, ids: np.ndarray, counts: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> "Model":
         """Fits the layer to the texts whose ``ids`` are given in a row, by Adam on random windows."""

@@ -6,7 +6,7 @@ shuffle, and keeps their ids, so that the fit reads no text again. The attention
 embedding for every id that they have three times, and is fitted on every window of every training document, in the
 cluster: each round takes a share of the documents by hash, each task steps through its own from the same parameters, and
 what the tasks have is averaged, an embedding by how often a task moved it. Only parameters are gathered, never texts. Its
-id probabilities within classes come from the counts of all training documents. As tasks step apart, ``score`` depends in
+classes and the id probabilities within them come from the neighbours and counts of all training documents. As tasks step apart, ``score`` depends in
 small on how the input is split; base_score doesn't.
 
 The second pass scores every document by the model and by the ``head`` most frequent words, a table of fixed size.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm.attention import RATE, Learner, Model
+from glosswork.llm.attention import CLASSES, RATE, SIDE, Contexts, Learner, Model, grouped
 from glosswork.llm.common import documents, shared_folder, stored, table
 from glosswork.llm.hashing import blocks, utf8, words
 from glosswork.llm.subwords import shared
@@ -171,6 +171,38 @@ def _learner(model: Model, passes: int, rate):
     return run
 
 
+def _neighbours(counts: np.ndarray):
+    """A task's sums of contexts, in pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, pending, size = Contexts(counts), [], 0
+        for batch in batches:
+            for ids in batch.column(0):
+                pending.append(np.frombuffer(ids.as_buffer(), "<u2"))
+                size += len(pending[-1]) + 1
+                if size > HELD_IDS:
+                    seen.add(pending)
+                    pending, size = [], 0
+        if pending:
+            seen.add(pending)
+        for i, a in enumerate(range(0, len(counts), PIECE)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.zeros(1).tobytes()]), pa.array([seen.sums[a : a + PIECE].astype(np.float64).tobytes()])], schema=_PARTS)
+
+    return run
+
+
+def id_classes(surveyed: DataFrame, id_counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """A class for each id by what stands beside it in all training documents."""
+    texts = surveyed.filter(F.col("kind") == TEXT).select("ids")
+    tasks = surveyed.sparkSession.sparkContext.defaultParallelism
+    made = texts.coalesce(tasks).mapInArrow(_neighbours(id_counts), "piece int, weights binary, sums binary")
+    sums = np.zeros((len(id_counts), 2 * SIDE))
+    for part in made.repartition(16, "piece").mapInArrow(_added, made.schema).collect():  # one row a piece
+        x = np.frombuffer(part["sums"]).reshape(-1, 2 * SIDE)
+        sums[part["piece"] * PIECE : part["piece"] * PIECE + len(x)] = x
+    return grouped(sums, id_counts, classes)
+
+
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
@@ -203,9 +235,9 @@ def survey(texts: DataFrame, folder: str, path: str | None = None, ranks: str |
 
 def fit(surveyed: DataFrame, id_counts: np.ndarray, **shape) -> Model:
     """The model on all training documents, each of them in one of the rounds."""
-    model = Model(id_counts, **shape)
     if not id_counts.any():
-        return model.freeze()
+        return Model(id_counts, **shape).freeze()
+    model = Model(id_counts, class_of=id_classes(surveyed, id_counts), **shape)
     model.begin(np.flatnonzero(id_counts >= 3))
     windows = int(id_counts.sum()) // model.block + 1
     # a small input is gone through more than once, in few tasks and in one round
