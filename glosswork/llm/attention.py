@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK, DIM, CLASSES = 16, 16, 128
+BLOCK, DIM, CLASSES = 16, 16, 320
 #: Numbers for each side that stand for an id's neighbours, and turns of grouping ids by them.
 SIDE, TURNS = 24, 15
 STEPS, BATCH, RATE = 400, 128, 0.01
