@@ -18,15 +18,16 @@ made a pair. Where the representative changes, a passage ends and the next begin
 A count sketch of fixed size, over all texts, tells suffixes whose k words no other text has; they are not sent at
 all, others carry the ``2 * least - k`` words around them. Far beyond its size it tells none, and every suffix is sent: for
 the ~2 suffixes that ``least - k`` words keep that is about 3 times the input, in proportion at every size. The sketch
-also tells how many texts share a suffix's words: a frequent one is dealt over as many groups as its count asks for. Each group
-has representatives of its own then, and only these are compared by their windows' hashes: a text leads to its group's
-representative, and that one to the least of all; a row that leads to itself is the end. Copies of a text are one text
-from the start.
+also tells how many texts share a suffix's words: a frequent one is dealt over as many groups as its count asks for.
+Each group has representatives of its own then, and only these are compared by their windows' hashes: a text leads to its
+group's representative, and that one to the least of all; a row that leads to itself is the end. Copies of a text are one
+text from the start.
 
 Defined results: words are compared with A-Z lower-cased; repeats inside one document don't count; documents (rows)
 with equal text of ``least`` words or more repeat as a whole, and represent themselves where no other text has the
-words; of equal texts the least doc_id stands for all; null, empty and shorter texts have no passages; a very long text is read whole, its words in slices; a null doc_id
-is kept; further columns are left out, whatever their names; an empty table gives no rows.
+words; of equal texts the least doc_id stands for all; null, empty and shorter texts have no passages; a very long text is
+read whole, its words in slices; a null doc_id is kept; further columns are left out, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -312,7 +313,7 @@ def repeated(docs: DataFrame, least: int = LEAST, k: int = K, cells: int = CELLS
     texts = documents(docs)
     seen = stored(texts.mapInArrow(_surveyor(least, k, cells), "doc_id long, text_hash long, n_words long, kept long, block int, data binary"), folder, "seen")
     rows = seen.filter("block is null").select("doc_id", "text_hash", "n_words", "kept")
-    counts = sketch.gathered(seen.filter("block is not null").select("block", "data"), cells, True, folder, "counts")
+    counts = sketch.gathered(seen.filter("block is not null").select("block", "data"), cells, folder, "counts")
     buckets = max(16, -(-rows.agg(F.coalesce(F.sum("kept"), F.lit(0))).first()[0] // PER_BUCKET))
     dealt = texts.mapInArrow(_dealer(least, k, counts, buckets), "bucket int, keys array<long>, texts array<long>, places array<int>, firsts array<int>, lasts array<int>, salted array<boolean>, around binary")
     sorted_ = dealt.repartitionById(buckets, F.col("bucket"))

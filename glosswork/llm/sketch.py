@@ -1,4 +1,4 @@
-"""Fixed-size sketches over all rows: counts by hashed cell, and membership. Their size doesn't grow with the data.
+"""A fixed-size sketch over all rows: counts by hashed cell. Its size doesn't grow with the data.
 
 Every task adds up a sketch of its own before the shuffle, so a size that followed the data would make their sum grow
 with its square. Past what a sketch can tell apart, what relies on it does more work for the same result.
@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from glosswork.llm.common import stored
-from glosswork.llm.hashing import mix
 
 BLOCK = 1 << 18
+
+
 def pack(cells: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Compressed blocks of an array of bytes."""
     for i in range(0, len(cells), BLOCK):
@@ -26,16 +27,13 @@ def pack(cells: np.ndarray) -> Iterator[tuple[int, bytes]]:
         yield i // BLOCK, zlib.compress(cells[i : i + BLOCK].tobytes(), 1)
 
 
-def _merged(counts: bool):
-    def run(parts: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK, np.uint32 if counts else np.uint8)
-        for d in parts["data"]:
-            x = np.frombuffer(zlib.decompress(d.as_py()), np.uint8)
-            total[: len(x)] = total[: len(x)] + x if counts else total[: len(x)] | x
-        out = np.floor(4 * np.log2(np.maximum(total, 1))).astype(np.uint8) if counts else total
-        return pa.table({"block": parts["block"][:1].cast(pa.int32()), "data": pa.array([zlib.compress(out[: len(x)].tobytes(), 1)], pa.binary())})
-
-    return run
+def _merged(parts: pa.Table) -> pa.Table:
+    total = np.zeros(BLOCK, np.uint32)
+    for d in parts["data"]:
+        x = np.frombuffer(zlib.decompress(d.as_py()), np.uint8)
+        total[: len(x)] += x
+    out = np.floor(4 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+    return pa.table({"block": parts["block"][:1].cast(pa.int32()), "data": pa.array([zlib.compress(out[: len(x)].tobytes(), 1)], pa.binary())})
 
 
 class Kept:
@@ -65,9 +63,9 @@ def _read(path: str, size: int) -> np.ndarray:
     return out
 
 
-def gathered(blocks: DataFrame, size: int, counts: bool, folder: str, name: str) -> Kept:
-    """The whole sketch from its (block, data) parts: 4 * log2 of added counts, or bytes or-ed."""
-    stored(blocks.groupBy("block").applyInArrow(_merged(counts), "block int, data binary"), folder, name)
+def gathered(blocks: DataFrame, size: int, folder: str, name: str) -> Kept:
+    """The whole sketch from its (block, data) parts: 4 * log2 of added counts."""
+    stored(blocks.groupBy("block").applyInArrow(_merged, "block int, data binary"), folder, name)
     return Kept(f"{folder}/{name}", size)
 
 
@@ -88,39 +86,3 @@ def look(cells: np.ndarray, hashes: np.ndarray, shifts: tuple[int, ...] = (20,))
 
 def _cell(hashes: np.ndarray, size: int, shift: int) -> np.ndarray:
     return (hashes >> np.uint64(shift)).astype(np.int64) & (size - 1)
-
-
-def mark(bits: np.ndarray, hashes: np.ndarray) -> None:
-    """Sets two bits for each hash."""
-    for shift in (7, 33):
-        at = (hashes >> np.uint64(shift)).astype(np.int64) & (8 * len(bits) - 1)
-        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-
-
-def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(hashes), bool)
-    for shift in (7, 33):
-        at = (hashes >> np.uint64(shift)).astype(np.int64) & (8 * len(bits) - 1)
-        ok &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-    return ok
-
-
-def spread(hashes: np.ndarray) -> np.ndarray:
-    """Any 64-bit names as hashes for ``mark`` and ``marked``."""
-    return mix(hashes)
-
-
-def members(hashes: DataFrame, size: int, folder: str, name: str) -> Kept:
-    """The membership sketch of a single long column."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, np.uint8)
-        some = False
-        for b in batches:
-            mark(bits, spread(b.column(0).to_numpy().view(np.uint64)))
-            some = some or len(b) > 0
-        if some:
-            for i, data in pack(bits):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([data], pa.binary())], names=["block", "data"])
-
-    return gathered(hashes.mapInArrow(run, "block int, data binary"), size, False, folder, name)
