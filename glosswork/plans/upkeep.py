@@ -13,8 +13,7 @@ from glosswork.operators import selection as Q
 from glosswork.operators import sessions as E
 from glosswork.operators import settings as G
 from glosswork.operators import setup as U
-from glosswork.plans import pieces as p
-from glosswork.plans.catalog import answered, card_table, due_side, entry, indexed, judged_cards, library, ranked, table, targets, word_pairs
+from glosswork.plans.catalog import answered, card_table, entry, indexed, library, ranked, table, targets, word_pairs
 from glosswork.plans.pieces import NOW, TODAY, USN, sql
 
 # ---- cards, notes and templates
