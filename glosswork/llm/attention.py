@@ -1,9 +1,9 @@
 """A small causal self-attention model over subword ids, in numpy.
 
-P(id | before) = P(class | before) * P(id | class). Classes are groups of ids that stand beside the same ids in the
-corpus (see ``Contexts``), so that a class tells language and kind and little is left to P(id | class), which comes from
-smoothed corpus counts; without contexts they are ranges of ids by frequency. One attention layer with relative positions
-predicts the class. Queries, keys and values depend on the id alone, so they are tables once
+P(id | before) = P(group | before) * P(class | group, before) * P(id | class). Classes hold ids that stand beside the same
+ids in the corpus (see ``Contexts``), and groups such classes, so that they tell language and kind and little is left to
+P(id | class), which comes from smoothed corpus counts; without contexts they are ranges of ids by frequency. One attention
+layer with relative positions predicts the group and, within it, the class. Queries, keys and values depend on the id alone, so they are tables once
 the model is trained. Text is read in blocks: a window is a block and the one before, and every token is scored once,
 in its own block, with between a half and a whole window before it.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK, DIM, CLASSES = 16, 16, 320
+BLOCK, DIM, GROUPS, EACH = 16, 16, 32, 16
 #: Numbers for each side that stand for an id's neighbours, and turns of grouping ids by them.
 SIDE, TURNS = 24, 15
 STEPS, BATCH, RATE = 400, 128, 0.01
@@ -58,34 +58,49 @@ class Contexts:
         self.sums[b[first], :side] += np.add.reduceat(self.signs[a[order]] * n[order], first, 0)
 
 
-def grouped(sums: np.ndarray, counts: np.ndarray, classes: int = CLASSES, turns: int = TURNS) -> np.ndarray:
-    """A class for each id by its contexts: k-means, weighted by the root of an id's count, begun at the most frequent ids."""
+def grouped(sums: np.ndarray, counts: np.ndarray, groups: int = GROUPS, each: int = EACH, turns: int = TURNS) -> np.ndarray:
+    """A class for each id, group * ``each`` + place in it, by its contexts.
+
+    Classes are k-means, in which an id weighs the root of its count, begun at the most frequent ids. Their centres are
+    halved at the median of their widest side until there are ``groups`` (a power of two) of equal size.
+    """
     x, weight = (sums / (counts + 5)[:, None]).astype(np.float32), np.sqrt(counts.astype(np.float64))
-    centres = x[np.argsort(-counts, kind="stable")[:classes]].copy()
+    centres = x[np.argsort(-counts, kind="stable")[: groups * each]].copy()
     of = np.zeros(len(x), np.int64)
     for _ in range(turns):
         of = ((centres * centres).sum(1)[None, :] - 2 * (x @ centres.T)).argmin(1)
         held = np.bincount(of, weight, len(centres))
         for j in range(x.shape[1]):
             centres[:, j] = np.bincount(of, weight * x[:, j], len(centres)) / np.maximum(held, 1e-9)
-    return np.unique(of, return_inverse=True)[1]
+    parts = [np.arange(len(centres))]
+    while len(parts) < groups:
+        parts = [half for own in parts for half in np.array_split(own[np.argsort(centres[own][:, int(centres[own].var(0).argmax())] if len(own) else own, kind="stable")], 2)]
+    place = np.empty(len(centres), np.int64)
+    for g, own in enumerate(parts):
+        place[own] = g * each + np.arange(len(own))
+    return place[of]
 
 
 class Model:
     """``counts``: how often the corpus has each id; the last one ends a text, and one more stands for what is not there."""
 
-    def __init__(self, counts: np.ndarray, classes: int = CLASSES, dim: int = DIM, block: int = BLOCK, seed: int = 7, class_of: np.ndarray | None = None):
-        self.block, self.dim = block, dim
+    def __init__(self, counts: np.ndarray, groups: int = GROUPS, each: int = EACH, dim: int = DIM, block: int = BLOCK, seed: int = 7, class_of: np.ndarray | None = None):
+        self.block, self.dim, self.groups, self.each = block, dim, groups, each
         counts = counts.astype(np.float64)
         self.size = len(counts)
-        self.class_of = _by_frequency(counts, classes) if class_of is None else class_of.astype(np.int32)
-        self.classes = int(self.class_of.max()) + 1
-        total = np.bincount(self.class_of, counts + 1, self.classes)
+        self.class_of = (_by_frequency(counts, groups * each) if class_of is None else class_of).astype(np.int32)
+        self.group_of = self.class_of // each
+        total = np.bincount(self.class_of, counts + 1, groups * each)
         self.within = np.log((counts + 1) / total[self.class_of])
+        total = total.reshape(groups, each)
         rng = np.random.default_rng(seed)
         draw = lambda *shape: (rng.normal(size=shape) / np.sqrt(shape[0])).astype(np.float32)
         self.place = np.full(self.size + 1, -1, np.int64)  # an id's row of the trained embeddings
-        self.p = {"q": draw(dim, dim), "k": draw(dim, dim), "v": draw(dim, dim), "o": draw(dim, self.classes), "e": draw(dim, self.classes), "b": np.log(total / total.sum()).astype(np.float32), "r": np.zeros(2 * block, np.float32)}
+        share = np.log(np.maximum(total.sum(1), 1e-9) / total.sum())
+        self.p = {"q": draw(dim, dim), "k": draw(dim, dim), "v": draw(dim, dim), "o": draw(dim, groups), "e": draw(dim, groups), "b": share.astype(np.float32), "r": np.zeros(2 * block, np.float32)}
+        # by group: weights of what the attention gives, of the id itself and of a constant; places without a class have none
+        inside = np.where(total > 0, np.log(np.maximum(total, 1e-9) / np.maximum(total.sum(1), 1e-9)[:, None]), -1e4)
+        self.p["c"] = np.concatenate([draw(2 * dim, groups * each).reshape(2 * dim, groups, each).transpose(1, 0, 2), inside[:, None, :].astype(np.float32)], 1)
         self.draw = draw
         i, j = np.arange(block)[:, None] + block, np.arange(2 * block)[None, :]
         self.gap, self.late = np.maximum(i - j, 0), j > i
@@ -147,10 +162,20 @@ class Model:
         real = y.ravel() >= 0
         dl *= (real / (dl.sum(-1) * np.float32(max(1, real.sum())))).astype(np.float32)[:, None]
         at = np.flatnonzero(real)
-        dl[at, self.class_of[y.ravel()[at]]] -= np.float32(1 / max(1, len(at)))
+        share = np.float32(1 / max(1, len(at)))
+        dl[at, self.group_of[y.ravel()[at]]] -= share
         whole = inner.T @ dl
-        g = {"o": whole[:d], "e": whole[d : 2 * d], "b": whole[2 * d]}
+        g = {"o": whole[:d], "e": whole[d : 2 * d], "b": whole[2 * d], "c": np.zeros_like(p["c"])}
         back = dl @ outer[: 2 * d].T
+        for group, own in self.by_group(y.ravel(), at):
+            z, part = inner[own], p["c"][group]
+            dz = z @ part
+            dz -= dz.max(-1, keepdims=True)
+            np.exp(dz, out=dz)
+            dz *= share / dz.sum(-1, keepdims=True)
+            dz[np.arange(len(own)), self.class_of[y.ravel()[own]] % self.each] -= share
+            g["c"][group] = z.T @ dz
+            back[own] += dz @ part[: 2 * d].T
         do, deq = back[:, :d].reshape(o.shape), back[:, d:].reshape(o.shape)
         dval = a.transpose(0, 2, 1) @ do
         da = do @ val.transpose(0, 2, 1)
@@ -170,6 +195,13 @@ class Model:
         g["emb"] = np.add.reduceat(flat(de)[order], starts, 0)
         return g, sorted_[starts]
 
+    def by_group(self, y: np.ndarray, at: np.ndarray):
+        """(group, places) of the targets ``y`` at ``at``."""
+        of = self.group_of[y[at]]
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(self.groups + 1))
+        return [(g, at[order[a:b]]) for g, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+
     def train(self, ids: np.ndarray, counts: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> "Model":
         """Fits the layer to the texts whose ``ids`` are given in a row, by Adam on random windows."""
         known, often = np.unique(np.append(ids, self.size - 1), return_counts=True)
@@ -197,8 +229,8 @@ class Model:
         self.bias = np.where(self.late, np.float32(-1e4), p["r"][self.gap]).astype(np.float32)
         return self
 
-    def class_logs(self, x: np.ndarray) -> np.ndarray:
-        """Natural logs of the class probabilities for the last half of each window of embedding rows."""
+    def states(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the last half of each window of embedding rows, in a row: what the attention gives, and the rows."""
         s, d = self.block, self.dim
         here = x[:, s:]
         a = self.q[here] @ self.k[x].transpose(0, 2, 1)
@@ -206,27 +238,34 @@ class Model:
         a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
         o = a @ self.v[x]
-        logits = (o[..., :d] / np.maximum(o[..., d:], np.float32(1e-30))) @ self.p["o"]
-        logits += self.e[here]
-        return logits
+        return (o[..., :d] / np.maximum(o[..., d:], np.float32(1e-30))).reshape(-1, d), here.ravel()
 
     def score(self, ids: np.ndarray, counts: np.ndarray, windows: int = 512) -> np.ndarray:
         """log10 probability of each text, its end included; ``ids`` of all texts in a row."""
         inputs, targets, owner = self.blocks(ids, counts)
         usable = np.flatnonzero(owner >= 0)
-        rows = self.place[inputs]
-        out = np.zeros(len(counts))
+        rows, out, p = self.place[inputs], np.zeros(len(counts)), self.p
+
+        def logs(z: np.ndarray, picked: np.ndarray) -> np.ndarray:
+            z -= z.max(-1, keepdims=True)
+            said = z[np.arange(len(z)), picked].astype(np.float64)
+            np.exp(z, out=z)
+            return said - np.log(z.sum(-1))
+
         for a in range(0, len(usable), windows):
             at = usable[a : a + windows]
-            y = targets[at]
-            logits = self.class_logs(np.concatenate([rows[at - 1], rows[at]], 1))
-            real = y >= 0
-            y = np.where(real, y, 0)
-            logits -= logits.max(-1, keepdims=True)
-            picked = np.take_along_axis(logits, self.class_of[y][..., None], -1)[..., 0].astype(np.float64)
-            np.exp(logits, out=logits)
-            logs = (picked - np.log(logits.sum(-1)) + self.within[y]) * real
-            out += np.bincount(owner[at], logs.sum(1), len(counts))
+            y = targets[at].ravel()
+            o, here = self.states(np.concatenate([rows[at - 1], rows[at]], 1))
+            real = np.flatnonzero(y >= 0)
+            value = np.zeros(len(y))
+            value[real] = logs(o[real] @ p["o"] + self.e[here[real]], self.group_of[y[real]]) + self.within[y[real]]
+            for group, own in self.by_group(y, real):
+                part, d = p["c"][group], self.dim
+                z = o[own] @ part[:d]
+                z += p["emb"][here[own]] @ part[d : 2 * d]
+                z += part[2 * d]
+                value[own] += logs(z, self.class_of[y[own]] % self.each)
+            out += np.bincount(np.repeat(owner[at], self.block), value, len(counts))
         return out / np.log(10)
 
 

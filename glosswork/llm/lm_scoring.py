@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm.attention import CLASSES, RATE, SIDE, Contexts, Learner, Model, grouped
+from glosswork.llm.attention import RATE, SIDE, Contexts, Learner, Model, grouped
 from glosswork.llm.common import documents, shared_folder, stored, table
 from glosswork.llm.hashing import blocks, utf8, words
 from glosswork.llm.subwords import shared
@@ -191,7 +191,7 @@ def _neighbours(counts: np.ndarray):
     return run
 
 
-def id_classes(surveyed: DataFrame, id_counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+def id_classes(surveyed: DataFrame, id_counts: np.ndarray) -> np.ndarray:
     """A class for each id by what stands beside it in all training documents."""
     texts = surveyed.filter(F.col("kind") == TEXT).select("ids")
     tasks = surveyed.sparkSession.sparkContext.defaultParallelism
@@ -200,7 +200,7 @@ def id_classes(surveyed: DataFrame, id_counts: np.ndarray, classes: int = CLASSE
     for part in made.repartition(16, "piece").mapInArrow(_added, made.schema).collect():  # one row a piece
         x = np.frombuffer(part["sums"]).reshape(-1, 2 * SIDE)
         sums[part["piece"] * PIECE : part["piece"] * PIECE + len(x)] = x
-    return grouped(sums, id_counts, classes)
+    return grouped(sums, id_counts)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

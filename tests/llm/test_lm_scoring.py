@@ -73,9 +73,11 @@ def naive(m, ids):
         q = e[-1] @ p["q"]
         a = (e @ p["k"]) @ q / np.sqrt(d) + p["r"][np.arange(len(e))[::-1]]
         a = np.exp(a - a.max())
-        logits = (a / a.sum()) @ (e @ p["v"]) @ p["o"] + e[-1] @ p["e"] + p["b"]
-        c = m.class_of[target]
-        total += logits[c] - np.log(np.exp(logits - logits.max()).sum()) - logits.max() + m.within[target]
+        o = (a / a.sum()) @ (e @ p["v"])
+        g, c = divmod(m.class_of[target], m.each)
+        for logits, k in ((o @ p["o"] + e[-1] @ p["e"] + p["b"], g), (np.concatenate([o, e[-1], [1]]) @ p["c"][g], c)):
+            total += logits[k] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+        total += m.within[target]
     return total / np.log(10)
 
 
@@ -89,7 +91,7 @@ def test_batches_equal_token_by_token_and_held_out_beats_counts(spark):
     got = m.score(np.concatenate(few), np.array([len(i) for i in few]))
     assert np.allclose(got, [naive(m, i.tolist()) for i in few], rtol=2e-3)
     one_class = np.exp(m.within)
-    assert np.allclose(np.bincount(m.class_of, one_class), 1)  # with a softmax over classes, ids sum to 1
+    assert np.allclose(np.bincount(m.class_of, one_class)[np.unique(m.class_of)], 1)  # with softmaxes over groups and classes, ids sum to 1
     held = ids[700:]
     n = sum(len(i) + 1 for i in held)
     model = m.score(np.concatenate(held), np.array([len(i) for i in held])).sum() / n
@@ -110,7 +112,7 @@ def test_batches_equal_token_by_token_and_held_out_beats_counts(spark):
 
 def test_large_weights_stay_finite():
     m = Model(np.arange(1, 40)).begin(np.arange(39))
-    for k in ("q", "k", "o", "e"):
+    for k in ("q", "k", "o", "e", "c"):
         m.p[k] = m.p[k] * 1e4
     s = m.freeze().score(np.arange(30), np.array([30]))
     assert np.isfinite(s).all()
@@ -128,3 +130,27 @@ def test_every_training_document_takes_part_in_the_fit(spark):
     drawn = Model(counts).begin(known).p["emb"]
     moved = np.abs(m.p["emb"] - drawn).sum(1) > 0
     assert moved[m.place[known]].all()  # and each was learned from
+
+
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(5)
+    m = Model(rng.integers(1, 50, 30), groups=3, each=4, dim=4, block=3).begin(np.arange(29))
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    ids, counts = rng.integers(0, 29, 20), np.array([12, 8])
+    inputs, targets, owner = m.blocks(ids, counts)
+    at = np.flatnonzero(owner >= 0)
+    x, y = m.place[np.concatenate([inputs[at - 1], inputs[at]], 1)], targets[at]
+    g, rows = m.gradient(x, y)
+    loss = lambda: -sum(naive(m, i.tolist()) * np.log(10) - sum(m.within[[*i, m.size - 1]]) for i in np.split(ids, [12])) / (y >= 0).sum()
+    for name, spots in {"o": [(1, 2)], "e": [(0, 1)], "b": [(2,)], "c": [(1, 0, 2), (2, 5, 1), (0, 8, 3)], "q": [(1, 1)], "k": [(2, 3)], "v": [(0, 2)], "r": [(1,)], "emb": [(int(rows[3]), 1)]}.items():
+        for i in spots:
+            if name == "c" and m.p["c"][i[0], -1, i[2]] < -1e3:
+                continue
+            old = m.p[name][i]
+            m.p[name][i] = old + 1e-5
+            up = loss()
+            m.p[name][i] = old - 1e-5
+            down = loss()
+            m.p[name][i] = old
+            got = g[name][(3, 1)] if name == "emb" else g[name][i]
+            assert abs((up - down) / 2e-5 - got) < 1e-4, (name, i)
