@@ -23,13 +23,19 @@ class SubwordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+        self.path = path or public_tokenizers.path("byte_bpe_50k.json")
         with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @functools.cached_property
+    def exact(self):
+        """The tokenizers file's own encoder; it is large and rarely asked, so it is read when it is."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> np.ndarray:
         if _MARKER in text or (len(text) >= _LONG and (_SPACES in text or max(map(len, text.split(" "))) >= _LONG)):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
