@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from functools import lru_cache
 from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -179,3 +181,6 @@ def media_resolved(path: Column, folder: str) -> Column:
     kept = F.aggregate(parts, F.array().cast("array<string>"), step)
     inside = F.concat(F.lit(f"file://{folder.rstrip('/')}/"), F.array_join(F.transform(kept, lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))), "/"))
     return F.when(path.rlike(r"^(?i:https?|file):"), path).when(~plain.startswith("/") & (F.size(kept) > 0), inside)
+
+# what workers run of this module travels with its data, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

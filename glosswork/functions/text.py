@@ -7,10 +7,12 @@ vocabulary. Stems name their argument many times, so they are given columns, or
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -241,3 +243,6 @@ def display_text(value: Column) -> Column:
 def field_key(value: Column) -> Column:
     """How field names compare: white space collapsed, case folded."""
     return F.lower(F.replace(clean(value), F.lit("ß"), F.lit("ss")))
+
+# what workers run of this module travels with its data, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

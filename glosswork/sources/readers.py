@@ -7,6 +7,9 @@ does. Archives are streamed member by member.
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -181,3 +184,6 @@ def read_word_forms(spark: SparkSession, path: str) -> DataFrame:
     raw = _delimited(spark, path, sep).filter("c0 is not null and trim(c0) <> '' and not startswith(ltrim(c0), '#')")
     pairs = raw.select(T.form(F.col("c0")).alias("form"), T.form(F.coalesce(F.nullif(F.trim("c1"), F.lit("")), F.col("c0"))).alias("base"))
     return pairs.filter("form <> '' and base <> ''").distinct()
+
+# what workers run of this module travels with its data, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import urllib.request
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -88,3 +90,6 @@ def read_remote(spark: SparkSession, urls: list[str], language: str) -> DataFram
     spark.dataSource.register(RemoteRows)
     raw = spark.read.format("remote_rows").option("urls", "\n".join(urls)).load()
     return raw.select("url", "turn", parse_row(F.col("parts"), language).alias("r")).filter("r is not null").select("url", "turn", "r.*")
+
+# what workers run of this module travels with its data, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
