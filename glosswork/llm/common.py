@@ -99,8 +99,8 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
 HOT_SHARE = 1024
 
 
-def spread_join(rows: DataFrame, side: DataFrame, key: str, turn: Column, keys: DataFrame | None = None) -> DataFrame:
-    """``rows`` inner-joined with ``side``, which has a row for each ``key``, without a key's rows meeting in one task.
+def spread_join(rows: DataFrame, side: DataFrame, key: str, turn: Column, keys: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``side``, which has a row for each ``key``, without a key's rows meeting in one task.
 
     Keys that hold over 1/1024 of the rows, of which there are at most 1,024 whatever the size, are dealt over as many
     places as their rows ask for, by ``turn`` (a long that differs between rows), and the side's row goes to each.
@@ -112,7 +112,7 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, turn: Column, keys:
     hot = F.broadcast(keys.groupBy(key).agg(share.alias("hot_places")).filter("hot_places > 1"))
     dealt = rows.join(hot, key, "left").withColumn("hot_place", F.when(F.col("hot_places").isNull(), 0).otherwise(F.pmod(F.xxhash64(turn), F.col("hot_places"))).cast("int")).drop("hot_places")
     places = F.explode(F.expr("if(hot_places is null, array(0), sequence(0, hot_places - 1))")).alias("hot_place")
-    return dealt.join(side.join(hot, key, "left").select(*side.columns, places), [key, "hot_place"]).drop("hot_place")
+    return dealt.join(side.join(hot, key, "left").select(*side.columns, places), [key, "hot_place"], how).drop("hot_place")
 
 
 class Kept:
