@@ -200,13 +200,18 @@ def greatest(runs: Column) -> Column:
 def planted(docs: DataFrame) -> DataFrame:
     """doc_id and text, where a tenth of the documents, by a hash of the id, repeat a stretch of their words to the end."""
     rows = documents(docs).withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
-    # words are cut out for that tenth alone
-    words = F.expr(rf"if(h % 10 = 0, regexp_extract_all(text, r'{WORD}', 0), null)")
-    n = F.size("words").cast("long")
     g = F.expr("h div 10")
-    met = rows.withColumn("words", words).withColumn("a", F.when(n > 0, g % n)).withColumn("p", F.when(n > 0, 1 + F.floor((n - F.col("a")) / (3 + g % 8))))
-    repeated = F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), F.expr("transform(sequence(0L, size(words) - a - 1), i -> words[int(a + i % p)])"))
-    return met.select("doc_id", F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        tail = F.transform(F.sequence(F.lit(0).cast("long"), n - a - 1), lambda i: F.get(words, (a + i % p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), tail), " "))
+
+    # bound as a lambda's variable, words are cut out once, however often they are looked at
+    once = F.get(F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), repeated), F.lit(0))
+    return rows.select("doc_id", F.when(F.col("h") % 10 == 0, F.coalesce(once, F.col("text"))).otherwise(F.col("text")).alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
