@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("toxicity", "repeats", "mixing", "jaccard", "secrets", "media", "pii", "vectors", "lm_scoring", "packing", "lines", "periodic")
+MODULES = ("toxicity", "repeats", "mixing", "jaccard", "secrets", "media", "pii", "vectors", "lm_scoring", "packing", "lines", "periodic", "layout")
 
 
 def modules() -> list:
