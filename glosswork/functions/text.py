@@ -23,6 +23,7 @@ from glosswork.functions.languages import PROFILES
 LETTER = r"[\p{L}\p{Nl}\p{No}][\x{300}-\x{36f}]*"
 WORD = rf"(?:{LETTER})+(?:['\x{{2019}}\-](?:{LETTER})+)*"
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}\x{FEFF}]+"
+SENTENCE_END = r"(?<=[.!?])\s+|(?<=[。！？])\s*"
 SCRIPT = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
 
 # Irregular English forms.
@@ -55,7 +56,7 @@ def clean(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences of a text whose lines are joined; empty ones are left out."""
     joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*[\r\n]+\s*", " ")
-    parts = F.split(joined, r"(?<=[.!?])\s+|(?<=[。！？])\s*")
+    parts = F.split(joined, SENTENCE_END)
     return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, rf"^{SPACE}|{SPACE}$", ""))), lambda s: s != "")
 
 
@@ -109,13 +110,14 @@ def form(word: Column) -> Column:
 def forms(text: Column) -> Column:
     """The normal forms of a text's words, in order, empty ones left out: what ``form`` gives for each of ``words``.
 
-    The text is folded once as a whole; then letter-like numbers go and what joins letters inside a word closes up, so
-    that words are runs of letters.
+    The text is folded once as a whole; what joins letters or letter-like numbers inside a word closes up, and then these
+    numbers go, so that words are runs of letters.
     """
     # marks that follow no letter are in no word, and part words as they stand
     folded = fold(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("’"), F.lit("'")), r"([\p{L}\p{Nl}\p{No}])[\x{300}-\x{36f}]+")
-    bare = F.when(folded.rlike(r"[\p{Nl}\p{No}]"), F.regexp_replace(folded, r"[\p{Nl}\p{No}]", "")).otherwise(folded)
-    return F.regexp_extract_all(F.regexp_replace(bare, r"(?<=\p{L})['-](?=\p{L})", ""), F.lit(r"\p{L}+"), F.lit(0))
+    closed = F.regexp_replace(folded, r"(?<=[\p{L}\p{Nl}\p{No}])['-](?=[\p{L}\p{Nl}\p{No}])", "")
+    bare = F.when(folded.rlike(r"[\p{Nl}\p{No}]"), F.regexp_replace(closed, r"[\p{Nl}\p{No}]", "")).otherwise(closed)
+    return F.regexp_extract_all(bare, F.lit(r"\p{L}+"), F.lit(0))
 
 
 def _cut(text: Column, n: int) -> Column:

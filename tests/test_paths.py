@@ -27,7 +27,13 @@ def test_entities(spark, texts):
     assert {r.i: r.u for r in df.collect()} == {i: html.unescape(t) for i, t in enumerate(texts)}
 
 
-@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+def test_forms_with_numbers_inside(spark):
+    texts = ["a’²’a", "a--²", "a-²--b", "x²-’y", "Ⅷ-a²", "²", "a-Ⅷ-b", "in²g ’²’"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.forms(F.col("t")).alias("f"))
+    assert [r.f for r in df.collect()] == [["aa"], ["a"], ["a", "b"], ["x", "y"], ["a"], [], ["ab"], ["ing"]]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 @given(texts=st.lists(st.text(alphabet=st.sampled_from("abßÉéñ'’-²Ⅷ5 .,́ﬁçÅ漢"), max_size=30), min_size=200, max_size=200))
 def test_forms_of_a_text_are_those_of_its_words(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
