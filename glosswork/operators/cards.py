@@ -14,9 +14,17 @@ from glosswork.functions import text as T
 FALLBACK_FIELDS = ("Back", "Definition", "Meaning", "Translation", "English", "Native", "Answer")
 
 
+TERM = r'(?:[^\s"\\]|\\.|"(?:[^"\\]|\\.)*"?)+'
+
+
 def search_terms(query: str) -> list[str]:
     """Terms of a search, split at white space outside quotes; a backslash keeps the next character."""
-    return re.findall(r'(?:[^\s"\\]|\\.|"(?:[^"\\]|\\.)*"?)+', query)
+    return re.findall(TERM, query)
+
+
+def terms_of(query: Column) -> Column:
+    """``search_terms`` of a column."""
+    return F.regexp_extract_all(query, F.lit(TERM), F.lit(0))
 
 
 def without_due(query: str) -> str:
@@ -40,6 +48,23 @@ def due_query(custom: str, use_due: bool, use_new: bool, scope: str) -> str:
     return " ".join(filter(None, [text, scope]))
 
 
+def deck_scope_of(scope: Column, current: Column, configured: Column) -> Column:
+    """``deck_scope`` of columns."""
+    name = F.when(scope == "current", current).when(scope == "configured", F.coalesce(F.nullif(configured, F.lit("")), current)).otherwise("")
+    quoted = F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.when(F.coalesce(name, F.lit("")) == "", "").otherwise(F.concat(F.lit('deck:"'), quoted, F.lit('"')))
+
+
+def due_query_of(custom: Column, use_due: Column, use_new: Column, scope: Column) -> Column:
+    """``due_query`` of columns, a search for each row of settings."""
+    rest = F.array_join(F.filter(terms_of(custom), lambda t: F.lower(t) != "is:due"), " ")
+    due = F.when(use_due & (custom != ""), F.concat(F.lit("("), custom, F.lit(")")))
+    new = F.when(use_new, F.concat(F.lit("(is:new"), F.when(rest != "", F.concat(F.lit(" "), rest)).otherwise(""), F.lit(")")))
+    text = F.when(due.isNotNull() & new.isNotNull(), F.concat(F.lit("("), due, F.lit(" OR "), new, F.lit(")"))).otherwise(F.coalesce(due, new, F.lit("nid:0")))
+    seen = F.when(~use_new & due.isNotNull() & ~F.contains(text, F.lit("-is:new")), F.concat(text, F.lit(" -is:new"))).otherwise(text)
+    return F.when(scope != "", F.concat(seen, F.lit(" "), scope)).otherwise(seen)
+
+
 def future_query(custom: str, days: int, scope: str) -> str:
     """The search for cards due within ``days`` with the filter's other terms."""
     if days <= 0:

@@ -1,12 +1,13 @@
 """From rows of text to accepted sentences: cleaning, first-wins de-duplication, filters with reasons, limits, pairing.
 
-Order is part of the meaning, so rows carry an ``ordinal`` (any ascending long); ids follow it. The filters are one
-conditional expression, and only the key of each row is shuffled for the de-duplication.
+Order is part of the meaning, so rows carry an ``ordinal`` (an ascending long, another one for each row); ids follow it.
+The filters are one conditional expression. For the de-duplication the least ordinal of each key is found first, which
+combines before its shuffle, and rows meet it by their own ordinal: no task gets the copies of one sentence.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
@@ -32,26 +33,33 @@ def judge(rows: DataFrame, min_words: int = 4, max_words: int = 15, strict: bool
     """``rows`` cleaned, with word_count, flags and skip_reason (null: accepted).
 
     A later row of equal text is a duplicate whatever became of the first. ``stored`` has (language, full_text) that
-    are in the library already. Counts and flags are made before the shuffle that finds duplicates, and so once.
+    are in the library already.
     """
     cleaned = rows.withColumn("text", T.clean(F.col("text"))).withColumn("translation", F.nullif(T.clean(F.col("translation")), F.lit("")))
+    first = cleaned.groupBy("language", text_key(F.col("text")).alias("key")).agg(F.min(F.struct("ordinal", "text")).alias("r"))
+    first = first.select("r.ordinal", F.col("language").alias("l"), F.col("r.text").alias("f"))
+    if stored is not None:  # a key's first row alone may be in the library
+        held = stored.select(F.col("language").alias("l"), F.col("full_text").alias("f"), F.lit(True).alias("known")).distinct()
+        first = first.join(held, ["l", "f"], "left")
+    else:
+        first = first.withColumn("known", F.lit(False))
     counted = cleaned.withColumn("word_count", T.count_words(F.col("text"), F.col("language"))).withColumn("flags", T.quality_flags(F.col("text")))
-    key = F.xxhash64("language", text_key(F.col("text")))
-    first = Window.partitionBy("dedupe", "language", text_key(F.col("text"))).orderBy("ordinal")
-    judged = counted.withColumn("dedupe", key).withColumn("turn", F.row_number().over(first)).drop("dedupe")
-    known = F.lit(False)
-    if stored is not None:
-        judged = judged.join(stored.select(F.col("language").alias("l"), F.col("full_text").alias("f"), F.lit(True).alias("known")).distinct(), (F.col("language") == F.col("l")) & (F.col("text") == F.col("f")), "left").drop("l", "f")
-        known = F.coalesce("known", F.lit(False))
-    reason = (
+    judged = counted.join(first.select("ordinal", F.lit(True).alias("first"), "known"), "ordinal", "left")
+    why = reason(min_words, max_words, strict, F.col("first").isNull(), F.coalesce("known", F.lit(False)))
+    return judged.withColumn("skip_reason", why).select(*cleaned.columns, "word_count", "flags", "skip_reason")
+
+
+def reason(min_words: int = 4, max_words: int = 15, strict: bool = True, duplicate: Column | None = None, known: Column | None = None) -> Column:
+    """Why a cleaned row (text, word_count, flags) isn't taken; null if it is."""
+    never = F.lit(False)
+    return (
         F.when(F.col("text") == "", "empty")
-        .when(F.col("turn") > 1, "duplicate")
+        .when(never if duplicate is None else duplicate, "duplicate")
         .when(~F.col("word_count").between(min_words, max_words), "word_count")
         .when((F.size("flags") > 0) & F.lit(strict), "quality")
         .when(~F.col("text").rlike(r"\p{L}") | (F.size(T.forms(F.col("text"))) == 0), "no_words")
-        .when(known, "stored")
+        .when(never if known is None else known, "stored")
     )
-    return judged.withColumn("skip_reason", reason).drop("turn", "known")
 
 
 def accepted(judged: DataFrame, limit: int = 0) -> DataFrame:

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions import scheduling as S
+from glosswork.operators.ranks import numbered
 
 
-def answer_plan(card_map: DataFrame, unknown_keys: list[str], unknown_cards: list[int] = (), again: int = 1, good: int = 3) -> DataFrame:
-    """(card_id, ease, keys, is_unknown) from (key, card_ids): a card is unknown if one of its keys is, or it is named."""
-    flat = card_map.select("key", F.explode("card_ids").alias("card_id"))
-    unknown = F.max(F.col("key").isin(*unknown_keys) if unknown_keys else F.lit(False))
-    plan = flat.groupBy("card_id").agg(F.array_sort(F.collect_set("key")).alias("keys"), unknown.alias("by_key"))
-    named = F.col("card_id").isin(*[int(c) for c in unknown_cards]) if unknown_cards else F.lit(False)
-    return plan.select("card_id", F.when(F.col("by_key") | named, again).otherwise(good).alias("ease"), "keys", (F.col("by_key") | named).alias("is_unknown"))
+def answer_plan(card_map: DataFrame, unknown_keys: list[str] | DataFrame, unknown_cards: list[int] | DataFrame = (), again: int = 1, good: int = 3) -> DataFrame:
+    """(card_id, ease, keys, is_unknown) from (key, card_ids): a card is unknown if one of its keys is, or it is named.
+
+    What is unknown is given as values, those of a sentence, or as tables (key), (card_id) for many answers at once.
+    """
+    spark = card_map.sparkSession
+    keys = unknown_keys if isinstance(unknown_keys, DataFrame) else spark.createDataFrame([(k,) for k in unknown_keys], "key string")
+    cards = unknown_cards if isinstance(unknown_cards, DataFrame) else spark.createDataFrame([(int(c),) for c in unknown_cards], "card_id long")
+    flat = card_map.select("key", F.explode("card_ids").alias("card_id")).join(keys.select("key", F.lit(True).alias("by_key")).distinct(), "key", "left")
+    plan = flat.groupBy("card_id").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.max(F.coalesce("by_key", F.lit(False))).alias("by_key"))
+    met = plan.join(cards.select("card_id", F.lit(True).alias("named")).distinct(), "card_id", "left")
+    unknown = F.col("by_key") | F.coalesce("named", F.lit(False))
+    return met.select("card_id", F.when(unknown, again).otherwise(good).alias("ease"), "keys", unknown.alias("is_unknown"))
 
 
 def check_answers(answers: DataFrame, cards: DataFrame) -> DataFrame:
@@ -43,23 +50,23 @@ def step(rows: DataFrame, today: int, now: int, usn: int) -> DataFrame:
     return rows.select("card_id", "is_unknown", *old, *named, (F.col("reps") + 1).cast("long").alias("reps"), F.lit(now).cast("long").alias("mod"), F.lit(usn).cast("long").alias("usn"), F.lit(0).cast("long").alias("odue"), F.lit(0).cast("long").alias("odid"))
 
 
-def free_ids(spark_rows: DataFrame, first: int, taken: DataFrame | None) -> DataFrame:
+def free_ids(spark_rows: DataFrame, first: int, taken: DataFrame) -> DataFrame:
     """(number, id): for each of a batch's n rows, the next free id from ``first`` on; ``taken`` has ids in use."""
     n = spark_rows.count()
     spark = spark_rows.sparkSession
-    if taken is None:
-        return spark.range(n).select(F.col("id").alias("number"), (F.col("id") + first).alias("id"))
     used = taken.filter(F.col("id") >= first).select("id").distinct()
     free = spark.range(first, first + n + used.filter(F.col("id") < first + n + used.count()).count()).join(used, "id", "left_anti")
-    # a batch is one sentence's cards
-    return free.select((F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("number"), "id").filter(F.col("number") < n)
+    return numbered(free, ["id"]).filter(F.col("number") < n)
 
 
 def log_rows(stepped: DataFrame, now: int, taken: DataFrame | None = None) -> DataFrame:
     """Review-log rows; ids count up from the moment of the answer, leaving out ids that are ``taken``."""
-    number = (F.row_number().over(Window.orderBy("card_id")) - 1).cast("long")
-    numbered = stepped.withColumn("number", number).join(free_ids(stepped, now * 1000, taken), "number")
-    return numbered.select(F.col("id").cast("long").alias("id"), F.col("card_id").alias("cid"), "usn", F.when(F.col("is_unknown"), 1).otherwise(3).alias("ease"), "ivl", F.col("old_ivl").cast("long").alias("last_ivl"), "factor", F.lit(0).cast("long").alias("time"), F.col("log_type").alias("type"))
+    placed = numbered(stepped, ["card_id"])
+    if taken is None:
+        placed = placed.withColumn("id", F.col("number") + now * 1000)
+    else:
+        placed = placed.join(free_ids(stepped, now * 1000, taken), "number")
+    return placed.select(F.col("id").cast("long").alias("id"), F.col("card_id").alias("cid"), "usn", F.when(F.col("is_unknown"), 1).otherwise(3).alias("ease"), "ivl", F.col("old_ivl").cast("long").alias("last_ivl"), "factor", F.lit(0).cast("long").alias("time"), F.col("log_type").alias("type"))
 
 
 def without_log(log: DataFrame, undone: DataFrame) -> DataFrame:

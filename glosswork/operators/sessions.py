@@ -21,8 +21,9 @@ def sanitised(ids: Column, keep: int = 200) -> Column:
     return F.slice(numbers, F.greatest(F.size(numbers) - keep, F.lit(0)) + 1, F.lit(keep))
 
 
-def inflated_limit(base: int, avoided: int) -> int:
-    return base + min(avoided, 200)
+def inflated_limit(base: int, avoided: int | Column) -> int | Column:
+    """How many candidates to ask for when some sentences are to be avoided."""
+    return F.least(avoided, F.lit(200)) + base if isinstance(avoided, Column) else base + min(avoided, 200)
 
 
 def session_summary(results: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def library_path(root: str, path: Column, legacy: str, default: str) -> Column:
 
 def preset(detected: DataFrame) -> DataFrame:
     """(confident, settings) from what was detected (target_field, translation_field, audio_field, included_templates,
-    target_on_question): nothing is set unless fields and a template were found."""
+    target_on_question), besides other columns: nothing is set unless fields and a template were found."""
     sure = (F.col("target_field") != "") & (F.col("translation_field") != "") & (F.size("included_templates") > 0)
     pairs = {
         "target_field": F.col("target_field"), "dictionary_field": F.col("translation_field"), "audio_field": F.col("audio_field"),
@@ -125,4 +125,5 @@ def preset(detected: DataFrame) -> DataFrame:
         "min_sentence_words": F.lit(str(WORDS_BETWEEN[0])), "max_sentence_words": F.lit(str(WORDS_BETWEEN[1])),
     }
     chosen = F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)])
-    return detected.select(F.coalesce(sure, F.lit(False)).alias("confident"), F.when(sure, chosen).otherwise(F.create_map().cast("map<string,string>")).alias("settings"))
+    found = ("target_field", "translation_field", "audio_field", "included_templates", "target_on_question")
+    return detected.select(*[c for c in detected.columns if c not in found], F.coalesce(sure, F.lit(False)).alias("confident"), F.when(sure, chosen).otherwise(F.create_map().cast("map<string,string>")).alias("settings"))
