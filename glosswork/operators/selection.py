@@ -1,7 +1,8 @@
 """Finding the sentence that covers most due words.
 
 Postings are joined to the due side by form, which prunes files where they are clustered by form; the planner sends the
-due side to all tasks where it is small. Prefixes are resolved on the vocabulary, by equal joins on beginnings.
+due side to all tasks where it is small. ``search`` has the index by which a search ends early and prefixes and substrings
+are met; without it every posting is scored.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 
 from glosswork.functions import scheduling as S
 from glosswork.functions import text as T
+from glosswork.operators import search as X
 from glosswork.operators.corpus import of_language
-
-K1, B = 1.2, 0.75
+from glosswork.operators.places import occurrences  # noqa: F401  one of the steps
+from glosswork.operators.ranks import numbered
 
 
 def resolve_bases(keys: DataFrame, word_forms: DataFrame) -> DataFrame:
@@ -50,16 +52,19 @@ def expansions(due: DataFrame, word_forms: DataFrame | None = None) -> DataFrame
 
 
 def weights(expanded: DataFrame, due: DataFrame) -> DataFrame:
-    """Expansions in search order: heavier keys first."""
+    """Expansions with the weight of their key, by which a search takes them: heavier keys first, then by name."""
     weight = due.groupBy(T.form(F.col("due_key")).alias("base")).agg(F.sum("priority").alias("weight"))
-    return expanded.join(weight, "base").withColumn("turn", F.row_number().over(Window.orderBy(F.desc("weight"), "base")))  # due keys: a bounded list
+    return expanded.join(weight, "base")
 
 
-def terms(ordered: DataFrame, per_query: int = 40) -> DataFrame:
-    """(term, is_prefix, chunk): forms in order of their keys, prefixes after them, in chunks of a query."""
-    listed = ordered.select("turn", F.posexplode(F.concat(F.transform("forms", lambda f: F.struct(f.alias("term"), F.lit(False).alias("is_prefix"))), F.when(F.col("prefix") != "", F.array(F.struct(F.col("prefix").alias("term"), F.lit(True).alias("is_prefix")))).otherwise(F.array().cast("array<struct<term:string,is_prefix:boolean>>")))).alias("place", "t"))
+def terms(weighted: DataFrame, per_query: int | None = 40) -> DataFrame:
+    """(term, is_prefix, chunk): forms in order of their keys, prefixes after them, in chunks of a query; None for one chunk."""
+    listed = weighted.select("weight", "base", F.posexplode(F.concat(F.transform("forms", lambda f: F.struct(f.alias("term"), F.lit(False).alias("is_prefix"))), F.when(F.col("prefix") != "", F.array(F.struct(F.col("prefix").alias("term"), F.lit(True).alias("is_prefix")))).otherwise(F.array().cast("array<struct<term:string,is_prefix:boolean>>")))).alias("place", "t"))
+    if per_query is None:
+        return listed.select("t.term", "t.is_prefix", F.lit(0).alias("chunk"))
     size = max(1, min(per_query, 40))
-    return listed.withColumn("n", F.row_number().over(Window.orderBy("turn", "place"))).select("t.term", "t.is_prefix", F.floor((F.col("n") - 1) / size).cast("int").alias("chunk"))
+    ordered = numbered(listed.select("weight", "base", "place", "t"), [F.desc("weight"), F.asc("base"), F.asc("place")], "n")
+    return ordered.select("t.term", "t.is_prefix", F.floor(F.col("n") / size).cast("int").alias("chunk"))
 
 
 def match_query(ordered_terms: DataFrame) -> DataFrame:
@@ -69,33 +74,40 @@ def match_query(ordered_terms: DataFrame) -> DataFrame:
 
 
 def with_prefix(forms: DataFrame, wide: DataFrame) -> DataFrame:
-    """Distinct ``forms`` (form) with the rows of ``wide`` whose ``term`` they begin with: an equal join on beginnings."""
-    begins = F.explode(F.transform(F.sequence(F.lit(1), F.length("form")), lambda n: F.substring(F.col("form"), F.lit(1), n))).alias("term")
-    return forms.filter("form <> ''").distinct().select("form", begins).join(wide, "term")
+    """Distinct ``forms`` (form), of some sentences, with the rows of ``wide`` whose ``term`` they begin with: an equal join on
+    their beginnings of the terms' lengths. ``search.beginning`` is the same for a whole vocabulary."""
+    lengths = wide.agg(F.collect_set(F.length("term")).alias("lengths"))  # one row
+    begins = F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("form")), lambda n: F.substring(F.col("form"), F.lit(1), n))).alias("term")
+    return forms.filter("form <> ''").distinct().join(F.broadcast(lengths)).select("form", begins).join(wide.filter("term <> ''"), "term")
 
 
-def bm25(postings: DataFrame, stats: DataFrame, searched: DataFrame) -> DataFrame:
-    """(chunk, id, bm25): lower is better. A term's frequency counts its matching forms, its document count sentences.
+def bm25(postings: DataFrame, stats: DataFrame, searched: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """(chunk, id, bm25) of every match: lower is better. A term's frequency counts its matching forms, its document count
+    sentences.
 
-    ``searched``: term, is_prefix, chunk. Prefixes meet the distinct vocabulary, not the postings.
+    ``searched``: term, is_prefix, chunk. Prefixes meet the distinct vocabulary, in the blocks of ``words`` if given.
     """
     exact = searched.filter("not is_prefix").select("chunk", "term", F.col("term").alias("form"))
-    wide = searched.filter("is_prefix")
-    by_prefix = with_prefix(postings.select("form"), wide).select("chunk", F.concat("term", F.lit("*")).alias("term"), "form")
+    wide = searched.filter("is_prefix").select("term", "chunk")
+    by_prefix = (with_prefix(postings.select("form"), wide) if words is None else X.beginning(words, wide)).select("chunk", F.concat("term", F.lit("*")).alias("term"), "form")
     wanted = exact.unionByName(by_prefix).distinct()
     hits = postings.join(wanted, "form").groupBy("chunk", "term", "id").agg(F.count(F.lit(1)).alias("f"), F.first("length").alias("length"))
     seen = hits.groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("n"))
     scored = hits.join(seen, ["chunk", "term"]).join(F.broadcast(stats))  # one row
-    idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    part = idf * (F.col("f") * (K1 + 1)) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
+    part = X.part(X.idf(F.col("n"), F.col("total")), F.col("f"), F.col("length"), F.col("avg_length"))
     return scored.groupBy("chunk", "id").agg((-F.sum(part)).alias("bm25"))
 
 
+def per_chunk(limit: int) -> int:
+    """How many sentences of a chunk a search takes."""
+    return max(2 * limit, 20)
+
+
 def compatible(scored: DataFrame, limit: int) -> DataFrame:
     """What a search in chunks returns: the best ``max(2 * limit, 20)`` of each chunk, each sentence as its first chunk
     has it, ``4 * limit`` in all."""
-    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("chunk").orderBy("bm25", "id"))).filter(F.col("r") <= max(2 * limit, 20))
+    # sums of equal parts in another order are equal scores
+    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("chunk").orderBy(F.round("bm25", 9), "id"))).filter(F.col("r") <= per_chunk(limit))
     first = ranked.groupBy("id").agg(F.min(F.struct("chunk", "r", "bm25")).alias("b"))
     return first.select("id", "b.*").orderBy("chunk", "r").limit(4 * limit).select("id", "bm25")
 
@@ -109,9 +121,13 @@ def holding(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(lengths)).select("id", F.explode(F.array_distinct(pieces)).alias("form")).join(wanted, "form")
 
 
-def substring_candidates(sentences: DataFrame, expanded: DataFrame, limit: int) -> DataFrame:
-    """For scripts without spaces: sentences that hold forms as they are, by how many, shortest and oldest first."""
-    met = holding(sentences.select("id", F.col("full_text").alias("text")), expanded.select(F.explode("forms").alias("form")))
+def substring_candidates(sentences: DataFrame, expanded: DataFrame, limit: int, lists: DataFrame | None = None) -> DataFrame:
+    """For scripts without spaces: sentences that hold forms as they are, by how many, shortest and oldest first.
+
+    ``lists``: the ``search.gram_lists`` of the sentences' texts; without them every text is cut to pieces.
+    """
+    texts, wanted = sentences.select("id", F.col("full_text").alias("text")), expanded.select(F.explode("forms").alias("form"))
+    met = holding(texts, wanted) if lists is None else X.holding(lists, texts, wanted)
     counted = sentences.select("id", "word_count").join(met.groupBy("id").agg(F.count(F.lit(1)).alias("matches")), "id")
     return counted.orderBy(F.desc("matches"), "word_count", "id").limit(max(4 * limit, 20)).select("id", (-F.col("matches")).cast("double").alias("bm25"))
 
@@ -148,21 +164,26 @@ def best_first(avoid: list[int] = ()) -> list[Column]:
     return [recent.asc(), F.desc("cards"), F.desc("score"), (F.trim(F.coalesce("translation", F.lit(""))) == "").asc(), F.asc("bm25"), F.asc("word_count"), F.asc("id")]
 
 
-def candidates(sentences: DataFrame, forms: DataFrame, posts: DataFrame, stats: DataFrame, due: DataFrame, expanded: DataFrame, language: str, limit: int = 50, min_words: int = 2, max_words: int = 12, per_query: int = 40, shown: list[int] = (), mode: str = "compatible", unsegmented: bool = False) -> DataFrame:
+def candidates(sentences: DataFrame, forms: DataFrame, posts: DataFrame, stats: DataFrame, due: DataFrame, expanded: DataFrame, language: str, limit: int = 50, min_words: int = 2, max_words: int = 12, per_query: int = 40, shown: list[int] = (), mode: str = "compatible", unsegmented: bool = False, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """Sentences that match, with everything that ranks them.
 
-    ``compatible`` takes what a search in chunks of terms with its limits returns, ``exhaustive`` every match.
+    ``compatible`` takes what a search in chunks of terms with its limits returns, ``exhaustive`` every match. ``index``
+    may have ``blocks`` and ``words`` (``search.posting_blocks``, ``search.vocabulary``), by which the first ends early, and
+    ``lists`` (``search.gram_lists``) for scripts without spaces.
     """
-    own = sentences.filter(of_language(F.col("language"), language))
+    mine = of_language(F.col("language"), language)
+    own, index = sentences.filter(mine), index or {}
     if unsegmented:
-        found = substring_candidates(own, expanded, limit * 4)
+        found = substring_candidates(own, expanded, limit * 4, index.get("lists"))
         keys = matched_in_text(found, own, expanded)
     else:
-        searched = terms(weights(expanded, due), per_query if mode == "compatible" else 1 << 30)
-        if mode != "compatible":
-            searched = searched.withColumn("chunk", F.lit(0))
-        scored = bm25(posts, stats, searched).join(own.select("id"), "id", "left_semi")
-        found = compatible(scored, limit) if mode == "compatible" else scored.select("id", "bm25")
+        searched = terms(weights(expanded, due), per_query if mode == "compatible" else None)
+        words = index.get("words")
+        if mode == "compatible" and "blocks" in index and words is not None:
+            found = compatible(X.best(index["blocks"], words, stats, searched, mine, per_chunk(limit)), limit)
+        else:
+            scored = bm25(posts, stats, searched, words).join(own.select("id"), "id", "left_semi")
+            found = compatible(scored, limit) if mode == "compatible" else scored.select("id", "bm25")
         keys = matched_keys(found, forms, expanded)
     rows = own.join(found, "id").join(score(keys, due), "id").filter(F.col("word_count").between(min_words, max_words))
     return rows.filter(~F.col("id").isin(*shown)) if shown else rows
@@ -193,36 +214,6 @@ def annotate(sentences: DataFrame, expanded: DataFrame, due: DataFrame, language
     return met.select("id", "place", "text", "is_word", F.col("base").isNotNull().alias("is_target"), key.alias("match_key"), F.coalesce("card_ids", F.array().cast("array<bigint>")).alias("card_ids"))
 
 
-def _running(pieces: Column, form: str, none: str) -> Column:
-    """Places of a form after each of the pieces (lengths) that a text falls into at it."""
-    n = len(form)
-    place = lambda a, p: F.struct((a["at"] + p).alias("start"), F.lit(-n).alias("length"), F.lit(form).alias("form"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(none).alias("out"))
-    return F.aggregate(pieces, start, lambda a, p: F.struct((a["at"] + p + n).alias("at"), F.concat(a["out"], F.array(place(a, p))).alias("out")), lambda a: a["out"])
-
-
-def occurrences(texts: DataFrame, forms: list[str]) -> DataFrame:
-    """(id, start, end, form): places of forms in texts without spaces, leftmost and longest, without overlaps.
-
-    A form's own places don't overlap each other before places are chosen, as finding goes on after each. For each form a
-    text is split at it, and the running lengths of the pieces are its places; choosing is one fold over the sorted ones.
-    """
-    listed = sorted({f for f in forms if f})
-    span = "array<struct<start:int,length:int,form:string>>"
-    none, body = f"cast(array() as {span})", F.col("text")
-    found = [F.expr(none)]
-    for f in listed:
-        parts = F.split(body, "\\Q" + f.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
-        pieces = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.length(p))
-        found.append(F.when(F.contains(body, F.lit(f)), _running(pieces, f, none)).otherwise(F.expr(none)))
-    chosen = F.aggregate(
-        F.array_sort(F.concat(*found)), F.struct(F.lit(0).alias("end"), F.expr(none).alias("out")),
-        lambda a, s: F.when(s["start"] >= a["end"], F.struct((s["start"] - s["length"]).alias("end"), F.concat(a["out"], F.array(s)).alias("out"))).otherwise(a), lambda a: a["out"],
-    )
-    at = texts.select("id", F.coalesce("full_text", F.lit("")).alias("text")).select("id", F.explode(chosen).alias("s"))
-    return at.select("id", F.col("s.start").alias("start"), (F.col("s.start") - F.col("s.length")).alias("end"), F.col("s.form").alias("form"))
-
-
 def target_words(due: DataFrame) -> DataFrame:
     """One row for each card in review order, with the interval that a good answer gives."""
     order = [F.desc("priority"), F.asc("due_in_days"), F.asc(F.lower("target_word")), F.asc("due_key")]
