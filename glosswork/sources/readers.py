@@ -1,8 +1,9 @@
 """Reading sentence files: plain text, subtitles, delimited rows, links and word forms, compressed or not.
 
 All readers give (ordinal, language, text, translation), ordinals counting in source order: by file, then by place in it.
-Splittable formats stay splittable; whole files are read only where sentences run across lines, or where a quoted field
-does. Archives are streamed member by member.
+Files are read by blocks, each from the line that it begins with, however long a sentence or a quoted field is: what is
+open at a block's ends is put together over the blocks' edges afterwards, and only edges are shuffled for it. That holds
+for compressed files whose format can be split, too. Archives are streamed member by member.
 """
 
 from __future__ import annotations
@@ -46,6 +47,157 @@ def parse_row(parts: Column, default: str) -> Column:
     )
 
 
+# ---- what runs across lines
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, value): the lines of all files, in order inside a block."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", r"^\x{FEFF}", "").alias("value"))
+
+
+def _joined(pieces: DataFrame, glue: str) -> DataFrame:
+    """(file, block, place, text) of ``pieces`` (file, block, place, text, opens, ends): those that end open are one with the
+    piece behind that opens open. Blocks have two edges at most, and edges alone meet here."""
+    whole = pieces.filter("not opens and not ends").select("file", "block", "place", "text")
+    order = Window.partitionBy("file").orderBy("block", "place")  # two rows a block
+    linked = F.col("opens") & F.coalesce(F.lag("ends").over(order), F.lit(False))
+    edges = pieces.filter("opens or ends").withColumn("new", (~linked).cast("int")).withColumn("n", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    each = F.array_sort(F.collect_list(F.struct("block", "place", "text")))
+    met = edges.groupBy("file", "n").agg(each.alias("e"))
+    return whole.unionByName(met.select("file", F.get("e", F.lit(0))["block"].alias("block"), F.get("e", F.lit(0))["place"].alias("place"), F.array_join(F.transform("e", lambda x: x["text"]), glue).alias("text")))
+
+
+_PIECES = "file string, block long, place long, text string, opens boolean, ends boolean"
+
+
+def _piece_batch(rows: list[tuple]):
+    import pyarrow as pa
+
+    types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 6, types)], ["file", "block", "place", "text", "opens", "ends"])
+
+
+def _stitch(batches):
+    """From lines as (file, block, parts, closed): sentences as pieces. A line's last part goes on in the next line unless closed."""
+    key, place, held, first = None, 0, [], True
+    for batch in batches:
+        rows = []
+
+        def emit(ends: bool) -> None:
+            nonlocal place, held, first
+            opens = first and key[1] > 0
+            if not ends and not opens and not "".join(held).replace("\ufeff", "").strip():
+                held = []  # nothing but space
+            if held:
+                rows.append((*key, place, " ".join(held), opens, ends))
+                place, held, first = place + 1, [], False
+
+        for file, block, parts, closed in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if (file, block) != key:
+                if key:
+                    emit(True)
+                key, place, held, first = (file, block), 0, [], True
+            for i, part in enumerate(parts):
+                if i:
+                    emit(False)
+                held.append(part)
+            if closed:
+                emit(False)
+        yield _piece_batch(rows)
+    if held:
+        yield _piece_batch([(*key, place, " ".join(held), first and key[1] > 0, True)])
+
+
+def _quote_state(line: str, sep: str, inside: bool) -> bool:
+    """Whether a quoted field is open at the end of a line that begins inside one or not."""
+    at = 0
+    while True:
+        if inside:
+            while True:
+                end = line.find('"', at)
+                if end < 0:
+                    return True
+                at = end + 2
+                if line[end + 1 : end + 2] != '"':
+                    at = end + 1
+                    break
+            inside = False
+        elif line[at : at + 1] == '"':
+            at, inside = at + 1, True
+            continue
+        at = line.find(sep, at)  # only a field's first character opens it
+        if at < 0:
+            return False
+        at += 1
+
+
+def _block_states(sep: str):
+    """From lines (file, block, value): for each block, whether it ends inside a quoted field if it begins outside, or inside."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def out(key, ends):
+            return pa.RecordBatch.from_pydict({"file": [key[0]], "block": [key[1]], "outside": [ends[0]], "inside": [ends[1]]}, schema=pa.schema([("file", pa.string()), ("block", pa.int64()), ("outside", pa.bool_()), ("inside", pa.bool_())]))
+
+        key, ends = None, [False, True]
+        for batch in batches:
+            for file, block, line in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (file, block) != key:
+                    if key:
+                        yield out(key, ends)
+                    key, ends = (file, block), [False, True]
+                if '"' in line:
+                    ends = [_quote_state(line, sep, x) for x in ends]
+        if key:
+            yield out(key, ends)
+
+    return run
+
+
+def _records(sep: str):
+    """From lines (file, block, value, inside): records as pieces, ``inside`` saying how the block begins."""
+
+    def run(batches):
+        key, place, held, state, opens = None, 0, [], False, False
+        for batch in batches:
+            rows = []
+            for file, block, line, inside in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (file, block) != key:
+                    if held:
+                        rows.append((*key, place, "\n".join(held), opens, True))
+                    key, place, held, state, opens = (file, block), 0, [], inside, inside
+                held.append(line)
+                if '"' in line:
+                    state = _quote_state(line, sep, state)
+                if not state:
+                    if opens or len(held) > 1 or line.strip():  # empty lines are no records
+                        rows.append((*key, place, "\n".join(held), opens, False))
+                        place += 1
+                    held, opens = [], False
+            yield _piece_batch(rows)
+        if held:
+            yield _piece_batch([(*key, place, "\n".join(held), opens, True)])
+
+    return run
+
+
+def spanning_records(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """(file, block, place, text): delimited records, whose quoted fields may hold line ends.
+
+    How a block begins follows from the blocks before it: each tells how it ends for either beginning, and these answers
+    are put one after the other, a row a block.
+    """
+    lines = _lines(spark, path)
+    states = lines.mapInArrow(_block_states(sep), "file string, block long, outside boolean, inside boolean")
+    each = F.array_sort(F.collect_list(F.struct("block", "outside", "inside")))
+    step = lambda a, b: F.struct(F.when(a["now"], b["inside"]).otherwise(b["outside"]).alias("now"), F.concat(a["out"], F.array(F.struct(b["block"].alias("block"), a["now"].alias("begins_inside")))).alias("out"))
+    start = F.struct(F.lit(False).alias("now"), F.array().cast("array<struct<block:bigint,begins_inside:boolean>>").alias("out"))
+    begins = states.groupBy("file").agg(F.aggregate(each, start, step, lambda a: a["out"]).alias("b")).select("file", F.explode("b").alias("b")).select("file", "b.*")
+    met = lines.join(F.broadcast(begins.filter("begins_inside")), ["file", "block"], "left")  # a row for a block that begins in a field
+    return _joined(met.select("file", "block", "value", F.coalesce("begins_inside", F.lit(False)).alias("inside")).mapInArrow(_records(sep), _PIECES), "\n")
+
+
 def spans_lines(spark: SparkSession, path: str) -> bool:
     """Whether a quoted field may run over a line end: some line has an odd number of quotes."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
@@ -53,10 +205,14 @@ def spans_lines(spark: SparkSession, path: str) -> bool:
 
 
 def _delimited(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """c0 to c3 of every row, and where it was read: file, block. A file is one block only if a field runs over lines."""
+    """c0 to c3 of every row, and where it was read: file, block, and place where rows are not in order of reading."""
     schema = ", ".join(f"{c} string" for c in COLUMNS)
-    rows = spark.read.csv(path, schema=schema, sep=sep, quote='"', escape='"', multiLine=spans_lines(spark, path), header=False, mode="PERMISSIVE")
-    return rows.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    if not spans_lines(spark, path):
+        rows = spark.read.csv(path, schema=schema, sep=sep, quote='"', escape='"', header=False, mode="PERMISSIVE")
+        return rows.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
+    rows = spanning_records(spark, path, sep)
+    return rows.select(F.from_csv("text", schema, options).alias("r"), "file", "block", "place").select("r.*", "file", "block", "place")
 
 
 def _ordered(df: DataFrame) -> DataFrame:
@@ -65,7 +221,7 @@ def _ordered(df: DataFrame) -> DataFrame:
     Blocks are counted first; a row's place is the rows of the blocks before and its own in the block, which one task reads
     in order.
     """
-    read = df.withColumn("turn", F.monotonically_increasing_id())
+    read = df.withColumnRenamed("place", "turn") if "place" in df.columns else df.withColumn("turn", F.monotonically_increasing_id())
     blocks = read.groupBy("file", "block").agg(F.min("turn").alias("first"), F.count(F.lit(1)).alias("held"))
     ahead = F.coalesce(F.sum("held").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each block
     starts = blocks.select("file", "block", "first", ahead.alias("ahead"))
@@ -80,29 +236,24 @@ def read_rows(spark: SparkSession, path: str, language: str, sep: str = "\t") ->
     return parsed.select("ordinal", "r.language", F.ltrim(F.regexp_replace("r.text", r"^\x{FEFF}", "")).alias("text"), "r.translation")
 
 
-def _texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-
-
 def read_plain(spark: SparkSession, path: str, language: str) -> DataFrame:
     """Running text: lines are joined, sentences split."""
-    return _split(_texts(spark, path).select("file", F.regexp_replace("value", r"^\x{FEFF}", "").alias("value")), language)
+    return _split(_lines(spark, path), language)
 
 
 def read_subtitles(spark: SparkSession, path: str, language: str) -> DataFrame:
     """Subtitles: numbers, times and markup go, the rest is running text."""
-    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda s: F.trim(s)), lambda s: (s != "") & ~s.rlike(r"^\p{Nd}+$") & ~s.contains("-->"))
-    text = F.array_join(F.transform(lines, lambda s: F.regexp_replace(s, r"<[^>]*>", "")), "\n")
-    return _split(_texts(spark, path).select("file", text.alias("value")), language)
-
-
-def _split(texts: DataFrame, language: str) -> DataFrame:
-    """Sentences of whole files, which are one block each."""
-    parts = texts.select("file", F.posexplode(T.sentences(F.col("value"))).alias("place", "text"))
-    files = texts.select("file", F.size(T.sentences(F.col("value"))).alias("held"))
-    ahead = F.coalesce(F.sum("held").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file
-    numbered = parts.join(files.select("file", ahead.alias("ahead")), "file")
-    return numbered.select((F.col("ahead") + F.col("place")).cast("long").alias("ordinal"), F.lit(language).alias("language"), "text", F.lit(None).cast("string").alias("translation"))
+    lines = _lines(spark, path).withColumn("value", F.trim("value")).filter(~F.col("value").rlike(r"^\p{Nd}+$") & ~F.col("value").contains("-->"))
+    return _split(lines.withColumn("value", F.regexp_replace("value", r"<[^>]*>", "")), language)
+
+
+def _split(lines: DataFrame, language: str) -> DataFrame:
+    """Sentences of the lines (file, block, value) of each file, as ``text.sentences`` splits the joined lines."""
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    cut = lines.withColumn("value", line).filter("value <> ''").select("file", "block", F.filter(F.split("value", T.SENTENCE_END), lambda x: x != "").alias("parts"), F.col("value").rlike(r"[.!?。！？]$").alias("closed"))
+    whole = _joined(cut.mapInArrow(_stitch, _PIECES), " ")
+    trimmed = whole.withColumn("text", F.trim(F.regexp_replace("text", rf"^{T.SPACE}|{T.SPACE}$", ""))).filter("text <> ''")
+    return _ordered(trimmed).select("ordinal", F.lit(language).alias("language"), "text", F.lit(None).cast("string").alias("translation"))
 
 
 def read_sentences(spark: SparkSession, path: str, language: str = "en", input_format: str = "auto") -> DataFrame:

@@ -99,14 +99,21 @@ def drop_library(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def _shared_top(spark: SparkSession) -> str:
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (top or f"file://{tempfile.gettempdir()}").rstrip("/")
+
+
+def lasting_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in shared storage that stays when the application ends."""
+    return f"{_shared_top(spark)}/glosswork-{name}-{uuid.uuid4().hex}"
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A fresh folder for tables that last as long as the application, under spark.checkpoint.dir where that is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = f"file://{tempfile.gettempdir()}"
-    folder = f"{top.rstrip('/')}/glosswork-tables-{uuid.uuid4().hex}"
+    folder = f"{_shared_top(spark)}/glosswork-tables-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(at)
