@@ -16,6 +16,7 @@ from glosswork.operators import cards as C
 from glosswork.operators import corpus as K
 from glosswork.operators import ingest as I
 from glosswork.operators import schedule as P
+from glosswork.operators import search as X
 from glosswork.operators import selection as Q
 from glosswork.operators import sessions as E
 from glosswork.operators import setup as U
@@ -36,7 +37,7 @@ def entry(oracle: str | None):
 
 
 def _all() -> None:
-    from glosswork.plans import files, markup, upkeep  # noqa: F401  their entries
+    from glosswork.plans import files, flows, markup, upkeep  # noqa: F401  their entries
 
 
 def queries() -> dict:
@@ -49,15 +50,26 @@ def oracle_sql() -> dict[str, str]:
     return {name: q for name, (_, q) in _ENTRIES.items() if q}
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query, for another that gives the same rows."""
+    return _ENTRIES[name][1]
+
+
 # ---- shared inputs
 
 
+def stamps(spark: SparkSession, sf: str) -> tuple:
+    """Name, size and time of each file of the tables: other tables give other results."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf)
+    return tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
+
+
 def kept(f):
-    """One plan for each application and folder, so that what is written is found at once."""
+    """One plan for each application, folder and state of its files, so that what is written is found at once."""
     held: dict = {}
 
     def get(spark: SparkSession, sf: str):
-        key = (spark.sparkContext.applicationId, sf)
+        key = (spark.sparkContext.applicationId, sf, stamps(spark, sf))
         if key not in held:
             held[key] = f(spark, sf)
         return held[key]
@@ -99,6 +111,24 @@ def posted(spark, sf):
     return W.written(K.postings(indexed(spark, sf)).repartitionByRange("form").sortWithinPartitions("form"), f"{tables_folder(spark, sf)}/postings")
 
 
+@kept
+def index(spark, sf):
+    """What a search looks into: posting blocks in order of form, and the vocabulary."""
+    folder, posts = tables_folder(spark, sf), posted(spark, sf)
+    blocks = X.posting_blocks(posts, X.cells_of(library(spark, sf).count()))
+    return {
+        "blocks": W.written(blocks.repartitionByRange("form").sortWithinPartitions("form", "length"), f"{folder}/blocks"),
+        "words": W.written(X.vocabulary(posts), f"{folder}/words"),
+    }
+
+
+@kept
+def gram_index(spark, sf):
+    s = library(spark, sf)
+    lists = X.gram_lists(s.select("id", F.col("full_text").alias("text")), X.cells_of(s.count()))
+    return W.written(lists.repartitionByRange("gram").sortWithinPartitions("gram"), f"{tables_folder(spark, sf)}/grams")
+
+
 def card_table(spark, sf) -> DataFrame:
     """Cards made of the benchmark items, whose text is the front."""
     i = F.col("item_id")
@@ -138,7 +168,7 @@ def due_side(spark, sf):
 
 def ranked(spark, sf, limit=50, per_query=40, **how):
     sentences, forms, posts, stats, due, expanded = due_side(spark, sf)
-    return Q.candidates(sentences, forms, posts, stats, due, expanded, "en", limit=limit, min_words=4, max_words=15, per_query=per_query, **how)
+    return Q.candidates(sentences, forms, posts, stats, due, expanded, "en", limit=limit, min_words=4, max_words=15, per_query=per_query, index=index(spark, sf), **how)
 
 
 def answered(spark, sf):
@@ -165,6 +195,18 @@ def vocabulary_forms(spark, sf):
     return w.select(T.form(F.col("w")).alias("form"), "n").filter("form <> ''").groupBy("form").agg(F.sum("n").alias("n"))
 
 
+_ODD = "replace(replace(replace(text, 'ing', 'in²g'), ' of ', ' of-’²--Ⅷ of’'), ' and ', ' an-²’d ')"
+
+
+@entry(rf"SELECT doc_id, sha256(array_to_string(list_filter(list_transform({p.words(_ODD)}, lambda w: {p.form('w')}), lambda f: f <> ''), ' ')) AS forms FROM documents WHERE text IS NOT NULL")
+def text_forms(spark, sf):
+    """All forms of whole texts at once, into which letter-like numbers and doubled joiners are put."""
+    odd = F.col("text")
+    for old, new in (("ing", "in²g"), (" of ", " of-’²--Ⅷ of’"), (" and ", " an-²’d ")):
+        odd = F.replace(odd, F.lit(old), F.lit(new))
+    return table(spark, sf, "documents").filter("text is not null").select("doc_id", F.sha2(F.array_join(T.forms(odd), " "), 256).alias("forms"))
+
+
 @entry(r"SELECT doc_id, length(string_agg(t, '')) AS n_chars, count(*) AS n_words, true AS lossless FROM (SELECT doc_id, unnest(regexp_extract_all(text, '" + T.WORD.replace("'", "''") + r"')) AS t FROM documents) GROUP BY doc_id")
 def lossless_tokens(spark, sf):
     """Words of each document, and whether all its tokens joined are its text."""
@@ -235,12 +277,13 @@ def strip_html(spark, sf):
     return table(spark, sf, "pages").select("page_id", H.strip_tags(F.col("html")).alias("text"))
 
 
-_TEMPLATES = ("{{Front}}<hr>{{hint:Back}}", "{{#Audio}}{{Audio}}{{/Audio}}{{FrontSide}}", "{{cloze:Text}} {{Tags}}", "plain")
-
-
-@entry("SELECT * FROM (VALUES (0,'Front,Back'),(1,'Audio'),(2,'Text'),(3,'')) t(n, fields)")
+@entry("SELECT item_id, 'F' || item_id % 5 || ',W' || item_id % 7 || CASE WHEN item_id % 3 = 0 THEN ',Text' ELSE '' END AS fields FROM benchmark")
 def template_fields(spark, sf):
-    return spark.createDataFrame(list(enumerate(_TEMPLATES)), "n int, t string").select("n", F.array_join(H.template_fields(F.col("t")), ",").alias("fields"))
+    """Fields of a template for each item: sections, filters, names that are no fields, a name that comes again."""
+    i = F.col("item_id")
+    f, w = F.concat(F.lit("F"), i % 5), F.concat(F.lit("W"), i % 7)
+    t = F.concat(F.lit("{{#"), f, F.lit("}}{{ hint:"), w, F.lit("}}{{/"), f, F.lit("}}{{FrontSide}} {{Tags}} <hr>"), F.translate("text", "{}", ""), F.when(i % 3 == 0, "{{cloze:Text}}").otherwise(""))
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(H.template_fields(t), ",").alias("fields"))
 
 
 # ---- ingest and library
@@ -391,6 +434,27 @@ def bm25_candidates(spark, sf):
     return Q.bm25(posts, stats, Q.terms(Q.weights(expanded, due))).withColumn("bm25", F.round("bm25", 6))
 
 
+def _gain(weight: str) -> str:
+    return f"{weight} * 2.2 / (1 + 1.2 * (0.25 + 0.75 * length / avg_length))"
+
+
+@entry(sql(
+    "SELECT chunk, sum(held)::BIGINT AS postings, coalesce(sum(held) FILTER (bound * (1 + 1e-9) < least), 0)::BIGINT AS unopened FROM bounds GROUP BY chunk", "posts", "terms", "stats",
+    met="SELECT t.chunk, t.term, p.language, p.length FROM posts p JOIN (SELECT DISTINCT chunk, term FROM terms WHERE NOT is_prefix) t ON p.form = t.term",
+    weighed="SELECT chunk, term, CASE WHEN ln((total - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((total - n + 0.5) / (n + 0.5)) END AS weight, avg_length FROM (SELECT chunk, term, count(*) AS n FROM met GROUP BY 1, 2), stats",
+    parts=f"SELECT *, {_gain('weight')} AS part FROM (SELECT chunk, term, length, weight, avg_length, count(*) AS held FROM met JOIN weighed USING (chunk, term) WHERE language = 'en' GROUP BY ALL)",
+    leasts="SELECT chunk, max(part) AS least FROM (SELECT *, sum(held) OVER (PARTITION BY chunk, term ORDER BY length) AS upto FROM parts) WHERE upto >= 100 GROUP BY chunk",
+    lists="SELECT chunk, list(weight ORDER BY weight, term) AS ws FROM weighed GROUP BY chunk",
+    turns="SELECT chunk, term, row_number() OVER (PARTITION BY chunk ORDER BY weight, term) AS place FROM weighed",
+    bounds=f"SELECT chunk, held, least, {_gain('list_sum(list_slice(ws, greatest(1, place - length + 1)::INTEGER, place))')} AS bound FROM parts JOIN lists USING (chunk) JOIN turns USING (chunk, term) LEFT JOIN leasts USING (chunk)",
+))
+def search_unopened(spark, sf):
+    """How many postings of each chunk's terms a search leaves unopened to find its best sentences."""
+    *_, stats, due, expanded = due_side(spark, sf)
+    own = K.of_language(F.col("language"), "en")
+    return X.skipped(index(spark, sf)["blocks"], stats, Q.terms(Q.weights(expanded, due)), own, Q.per_chunk(50))
+
+
 _PREFIXES = ("th", "erst", "onl", "chver")
 
 
@@ -399,7 +463,7 @@ _PREFIXES = ("th", "erst", "onl", "chver")
     SELECT *, count(*) OVER (PARTITION BY term) AS n FROM (SELECT t.term, p.id, count(*) AS f, min(p.length) AS length FROM posts p JOIN (SELECT unnest({list(_PREFIXES)}) AS term) t ON starts_with(p.form, t.term) GROUP BY 1, 2)) h, stats s) GROUP BY id""", "posts", "stats"))
 def prefix_candidates(spark, sf):
     wanted = spark.createDataFrame([(x, True, 0) for x in _PREFIXES], "term string, is_prefix boolean, chunk int")
-    return Q.bm25(posted(spark, sf), K.index_stats(indexed(spark, sf)), wanted).withColumn("bm25", F.round("bm25", 6))
+    return Q.bm25(posted(spark, sf), K.index_stats(indexed(spark, sf)), wanted, index(spark, sf)["words"]).withColumn("bm25", F.round("bm25", 6))
 
 
 _PARTS = ("ndre", "eau", "schtz")
@@ -408,7 +472,7 @@ _PARTS = ("ndre", "eau", "schtz")
 @entry(sql(f"SELECT s.id, -count(*)::DOUBLE AS bm25 FROM sentences s JOIN (SELECT unnest({list(_PARTS)}) AS form) f ON contains(s.full_text, f.form) GROUP BY s.id, s.word_count ORDER BY count(*) DESC, s.word_count, s.id LIMIT 80", "sentences"))
 def substring_candidates(spark, sf):
     wanted = spark.createDataFrame([(x, [x], "") for x in _PARTS], "base string, forms array<string>, prefix string")
-    return Q.substring_candidates(library(spark, sf), wanted, 20)
+    return Q.substring_candidates(library(spark, sf), wanted, 20, gram_index(spark, sf))
 
 
 def _match_scores(spark, sf, **how):
@@ -480,10 +544,10 @@ def target_words(spark, sf):
 
 @entry(sql("SELECT card_id, CASE WHEN max(length(match_key) > 5) THEN 1 ELSE 3 END AS ease, array_to_string(list_sort(list_distinct(list(match_key))), ',') AS keys FROM targets GROUP BY card_id", "targets"))
 def answer_plan(spark, sf):
-    t = targets(spark, sf)
-    flat = t.select(F.col("match_key").alias("key"), F.array("card_id").alias("card_ids"))
-    long = F.max(F.length("key") > 5)
-    return P.answer_plan(flat, []).join(flat.select("key", F.explode("card_ids").alias("card_id")).groupBy("card_id").agg(long.alias("long")), "card_id").select("card_id", F.when(F.col("long"), 1).otherwise(F.col("ease")).cast("int").alias("ease"), F.array_join("keys", ",").alias("keys"))
+    """A plan in which all longer words are unknown."""
+    flat = targets(spark, sf).select(F.col("match_key").alias("key"), F.array("card_id").alias("card_ids"))
+    plan = P.answer_plan(flat, flat.select("key").filter("length(key) > 5"))
+    return plan.select("card_id", F.col("ease").cast("int").alias("ease"), F.array_join("keys", ",").alias("keys"))
 
 
 @entry(sql('SELECT card_id, factor, ivl, due, queue, type, "left", lapses, reps FROM stepped', "stepped"))
@@ -566,14 +630,22 @@ def favourite_keys(spark, sf):
 
 # ---- setup
 
-_PROFILES = [(0, "Exact", ["Spanish::Verbs"], "exact", True), (1, "Sub", ["spanish"], "subdeck", True), (2, "Prefix", ["Ger"], "prefix", True), (3, "Contains", ["cab"], "contains", True), (4, "Regex", ["^fr.*h$"], "regex", True), (5, "Off", ["Italian"], "exact", False)]
-_DECKS = ("Spanish::Verbs", "Spanish::Nouns", "Spanish", "German", "My Vocabulary", "French", "Italian", "Spanishx")
+_DECKS = "SELECT DISTINCT n_name || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '::' || c_mktsegment ELSE c_mktsegment END AS deck FROM customer JOIN nation ON n_nationkey = c_nationkey"
 
 
-@entry("SELECT * FROM (VALUES ('Spanish::Verbs','Exact',10014),('Spanish::Nouns','Sub',7007),('Spanish','Sub',10007),('German','Prefix',5003),('My Vocabulary','Contains',1003),('French','Regex',100)) t(deck, profile, score)")
+@entry(f"""SELECT deck, profile, score FROM (SELECT deck, profile, score, row_number() OVER (PARTITION BY deck ORDER BY score DESC, place) AS turn FROM (SELECT deck, profile, place,
+  CASE mode WHEN 'prefix' THEN CASE WHEN starts_with(d, c) THEN 5000 + n END WHEN 'contains' THEN CASE WHEN contains(d, c) THEN 1000 + n END WHEN 'regex' THEN CASE WHEN contains(d, c) THEN 100 END
+    ELSE CASE WHEN d = c THEN 10000 + n WHEN mode = 'subdeck' AND starts_with(d, c || '::') THEN 7000 + n END END AS score
+  FROM (SELECT deck, lower(deck) AS d, lower(n_name) AS c, length(n_name)::INTEGER AS n, 'P' || n_nationkey AS profile, n_nationkey AS place, ['exact', 'subdeck', 'prefix', 'contains', 'regex'][(n_nationkey % 5 + 1)::INTEGER] AS mode
+    FROM ({_DECKS}) CROSS JOIN nation WHERE n_nationkey % 7 <> 6)) WHERE score IS NOT NULL) WHERE turn = 1""")
 def profile_match(spark, sf):
-    decks = spark.createDataFrame([(d,) for d in _DECKS], "deck string")
-    return U.match_profiles(decks, spark.createDataFrame(_PROFILES, "place int, profile string, deck_names array<string>, match string, enabled boolean"))
+    """Decks named after nations and segments, profiles after nations, each of one of the five modes."""
+    n, i = table(spark, sf, "nation"), F.col("n_nationkey")
+    kind = F.col("c_custkey") % 3
+    decks = table(spark, sf, "customer").join(n, F.col("c_nationkey") == i).select(F.concat("n_name", F.when(kind == 0, "").when(kind == 1, F.concat(F.lit("::"), "c_mktsegment")).otherwise(F.col("c_mktsegment"))).alias("deck")).distinct()
+    mode = F.element_at(F.array(*[F.lit(x) for x in ("exact", "subdeck", "prefix", "contains", "regex")]), (i % 5 + 1).cast("int"))
+    profiles = n.select(i.alias("place"), F.concat(F.lit("P"), i).alias("profile"), F.array(F.concat(F.lit(" "), "n_name")).alias("deck_names"), mode.alias("match"), (i % 7 != 6).alias("enabled"))
+    return U.match_profiles(decks, profiles)
 
 
 def _field_values(spark, sf):
@@ -596,16 +668,20 @@ def _rounded(s):
     return s.select("field", F.round("target", 6).alias("target"), F.round("translation", 6).alias("translation"), "audio")
 
 
-@entry(f"""WITH v AS (SELECT 'German' AS field, doc_id AS place, text AS value FROM documents WHERE lang = 'de' UNION ALL SELECT 'Meaning', doc_id, text FROM documents WHERE lang = 'en' UNION ALL SELECT 'Audio', doc_id, '[sound:' || doc_id || '.mp3]' FROM documents WHERE lang = 'en'),
+_SCORES = f"""WITH v AS (SELECT 'German' AS field, doc_id AS place, text AS value FROM documents WHERE lang = 'de' UNION ALL SELECT 'Meaning', doc_id, text FROM documents WHERE lang = 'en' UNION ALL SELECT 'Audio', doc_id, '[sound:' || doc_id || '.mp3]' FROM documents WHERE lang = 'en'),
 s AS (SELECT * FROM (SELECT field, place, substr({p.clean('value')}, 1, 500) AS value FROM v) WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY field ORDER BY place) <= 80),
 w AS (SELECT field, unnest(regexp_extract_all(lower(value), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')) AS w FROM s),
 r AS (SELECT field, avg(CASE WHEN w IN ({", ".join(f"'{x}'" for x in U.ENGLISH_WORDS)}) THEN 1.0 ELSE 0.0 END) AS english, avg(CASE WHEN w IN ({", ".join(f"'{x}'" for x in L.PROFILES["de"][2])}) THEN 1.0 ELSE 0.0 END) AS own FROM w GROUP BY field),
 n AS (SELECT field, count(*) AS n FROM s GROUP BY field)
-SELECT r.field, round(CASE r.field WHEN 'German' THEN 190 WHEN 'Meaning' THEN -90 ELSE 0 END + own * 80 - english * 70, 6) AS target, round(CASE r.field WHEN 'Meaning' THEN 150 WHEN 'Audio' THEN -100 ELSE 0 END + 100.0 * n / max(n) OVER () + english * 70, 6) AS translation, CASE r.field WHEN 'Audio' THEN 250.0 ELSE 0.0 END::DOUBLE AS audio FROM r JOIN n USING (field)""")
+SELECT r.field, round(CASE r.field WHEN 'German' THEN 190 WHEN 'Meaning' THEN -90 ELSE 0 END + own * 80 - english * 70, 6) AS target, round(CASE r.field WHEN 'Meaning' THEN 150 WHEN 'Audio' THEN -100 ELSE 0 END + 100.0 * n / max(n) OVER () + english * 70, 6) AS translation, CASE r.field WHEN 'Audio' THEN 250.0 ELSE 0.0 END::DOUBLE AS audio FROM r JOIN n USING (field)"""
+
+
+@entry(_SCORES)
 def autoconf_scores(spark, sf):
     return _rounded(_scores(spark, sf))
 
 
-@entry("SELECT 'German' AS target_field, 'Meaning' AS translation_field, 'Audio' AS audio_field")
+@entry(f"""WITH s AS (SELECT *, CASE field WHEN 'German' THEN 0 WHEN 'Meaning' THEN 1 ELSE 2 END AS place FROM ({_SCORES})), t AS (SELECT field FROM s ORDER BY target DESC, place LIMIT 1)
+SELECT (SELECT field FROM t) AS target_field, (SELECT field FROM s WHERE field <> (SELECT field FROM t) ORDER BY translation DESC, place LIMIT 1) AS translation_field, coalesce((SELECT field FROM s WHERE audio > 0 ORDER BY audio DESC, place LIMIT 1), '') AS audio_field""")
 def autoconf_fields(spark, sf):
     return U.choose_fields(_scores(spark, sf))

@@ -12,7 +12,8 @@ from glosswork.operators import selection as Q
 from glosswork.operators import sessions as E
 from glosswork.operators import setup as U
 from glosswork.plans import pieces as p
-from glosswork.plans.catalog import entry, table
+from glosswork.plans.catalog import due_side, entry, library, table
+from glosswork.plans.pieces import sql
 
 # Pages hold no media of their own, so some are put beside them, by number.
 _MEDIA = """html || CASE page_id % 4 WHEN 0 THEN '<p><IMG alt=x src="pics/' || page_id || '.png"> <img src=''a&amp;b.png''><img src="javascript:x()"></p>' WHEN 1 THEN ' [sound:w' || page_id || '.mp3] <audio controls src="s.ogg"></audio><audio src="s.ogg"></audio>' WHEN 2 THEN '<img src="p.png">[sound:q.mp3]' ELSE '' END"""
@@ -114,23 +115,23 @@ def speech_keys(spark, sf):
     return table(spark, sf, "events").select("event_id", E.speech_key(F.concat(F.lit("voice"), "user_id"), F.col("event_type")).alias("key"))
 
 
-_TERMS = ('deck:"A B" is:due', r'tag:a\ b "x y"', "  is:new   -card:2 ", r'"a\"b" c')
-
-
-@entry(r"""SELECT * FROM (VALUES (0, 'deck:"A B"|is:due'), (1, 'tag:a\ b|"x y"'), (2, 'is:new|-card:2'), (3, '"a\"b"|c')) t(n, terms)""")
+@entry(r"""SELECT item_id, 'deck:"' || replace(text, '"', '\"') || '"|is:due|-card:' || item_id % 4 || '|tag:a\ ' || item_id || CASE WHEN item_id % 3 = 0 THEN '|"open end ' ELSE '' END AS terms FROM benchmark""")
 def search_terms(spark, sf):
-    return spark.createDataFrame([(i, "|".join(C.search_terms(t))) for i, t in enumerate(_TERMS)], "n int, terms string")
-
+    """Terms of a search for each item: quoted texts, kept spaces, spaces between terms, a quote that is never closed."""
+    i = F.col("item_id")
+    said = F.concat(F.lit('deck:"'), F.replace("text", F.lit('"'), F.lit('\\"')), F.lit('"  is:due -card:'), i % 4, F.lit("\ttag:a\\ "), i, F.when(i % 3 == 0, ' "open end ').otherwise(" "))
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(C.terms_of(said), "|").alias("terms"))
 
-_QUERIES = [(a, b, c, d) for a in ("is:due", "deck:x is:due") for b in (True, False) for c in (True, False) for d in ("current", "all")]
 
-
-@entry("""SELECT n, q FROM (SELECT n, CASE WHEN scope = '' THEN core ELSE core || ' ' || scope END AS q FROM (SELECT n, CASE WHEN due AND NOT fresh THEN '(' || custom || ') -is:new' WHEN NOT due AND NOT fresh THEN 'nid:0'
-  WHEN due THEN '((' || custom || ') OR (is:new' || rest || '))' ELSE '(is:new' || rest || ')' END AS core, scope FROM (SELECT n, custom, due, fresh, CASE WHEN custom = 'is:due' THEN '' ELSE ' deck:x' END AS rest, CASE WHEN sc = 'all' THEN '' ELSE 'deck:"My \\"Deck\\""' END AS scope
-  FROM (SELECT n, CASE WHEN n < 8 THEN 'is:due' ELSE 'deck:x is:due' END AS custom, n % 8 < 4 AS due, n % 4 < 2 AS fresh, CASE WHEN n % 2 = 0 THEN 'current' ELSE 'all' END AS sc FROM (SELECT unnest(generate_series(0, 15)) AS n)))))""".replace("\\\\", "\\"))
+@entry("""SELECT event_id, CASE WHEN scope = '' THEN core ELSE core || ' ' || scope END AS q FROM (SELECT event_id, CASE WHEN due AND NOT fresh THEN '(' || custom || ') -is:new' WHEN NOT due AND NOT fresh THEN 'nid:0'
+  WHEN due THEN '((' || custom || ') OR (is:new' || rest || '))' ELSE '(is:new' || rest || ')' END AS core, scope FROM (SELECT event_id, custom, due, fresh, CASE WHEN n < 8 THEN '' ELSE ' deck:x' || user_id END AS rest, CASE WHEN n % 2 = 1 THEN '' ELSE 'deck:"My \\"Deck\\" ' || user_id || '"' END AS scope
+  FROM (SELECT event_id, user_id, n, CASE WHEN n < 8 THEN 'is:due' ELSE 'deck:x' || user_id || ' is:due' END AS custom, n % 8 < 4 AS due, n % 4 < 2 AS fresh FROM (SELECT event_id, user_id, event_id % 16 AS n FROM events))))""".replace("\\\\", "\\"))
 def due_queries(spark, sf):
-    rows = [(i, C.due_query(a, b, c, C.deck_scope(d, 'My "Deck"'))) for i, (a, b, c, d) in enumerate(_QUERIES)]
-    return spark.createDataFrame(rows, "n long, q string")
+    """The search for due cards by each row's settings: filter, kinds of cards and deck."""
+    n, user = F.col("event_id") % 16, F.col("user_id").cast("string")
+    custom = F.when(n < 8, "is:due").otherwise(F.concat(F.lit("deck:x"), user, F.lit(" is:due")))
+    scope = C.deck_scope_of(F.when(n % 2 == 0, "current").otherwise("all"), F.concat(F.lit('My "Deck" '), user), F.lit(""))
+    return table(spark, sf, "events").select("event_id", C.due_query_of(custom, n % 8 < 4, n % 4 < 2, scope).alias("q"))
 
 
 @entry("SELECT doc_id AS id, form, n FROM (SELECT doc_id, unnest(['and', 'qu', 'yz']) AS form, unnest([(length(text) - length(replace(text, 'and', ''))) // 3, (length(text) - length(replace(text, 'qu', ''))) // 2, (length(text) - length(replace(text, 'yz', ''))) // 2]) AS n FROM documents) WHERE n > 0")
@@ -140,6 +141,20 @@ def form_occurrences(spark, sf):
     return Q.occurrences(texts, ["qu", "and", "yz"]).groupBy("id", "form").agg(F.count(F.lit(1)).alias("n"))
 
 
+@entry(sql(
+    "SELECT id, p[i].s::INTEGER AS start, (p[i].s - p[i].b)::INTEGER AS \"end\", p[i].f AS form FROM walk WHERE taken", "sentences", "expanded", recursive=True,
+    wanted="SELECT DISTINCT unnest(forms) AS form FROM expanded",
+    cut="SELECT s.id, f.form, length(f.form) AS n, string_split(s.full_text, f.form) AS parts FROM sentences s JOIN wanted f ON contains(s.full_text, f.form)",
+    found="SELECT id, form, n, list_sum(list_transform(parts[1:k], lambda x: length(x)))::BIGINT + (k - 1) * n AS start FROM (SELECT *, unnest(generate_series(1, len(parts) - 1)) AS k FROM cut)",
+    listed="SELECT id, list({'s': start, 'b': -n, 'f': form} ORDER BY start, -n) AS p FROM found GROUP BY id",
+    walk="SELECT id, p, 0::BIGINT AS i, 0::BIGINT AS last, false AS taken FROM listed UNION ALL SELECT id, p, i + 1, CASE WHEN p[i + 1].s >= last THEN p[i + 1].s - p[i + 1].b ELSE last END, p[i + 1].s >= last FROM walk WHERE i < len(p)",
+))
+def form_places(spark, sf):
+    """Places of all forms of all due words in the whole library, read as scripts without spaces are: leftmost, longest."""
+    *_, expanded = due_side(spark, sf)
+    return Q.occurrences(library(spark, sf).select("id", "full_text"), expanded.select(F.explode("forms").alias("form")))
+
+
 @entry("SELECT DISTINCT 'Front' || item_id % 6 AS field FROM benchmark UNION SELECT 'Back'")
 def field_discovery(spark, sf):
     notes = table(spark, sf, "benchmark").select(F.create_map(F.concat(F.lit("Front"), F.col("item_id") % 6), F.col("text"), F.lit("Back"), F.col("text")).alias("fields"))

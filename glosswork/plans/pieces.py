@@ -108,7 +108,7 @@ FROM (SELECT DISTINCT due_key AS base FROM due) k LEFT JOIN (SELECT base, list(f
   SELECT h.*, s.avg_length, CASE WHEN ln((s.total - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((s.total - n + 0.5) / (n + 0.5)) END AS idf
   FROM (SELECT *, count(*) OVER (PARTITION BY chunk, term) AS n FROM hits) h, stats s) GROUP BY chunk, id"""),
     "compat": (("scored", "sentences"), """SELECT id, bm25 FROM (SELECT id, arg_min(bm25, chunk) AS bm25, min(chunk) AS chunk, arg_min(r, chunk) AS r FROM (
-  SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY bm25, id) AS r FROM scored WHERE id IN (SELECT id FROM sentences WHERE language = 'en')) WHERE r <= 100 GROUP BY id) ORDER BY chunk, r LIMIT 200"""),
+  SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY round(bm25, 9), id) AS r FROM scored WHERE id IN (SELECT id FROM sentences WHERE language = 'en')) WHERE r <= 100 GROUP BY id) ORDER BY chunk, r LIMIT 200"""),
     "matched": (("forms", "expanded"), "SELECT DISTINCT p.id, e.base FROM (SELECT id, unnest(forms) AS form FROM forms) p JOIN (SELECT base, prefix, unnest(forms) AS form FROM expanded) e ON p.form = e.form OR (e.prefix <> '' AND starts_with(p.form, e.prefix))"),
     "ranked": (("compat", "matched", "due", "sentences"), """SELECT s.id, s.language, s.full_text, s.word_count, c.bm25, m.score, m.cards FROM compat c JOIN sentences s USING (id) JOIN (
   SELECT m.id, sum(CASE WHEN d.priority = 0 THEN 10 + least(d.overdue, 30) / 3 ELSE d.priority END) AS score, count(DISTINCT d.card_id) AS cards FROM matched m JOIN due d ON d.due_key = m.base GROUP BY m.id) m USING (id)
@@ -135,16 +135,16 @@ def _searched(suffix: str, terms: str, found: str) -> None:
 _searched("_every", PIECES["terms"][1].replace("// 40)", "// 1000000000)"), "SELECT id, bm25 FROM scored WHERE id IN (SELECT id FROM sentences WHERE language = 'en')")
 
 
-def sql(final: str, *needed: str) -> str:
-    """``final`` with the subqueries that it needs, each once, in order."""
-    done: list[str] = []
+def sql(final: str, *needed: str, recursive: bool = False, **more: str) -> str:
+    """``final`` with the subqueries that it needs, each once, in order, and behind them those of its own in ``more``."""
+    done: dict[str, str] = {}
 
     def need(name: str) -> None:
         for n in PIECES[name][0]:
             need(n)
-        if name not in done:
-            done.append(name)
+        done.setdefault(name, PIECES[name][1])
 
     for n in needed:
         need(n)
-    return "WITH " + ",\n".join(f"{n} AS ({PIECES[n][1]})" for n in done) + "\n" + final if done else final
+    done |= more
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(f"{n} AS ({text})" for n, text in done.items()) + "\n" + final if done else final

@@ -84,7 +84,7 @@ def linked_natives(spark, sf):
 @entry("SELECT user_id AS owner, 50 + least(count(DISTINCT event_id), 200) AS most FROM events GROUP BY user_id")
 def inflated_limits(spark, sf):
     counts = table(spark, sf, "events").groupBy(F.col("user_id").alias("owner")).agg(F.count_distinct("event_id").alias("n"))
-    return counts.select("owner", (F.lit(50) + F.least(F.col("n"), F.lit(200))).cast("long").alias("most"))
+    return counts.select("owner", E.inflated_limit(50, F.col("n")).cast("long").alias("most"))
 
 
 # ---- answers
@@ -116,8 +116,7 @@ def answer_plan_unknown(spark, sf):
     """A plan in which some words and some cards are unknown."""
     e = table(spark, sf, "events")
     flat = e.select(F.concat(F.lit("k"), F.col("event_id") % 6).alias("key"), F.array("user_id").alias("card_ids"))
-    cards = [r.user_id for r in e.select("user_id").distinct().filter("user_id % 9 = 0").collect()]
-    return P.answer_plan(flat, ["k1", "k4"], cards).select("card_id", "is_unknown", F.array_join("keys", ",").alias("keys"))
+    return P.answer_plan(flat, ["k1", "k4"], e.select(F.col("user_id").alias("card_id")).filter("card_id % 9 = 0")).select("card_id", "is_unknown", F.array_join("keys", ",").alias("keys"))
 
 
 # ---- sessions
@@ -173,13 +172,16 @@ def profile_merge(spark, sf):
     return m.select("event_id", at("language").alias("language"), at("dictionary_url_template").alias("dictionary"), at("max_due_cards").alias("due"), F.size(F.filter(F.map_keys("m"), lambda k: k.isin(*G.PROFILE_KEYS))).alias("meta"))
 
 
-@entry("SELECT place, deck_name, v FROM (VALUES (0, 'Spanish', 'new1'), (1, 'German', 'old'), (2, 'spanish', 'old'), (3, 'French', 'new2'), (4, 'Italian', 'new3')) t(place, deck_name, v)")
+@entry("""SELECT n_nationkey AS place, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS deck_name, CASE WHEN n_nationkey % 2 = 0 THEN 'new' || n_nationkey ELSE 'old' END AS v, CASE WHEN n_nationkey % 4 = 0 THEN 'named' WHEN n_nationkey % 4 = 2 THEN lower(n_name) END AS name FROM nation
+UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY lower(r_name)), r_name, 'new', r_name FROM region""")
 def profile_upsert(spark, sf):
-    make = lambda rows, more: spark.createDataFrame(rows, more + "deck_name string, settings map<string,string>")
-    held = make([(0, "Spanish", {"v": "old"}), (1, "German", {"v": "old"}), (2, "spanish", {"v": "old"})], "place long, ")
-    new = make([("SPANISH ", {"v": "new1", "name": ""}), ("French", {"v": "new2"}), ("Italian", {"v": "new3"})], "")
-    done = G.upsert_profile(held, new)
-    return done.select("place", F.when(F.lower("deck_name") == "spanish", F.when(F.col("place") == 0, "Spanish").otherwise("spanish")).otherwise(F.col("deck_name")).alias("deck_name"), F.try_element_at("settings", F.lit("v")).alias("v"))
+    """Profiles of nations' decks, every second one given anew under its name in other letters, and regions' behind them."""
+    n, i, r = table(spark, sf, "nation"), F.col("n_nationkey"), table(spark, sf, "region")
+    held = n.select(i.alias("place"), F.col("n_name").alias("deck_name"), F.create_map(F.lit("v"), F.lit("old")).alias("settings"))
+    again = n.filter("n_nationkey % 2 = 0").select(F.concat(F.lit(" "), F.lower("n_name"), F.lit(" ")).alias("deck_name"), F.create_map(F.lit("v"), F.concat(F.lit("new"), i), F.lit("name"), F.when(i % 4 == 0, "named").otherwise(" ")).alias("settings"))
+    more = r.select(F.col("r_name").alias("deck_name"), F.create_map(F.lit("v"), F.lit("new")).alias("settings"))
+    at = lambda k: F.try_element_at("settings", F.lit(k)).alias(k)
+    return G.upsert_profile(held, again.unionByName(more)).select("place", "deck_name", at("v"), at("name"))
 
 
 @entry("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN '/home/lib/default.db' WHEN 1 THEN '/home/lib/default.db' WHEN 2 THEN '/home/lib/x/' || event_id WHEN 3 THEN NULL WHEN 4 THEN '/abs/' || event_id ELSE '/home/lib/b' END AS path FROM events""")
@@ -189,12 +191,16 @@ def library_paths(spark, sf):
     return table(spark, sf, "events").select("event_id", G.library_path("/home/lib", raw, "old/corpus.db", "default.db").alias("path"))
 
 
-@entry("SELECT n, n < 2 AS confident, CASE WHEN n < 2 THEN 10 ELSE 0 END AS settings, CASE WHEN n < 2 THEN 'Read, Hear' END AS templates FROM (VALUES (0), (1), (2), (3)) t(n)")
+@entry("""SELECT event_id, event_id % 4 < 2 AS confident, CASE WHEN event_id % 4 < 2 THEN 10 ELSE 0 END AS settings, CASE WHEN event_id % 4 < 2 THEN 'Read' || user_id || ', Hear' END AS templates, CASE WHEN event_id % 4 < 2 THEN event_type END AS audio FROM events""")
 def setup_preset(spark, sf):
-    rows = [(0, "Word", "Back", "Audio", ["Read", "Hear"], True), (1, "Word", "Back", "", ["Read", "Hear"], False), (2, "", "Back", "", ["Read"], True), (3, "Word", "Back", "", [], True)]
-    d = spark.createDataFrame(rows, "n int, target_field string, translation_field string, audio_field string, included_templates array<string>, target_on_question boolean")
-    one = [G.preset(d.filter(F.col("n") == i)).withColumn("n", F.lit(i)) for i in range(4)]
-    return one[0].unionByName(one[1]).unionByName(one[2]).unionByName(one[3]).select("n", "confident", F.size("settings").alias("settings"), F.try_element_at("settings", F.lit("included_card_templates")).alias("templates"))
+    """Settings from what was detected of each row: all, no target field, or no template."""
+    k = F.col("event_id") % 4
+    some = F.array(F.concat(F.lit("Read"), "user_id"), F.lit("Hear"))
+    d = table(spark, sf, "events").select(
+        "event_id", F.when(k == 2, "").otherwise("Word").alias("target_field"), F.lit("Back").alias("translation_field"), F.col("event_type").alias("audio_field"),
+        F.when(k == 3, F.array().cast("array<string>")).otherwise(some).alias("included_templates"), (k == 0).alias("target_on_question"))
+    at = lambda n: F.try_element_at("settings", F.lit(n))
+    return G.preset(d).select("event_id", "confident", F.size("settings").alias("settings"), at("included_card_templates").alias("templates"), at("audio_field").alias("audio"))
 
 
 @entry(sql("""SELECT 'settings' AS name, 'warning' AS status, 'known and unknown ease are alike' AS detail

@@ -1,30 +1,126 @@
-"""Incremental forms of ingest and review; batch and stream give the same result."""
+"""Incremental forms of ingest, recency, sessions and review; batch and stream give the same result.
+
+State is kept by key in Spark's state store and holds what a key needs alone: that a text was seen, a learner's recent
+sentences, a session's lists, a card's schedule. ``run_once`` feeds what has arrived and ends; started again on the
+same folder it goes on from its state.
+"""
 
 from __future__ import annotations
 
+import json
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from glosswork.functions import text as T
 from glosswork.operators import ingest
+from glosswork.operators import replay as R
 
 
-def ingest_stream(spark: SparkSession, path: str, schema: str, library: str, checkpoint: str, min_words: int = 4, max_words: int = 15):
-    """A query that adds accepted new sentences of arriving document files to a library of Parquet sentences."""
+def run_once(stream: DataFrame, folder: str, mode: str = "update") -> None:
+    """Takes in all that has arrived and adds what comes out under ``folder``/out, each batch once, with its number as ``epoch``."""
 
     def add(batch: DataFrame, epoch: int) -> None:
-        try:
-            held = spark.read.parquet(library).select("language", "full_text")
-        except Exception as e:  # the first batch finds no library
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            held = None
-        judged = ingest.judge(ingest.split_documents(batch), min_words, max_words, stored=held)
-        # a batch that is repeated after a failure finds its own sentences stored, so nothing is added twice
-        ingest.accepted(judged).write.mode("append").parquet(library)
+        # a batch that is repeated after a failure replaces itself
+        batch.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(add).trigger(availableNow=True).start().awaitTermination()
+
+
+def results(spark: SparkSession, folder: str) -> DataFrame:
+    """All that came out, with ``epoch``."""
+    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+
+
+def latest(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """What came out last for each key."""
+    out = results(spark, folder)
+    names = [c for c in out.columns if c not in (key, "epoch")]
+    return out.groupBy(key).agg(F.max_by(F.struct(*names), "epoch").alias("r")).select(key, "r.*")
+
+
+# ---- ingest
+
+
+def _first_seen(key, frames, state: GroupState):
+    """The row of least ordinal, of a text that no earlier batch had. The state is that it was seen."""
+    import pandas as pd
+
+    best = None
+    for frame in frames:
+        row = frame.loc[[frame["ordinal"].idxmin()]]
+        if best is None or row["ordinal"].iloc[0] < best["ordinal"].iloc[0]:
+            best = row
+    if not state.exists and best is not None:
+        state.update((True,))
+        yield best[["ordinal", "language", "text", "translation"]]
+    else:
+        yield pd.DataFrame({"ordinal": pd.Series(dtype="int64"), "language": pd.Series(dtype="str"), "text": pd.Series(dtype="str"), "translation": pd.Series(dtype="str")})
+
+
+def first_texts(rows: DataFrame) -> DataFrame:
+    """Of arriving rows (ordinal, language, text, translation), the first of each text: duplicates are known by the state
+    store alone, whatever the library holds."""
+    cleaned = rows.withColumn("text", T.clean(F.col("text"))).withColumn("translation", F.nullif(T.clean(F.col("translation")), F.lit("")))
+    keyed = cleaned.withColumn("key", F.concat_ws("\0", "language", ingest.text_key(F.col("text"))))
+    schema = "ordinal long, language string, text string, translation string"
+    return keyed.groupBy("key").applyInPandasWithState(_first_seen, schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def ingest_stream(rows: DataFrame, min_words: int = 4, max_words: int = 15, strict: bool = True) -> DataFrame:
+    """Accepted sentences of arriving rows, as ``ingest.accepted`` of ``ingest.judge`` gives them if rows arrive in order."""
+    first = first_texts(rows)
+    counted = first.withColumn("word_count", T.count_words(F.col("text"), F.col("language"))).withColumn("flags", T.quality_flags(F.col("text")))
+    return ingest.accepted(counted.withColumn("skip_reason", ingest.reason(min_words, max_words, strict)))
 
-    return spark.readStream.schema(schema).parquet(path).writeStream.option("checkpointLocation", checkpoint).foreachBatch(add)
+
+# ---- what a learner has seen
+
+
+def _recent_of(keep: int):
+    def step(key, frames, state: GroupState):
+        import pandas as pd
+
+        held = {i: (at, n) for i, at, n in json.loads(state.get[0])} if state.exists else {}
+        for frame in frames:
+            for id_, at, n in zip(frame["id"].tolist(), frame["at"].tolist(), frame["seq"].tolist()):
+                held[id_] = max(held.get(id_, (at, n)), (at, n))
+        order = sorted(held.items(), key=lambda x: (x[1], x[0]))[-keep:]
+        state.update((json.dumps([[i, *x] for i, x in order]),))
+        yield pd.DataFrame({"owner": [key[0]], "ids": [[i for i, _ in order]]})
+
+    return step
+
+
+def recent_stream(events: DataFrame, keep: int = 200, lateness: str = "30 days") -> DataFrame:
+    """(owner, ids) after each batch: the last ``keep`` distinct ids of events (owner, id, ts, seq), oldest first.
+
+    A key's state is these ids with their last time, which is enough for any later event. Events that are later than
+    ``lateness`` behind the latest one are left out, by the watermark.
+    """
+    own = events.filter("id > 0").withWatermark("ts", lateness).select("owner", "id", "ts", F.unix_micros("ts").alias("at"), "seq")
+    return own.groupBy("owner").applyInPandasWithState(_recent_of(keep), "owner long, ids array<long>", "held string", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def _session_step(key, frames, state: GroupState):
+    import pandas as pd
+
+    held = json.loads(state.get[0]) if state.exists else R.begin()
+    rows = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
+    for kind, task, cards, unknown in zip(rows["kind"], rows["task"], rows["cards"], rows["unknown"]):
+        plain = lambda x: [int(i) for i in x] if x is not None else []
+        R.advance(held, kind, None if pd.isna(task) else int(task), plain(cards), plain(unknown))
+    state.update((json.dumps(held),))
+    yield pd.DataFrame([R.shown_state(int(key[0]), held)], columns=[x.split()[0] for x in R.STATE.split(", ")])
+
+
+def session_stream(log: DataFrame) -> DataFrame:
+    """``replay.sessions`` of an arriving log: each session's state after each batch."""
+    return log.groupBy("session").applyInPandasWithState(_session_step, R.STATE, "held string", "update", GroupStateTimeout.NoTimeout)
 
 
 def recent_counts(events: DataFrame, lateness: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
@@ -35,7 +131,6 @@ def recent_counts(events: DataFrame, lateness: str = "10 minutes", width: str =
 def review_stream(answers: DataFrame, start: Callable[[int], tuple[int, int, int, int, bool]] = lambda card: (1, 2500, 0, 0, True)) -> DataFrame:
     """Card states after each batch of answers (card_id, ts, seq, is_unknown), kept by card: the scheduler's step as a fold."""
     import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, batches, state: GroupState):
         ivl, factor, lapses, reps, review = state.get if state.exists else start(int(key[0]))
@@ -55,3 +150,7 @@ def review_stream(answers: DataFrame, start: Callable[[int], tuple[int, int, int
     schema = "card_id long, ivl long, factor long, lapses long, reps long, review boolean"
     kept = "ivl long, factor long, lapses long, reps long, review boolean"
     return answers.groupBy("card_id").applyInPandasWithState(step, schema, kept, "update", GroupStateTimeout.NoTimeout)
+
+
+# what workers run of this module travels with its data, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -194,15 +194,14 @@ def test_streams_equal_batches(spark, tmp_path):
     from glosswork.streaming import streams
 
     schema = "doc_id long, text string, lang string"
-    docs = spark.createDataFrame([(1, "One good example here. One good example here.", "en"), (2, "Another good example here.", "en")], schema)
-    src = str(tmp_path / "in")
-    for _ in range(2):
-        docs.write.mode("append").parquet(src)
-        q = streams.ingest_stream(spark, src, schema, str(tmp_path / "lib"), str(tmp_path / "ck")).start()
-        q.processAllAvailable()
-        q.stop()
-    want = {r.full_text for r in I.accepted(I.judge(I.split_documents(docs))).collect()}
-    assert sorted(r.full_text for r in spark.read.parquet(str(tmp_path / "lib")).collect()) == sorted(want)
+    docs = spark.createDataFrame([(1, "One good example here. one Good example here.", "en"), (2, "Another good example here. One good example here.", "en"), (3, "Short. Another good example here. A third good example.", "en")], schema)
+    src, folder = str(tmp_path / "in"), f"file://{tmp_path}/ingest"
+    for part in ("doc_id < 3", "doc_id < 2", "doc_id > 1"):  # what came before comes again
+        docs.filter(part).write.mode("append").parquet(src)
+        streams.run_once(streams.ingest_stream(I.split_documents(spark.readStream.schema(schema).parquet(src))), folder, "append")
+    names = ["id", "full_text", "word_count", "quality_flags"]
+    want = I.accepted(I.judge(I.split_documents(docs))).select(names).collect()
+    assert sorted(map(tuple, streams.results(spark, folder).select(names).collect())) == sorted(map(tuple, want)) and len(want) == 3
 
     answers = spark.createDataFrame([(c, t, t, (c * t) % 3 == 0) for c in (1, 2, 3) for t in range(1, 8)], "card_id long, ts long, seq long, is_unknown boolean")
     answers.write.parquet(str(tmp_path / "answers"))
