@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from glosswork.build import build
 from glosswork.functions import text as T
 from glosswork.operators import corpus as K
 from glosswork.plans import pieces as p
-from glosswork.plans.catalog import entry, indexed, library, table, word_pairs
+from glosswork.plans.catalog import entry, indexed, library, raw, table, word_pairs
 from glosswork.plans.pieces import sql
 from glosswork.sources import readers as R
 from glosswork.sources import remote
@@ -31,6 +32,13 @@ def lines(spark, rows, name: str, **options) -> str:
     return path
 
 
+def files_of_lines(spark, rows, name: str) -> str:
+    """Ordered lines (by ``n``) in several files, whose names are in that order."""
+    path = place(spark, name)
+    rows.repartitionByRange("n").sortWithinPartitions("n").select("value").write.text(path)
+    return path
+
+
 _QUOTED = "CASE WHEN item_id % 3 = 0 THEN text || ' \"so\"' ELSE text END"
 
 
@@ -94,12 +102,63 @@ def read_id_rows(spark, sf):
 def read_link_rows(spark, sf):
     i = F.col("doc_id")
     rows = table(spark, sf, "documents").select(i.alias("n"), F.when(i % 5 == 4, F.lit("bad\trow")).otherwise(F.concat_ws("\t", i, i * 2 + 1)).alias("value"))
-    got = R.read_links(spark, lines(spark, rows, "links.tsv"))
+    got = R.read_links(spark, files_of_lines(spark, rows, "links.tsv"))
     # link_order counts bad rows too, so places among good ones are counted again here
     order = got.select("source_id", "translation_id", "link_order", (F.floor(F.col("link_order") / 5)).alias("before"))
     return order.select("source_id", "translation_id", (F.col("link_order") - F.col("before")).cast("long").alias("place"))
 
 
+def _archives(folder: str):
+    """Writes each task's lines as the two tables of a tar archive; gives its path."""
+
+    def run(batches):
+        import io
+        import tarfile
+
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem
+        from pyspark import TaskContext
+
+        fs, top = FileSystem.from_uri(folder)
+        name = f"{top}/{TaskContext.get().partitionId():05d}.tar.bz2"
+        values = [v for batch in batches for v in batch.column(0).to_pylist()]
+        fs.create_dir(top)
+        with fs.open_output_stream(name, compression=None) as out, tarfile.open(fileobj=out, mode="w|bz2") as tar:
+            half = len(values) // 2
+            for member, part in (("a/links.csv", values[:half]), ("a/notes.txt", ["of no use"]), ("b/links.tsv", values[half:])):
+                data = "".join(f"{v}\n" for v in part).encode()
+                info = tarfile.TarInfo(member)
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+        yield pa.RecordBatch.from_pydict({"path": [name]})
+
+    return run
+
+
+@entry("SELECT doc_id AS source_id, doc_id * 2 + 1 AS translation_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents WHERE doc_id % 5 <> 4")
+def read_archived_links(spark, sf):
+    """Links from tables inside tar archives, in order of archive, member and line."""
+    i = F.col("doc_id")
+    value = F.when(i % 5 == 4, F.lit("bad\trow")).when(i % 2 == 0, F.concat_ws("\t", i, i * 2 + 1)).otherwise(F.concat_ws(",", i, i * 2 + 1))
+    folder = place(spark, "links.tar")
+    rows = table(spark, sf, "documents").select(i.alias("n"), value.alias("value")).repartitionByRange("n").sortWithinPartitions("n")
+    rows.select("value").mapInArrow(_archives(folder), "path string").collect()  # a row for each archive
+    got = R.read_links(spark, f"{folder}/*.tar.bz2")
+    return got.select("source_id", "translation_id", (F.col("link_order") - F.floor(F.col("link_order") / 5)).cast("long").alias("place"))
+
+
+_BUILT = {"judged": p.PIECES["judged"][1].replace("BETWEEN 4 AND 15", "BETWEEN 2 AND 10")}
+
+
+@entry(sql("SELECT count(*) AS processed, count(*) FILTER (skip_reason IS NULL) AS inserted, count(*) FILTER (skip_reason IS NOT NULL) AS skipped, false AS limit_reached FROM judged", "raw", **_BUILT))
+def build_metrics(spark, sf):
+    """A library built from files of delimited rows, several files in order; the metrics that the builder gives."""
+    source = place(spark, "rows.tsv")
+    rows = raw(spark, sf).repartitionByRange("ordinal").sortWithinPartitions("ordinal").select("language", "text")
+    rows.write.option("sep", "\t").option("quote", '"').option("escape", '"').option("quoteAll", "true").csv(source)
+    return build(spark, source, place(spark, "library"), "en", "tsv")
+
+
 @entry(f"SELECT DISTINCT form, base FROM (SELECT {p.form('w')} AS form, CASE WHEN length(w) % 2 = 0 THEN {p.form('w')} ELSE {p.form('left(w, 3)')} END AS base FROM (SELECT unnest({p.words('text')}) AS w FROM benchmark)) WHERE form <> '' AND base <> ''")
 def read_word_form_rows(spark, sf):
     w = F.col("w")
