@@ -1,4 +1,4 @@
-"""A review session as data: the log of what happened, folded to what the session holds and needs next.
+"""Logs folded to states: a review session's to what it holds and needs next, a card's answers to its schedule.
 
 Log rows are (session, ts, seq, kind, task, cards, unknown). Kinds: ``collect`` (due cards were collected), ``select`` (a
 search found a sentence for cards, or none: task is null), ``answer`` (the active sentence's cards, some unknown) and
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Recently shown sentences that are kept.
 RECENT = 200
@@ -84,5 +85,48 @@ def sessions(log: DataFrame) -> DataFrame:
     return ordered.select("session", "kind", "task", "cards", "unknown").mapInArrow(_fold, STATE)
 
 
+# ---- cards
+
+#: Days beyond which an interval doesn't grow.
+FAR = 1 << 60
+CARD = "card_id long, n_answers long, ivl long, factor long, lapses long, reps long, review boolean"
+
+
+def card_step(ivl: int, factor: int, lapses: int, reps: int, review: bool, unknown: bool) -> tuple[int, int, int, int, bool]:
+    """A card's state after an answer, as ``schedule.step`` has it."""
+    ease = factor or 2500
+    if unknown:
+        return 0, max(1300, ease - 200), lapses + int(review), reps + 1, False
+    base = max(1, ivl)
+    return min(FAR, max(base + 1, round(base * max(1.3, max(1300, ease) / 1000.0)))), ease, lapses, reps + 1, True
+
+
+def _fold_cards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in CARD.split(", ")]
+    types = [pa.bool_() if x.endswith("boolean") else pa.int64() for x in CARD.split(", ")]
+    out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * len(names), types)], names)
+    now, n, state = None, 0, None
+    for batch in batches:
+        rows = []
+        for card, unknown, *start in zip(*(c.to_pylist() for c in batch.columns)):
+            if state is None or card != now:
+                if state is not None:
+                    rows.append((now, n, *state))
+                now, n, state = card, 0, tuple(start)
+            n, state = n + 1, card_step(*state, bool(unknown))
+        yield out(rows)
+    if state is not None:
+        yield out([(now, n, *state)])
+
+
+def cards_after(cards: DataFrame, answers: DataFrame) -> DataFrame:
+    """``cards`` (card_id, ivl, factor, lapses, reps, review) after their ``answers`` (card_id, ts, seq, is_unknown), which
+    stream by in order; a task holds one card's state, not its history."""
+    state = ("ivl", "factor", "lapses", "reps")
+    met = answers.join(cards.select("card_id", *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in state], F.coalesce("review", F.lit(False)).alias("review")), "card_id")
+    ordered = met.repartition("card_id").sortWithinPartitions("card_id", "ts", "seq")
+    return ordered.select("card_id", "is_unknown", *state, "review").mapInArrow(_fold_cards, CARD)
+
+
 # what workers run of this module travels with its data, so they need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions import scheduling as S
 from glosswork.operators.ranks import numbered
+from glosswork.operators.replay import cards_after
 
 
 def answer_plan(card_map: DataFrame, unknown_keys: list[str] | DataFrame, unknown_cards: list[int] | DataFrame = (), again: int = 1, good: int = 3) -> DataFrame:
@@ -86,24 +87,6 @@ def restore(cards: DataFrame, snapshot: DataFrame) -> DataFrame:
     return kept.select(snapshot.columns).unionByName(snapshot)
 
 
-def replayed(state: Column, answers: Column) -> Column:
-    """A card's (ivl, factor, lapses, reps, review) after ordered answers (true: unknown); one fold, no driver loop."""
-    def one(s: Column, unknown: Column) -> Column:
-        factor = F.when(s["factor"] == 0, F.lit(2500)).otherwise(s["factor"]).cast("long")
-        known_ivl = S.next_interval(s["ivl"], s["factor"])
-        return F.struct(
-            F.when(unknown, F.lit(0)).otherwise(known_ivl).cast("long").alias("ivl"),
-            F.when(unknown, F.greatest(F.lit(1300), factor - 200)).otherwise(factor).cast("long").alias("factor"),
-            (s["lapses"] + F.when(unknown & s["review"], 1).otherwise(0)).cast("long").alias("lapses"),
-            (s["reps"] + 1).cast("long").alias("reps"),
-            (~unknown).alias("review"),
-        )
-
-    return F.aggregate(answers, state, one)
-
-
 def replay(cards: DataFrame, answers: DataFrame) -> DataFrame:
-    """``cards`` (card_id, ivl, factor, lapses, reps, review) after their ``answers`` (card_id, ts, seq, is_unknown)."""
-    ordered = answers.groupBy("card_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "seq", "is_unknown"))), lambda a: a["is_unknown"]).alias("answers"))
-    start = F.struct(*[F.col(c).cast("long").alias(c) for c in ("ivl", "factor", "lapses", "reps")], F.col("review").alias("review"))
-    return cards.join(ordered, "card_id").select("card_id", F.size("answers").alias("n_answers"), replayed(start, F.col("answers")).alias("s")).select("card_id", "n_answers", "s.*")
+    """``cards`` (card_id, ivl, factor, lapses, reps, review) after their ``answers`` (card_id, ts, seq, is_unknown), with their number."""
+    return cards_after(cards, answers)

@@ -1,11 +1,12 @@
 """An index for searches that end early: posting blocks, sorted vocabulary blocks, and lists of character grams.
 
-Sentences are dealt over cells of about ``CELL`` by a hash of their id. A posting block holds the sentences of one form,
+Sentences are dealt over cells of about ``CELL`` by their id. A posting block holds the sentences of one form,
 language, length and cell. All of a block's rows have one BM25 part, its bound, as a form counts once in a sentence; what
 a search returns from a chunk of terms follows from bounds first:
 
 * the best ``limit`` sentences of a chunk score no less than the ``limit``-th best one of any single term does by that
-  term alone. Counts of blocks give that threshold; no sentence is looked at;
+  term alone, which counts of blocks tell, and no less than the ``limit``-th best one of every ``SAMPLED``-th cell, whose
+  sentences are scored first. The larger of both is the threshold;
 * a sentence of length L has at most L of the chunk's terms. Terms in order of weight, those whose heaviest L together
   stay under the threshold are inessential at that length: a sentence that has no other term can't be returned, so
   only the blocks of the others are opened;
@@ -25,12 +26,16 @@ from glosswork.sources import sinks as W
 K1, B = 1.2, 0.75
 #: Sentences of a cell, and forms of a vocabulary block.
 CELL, FORMS = 1 << 14, 256
+#: One cell in so many is scored first, for a threshold.
+SAMPLED = 16
+#: A prime over any number of cells: ids that lie together, or far apart in equal steps, come into many cells.
+SPREAD = 1_000_003
 #: Bounds are sums of the same numbers in another order; this is more than that can differ.
 SLACK = 1e-9
 
 
 def cell(id_: Column, cells: int) -> Column:
-    return F.pmod(F.xxhash64(id_), F.lit(cells)).cast("int")
+    return (F.pmod(id_, F.lit(SPREAD)) * 7919 % SPREAD % cells).cast("int")
 
 
 def cells_of(sentences: int) -> int:
@@ -69,6 +74,13 @@ def part(weight: Column, f: Column, length: Column, average: Column) -> Column:
     return weight * (f * (K1 + 1)) / (f + K1 * (1 - B + B * length / average))
 
 
+def _last_of(scored: DataFrame, score: str, limit: int) -> DataFrame:
+    """(chunk, least): the ``limit``-th best score of each chunk that has so many."""
+    turn = F.row_number().over(Window.partitionBy("chunk").orderBy(F.desc(score)))
+    best = scored.select("chunk", score).withColumn("turn", turn).filter(F.col("turn") <= limit)
+    return best.groupBy("chunk").agg(F.min(score).alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == limit).select("chunk", "least")
+
+
 def bounded(blocks: DataFrame, stats: DataFrame, exact: DataFrame, mine: Column, limit: int) -> DataFrame:
     """(chunk, term, length, held, part, bound, essential) of every term (chunk, term) and length in sentences
     that are ``mine`` by language.
@@ -81,9 +93,12 @@ def bounded(blocks: DataFrame, stats: DataFrame, exact: DataFrame, mine: Column,
     in_order = weighted.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("weight", "term"))).alias("terms"))  # a chunk's terms
     own = met.filter(mine).groupBy("chunk", "term", "length").agg(F.sum("n").alias("held")).join(weighted, ["chunk", "term"])
     parts = own.withColumn("part", part(F.col("weight"), F.lit(1), F.col("length"), F.col("avg_length")))
+    parts = W.written(parts, f"{W.scratch_folder(blocks.sparkSession)}/parts")  # a row for each term and length, read three times
     upto = Window.partitionBy("chunk", "term").orderBy("length")
-    reached = parts.withColumn("upto", F.sum("held").over(upto)).filter(F.col("upto") >= limit)
-    least = reached.groupBy("chunk").agg(F.max("part").alias("least"))
+    by_counts = parts.withColumn("upto", F.sum("held").over(upto)).filter(F.col("upto") >= limit).select("chunk", F.col("part").alias("least"))
+    some = blocks.filter(mine & (F.col("cell") % SAMPLED == 0)).select(F.col("form").alias("term"), "length", "ids")
+    scored = some.join(parts.select("chunk", "term", "length", "part"), ["term", "length"]).select("chunk", F.explode("ids").alias("id"), "part").groupBy("chunk", "id").agg(F.sum("part").alias("score"))
+    least = by_counts.unionByName(_last_of(scored, "score", limit)).groupBy("chunk").agg(F.max("least").alias("least"))
     met = parts.join(in_order, "chunk").join(least, "chunk", "left")
     place = F.array_position("terms", F.struct("weight", "term")).cast("int")
     # the heaviest ``length`` of the term and those before it
@@ -111,8 +126,7 @@ def best(blocks: DataFrame, words: DataFrame, stats: DataFrame, searched: DataFr
         scored = part(idf(F.col("n"), F.col("total")), F.col("f"), F.col("length"), F.col("avg_length"))
         found = found.unionByName(met.filter(mine).join(seen, ["chunk", "term"]).select("chunk", "id", "length", "cell", scored.alias("part")))
     summed = W.written(found.groupBy("chunk", "id").agg(F.sum("part").alias("so_far"), F.first("length").alias("length"), F.first("cell").alias("cell")), f"{folder}/summed")
-    turn = F.row_number().over(Window.partitionBy("chunk").orderBy(F.desc("so_far")))
-    least = summed.select("chunk", "so_far").withColumn("turn", turn).filter(F.col("turn") <= limit).groupBy("chunk").agg(F.min("so_far").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == limit).select("chunk", "least")
+    least = _last_of(summed, "so_far", limit)
     more = known.filter("not essential").groupBy("chunk", "length").agg(F.max("bound").alias("more"))
     may = (F.col("so_far") + F.coalesce("more", F.lit(0.0))) * (1 + SLACK) >= F.col("least")
     left = summed.join(more, ["chunk", "length"], "left").join(least, "chunk", "left").filter(F.col("least").isNull() | may)

@@ -439,11 +439,14 @@ def _gain(weight: str) -> str:
 
 
 @entry(sql(
-    "SELECT chunk, sum(held)::BIGINT AS postings, coalesce(sum(held) FILTER (bound * (1 + 1e-9) < least), 0)::BIGINT AS unopened FROM bounds GROUP BY chunk", "posts", "terms", "stats",
+    "SELECT chunk, sum(held)::BIGINT AS postings, coalesce(sum(held) FILTER (bound * (1 + 1e-9) < least), 0)::BIGINT AS unopened FROM bounds GROUP BY chunk", "posts", "forms", "terms", "stats",
     met="SELECT t.chunk, t.term, p.language, p.length FROM posts p JOIN (SELECT DISTINCT chunk, term FROM terms WHERE NOT is_prefix) t ON p.form = t.term",
     weighed="SELECT chunk, term, CASE WHEN ln((total - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((total - n + 0.5) / (n + 0.5)) END AS weight, avg_length FROM (SELECT chunk, term, count(*) AS n FROM met GROUP BY 1, 2), stats",
     parts=f"SELECT *, {_gain('weight')} AS part FROM (SELECT chunk, term, length, weight, avg_length, count(*) AS held FROM met JOIN weighed USING (chunk, term) WHERE language = 'en' GROUP BY ALL)",
-    leasts="SELECT chunk, max(part) AS least FROM (SELECT *, sum(held) OVER (PARTITION BY chunk, term ORDER BY length) AS upto FROM parts) WHERE upto >= 100 GROUP BY chunk",
+    cells="SELECT greatest(1, ceil(count(*) / 16384))::BIGINT AS cells FROM forms",
+    sampled="SELECT chunk, id, sum(part) AS score FROM (SELECT p.id, p.form AS term, p.length FROM posts p, cells WHERE p.language = 'en' AND p.id % 1000003 * 7919 % 1000003 % cells % 16 = 0) JOIN parts USING (term, length) GROUP BY chunk, id",
+    leasts="""SELECT chunk, max(least) AS least FROM (SELECT chunk, part AS least FROM (SELECT *, sum(held) OVER (PARTITION BY chunk, term ORDER BY length) AS upto FROM parts) WHERE upto >= 100
+      UNION ALL SELECT chunk, score FROM (SELECT chunk, score, row_number() OVER (PARTITION BY chunk ORDER BY score DESC) AS turn FROM sampled) WHERE turn = 100) GROUP BY chunk""",
     lists="SELECT chunk, list(weight ORDER BY weight, term) AS ws FROM weighed GROUP BY chunk",
     turns="SELECT chunk, term, row_number() OVER (PARTITION BY chunk ORDER BY weight, term) AS place FROM weighed",
     bounds=f"SELECT chunk, held, least, {_gain('list_sum(list_slice(ws, greatest(1, place - length + 1)::INTEGER, place))')} AS bound FROM parts JOIN lists USING (chunk) JOIN turns USING (chunk, term) LEFT JOIN leasts USING (chunk)",
@@ -580,7 +583,7 @@ UNION ALL SELECT s.card_id, s.n + 1, least(CASE WHEN a.unknown THEN 0 ELSE great
 SELECT card_id, n::INTEGER AS n_answers, factor, lapses, reps, review FROM s QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY n DESC) = 1""")
 def schedule_replay(spark, sf):
     cards = card_table(spark, sf).select("card_id", "ivl", "factor", "lapses", "reps", F.lit(True).alias("review"))
-    return P.replay(cards, _answers(spark, sf)).select("card_id", "n_answers", "factor", "lapses", "reps", "review")
+    return P.replay(cards, _answers(spark, sf)).select("card_id", F.col("n_answers").cast("int").alias("n_answers"), "factor", "lapses", "reps", "review")
 
 
 @entry(sql("SELECT card_id, 'filtered_deck' AS problem FROM cards WHERE odid <> 0 UNION ALL SELECT 100000 + card_id, 'missing' FROM cards WHERE card_id % 10 = 0", "cards"))

@@ -133,19 +133,12 @@ def review_stream(answers: DataFrame, start: Callable[[int], tuple[int, int, int
     import pandas as pd
 
     def step(key, batches, state: GroupState):
-        ivl, factor, lapses, reps, review = state.get if state.exists else start(int(key[0]))
+        held = tuple(state.get if state.exists else start(int(key[0])))
         rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
         for unknown in rows["is_unknown"]:
-            ease = factor or 2500
-            if unknown:
-                lapses += int(review)
-                ivl, factor, review = 0, max(1300, ease - 200), False
-            else:
-                base = max(1, ivl)
-                ivl, factor, review = max(base + 1, round(base * max(1.3, max(1300, ease) / 1000.0))), ease, True
-            reps += 1
-        state.update((ivl, factor, lapses, reps, bool(review)))
-        yield pd.DataFrame([(key[0], ivl, factor, lapses, reps, bool(review))], columns=["card_id", "ivl", "factor", "lapses", "reps", "review"])
+            held = R.card_step(*held, bool(unknown))
+        state.update(held)
+        yield pd.DataFrame([(key[0], *held)], columns=["card_id", "ivl", "factor", "lapses", "reps", "review"])
 
     schema = "card_id long, ivl long, factor long, lapses long, reps long, review boolean"
     kept = "ivl long, factor long, lapses long, reps long, review boolean"
