@@ -36,13 +36,12 @@ def judge(rows: DataFrame, min_words: int = 4, max_words: int = 15, strict: bool
     are in the library already.
     """
     cleaned = rows.withColumn("text", T.clean(F.col("text"))).withColumn("translation", F.nullif(T.clean(F.col("translation")), F.lit("")))
-    first = cleaned.groupBy("language", text_key(F.col("text")).alias("key")).agg(F.min(F.struct("ordinal", "text")).alias("r"))
-    first = first.select("r.ordinal", F.col("language").alias("l"), F.col("r.text").alias("f"))
-    if stored is not None:  # a key's first row alone may be in the library
+    keyed = cleaned.groupBy("language", text_key(F.col("text")).alias("key"))
+    if stored is None:
+        first = keyed.agg(F.min("ordinal").alias("ordinal")).withColumn("known", F.lit(False))
+    else:  # a key's first row alone may be in the library
         held = stored.select(F.col("language").alias("l"), F.col("full_text").alias("f"), F.lit(True).alias("known")).distinct()
-        first = first.join(held, ["l", "f"], "left")
-    else:
-        first = first.withColumn("known", F.lit(False))
+        first = keyed.agg(F.min(F.struct("ordinal", "text")).alias("r")).select("r.ordinal", F.col("language").alias("l"), F.col("r.text").alias("f")).join(held, ["l", "f"], "left")
     counted = cleaned.withColumn("word_count", T.count_words(F.col("text"), F.col("language"))).withColumn("flags", T.quality_flags(F.col("text")))
     judged = counted.join(first.select("ordinal", F.lit(True).alias("first"), "known"), "ordinal", "left")
     why = reason(min_words, max_words, strict, F.col("first").isNull(), F.coalesce("known", F.lit(False)))
