@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -24,6 +24,11 @@ LETTER = r"[\p{L}\p{Nl}\p{No}][\x{300}-\x{36f}]*"
 WORD = rf"(?:{LETTER})+(?:['\x{{2019}}\-](?:{LETTER})+)*"
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}\x{FEFF}]+"
 SENTENCE_END = r"(?<=[.!?])\s+|(?<=[。！？])\s*"
+# The same for texts without the full-width marks: it looks back from white space alone.
+ASCII_END = r"\s(?<=[.!?]\s)\s*"
+ASCII_WORD = "[A-Za-z]++(?:['-][A-Za-z]++)*+"
+#: What SPACE holds, as text.
+SPACES = "".join(chr(i) for i in (*range(9, 14), *range(0x1C, 0x20), 0x85, 0xFEFF)) + "".join(c for c in map(chr, range(0x3001)) if unicodedata.category(c)[0] == "Z")
 SCRIPT = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
 
 # Irregular English forms.
@@ -48,16 +53,24 @@ def split_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s){WORD}|(?:(?!{WORD}).)+"), F.lit(0))
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def clean(text: Column) -> Column:
     """Runs of any white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
+    plain = is_ascii(text) & ~text.rlike(r"[\t-\r\x1c-\x1f]|  ")
+    return F.trim(F.when(plain, text).otherwise(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")))
 
 
 def sentences(text: Column) -> Column:
     """Sentences of a text whose lines are joined; empty ones are left out."""
-    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*[\r\n]+\s*", " ")
-    parts = F.split(joined, SENTENCE_END)
-    return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, rf"^{SPACE}|{SPACE}$", ""))), lambda s: s != "")
+    # a run of white space is an end or lies within a sentence, so lines are joined in the few that hold a line's end
+    given = F.coalesce(text, F.lit(""))
+    wide = reduce(Column.__or__, (text.contains(c) for c in "。！？"))
+    parts = F.when(wide, F.split(given, SENTENCE_END)).otherwise(F.split(given, ASCII_END))
+    joined = lambda s: F.when(s.contains("\n") | s.contains("\r"), F.regexp_replace(s, r"\s*[\r\n]+\s*", " ")).otherwise(s)
+    return F.filter(F.transform(parts, lambda s: F.trim(joined(s), F.lit(SPACES))), lambda s: s != "")
 
 
 @lru_cache(maxsize=1)
@@ -83,6 +96,11 @@ def fold(lowered: Column, marks: str = r"()[\x{300}-\x{36f}]") -> Column:
     return F.when(lowered.rlike(r"[^\x00-\x7f]"), F.regexp_replace(plain, marks, "$1")).otherwise(lowered)
 
 
+def once(df: DataFrame, **values: Column) -> DataFrame:
+    """``df`` with columns that filters and columns after them don't compute again, as they would if merged with them."""
+    return df.select("*", F.explode_outer(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))).alias("_once")).select(*df.columns, *[f"_once.{k}" for k in values])
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -163,10 +181,10 @@ def matching_key(word: Column, language: Column, mode: str = "exact_form") -> Co
 
 def count_words(text: Column, language: Column) -> Column:
     """Words; characters of unsegmented scripts count a third of a word each, rounded up."""
-    plain = F.regexp_count(text, F.lit(WORD))
+    plain = F.when(is_ascii(text), F.regexp_count(text, F.lit(ASCII_WORD))).otherwise(F.regexp_count(text, F.lit(WORD)))
     bare = F.regexp_replace(text, SCRIPT, " ")
     script = F.length(text) - F.length(F.regexp_replace(text, SCRIPT, ""))
-    return F.when(text.rlike(SCRIPT), F.floor((script + 2) / 3) + F.regexp_count(bare, F.lit(WORD))).otherwise(plain).cast("int")
+    return F.when(~is_ascii(text) & text.rlike(SCRIPT), F.floor((script + 2) / 3) + F.regexp_count(bare, F.lit(WORD))).otherwise(plain).cast("int")
 
 
 def tokens(text: Column, language: Column) -> Column:
@@ -225,17 +243,20 @@ def quality_flags(text: Column) -> Column:
     """What is wrong with a sentence, in a fixed order; empty if nothing is."""
     n = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
     # words are looked at only where a run of what they are made of is long enough
-    long = F.when(text.rlike(r"[\p{L}\p{Nl}\p{No}\x{300}-\x{36f}'\x{2019}-]{36}"), F.exists(words(text), lambda w: F.length(w) > 35)).otherwise(False)
+    run = text.rlike(r"(?:^| )[^ ]{36}") & text.rlike(r"[\p{L}\p{Nl}\p{No}\x{300}-\x{36f}'\x{2019}-]{36}")
+    long = F.when(run, F.exists(words(text), lambda w: F.length(w) > 35)).otherwise(False)
+    # every address holds one of these
+    address = text.contains("@") | text.contains("://") | F.lower(text).contains("www.")
     tests = (
         ~text.rlike(r"\p{L}"),
-        text.rlike(URL),
-        text.rlike(r"\.{3,}|!{3,}|\?{3,}"),
+        address & text.rlike(URL),
+        text.contains("...") | text.contains("!!!") | text.contains("???"),
         F.length(text) > 240,
         long,
         (n("(") != n(")")) | (n("[") != n("]")),
-        text.rlike(r"[{}<>|]"),
+        reduce(Column.__or__, (text.contains(c) for c in "{}<>|")),
     )
-    return F.array_compact(F.array(*[F.when(t, F.lit(f)) for f, t in zip(FLAGS, tests)]))
+    return F.array_remove(F.array(*[F.when(t, F.lit(f)).otherwise("") for f, t in zip(FLAGS, tests)]), "")
 
 
 def display_text(value: Column) -> Column:

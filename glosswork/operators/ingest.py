@@ -21,33 +21,57 @@ PLACES = 1 << 30
 
 def split_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
     """(ordinal, language, text, translation) of every sentence; ordinal orders by key and place."""
-    parts = docs.select(F.col(key).alias("k"), F.col(language).alias("language"), F.posexplode(T.sentences(F.col(text))).alias("place", "text"))
-    return parts.select((F.col("k") * PLACES + F.col("place")).alias("ordinal"), "language", "text", F.lit(None).cast("string").alias("translation"))
+    parts = docs.select(F.col(key).alias("k"), F.col(language).alias("language"), F.posexplode_outer(T.sentences(F.col(text))).alias("place", "text"))
+    # of the outer form no test of the array's size is inferred, which would split each text twice
+    return parts.filter("place is not null").select((F.col("k") * PLACES + F.col("place")).alias("ordinal"), "language", "text", F.lit(None).cast("string").alias("translation"))
 
 
 def text_key(text: Column) -> Column:
     return F.lower(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
 
 
+def _cleaned(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("text", T.clean(F.col("text"))).withColumn("translation", F.nullif(T.clean(F.col("translation")), F.lit("")))
+
+
+def _own(cleaned: DataFrame, *limits) -> DataFrame:
+    """``cleaned`` with word_count, flags and what a row by itself is skipped for."""
+    counted = T.once(cleaned, word_count=T.count_words(F.col("text"), F.col("language")), flags=T.quality_flags(F.col("text")))
+    return counted.withColumn("own", reason(*limits))
+
+
+def _first(cleaned: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """(ordinal, known) of each key's first row."""
+    keyed = cleaned.groupBy("language", text_key(F.col("text")).alias("key"))
+    if stored is None:
+        return keyed.agg(F.min("ordinal").alias("ordinal")).select("ordinal", F.lit(False).alias("known"))
+    # a key's first row alone may be in the library
+    held = stored.select(F.col("language").alias("l"), F.col("full_text").alias("f"), F.lit(True).alias("known")).distinct()
+    first = keyed.agg(F.min(F.struct("ordinal", "text")).alias("r")).select("r.ordinal", F.col("language").alias("l"), F.col("r.text").alias("f"))
+    return first.join(held, ["l", "f"], "left").select("ordinal", F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def judge(rows: DataFrame, min_words: int = 4, max_words: int = 15, strict: bool = True, stored: DataFrame | None = None) -> DataFrame:
     """``rows`` cleaned, with word_count, flags and skip_reason (null: accepted).
 
     A later row of equal text is a duplicate whatever became of the first. ``stored`` has (language, full_text) that
     are in the library already.
     """
-    cleaned = rows.withColumn("text", T.clean(F.col("text"))).withColumn("translation", F.nullif(T.clean(F.col("translation")), F.lit("")))
-    keyed = cleaned.groupBy("language", text_key(F.col("text")).alias("key"))
-    if stored is None:
-        first = keyed.agg(F.min("ordinal").alias("ordinal")).withColumn("known", F.lit(False))
-    else:  # a key's first row alone may be in the library
-        held = stored.select(F.col("language").alias("l"), F.col("full_text").alias("f"), F.lit(True).alias("known")).distinct()
-        first = keyed.agg(F.min(F.struct("ordinal", "text")).alias("r")).select("r.ordinal", F.col("language").alias("l"), F.col("r.text").alias("f")).join(held, ["l", "f"], "left")
-    counted = cleaned.withColumn("word_count", T.count_words(F.col("text"), F.col("language"))).withColumn("flags", T.quality_flags(F.col("text")))
-    judged = counted.join(first.select("ordinal", F.lit(True).alias("first"), "known"), "ordinal", "left")
-    why = reason(min_words, max_words, strict, F.col("first").isNull(), F.coalesce("known", F.lit(False)))
+    cleaned = _cleaned(rows)
+    judged = _own(cleaned, min_words, max_words, strict).join(_first(cleaned, stored), "ordinal", "left")
+    why = F.when(F.col("own") == "empty", F.col("own")).when(F.col("known").isNull(), "duplicate").when(F.col("own").isNull() & F.col("known"), "stored").otherwise(F.col("own"))
     return judged.withColumn("skip_reason", why).select(*cleaned.columns, "word_count", "flags", "skip_reason")
 
 
+def accept(rows: DataFrame, min_words: int = 4, max_words: int = 15, strict: bool = True, stored: DataFrame | None = None, limit: int = 0) -> DataFrame:
+    """What ``accepted`` gives of the judged ``rows``; rows that are skipped by themselves stay out of the join."""
+    cleaned = _cleaned(rows)
+    counted = T.once(cleaned, word_count=T.count_words(F.col("text"), F.col("language"))).filter(F.col("word_count").between(min_words, max_words))
+    fit = T.once(counted, flags=T.quality_flags(F.col("text"))).filter(reason(min_words, max_words, strict).isNull())
+    first = _first(cleaned, stored).filter(~F.col("known")).select("ordinal")
+    return accepted(fit.join(first, "ordinal").withColumn("skip_reason", F.lit(None).cast("string")), limit)
+
+
 def reason(min_words: int = 4, max_words: int = 15, strict: bool = True, duplicate: Column | None = None, known: Column | None = None) -> Column:
     """Why a cleaned row (text, word_count, flags) isn't taken; null if it is."""
     never = F.lit(False)
@@ -56,7 +80,7 @@ def reason(min_words: int = 4, max_words: int = 15, strict: bool = True, duplica
         .when(never if duplicate is None else duplicate, "duplicate")
         .when(~F.col("word_count").between(min_words, max_words), "word_count")
         .when((F.size("flags") > 0) & F.lit(strict), "quality")
-        .when(~F.col("text").rlike(r"\p{L}") | (F.size(T.forms(F.col("text"))) == 0), "no_words")
+        .when(~F.col("text").rlike("[A-Za-z]") & (~F.col("text").rlike(r"\p{L}") | (F.size(T.forms(F.col("text"))) == 0)), "no_words")  # such a letter stays in a form
         .when(never if known is None else known, "stored")
     )
 

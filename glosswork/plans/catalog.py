@@ -97,7 +97,7 @@ def tables_folder(spark, sf):
 @kept
 def library(spark, sf):
     """Accepted sentences, written: a library is built once and asked often."""
-    return W.written(I.accepted(judged(spark, sf)), f"{tables_folder(spark, sf)}/sentences")
+    return W.written(I.accept(raw(spark, sf)), f"{tables_folder(spark, sf)}/sentences")
 
 
 @kept
@@ -301,7 +301,7 @@ def import_skip_funnel(spark, sf):
 
 @entry(sql("SELECT id, full_text FROM sentences ORDER BY id LIMIT 500", "sentences"))
 def import_limited(spark, sf):
-    return I.accepted(judged(spark, sf), 500).select("id", "full_text")
+    return I.accept(raw(spark, sf), limit=500).select("id", "full_text")
 
 
 @entry(sql("SELECT count(*) AS processed, count(*) FILTER (skip_reason IS NULL) AS inserted, count(*) FILTER (skip_reason IS NOT NULL) AS skipped, count(*) FILTER (skip_reason IS NULL) >= 500 AS limit_reached FROM judged WHERE ordinal <= (SELECT max(ordinal) FROM (SELECT ordinal FROM judged WHERE skip_reason IS NULL ORDER BY ordinal LIMIT 500))", "judged"))
