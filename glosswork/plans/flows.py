@@ -22,6 +22,7 @@ def in_two_parts(rows: DataFrame, by: str, name: str, stream: Callable[[DataFram
     """The folder of a stream that ran twice: over the rows up to the middle of ``by``, then over the others."""
     spark = rows.sparkSession
     folder = W.lasting_folder(spark, name)
+    rows = W.written(rows, f"{W.scratch_folder(spark)}/rows")  # each of the parts would make all rows anew
     ends = rows.agg(F.min(by).alias("a"), F.max(by).alias("b")).first()
     first = F.col(by) < (ends.a + (ends.b - ends.a) / 2 if ends.a is not None else None)
     for part in (first, ~first):

@@ -3,6 +3,7 @@
 import random
 
 from glosswork.operators import answers as A
+from glosswork.operators import ingest as I
 from glosswork.operators import replay as R
 from glosswork.plans import catalog
 from glosswork.sources import sinks as W
@@ -91,3 +92,14 @@ def test_changed_tables_are_read_anew(spark, tmp_path):
         docs = [(i, f"One plain sentence number {'abc'[i]} is here.", "en") for i in range(n)]
         spark.createDataFrame(docs, "doc_id long, text string, lang string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
         assert catalog.queries()["language_counts"](spark, str(tmp_path)).first().sentences == n
+
+
+def test_a_streamed_import_needs_no_python_for_each_text(spark, tmp_path):
+    docs = [(i, f"One plain sentence number {'abcdefg'[i % 7]} is here. ONE plain sentence is here.", "en") for i in range(40)]
+    rows = I.split_documents(spark.createDataFrame(docs, "doc_id long, text string, lang string")).repartition(5)
+    rows.write.parquet(f"{tmp_path}/in")
+    live = V.ingest_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"))
+    assert "Pandas" not in live._jdf.queryExecution().analyzed().toString()
+    V.run_once(live, f"file://{tmp_path}/out")
+    want = I.accept(rows).select("id", "full_text")  # the least ordinal of a batch, in whatever order its rows are read
+    assert sorted(map(tuple, V.results(spark, f"file://{tmp_path}/out").select("id", "full_text").collect())) == sorted(map(tuple, want.collect()))
