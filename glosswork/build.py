@@ -33,10 +33,11 @@ def build(spark: SparkSession, source: str, output: str, language: str = "en", i
     judged = sinks.written(I.judge(rows, *words, strict), f"{work}/judged")
     kept = I.accepted(judged, limit).withColumn("source", F.lit(source))
     sentences = sinks.written(kept, f"{work}/sentences")
-    pairs = (lemmas or K.word_forms)(sentences)
+    forms = sinks.written(K.sentence_forms(sentences), f"{work}/forms")
+    pairs = lemmas(sentences) if lemmas else K.word_forms(sentences, forms)
     for path in word_forms:
         pairs = pairs.unionByName(readers.read_word_forms(spark, path))
-    tables = {"sentences": sentences, "forms": K.sentence_forms(sentences), "word_forms": pairs.distinct()}
+    tables = {"sentences": sentences, "forms": forms, "word_forms": pairs.distinct()}
     sinks.replace_library(tables, output, time.strftime("%Y%m%dT%H%M%S"))
     return I.import_metrics(judged, limit)
 
