@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from glosswork.operators import answers as A
 from glosswork.operators import ingest as I
 from glosswork.operators import replay as R
@@ -72,6 +74,24 @@ def test_a_stream_goes_on_from_its_state(spark):
     assert sorted(map(tuple, V.latest(spark, folder, "session").select(whole.columns).collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
 
 
+def test_a_streamed_session_is_that_of_the_batch_on_odd_rows(spark):
+    big = (1 << 53) + 1  # no double holds it
+    rows = [
+        (1, None, 2, "collect", None, [1, 2], None), (1, 5, 3, "select", big, [1], None), (1, 5, None, "undo", None, None, None), (1, 6, 4, 'no "kind"', None, [3], [3]),
+        (None, 1, 1, "collect", None, [4], []), (None, 2, 2, "select", 7, [4], []), (2, 1, 1, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_seconds("ts"))
+    folder = W.lasting_folder(spark, "test")
+    df.write.parquet(f"{folder}/in")
+    live = V.session_stream(spark.readStream.schema(df.schema).parquet(f"{folder}/in"))
+    assert live.schema == R.sessions(df).schema
+    V.run_once(live, folder)
+    whole = R.sessions(df)
+    got = V.results(spark, folder).select(whole.columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    assert {r.active for r in got} == {None, 7, big}
+
+
 def test_recent_ids_as_a_stream(spark):
     rng = random.Random(3)
     rows = [(rng.randrange(3), rng.randrange(1, 30), 1_700_000_000 + rng.randrange(5000), i) for i in range(900)]
