@@ -35,3 +35,28 @@ def test_kept_tables(spark):
     stored(spark.range(5).select(F.col("id").alias("key")), folder, "five")
     stored(spark.range(0).select(F.col("id").alias("key")), folder, "none")
     assert sorted(Kept(f"{folder}/five").value["key"]) == [0, 1, 2, 3, 4] and Kept(f"{folder}/none").value == {}
+
+
+def test_workers_give_freed_memory_back(spark):
+    import pyarrow as pa
+
+    def held(batches):
+        import os
+
+        import numpy as np
+
+        def mb():
+            with open("/proc/self/statm") as f:
+                return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+        for _ in batches:
+            pa.array(np.ones(9)).take(pa.array(np.arange(9)))  # loads code that stays
+            before = mb()
+            arrays = [np.ones(1 << 20) for _ in range(20)] + [pa.array(np.ones(1 << 20)).take(pa.array(np.arange(1 << 20))) for _ in range(5)]
+            full = mb()
+            del arrays
+            yield pa.RecordBatch.from_pydict({"pool": [pa.default_memory_pool().backend_name], "grew": [full - before], "stayed": [mb() - before]})
+
+    common.share_code(spark)
+    got = spark.range(1).mapInArrow(held, "pool string, grew long, stayed long").first()
+    assert got.pool == "system" and got.grew > 150 and got.stayed < 50
