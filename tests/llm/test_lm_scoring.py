@@ -6,9 +6,9 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from glosswork.llm.attention import Model
+from glosswork.llm.attention import Model, powers
 from glosswork.llm.hashing import sequences, words
-from glosswork.llm.common import shared_folder
+from glosswork.llm.common import documents, shared_folder
 from glosswork.llm.lm_scoring import fit, score_texts, survey
 from glosswork.llm.subwords import shared
 
@@ -132,6 +132,33 @@ def test_every_training_document_takes_part_in_the_fit(spark):
     assert moved[m.place[known]].all()  # and each was learned from
 
 
+def test_survey_keeps_every_document_with_its_ids(spark, weird):
+    """Held-out documents too, so that scoring encodes no text again; they count for nothing."""
+    from pyspark.sql import functions as F
+
+    docs = documents(weird).withColumn("held_out", F.coalesce(F.col("doc_id") == 7, F.lit(False)))
+    rows = survey(docs, shared_folder(spark)).collect()
+    kept = [r for r in rows if r.kind == 2]
+    want = [(str(r.doc_id), r.text, r.held_out, shared().ids(r.text or "").tolist()) for r in docs.collect()]
+    assert sorted(want, key=str) == sorted(((str(r.doc_id), r.text, r.key < 0, np.frombuffer(r.ids, "<u2").tolist()) for r in kept), key=str)
+    counts = Counter(i for _, _, held, ids in want if not held for i in [*ids, 50256])
+    got = Counter()
+    for r in rows:
+        if r.kind == 1:
+            got[r.key] += r.n
+    assert got == counts
+
+
+def test_exponentials_out_of_range():
+    z = np.array([[1e4, 0, -1e4], [-1e4, -1e4, -1e4], [1, 2, 3]], np.float32)
+    made, total, top = powers(z)
+    assert np.allclose(np.log(total) + top, np.logaddexp.reduce(z.astype(float), 1), atol=1e-3)
+    assert np.allclose((made / total[:, None]).sum(1), 1)
+    q, k, val = np.full((1, 2, 1), 1e3, np.float32), np.array([[[1], [2], [3]]], np.float32), np.array([[[5, 1], [6, 1], [7, 1]]], np.float32)
+    _, o = Model.attended(q, k, val, np.zeros((2, 3), np.float32))
+    assert np.allclose(o[..., 0] / o[..., 1], 7)
+
+
 def test_gradient_is_that_of_the_loss():
     rng = np.random.default_rng(5)
     m = Model(rng.integers(1, 50, 30), groups=3, each=4, dim=4, block=3).begin(np.arange(29))
